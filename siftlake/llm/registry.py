@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import bpe
+from siftlake.llm import bpe, quality, secrets, sharding
 from siftlake.session import table
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op1_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op4_sharding(table(spark, sf_dir, "documents"))
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op8_bpe(table(spark, sf_dir, "documents"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op9_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_bpe": _op8}
+    return {"op1_quality_rules": _op1, "op4_sharding": _op4, "op8_bpe": _op8, "op9_secrets": _op9}
 
 
 def oracle_sql() -> dict[str, str]:
