@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import bpe, quality, secrets, sharding
+from siftlake.llm import bpe, neardup, quality, secrets, sharding
 from siftlake.session import table
 
 
@@ -18,6 +18,10 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op4_sharding(table(spark, sf_dir, "documents"))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op7_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op8_bpe(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": _op1, "op4_sharding": _op4, "op8_bpe": _op8, "op9_secrets": _op9}
+    return {"op1_quality_rules": _op1, "op4_sharding": _op4, "op7_near_duplicates": _op7, "op8_bpe": _op8, "op9_secrets": _op9}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -116,8 +116,8 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 def sequence_hash(hashes: np.ndarray) -> np.uint64:
     """A 64-bit hash of a short whole sequence, apart from the hashes of windows."""
     total = np.array([len(hashes) + 0x777], np.uint64)
-    for k, h in enumerate(hashes):
-        total = mix(total + h * _PLACE[k])
+    for k in range(len(hashes)):
+        total = mix(total + hashes[k : k + 1] * _PLACE[k])
     return total[0]
 
 
