@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import bpe, neardup, quality, secrets, sharding
+from siftlake.llm import bpe, decontaminate, neardup, quality, secrets, sharding
 from siftlake.session import table
 
 
@@ -30,8 +30,12 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op9_secrets(table(spark, sf_dir, "documents"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": _op1, "op4_sharding": _op4, "op7_near_duplicates": _op7, "op8_bpe": _op8, "op9_secrets": _op9}
+    return {"op1_quality_rules": _op1, "op4_sharding": _op4, "op7_near_duplicates": _op7, "op8_bpe": _op8, "op9_secrets": _op9, "op10_decontamination": _op10}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -62,13 +62,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of all words, runs without ASCII white space, and for each text the index of its first word."""
+#: Bytes that belong to a word when punctuation parts words too: letters, digits and all that isn't ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of all words, and for each text the index of its first word; words are runs without ASCII white space, or of letters."""
     n = len(data)
     if not n:
         zero = np.zeros(0, np.int64)
         return zero, zero, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~_SPACE[data] if letters is None else letters[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     opens, closes = solid.copy(), solid.copy()
