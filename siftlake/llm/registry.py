@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import bpe, decontaminate, neardup, quality, secrets, sharding
+from siftlake.llm import bpe, decontaminate, neardup, quality, secrets, sharding, toxicity
 from siftlake.session import table
 
 
@@ -18,6 +18,10 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op4_sharding(table(spark, sf_dir, "documents"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op5_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op7_near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": _op1, "op4_sharding": _op4, "op7_near_duplicates": _op7, "op8_bpe": _op8, "op9_secrets": _op9, "op10_decontamination": _op10}
+    return {"op1_quality_rules": _op1, "op4_sharding": _op4, "op5_toxicity": _op5, "op7_near_duplicates": _op7, "op8_bpe": _op8, "op9_secrets": _op9, "op10_decontamination": _op10}
 
 
 def oracle_sql() -> dict[str, str]:
