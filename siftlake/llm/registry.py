@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import bpe, decontaminate, neardup, quality, secrets, sharding, toxicity
+from siftlake.llm import bpe, decontaminate, html, neardup, quality, secrets, sharding, toxicity
 from siftlake.session import table
 
 
@@ -14,6 +14,10 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op1_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.op2_html(table(spark, sf_dir, "pages"))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op4_sharding(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": _op1, "op4_sharding": _op4, "op5_toxicity": _op5, "op7_near_duplicates": _op7, "op8_bpe": _op8, "op9_secrets": _op9, "op10_decontamination": _op10}
+    return {"op1_quality_rules": _op1, "op2_html": _op2, "op4_sharding": _op4, "op5_toxicity": _op5, "op7_near_duplicates": _op7, "op8_bpe": _op8, "op9_secrets": _op9, "op10_decontamination": _op10}
 
 
 def oracle_sql() -> dict[str, str]:
