@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import bpe, decontaminate, html, neardup, quality, secrets, sharding, toxicity
+import corpus_pipeline
+from siftlake.llm import bpe, decontaminate, html, licences, neardup, quality, secrets, sharding, toxicity, wordpiece
 from siftlake.session import table
 
 
@@ -18,6 +19,10 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.op2_html(table(spark, sf_dir, "pages"))
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.op3_token_counts(table(spark, sf_dir, "documents"))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op4_sharding(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,10 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op5_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op6_licences(table(spark, sf_dir, "documents"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op7_near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,7 +52,19 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": _op1, "op2_html": _op2, "op4_sharding": _op4, "op5_toxicity": _op5, "op7_near_duplicates": _op7, "op8_bpe": _op8, "op9_secrets": _op9, "op10_decontamination": _op10}
+    return {
+        "op1_quality_rules": _op1,
+        "op2_html": _op2,
+        "op3_token_counts": _op3,
+        "op4_sharding": _op4,
+        "op5_toxicity": _op5,
+        "op6_licences": _op6,
+        "op7_near_duplicates": _op7,
+        "op8_bpe": _op8,
+        "op9_secrets": _op9,
+        "op10_decontamination": _op10,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
