@@ -168,7 +168,7 @@ def timeline(events: DataFrame, keys: list[str], seconds: int = 60, newest: int
 def run_timeline(events: DataFrame, seed_id: str, seconds: int = 60, newest: int = 240) -> DataFrame:
     """The newest buckets of one run, numbered from the oldest."""
     out = timeline(events.where(F.col("seed_id") == seed_id), ["seed_id"], max(seconds, 10), newest)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("seed_id").orderBy("bucket")))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("seed_id").orderBy("bucket")).cast("long"))
 
 
 def score_deltas(events: DataFrame) -> DataFrame:

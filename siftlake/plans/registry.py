@@ -1,6 +1,279 @@
-"""Queries and oracle SQL of the analytics engine, by name."""
+"""Queries of the analytics engine over the driver's tables, and DuckDB SQL of the same results, by name.
+
+Times are given as epoch microseconds or seconds, arrays as sorted joined text, averages rounded to 6 digits and feature
+scores to 8, so that results can be compared by value.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftlake import schemas as S
+from siftlake.functions import labels
+from siftlake.operators import feed, monitor, runs, scoring, search, series
+from siftlake.sources import catalog, eventlog
+from siftlake.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_EV = """ev AS (
+  SELECT event_id, CAST(user_id AS VARCHAR) AS seed_id, 'req-' || CAST(user_id % 10 AS VARCHAR) AS request_id, user_id,
+    CASE event_type WHEN 'signup' THEN 'INITIAL_SOLUTION_TOPIC' WHEN 'view' THEN 'LOCAL_SEARCH_PROGRESS_TOPIC' WHEN 'click' THEN 'SOLUTIONS_TOPIC'
+      WHEN 'error' THEN 'NEIGHBORHOOD_RESTART_TOPIC' WHEN 'purchase' THEN 'BEST_SOLUTION_TOPIC' END AS topic,
+    k, value AS score, epoch_us(ts) AS us, CAST(k AS DOUBLE) AS cpu, k * 1.5 AS mem, CAST((k * 7) % 100 AS DOUBLE) AS memp,
+    list_extract(['IG','GR','RF','SU'], CAST(user_id % 4 + 1 AS INTEGER)) AS algorithm, list_extract(['BIT_FLIP','IWSS','IWSSR'], k % 3 + 1) AS search,
+    list_extract(['VND','RVND'], CAST(user_id % 2 + 1 AS INTEGER)) AS strategy, k % 13 AS iteration,
+    CASE WHEN k % 11 = 0 THEN 'completed' ELSE 'running' END AS status,
+    'train-' || CAST(user_id % 3 AS VARCHAR) || '.arff' AS training, 'test-' || CAST(user_id % 3 AS VARCHAR) || '.arff' AS testing,
+    [k % 7 + 1, k % 5 + 8, k % 3 + 13] AS features, [k % 4 + 16, k % 6 + 20] AS rcl
+  FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events)),
+st AS (SELECT *, CASE topic WHEN 'INITIAL_SOLUTION_TOPIC' THEN 'initial_solution' WHEN 'NEIGHBORHOOD_RESTART_TOPIC' THEN 'neighborhood_restart'
+      WHEN 'BEST_SOLUTION_TOPIC' THEN 'best_solution' ELSE lower(search) END AS stage FROM ev)"""
+_RUNS = """runs AS (SELECT seed_id, arg_max(request_id, us) AS request_id, arg_max(topic, us) AS topic, arg_max(algorithm, us) AS algorithm, arg_max(search, us) AS search, arg_max(strategy, us) AS strategy,
+    arg_max(training, us) AS training, arg_max(testing, us) AS testing, arg_max(features, us) AS features, arg_max(rcl, us) AS rcl, arg_max(score, us) AS current_score, max(score) AS best_score,
+    min(us) AS created_us, max(us) AS updated_us, count(*) AS updates, bool_or(status = 'completed') AS completed FROM ev GROUP BY seed_id)"""
+_INITIAL = "initial AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY us DESC, event_id DESC) AS rk FROM ev WHERE topic = 'INITIAL_SOLUTION_TOPIC') WHERE rk = 1)"
+_LAUNCH = """launch AS (SELECT o_orderkey AS launch_id, 'req-' || CAST(o_custkey % 10 AS VARCHAR) AS request_id, CASE WHEN o_orderstatus = 'O' THEN 'queued' ELSE 'started' END AS state,
+    1704067200000000 + (o_orderkey % 43200) * 60000000 - 30000000 AS requested_us, CASE WHEN o_orderstatus <> 'O' THEN 1704067200000000 + (o_orderkey % 43200) * 60000000 END AS started_us,
+    [list_extract(['IG','GR','RF','SU'], CAST(o_custkey % 4 + 1 AS INTEGER)), list_extract(['IG','GR','RF','SU'], CAST((o_custkey + 1) % 4 + 1 AS INTEGER))] AS algorithms,
+    'train-' || CAST(o_custkey % 3 AS VARCHAR) || '.arff' AS training, 'test-' || CAST(o_custkey % 3 AS VARCHAR) || '.arff' AS testing, o_orderkey % 5 + 1 AS generations FROM orders)"""
+_NEXT = "nxt AS (SELECT *, lead(started_us) OVER (ORDER BY started_us, launch_id) AS next_us FROM launch WHERE started_us IS NOT NULL)"
+_MATCH = """matched AS (SELECT l.launch_id, r.* FROM (SELECT *, unnest(algorithms) AS alg FROM nxt) l JOIN runs r ON r.algorithm = l.alg AND r.training = l.training AND r.testing = l.testing
+    AND r.created_us >= l.started_us AND (l.next_us IS NULL OR r.created_us < l.next_us))"""
+
+
+def launches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's orders in the shape of launch requests."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    o = table(spark, sf_dir, "orders")
+    start = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.col("o_orderkey") % 43_200) * 60_000_000)
+    pick = lambda n: F.element_at(F.array(*map(F.lit, ("IG", "GR", "RF", "SU"))), (n % 4 + 1).cast("int"))
+    name = lambda role: F.concat(F.lit(f"{role}-"), (F.col("o_custkey") % 3).cast("string"), F.lit(".arff"))
+    return o.select(
+        F.col("o_orderkey").alias("launch_id"), F.concat(F.lit("req-"), (F.col("o_custkey") % 10).cast("string")).alias("request_id"),
+        F.when(F.col("o_orderstatus") == "O", "queued").otherwise("started").alias("state"), (start - F.expr("INTERVAL 30 SECONDS")).alias("requested_at"),
+        F.when(F.col("o_orderstatus") != "O", start).alias("started_at"), F.array(pick(F.col("o_custkey")), pick(F.col("o_custkey") + 1)).alias("algorithms"),
+        name("train").alias("training_file_name"), name("test").alias("testing_file_name"), (F.col("o_orderkey") % 5 + 1).alias("generations"),
+    )
+
+
+def _query(name: str, sql: str | None = None, ctes: str = _EV):
+    def keep(make: Query) -> Query:
+        QUERIES[name] = make
+        if sql:
+            ORACLE_SQL[name] = f"WITH {ctes} {sql}" if ctes else sql
+        return make
+
+    return keep
+
+
+def _ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eventlog.of_events(spark, sf_dir)
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.fold_runs(_ev(spark, sf_dir))
+
+
+def _us(df: DataFrame, *names: str) -> DataFrame:
+    """Timestamps as epoch microseconds under the name of the column with _us for _at."""
+    return df.select(*(F.unix_micros(c).alias(c.replace("_at", "_us")) if c in names else F.col(c) for c in df.columns))
+
+
+def _on_events(name: str, op: Callable[[DataFrame], DataFrame], sql: str | None, ctes: str = _EV) -> None:
+    _query(name, sql, ctes)(lambda s, d: op(_ev(s, d)))
+
+
+_A = "round(avg({0}), 6) AS {1}".format
+_on_events("overview", monitor.overview, f"SELECT count(*) AS events, count(DISTINCT seed_id) AS seeds, count(DISTINCT topic) AS topics, {_A('CASE WHEN topic = $$INITIAL_SOLUTION_TOPIC$$ THEN score END', 'avg_initial')} FROM ev")
+_on_events("topic_metrics", monitor.topic_metrics, f"SELECT topic, count(*) AS n, count(DISTINCT seed_id) AS seeds, {_A('score', 'avg_score')}, max(score) AS best_score FROM ev GROUP BY topic")
+_BUCKET = f"count(*) AS n, count(DISTINCT seed_id) AS seeds, {_A('score', 'avg_score')}, {_A('cpu', 'avg_cpu')}, {_A('memp', 'avg_memory_percent')}, max(score) AS best_score"
+_on_events("hourly_activity", lambda e: monitor.activity(e, 3600, 336), f"SELECT us // 3600000000 * 3600 AS bucket, {_BUCKET} FROM ev GROUP BY 1 ORDER BY 1 DESC LIMIT 336")
+_on_events("minute_activity", lambda e: monitor.activity(e, 60, None), f"SELECT us // 60000000 * 60 AS bucket, {_BUCKET} FROM ev GROUP BY 1")
+_RES = f"count(*) AS samples, {_A('cpu', 'avg_cpu')}, {_A('mem', 'avg_memory')}, {_A('memp', 'avg_memory_percent')}"
+_on_events("resource_by_algorithm", monitor.resources_by_algorithm, f"SELECT algorithm AS rcl_algorithm, {_RES} FROM ev WHERE topic = 'INITIAL_SOLUTION_TOPIC' GROUP BY 1")
+_on_events("resource_by_search", monitor.resources_by_search, f"SELECT search AS local_search, {_RES} FROM ev WHERE topic IN ('LOCAL_SEARCH_PROGRESS_TOPIC', 'SOLUTIONS_TOPIC') GROUP BY 1")
+_on_events("initial_latest_per_seed", lambda e: _us(monitor.initial_latest(e).select("seed_id", "event_id", "created_at", "score", "rcl_algorithm"), "created_at"), "SELECT seed_id, event_id, us AS created_us, score, algorithm AS rcl_algorithm FROM initial", f"{_EV}, {_INITIAL}")
+_on_events("initial_seed_count", monitor.initial_counts, "SELECT algorithm AS rcl_algorithm, count(*) AS initial_seeds FROM initial GROUP BY 1", f"{_EV}, {_INITIAL}")
+_RUN_COLUMNS = ["seed_id", "request_id", "topic", "rcl_algorithm", "local_search", "neighborhood", "current_score", "best_score", "created_at", "updated_at", "updates", "completed"]
+_query("run_fold", "SELECT seed_id, request_id, topic, algorithm AS rcl_algorithm, search AS local_search, strategy AS neighborhood, current_score, best_score, created_us, updated_us, updates, completed FROM runs", f"{_EV}, {_RUNS}")(
+    lambda s, d: _us(_runs(s, d).select(*_RUN_COLUMNS), "created_at", "updated_at")
+)
+_query(
+    "final_run_summary",
+    "SELECT r.algorithm, count(*) AS seeds, max(r.best_score) AS best_score, (array_agg(r.seed_id ORDER BY r.best_score DESC, r.updated_us DESC, r.seed_id DESC))[1] AS best_seed, round(avg(r.best_score), 6) AS avg_final, round(avg(r.best_score - i.score), 6) AS avg_gain, "
+    "array_to_string(list_sort(list_distinct(array_agg(r.search))), ',') AS searches, array_to_string(list_sort(list_distinct(array_agg(r.training || '|' || r.testing))), ',') AS datasets FROM runs r LEFT JOIN initial i USING (seed_id) GROUP BY 1",
+    f"{_EV}, {_INITIAL}, {_RUNS}",
+)(lambda s, d: monitor.final_summary(_ev(s, d), _runs(s, d)))
+_query(
+    "dls_outcome_summary",
+    "SELECT t.search AS local_search, count(DISTINCT t.seed_id) AS seeds, count(DISTINCT CASE WHEN r.search = t.search THEN t.seed_id END) AS won_seeds, max(t.score) AS best_score, round(avg(t.score), 6) AS avg_score, round(avg(t.score - i.score), 6) AS avg_gain "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY seed_id, search ORDER BY score DESC NULLS LAST, us DESC, event_id DESC) AS rk2 FROM ev WHERE topic IN ('LOCAL_SEARCH_PROGRESS_TOPIC', 'SOLUTIONS_TOPIC')) t LEFT JOIN initial i USING (seed_id) LEFT JOIN runs r USING (seed_id) WHERE t.rk2 = 1 GROUP BY 1",
+    f"{_EV}, {_INITIAL}, {_RUNS}",
+)(lambda s, d: monitor.search_outcomes(_ev(s, d), _runs(s, d)))
+_TL = f"count(*) AS n, count(DISTINCT seed_id) AS seeds, arg_max(score, us) AS latest_score, arg_max(stage, us) AS latest_stage, {_A('score', 'avg_score')}, max(score) AS best_score, {_A('cpu', 'avg_cpu')}, {_A('memp', 'avg_memory_percent')}, max(request_id) AS request_id, max(algorithm) AS algorithm"
+_on_events("timeline_seed", lambda e: monitor.timeline(e, ["seed_id"], 3600), f"SELECT seed_id, us // 3600000000 * 3600 AS bucket, {_TL} FROM st GROUP BY 1, 2")
+_on_events("timeline_algorithm", lambda e: monitor.timeline(e, ["rcl_algorithm"], 60), f"SELECT st.algorithm AS rcl_algorithm, us // 60000000 * 60 AS bucket, {_TL.replace('max(algorithm)', 'max(st.algorithm)')} FROM st GROUP BY 1, 2")
+_on_events("timeline_overview", lambda e: monitor.timeline(e, [], 60), f"SELECT us // 60000000 * 60 AS bucket, {_TL.replace('max(algorithm)', 'max(st.algorithm)')} FROM st GROUP BY 1")
+_on_events("run_timeline", lambda e: monitor.run_timeline(e, "7", 3600, 240), f"SELECT *, row_number() OVER (ORDER BY bucket) AS place FROM (SELECT seed_id, us // 3600000000 * 3600 AS bucket, {_TL} FROM st WHERE seed_id = '7' GROUP BY 1, 2 ORDER BY bucket DESC LIMIT 240)")
+_DELTA = "dl AS (SELECT *, max(score) OVER (PARTITION BY seed_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_best FROM ev WHERE score IS NOT NULL)"
+_on_events("score_deltas", lambda e: monitor.score_deltas(e).select("event_id", "seed_id", "previous_best", "delta", "improved"), "SELECT event_id, seed_id, previous_best, round(score - previous_best, 6) AS delta, previous_best IS NULL OR score > previous_best AS improved FROM dl", f"{_EV}, {_DELTA}")
+_on_events("improvements", lambda e: monitor.improvements(e).select("event_id", "seed_id", "score", "delta"), "SELECT event_id, seed_id, score, round(score - previous_best, 6) AS delta FROM dl WHERE score > previous_best", f"{_EV}, {_DELTA}")
+_on_events("newest_improvements", lambda e: monitor.improvements(e, 8).select("event_id", "seed_id", "score", "delta"), "SELECT event_id, seed_id, score, round(score - previous_best, 6) AS delta FROM dl WHERE score > previous_best ORDER BY us DESC, event_id DESC LIMIT 8", f"{_EV}, {_DELTA}")
+_on_events(
+    "verified_best", lambda e: _us(monitor.verified_best(e).select("event_id", "seed_id", "created_at", "score"), "created_at"),
+    "SELECT event_id, seed_id, us AS created_us, score FROM (SELECT *, max(score) OVER (PARTITION BY seed_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM ev WHERE topic = 'SOLUTIONS_TOPIC') WHERE prior IS NULL OR score > prior",
+)
+_on_events("elapsed", lambda e: monitor.elapsed(e).select("event_id", "elapsed"), "SELECT event_id, (us - min(us) OVER (PARTITION BY seed_id)) // 1000000 AS elapsed FROM ev")
+_on_events("newest_per_seed", lambda e: monitor.newest_per(e, ["seed_id"], 5).select("seed_id", "event_id", F.col("place").cast("long").alias("place")), "SELECT * FROM (SELECT seed_id, event_id, row_number() OVER (PARTITION BY seed_id ORDER BY us DESC, event_id DESC) AS place FROM ev) WHERE place <= 5")
+_query("source_watermark", "SELECT max(us) AS newest, count(*) AS events, (SELECT count(*) FROM runs) AS runs FROM ev", f"{_EV}, {_RUNS}")(lambda s, d: monitor.watermark(_ev(s, d), _runs(s, d)))
+_FILTERS = feed.Filters(topics=[S.SOLUTIONS, S.BEST], algorithm="GR", least_score=10.0, greatest_score=400.0, text="iwss")
+_WHERE = "topic IN ('SOLUTIONS_TOPIC', 'BEST_SOLUTION_TOPIC') AND algorithm = 'GR' AND score >= 10 AND score <= 400 AND (lower(search) LIKE '%iwss%' OR lower(stage) LIKE '%iwss%' OR lower(topic) LIKE '%iwss%')"
+_on_events("feed_page", lambda e: _us(feed.page(e, _FILTERS, 2, 25).select("event_id", "created_at", "score"), "created_at"), f"SELECT event_id, us AS created_us, score FROM st WHERE {_WHERE} ORDER BY us DESC, event_id DESC LIMIT 25 OFFSET 25")
+_on_events("feed_count", lambda e: feed.count(e, _FILTERS), f"SELECT count(*) AS n FROM st WHERE {_WHERE}")
+_on_events("feed_export", lambda e: feed.export(e, _FILTERS).select("event_id", "score"), f"SELECT event_id, score FROM st WHERE {_WHERE} ORDER BY us DESC, event_id DESC LIMIT 50000")
+_on_events("free_text_search", lambda e: e.where(feed.free_text("t_f_ip")).groupBy("local_search").agg(F.count("*").alias("n")), "SELECT search AS local_search, count(*) AS n FROM st WHERE lower(search) LIKE '%t_f_ip%' OR lower(stage) LIKE '%t_f_ip%' GROUP BY 1")
+_on_events("time_range", lambda e: feed.anchored(e, 24).agg(F.count("*").alias("n"), F.min(monitor.micros()).alias("first_us")), "SELECT count(*) AS n, min(us) AS first_us FROM ev WHERE us >= (SELECT max(us) FROM ev) - 86400000000")
+_on_events(
+    "event_dedup", lambda e: monitor.deduplicate(e.where("event_id % 3 = 0"), e, ["event_id"]).groupBy("topic").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")),
+    "SELECT topic, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM ev GROUP BY 1",
+)
+_on_events(
+    "preferred_event", lambda e: monitor.preferred(e, ["seed_id"], labels.topic_priority(F.col("topic"))).select("seed_id", "event_id", "score"),
+    "SELECT seed_id, event_id, score FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY CASE WHEN topic IN ('BEST_SOLUTION_TOPIC', 'SOLUTIONS_TOPIC') THEN 2 WHEN topic = 'LOCAL_SEARCH_PROGRESS_TOPIC' THEN 1 ELSE 0 END DESC, score DESC NULLS LAST, us DESC, event_id DESC) AS rk FROM ev) WHERE rk = 1",
+)
+_query(
+    "merge_runs", "SELECT seed_id, best_score, 'live' AS source FROM runs", f"{_EV}, {_RUNS}"
+)(lambda s, d: runs.merge_runs(_runs(s, d).withColumn("source", F.lit("stored")), _runs(s, d).withColumn("source", F.lit("live"))).select("seed_id", "best_score", "source"))
+_on_events(
+    "seed_lifecycle", lambda e: runs.lifecycle(e, F.lit(2), F.lit(3)),
+    "SELECT seed_id, arg_max(terminal, us) AS completed, count(*) FILTER (terminal) AS terminals, count(*) FILTER (processing) AS processings, max(CASE WHEN terminal THEN us END) AS last_terminal FROM (SELECT *, CASE WHEN topic IN ('INITIAL_SOLUTION_TOPIC', 'NEIGHBORHOOD_RESTART_TOPIC') THEN true "
+    "WHEN topic = 'LOCAL_SEARCH_PROGRESS_TOPIC' THEN status <> 'completed' WHEN topic = 'SOLUTIONS_TOPIC' THEN NOT terminal ELSE false END AS processing FROM (SELECT *, topic = 'SOLUTIONS_TOPIC' AND iteration >= CASE WHEN strategy = 'VND' THEN 6 ELSE 2 END AS terminal FROM ev)) WHERE terminal OR processing GROUP BY 1",
+)
+_on_events("stage_distribution", runs.stage_distribution, "SELECT CASE topic WHEN 'INITIAL_SOLUTION_TOPIC' THEN 'initial' WHEN 'SOLUTIONS_TOPIC' THEN 'local_final' ELSE 'best' END AS stage, count(*) AS n FROM ev WHERE topic IN ('INITIAL_SOLUTION_TOPIC', 'SOLUTIONS_TOPIC', 'BEST_SOLUTION_TOPIC') GROUP BY 1")
+_query("feature_frequency", "SELECT feature, count(*) AS n FROM (SELECT unnest(list_distinct(features)) AS feature FROM runs) GROUP BY 1 ORDER BY n DESC, feature LIMIT 10", f"{_EV}, {_RUNS}")(lambda s, d: runs.feature_frequency(_runs(s, d)))
+_query("shared_features", "SELECT feature FROM (SELECT unnest(list_distinct(features)) AS feature FROM runs) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM runs)", f"{_EV}, {_RUNS}")(lambda s, d: runs.shared_features(_runs(s, d)))
+_query("rcl_complement", "SELECT seed_id, array_to_string(list_filter(range(1, len(rcl) + len(features) + 1), lambda x: NOT list_contains(features, x)), ',') AS complement FROM runs", f"{_EV}, {_RUNS}")(lambda s, d: runs.rcl_complement(_runs(s, d)).select("seed_id", F.array_join("complement", ",").alias("complement")))
+_query(
+    "run_compare",
+    "SELECT c.*, coalesce(f.shared, 0) AS shared FROM (SELECT training AS training_file_name, count(*) AS runs, (array_agg(seed_id ORDER BY best_score DESC, updated_us DESC, seed_id DESC))[1] AS best_seed, round(max(best_score) - min(best_score), 6) AS spread, count(DISTINCT algorithm) AS algorithms, "
+    "count(DISTINCT strategy) AS strategies, count(DISTINCT search) AS searches, count(DISTINCT training || '|' || testing) AS pairs FROM runs GROUP BY 1) c LEFT JOIN (SELECT training, count(*) AS shared FROM (SELECT training, feature, count(*) AS n FROM (SELECT training, unnest(list_distinct(features)) AS feature FROM runs) GROUP BY 1, 2) x "
+    "JOIN (SELECT training, count(*) AS m FROM runs GROUP BY 1) y USING (training) WHERE n = m GROUP BY 1) f ON f.training = c.training_file_name",
+    f"{_EV}, {_RUNS}",
+)(lambda s, d: runs.run_compare(_runs(s, d), ["training_file_name"]))
+_query("next_launch", "SELECT launch_id, started_us, next_us AS next_started_us FROM nxt", f"{_LAUNCH}, {_NEXT}")(lambda s, d: _us(runs.next_started(launches(s, d)).select("launch_id", "started_at", "next_started_at"), "started_at", "next_started_at"))
+_query("launch_runs", "SELECT launch_id, seed_id, best_score FROM matched", f"{_EV}, {_RUNS}, {_LAUNCH}, {_NEXT}, {_MATCH}")(lambda s, d: runs.launch_runs(launches(s, d), _runs(s, d)).select("launch_id", "seed_id", "best_score"))
+_query(
+    "launch_progress",
+    "SELECT launch_id, expected, observed, done, greatest(expected - done, 0) AS pending, CASE WHEN done >= expected THEN 'completed' WHEN observed > 0 THEN 'monitoring' ELSE 'dispatched' END AS state FROM (SELECT l.launch_id, len(l.algorithms) * l.generations AS expected, count(m.seed_id) AS observed, "
+    "count(*) FILTER (m.completed) AS done FROM launch l LEFT JOIN matched m USING (launch_id) WHERE l.started_us IS NOT NULL GROUP BY l.launch_id, l.algorithms, l.generations)",
+    f"{_EV}, {_RUNS}, {_LAUNCH}, {_NEXT}, {_MATCH}",
+)(lambda s, d: runs.launch_progress(launches(s, d), _runs(s, d)).select("launch_id", "expected", "observed", "done", "pending", "state"))
+_query("queue_position", "SELECT launch_id, row_number() OVER (ORDER BY requested_us, launch_id) AS place FROM launch WHERE state = 'queued'", _LAUNCH)(lambda s, d: runs.queue_position(launches(s, d)).select("launch_id", F.col("place").cast("long").alias("place")))
+_query(
+    "launch_events", "SELECT launch_id, count(DISTINCT event_id) AS events FROM (SELECT l.launch_id, e.event_id FROM launch l JOIN matched m USING (launch_id) JOIN ev e ON e.seed_id = m.seed_id) GROUP BY 1", f"{_EV}, {_RUNS}, {_LAUNCH}, {_NEXT}, {_MATCH}"
+)(lambda s, d: runs.launch_events(launches(s, d).where(F.lit(False)), _ev(s, d), runs.launch_runs(launches(s, d), _runs(s, d)).select("launch_id", "seed_id")).groupBy("launch_id").agg(F.count("*").alias("events")))
+_query(
+    "dataset_usage", "SELECT name, count(r.seed_id) AS runs, max(r.best_score) AS best_score FROM (SELECT DISTINCT training AS name FROM launch UNION SELECT DISTINCT testing FROM launch) f LEFT JOIN runs r ON r.training = f.name OR r.testing = f.name GROUP BY 1", f"{_EV}, {_RUNS}, {_LAUNCH}"
+)(lambda s, d: runs.dataset_usage(launches(s, d).select(F.explode(F.array("training_file_name", "testing_file_name")).alias("name")).distinct(), _runs(s, d)))
+
+
+@_query(
+    "research_summary",
+    "SELECT r.*, g.*, q.requests, u.unique_features, round(g.runs_with_history / r.runs, 6) AS history_coverage, round(r.runs_with_telemetry / r.runs, 6) AS telemetry_coverage, round(g2.n / r.runs, 6) AS avg_history_depth, CAST(round((o.hi - o.lo) / 1000000.0, 0) AS BIGINT) AS observation_seconds, "
+    "CAST(round((h.at - o.lo) / 1000000.0, 0) AS BIGINT) AS seconds_to_high_quality FROM (SELECT count(*) AS runs, count(DISTINCT training || '|' || testing) AS dataset_pairs, count(*) FILTER (best_score >= 95) AS high_quality_runs, round(count(*) FILTER (best_score >= 95) / count(*), 6) AS high_quality_ratio, max(best_score) AS best_score, "
+    "(array_agg(seed_id ORDER BY best_score DESC, updated_us DESC, seed_id DESC))[1] AS best_seed, count(*) AS runs_with_telemetry, round(avg(len(features)), 6) AS avg_solution_size, round(avg(len(rcl)), 6) AS avg_rcl_size, array_to_string(list_sort(list_distinct(array_agg(search))), ',') AS searches, "
+    "array_to_string(list_sort(list_distinct(array_agg(strategy))), ',') AS strategies FROM runs) r, (SELECT count(*) FILTER (delta > 0) AS improvements, round(avg(delta) FILTER (delta > 0), 6) AS avg_improvement, max(delta) FILTER (delta > 0) AS max_improvement, count(DISTINCT seed_id) AS runs_with_history "
+    "FROM (SELECT *, round(score - previous_best, 6) AS delta FROM dl)) g, (SELECT count(*) AS n FROM dl) g2, (SELECT count(DISTINCT request_id) AS requests FROM ev) q, (SELECT count(DISTINCT f) AS unique_features FROM (SELECT unnest(features) AS f FROM runs)) u, (SELECT min(us) AS lo, max(us) AS hi FROM ev) o, (SELECT min(us) AS at FROM dl WHERE score >= 95) h",
+    f"{_EV}, {_RUNS}, {_DELTA}",
+)
+def research_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _ev(spark, sf_dir)
+    history = monitor.score_deltas(events).select("seed_id", "request_id", F.col("created_at").alias("at"), "score", "delta", "improved")
+    return runs.research_summary(_runs(spark, sf_dir), history, events.select("request_id", F.col("created_at").alias("at")))
+
+
+_on_events(
+    "payload_extraction",
+    lambda e: eventlog.from_payload(eventlog.stored(e)).groupBy("topic", "local_search", "training_file_name").agg(F.count("*").alias("n"), F.countDistinct("seed_id").alias("seeds"), monitor.mean("score").alias("avg_score"), monitor.mean("cpu_usage").alias("avg_cpu"), F.sum(F.size("solution_features")).alias("features"), F.max("iteration_neighborhood").alias("iteration")),
+    f"SELECT topic, search AS local_search, training AS training_file_name, count(*) AS n, count(DISTINCT seed_id) AS seeds, {_A('score', 'avg_score')}, {_A('cpu', 'avg_cpu')}, CAST(sum(len(features)) AS BIGINT) AS features, max(iteration) AS iteration FROM ev GROUP BY 1, 2, 3",
+)
+_on_events(
+    "payload_topic_metrics", lambda e: monitor.topic_metrics(eventlog.from_payload(eventlog.stored(e))),
+    f"SELECT topic, count(*) AS n, count(DISTINCT seed_id) AS seeds, {_A('score', 'avg_score')}, max(score) AS best_score FROM ev GROUP BY topic",
+)
+
+FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_linestatus"]
+LABEL = "l_returnflag"
+_CONTINGENCY = (
+    "long AS ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS VARCHAR) AS value, {LABEL} AS class FROM lineitem" for f in FEATURES)
+    + "), c AS (SELECT feature, value, class, count(*) AS n FROM long GROUP BY 1, 2, 3), t AS (SELECT feature, sum(n) AS total, sum(n * log2(n)) AS j FROM c GROUP BY 1), "
+    "v AS (SELECT feature, sum(n * log2(n)) AS v FROM (SELECT feature, value, sum(n) AS n FROM c GROUP BY 1, 2) GROUP BY 1), k AS (SELECT feature, sum(n * log2(n)) AS k FROM (SELECT feature, class, sum(n) AS n FROM c GROUP BY 1, 2) GROUP BY 1), "
+    "h AS (SELECT feature, log2(total) - v / total AS hv, log2(total) - k / total AS hk, log2(total) - j / total AS hj FROM t JOIN v USING (feature) JOIN k USING (feature)), "
+    "s AS (SELECT feature, round(hk + hv - hj, 8) AS info_gain, round((hk + hv - hj) / hv, 8) AS gain_ratio, round(2 * (hk + hv - hj) / (hk + hv), 8) AS symmetrical_uncertainty FROM h)"
+)
+for _name in ("info_gain", "gain_ratio", "symmetrical_uncertainty"):
+    _query(_name, f"SELECT feature, {_name} FROM s", _CONTINGENCY)(lambda s, d, name=_name: scoring.scores(table(s, d, "lineitem"), FEATURES, LABEL).select("feature", name))
+_query("rcl_top_k", f"SELECT feature, CAST(list_position({FEATURES!r}, feature) AS INTEGER) AS place, info_gain AS score FROM s ORDER BY score DESC, place LIMIT 3", _CONTINGENCY)(lambda s, d: scoring.top_features(scoring.scores(table(s, d, "lineitem"), FEATURES, LABEL), "info_gain", FEATURES, 3))
+_RULE = "CASE WHEN l_quantity > 40 THEN 'R' WHEN l_discount > 0.05 THEN 'A' ELSE 'N' END"
+_query(
+    "confusion_metrics",
+    "SELECT l_linestatus, tp, tn, fp, fn, round(100.0 * (tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(100.0 * tp / (tp + fp), 6) AS precision, round(100.0 * tp / (tp + fn), 6) AS recall, round(200.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (SELECT l_linestatus, count(*) FILTER (a = p AND p <> 'N') AS tp, count(*) FILTER (a = p AND p = 'N') AS tn, "
+    f"count(*) FILTER (a <> p AND p <> 'N') AS fp, count(*) FILTER (a <> p AND p = 'N') AS fn FROM (SELECT l_linestatus, l_returnflag AS a, {_RULE} AS p FROM lineitem) GROUP BY 1)",
+    "",
+)(lambda s, d: search.evaluate(table(s, d, "lineitem").withColumn("guess", F.expr(_RULE)), LABEL, "guess", "N", ["l_linestatus"]).select("l_linestatus", "tp", "tn", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1"))))
+_on_events("adaptive_resource_series", lambda e: series.resource_series(e, 240), f"SELECT us // 10800000000 * 10800 AS bucket, {_A('cpu', 'avg_cpu')}, {_A('memp', 'avg_memory_percent')}, count(*) AS samples, count(DISTINCT seed_id) AS runs FROM ev GROUP BY 1")
+_on_events(
+    "downsample_min_max", lambda e: series.downsample(e.select("seed_id", "event_id", "score"), ["seed_id"], "event_id", "score", 20),
+    "SELECT seed_id, event_id, score FROM (SELECT *, row_number() OVER (PARTITION BY seed_id, run ORDER BY score, n) AS lo, row_number() OVER (PARTITION BY seed_id, run ORDER BY score DESC, n) AS hi FROM (SELECT *, CASE WHEN n > 1 AND n < cnt THEN (n - 2) // greatest(CAST(ceil((cnt - 2) / 9.0) AS BIGINT), 1) END AS run FROM (SELECT seed_id, event_id, score, "
+    "row_number() OVER (PARTITION BY seed_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY seed_id) AS cnt FROM ev))) WHERE cnt <= 20 OR run IS NULL OR lo = 1 OR hi = 1",
+)
+
+
+@_query(
+    "catalog_pairs",
+    "SELECT a.family, a.name AS training_name, b.name AS testing_name, abs(a.attributes - b.attributes) AS attributes_gap, abs(a.instances - b.instances) AS instances_gap FROM (SELECT CAST(p_size AS VARCHAR) || replace(lower(p_brand), '#', '') AS family, 'Train_' || CAST(p_partkey AS VARCHAR) AS name, p_size AS attributes, p_partkey AS instances FROM part WHERE p_partkey % 2 = 0) a "
+    "JOIN (SELECT CAST(p_size AS VARCHAR) || replace(lower(p_brand), '#', '') AS family, 'Test_' || CAST(p_partkey AS VARCHAR) AS name, p_size AS attributes, p_partkey AS instances FROM part WHERE p_partkey % 2 = 1) b USING (family)",
+    "",
+)
+def catalog_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    role = F.when(F.col("p_partkey") % 2 == 0, "Train_").otherwise("Test_")
+    sets = part.select(F.concat(role, F.col("p_partkey").cast("string")).alias("name"), labels.family_key(F.concat(role, F.col("p_size").cast("string"), F.lit("_"), "p_brand", F.lit(".arff"))).alias("family"), F.col("p_size").alias("attributes"), F.col("p_partkey").alias("instances"))
+    return catalog.pairs(sets.withColumn("role", labels.role_of(F.col("name"))))
+
+
+def _vectors(spark: SparkSession, sf_dir: str, columns: int = 12) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(*(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(columns)), F.concat(F.lit("c"), F.col("label").cast("string")).alias("class"))
+
+
+@_query("relieff_rank")
+def relieff_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.relieff(_vectors(spark, sf_dir), [f"x{k}" for k in range(12)], "class")
+
+
+@_query("binned_scores")
+def binned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"x{k}" for k in range(12)]
+    return scoring.scores(scoring.binned(_vectors(spark, sf_dir), names, "class"), names, "class")
+
+
+def _search(spark: SparkSession, sf_dir: str, **of) -> DataFrame:
+    data = _vectors(spark, sf_dir)
+    split = F.pmod(F.xxhash64(*data.columns), F.lit(3)) == 0
+    problem = search.Problem.of(data.where(~split), data.where(split), "c0")
+    request = search.Request(generations=2, cutoff=10, sample=3, classifier="NB", cycles=1, steps={"BIT_FLIP": 6, "IWSS": 4, "IWSSR": 3}, **of)
+    return search.run_search(spark, list(range(1, 13)), problem, request)
+
+
+for _name, _searches in (("bitflip", ["BIT_FLIP"]), ("iwss", ["IWSS"]), ("iwssr", ["IWSSR"])):
+    _query(_name)(lambda s, d, chosen=_searches: _search(s, d, searches=chosen))
+_query("vnd_search")(lambda s, d: _search(s, d, strategy="VND"))
+_query("rvnd_search")(lambda s, d: _search(s, d, strategy="RVND"))
