@@ -34,13 +34,15 @@ DIMENSIONS = ("bytes", "tokens", "rows")
 def place(items: np.ndarray, residual: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     """The shard of each item (rows of items, largest first): where its share of capacity, dotted with what is left, is highest.
 
+    Only shards whose bytes it fits are asked, as bytes are the law; if there is none, it goes where most bytes are left.
     Ties go to the lowest shard. residual is changed.
     """
     scale = np.where(capacity > 0, capacity, 1.0)
     items, left = items / scale, residual / scale
     out = np.empty(len(items), np.int32)
     for k, item in enumerate(items):
-        out[k] = best = int(np.argmax(left @ item))
+        fits = left[:, 0] >= item[0]
+        out[k] = best = int(np.argmax(np.where(fits, left @ item, -np.inf) if fits.any() else left[:, 0]))
         left[best] -= item
     residual[:] = left * scale
     return out
