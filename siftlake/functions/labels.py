@@ -33,7 +33,7 @@ def dataset_pair(training: Column, testing: Column) -> Column:
 
 def byte_size(n: Column) -> Column:
     """Bytes as B, KB, MB, GB or TB: two digits below ten of a unit, else one."""
-    unit = F.least(F.floor(F.log(F.lit(1024.0), F.greatest(n, F.lit(1)))), F.lit(4)).cast("int")
+    unit = F.least(F.floor(F.log(1024.0, F.greatest(n, F.lit(1)))), F.lit(4)).cast("int")
     value = n / F.pow(F.lit(1024.0), unit)
     shown = F.when(unit == 0, F.format_string("%d", n.cast("long"))).when(value < 10, F.format_string("%.2f", value)).otherwise(F.format_string("%.1f", value))
     return F.concat_ws(" ", shown, F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), unit + 1))
