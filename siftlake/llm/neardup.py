@@ -143,17 +143,16 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def forest(n: int, near: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of n nodes, given the neighbours of a node."""
+    """Stars that span the components of n nodes, given the neighbours of a node: each node with the first of its component."""
     seen, out = np.zeros(n, bool), []
     for root in range(n):
         if seen[root]:
             continue
         seen[root], todo = True, [root]
         while todo:
-            a = todo.pop()
-            new = [b for b in near(a).tolist() if not seen[b]]
+            new = [b for b in near(todo.pop()).tolist() if not seen[b]]
             seen[new] = True
-            out += [(a, b) for b in new]
+            out += [(root, b) for b in new]
             todo += new
     return out
 
@@ -189,7 +188,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the sets with 100 * intersection >= 75 * union."""
+    """Stars that span the components of the sets under 100 * intersection >= 75 * union."""
     sizes = np.array([len(s) for s in sets])
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True)) if 4 * sizes.min() >= 3 * sizes.max() else 0
