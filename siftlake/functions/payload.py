@@ -40,3 +40,20 @@ def text_or(payload: str | Column, paths: list[str], default: str) -> Column:
 def int_array(payload: str | Column, paths: list[str]) -> Column:
     column = F.col(payload) if isinstance(payload, str) else payload
     return F.from_json(F.coalesce(*(F.get_json_object(column, p) for p in paths)), "array<int>")
+
+
+#: Fields of a search snapshot, and of the history entry that it may hold.
+HISTORY = ("f1Score", "cpuUsage", "memoryUsage", "memoryUsagePercent", "localSearch", "neighborhood", "stage", "status", "iterationNeighborhood", "solutionFeatures", "rclfeatures")
+FIELDS = (*HISTORY, "bestF1Score", "currentF1Score", "seedId", "requestId", "rclAlgorithm", "trainingFileName", "testingFileName")
+
+
+def parsed(payload: str = "payload") -> Column:
+    """The payload as one struct of texts, so that the JSON is read once for all fields."""
+    history = "historyEntry struct<" + ", ".join(f"{f}: string" for f in HISTORY) + ">"
+    fields = ", ".join([*(f"{f}: string" for f in FIELDS), history])
+    return F.from_json(F.col(payload), f"payload struct<{fields}>, " + ", ".join([*(f"{f} string" for f in FIELDS), history]))
+
+
+def pick(struct: str, paths: list[str]) -> Column:
+    """As first_of, over the struct of parsed()."""
+    return F.nullif(F.coalesce(*(F.col(f"{struct}{p[1:]}") for p in paths)), F.lit(""))

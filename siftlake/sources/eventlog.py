@@ -12,10 +12,13 @@ from siftlake.session import table
 
 def from_payload(stored: DataFrame) -> DataFrame:
     """Events of stored rows (event_id, seed_id, request_id, topic, event_type, stage, created_at, payload): every field is extracted once."""
-    f = lambda name, history=True: payload.first_of("payload", payload.nested(name, history))
+    rows = stored.withColumn("p", payload.parsed())
+    f = lambda name, history=True: payload.pick("p", payload.nested(name, history))
     num = lambda name: payload.number(f(name))
-    search = F.coalesce(payload.first_of("payload", [*payload.nested("localSearch"), *payload.nested("neighborhood")]), F.lit(S.UNKNOWN))
-    return stored.select(
+    search = F.coalesce(payload.pick("p", [*payload.nested("localSearch"), *payload.nested("neighborhood")]), F.lit(S.UNKNOWN))
+    score = payload.pick("p", [f"$.{where}{name}" for where in ("payload.", "") for name in ("historyEntry.f1Score", "bestF1Score", "currentF1Score", "f1Score")])
+    ints = lambda name: F.from_json(f(name), "array<int>")
+    return rows.select(
         "event_id",
         F.coalesce("seed_id", f("seedId", False)).alias("seed_id"),
         F.coalesce("request_id", f("requestId", False)).alias("request_id"),
@@ -24,7 +27,7 @@ def from_payload(stored: DataFrame) -> DataFrame:
         labels.present(F.coalesce("stage", f("stage")), S.UNKNOWN).alias("stage"),
         f("status").alias("status"),
         "created_at",
-        payload.score().alias("score"),
+        payload.number(score).alias("score"),
         num("cpuUsage").alias("cpu_usage"),
         num("memoryUsage").alias("memory_usage"),
         num("memoryUsagePercent").alias("memory_usage_percent"),
@@ -34,8 +37,8 @@ def from_payload(stored: DataFrame) -> DataFrame:
         f("iterationNeighborhood").try_cast("int").alias("iteration_neighborhood"),
         F.coalesce(f("trainingFileName", False), F.lit(S.NO_FILE)).alias("training_file_name"),
         F.coalesce(f("testingFileName", False), F.lit(S.NO_FILE)).alias("testing_file_name"),
-        payload.int_array("payload", payload.nested("solutionFeatures")).alias("solution_features"),
-        payload.int_array("payload", [*payload.nested("rclfeatures"), *payload.nested("rclFeatures")]).alias("rcl_features"),
+        ints("solutionFeatures").alias("solution_features"),
+        ints("rclfeatures").alias("rcl_features"),
     )
 
 
