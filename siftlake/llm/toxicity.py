@@ -80,7 +80,8 @@ class Model:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         text, bucket = _present(data, offsets, self.weights != 0)
         z = self.intercept + np.bincount(text, self.weights[bucket], len(offsets) - 1)
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-z))
 
 
 def fit(sizes: np.ndarray, features: np.ndarray, y: np.ndarray, ratio: np.ndarray, penalty: float = PENALTY, steps: int = 25) -> tuple[np.ndarray, float]:

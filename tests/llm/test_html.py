@@ -2,7 +2,7 @@ import pytest
 
 from siftlake.llm.html import main_text, op2_html
 
-SHELL = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body>{}<article>{}</article>{}</body></html>"
+SHELL = "<!DOCTYPE html><html><head><title>T</title><style>p::x</style><script>var t='</p>';</script></head><body>{}<article>{}</article>{}</body></html>"
 
 
 @pytest.mark.parametrize(
@@ -26,5 +26,5 @@ def test_query(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "v", ""), (3, "w", long)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text")
     got = {(r.page_id, r.url, r.n_chars) for r in op2_html(df).collect()}
-    assert got == {(1, "u", 1), (2, None, 0), (None, "v", 0), (3, "w", 20_000 * 11 - 1)}
+    assert got == {(1, "u", 1), (2, None, 0), (None, "v", 0), (3, "w", 20_000 * 12 - 1)}
     assert op2_html(df).count() == 5 and op2_html(df.limit(0)).count() == 0
