@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftlake import schemas as S
 from siftlake.functions import labels
-from siftlake.operators import feed, monitor, runs, scoring, search, series
+from siftlake.operators import feed, monitor, runs, scoring, search, series, views
 from siftlake.sources import catalog, eventlog
 from siftlake.session import table
 
@@ -208,6 +208,36 @@ _on_events(
     f"SELECT topic, count(*) AS n, count(DISTINCT seed_id) AS seeds, {_A('score', 'avg_score')}, max(score) AS best_score FROM ev GROUP BY topic",
 )
 
+_query("runs_with_events", "SELECT seed_id, array_to_string(list_slice(array_agg(event_id ORDER BY us DESC, event_id DESC), 1, 3), ',') AS newest FROM ev GROUP BY 1")(
+    lambda s, d: views.runs_with_events(_runs(s, d), _ev(s, d), 3).select("seed_id", F.array_join(F.transform("history", lambda x: x["event_id"].cast("string")), ",").alias("newest"))
+)
+_SOLVED = "solved AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC NULLS LAST, us DESC, event_id DESC) AS rk FROM ev WHERE topic = 'BEST_SOLUTION_TOPIC') WHERE rk = 1)"
+_on_events("best_events", lambda e: _us(views.best_events(e).select("seed_id", "best_score", "local_search", "updated_at"), "updated_at"), "SELECT seed_id, score AS best_score, search AS local_search, us AS updated_us FROM solved", f"{_EV}, {_SOLVED}")
+_query("run_with_best_event", "SELECT seed_id, coalesce(s.score, r.best_score) AS shown_score FROM runs r LEFT JOIN solved s USING (seed_id)", f"{_EV}, {_RUNS}, {_SOLVED}")(lambda s, d: views.latest_and_best(_runs(s, d), _ev(s, d)).select("seed_id", "shown_score"))
+_query("events_of_seeds", "SELECT count(*) AS n FROM ev WHERE seed_id IN (SELECT seed_id FROM runs WHERE best_score > 400)", f"{_EV}, {_RUNS}")(lambda s, d: views.of_seeds(_ev(s, d), _runs(s, d).where("best_score > 400")).agg(F.count("*").alias("n")))
+_on_events(
+    "workflow_steps", lambda e: views.workflow_steps(e).select("seed_id", F.array_join("steps", " > ").alias("steps")),
+    "SELECT a.seed_id, 'RCL ' || a.rcl || ' > ' || a.strategy || coalesce(' > ' || b.searches, '') || CASE WHEN a.solved THEN ' > BEST' ELSE '' END AS steps FROM (SELECT seed_id, arg_max(algorithm, us) AS rcl, arg_max(strategy, us) AS strategy, bool_or(topic = 'BEST_SOLUTION_TOPIC') AS solved FROM ev GROUP BY 1) a "
+    "LEFT JOIN (SELECT seed_id, string_agg(search, ' > ' ORDER BY first_us) AS searches FROM (SELECT seed_id, search, min(us) AS first_us FROM ev WHERE topic IN ('LOCAL_SEARCH_PROGRESS_TOPIC', 'SOLUTIONS_TOPIC') GROUP BY 1, 2) GROUP BY 1) b USING (seed_id)",
+)
+_query("chart_ranking", "SELECT seed_id, best_score FROM runs JOIN (SELECT seed_id, count(*) AS depth FROM ev GROUP BY 1) USING (seed_id) ORDER BY seed_id = '7' DESC, completed DESC, best_score DESC, depth DESC, updated_us DESC, seed_id LIMIT 8", f"{_EV}, {_RUNS}")(
+    lambda s, d: views.chart_ranking(_runs(s, d), _ev(s, d), "7").select("seed_id", "best_score")
+)
+_on_events("workspace_selection", lambda e: e.where(views.selection("IG", "train-1.arff|test-1.arff", "local", "running", "iwss")).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM ev WHERE algorithm = 'IG' AND training = 'train-1.arff' AND topic IN ('LOCAL_SEARCH_PROGRESS_TOPIC', 'SOLUTIONS_TOPIC') AND status = 'running' AND search = 'IWSS'")
+_on_events("time_text", lambda e: e.where(views.time_text("2024-01-02T03")).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM ev WHERE strftime(make_timestamp(us), '%Y-%m-%dT%H') = '2024-01-02T03'")
+_LIVE = "live AS (SELECT * FROM ev ORDER BY us DESC, event_id DESC LIMIT 300)"
+_on_events("live_topics", lambda e: views.live_projection(e)[0], f"SELECT topic, count(*) AS n, count(DISTINCT seed_id) AS seeds, {_A('score', 'avg_score')}, max(score) AS best_score FROM live GROUP BY 1", f"{_EV}, {_LIVE}")
+_on_events("live_activity", lambda e: views.live_projection(e)[1], f"SELECT us // 60000000 * 60 AS bucket, {_BUCKET} FROM live GROUP BY 1", f"{_EV}, {_LIVE}")
+_on_events("initial_by_algorithm", views.by_initial_algorithm, f"SELECT algorithm AS rcl_algorithm, count(DISTINCT seed_id) AS seeds, {_A('score', 'avg_score')}, max(score) AS best_score FROM ev WHERE topic = 'INITIAL_SOLUTION_TOPIC' GROUP BY 1")
+_on_events(
+    "improvement_summary", views.improvement_summary,
+    "SELECT count(*) AS improvements, max(d) AS strongest, (array_agg(seed_id ORDER BY d DESC, us DESC, event_id DESC))[1] AS strongest_seed, (array_agg(seed_id ORDER BY us DESC, event_id DESC))[1] AS latest_seed FROM (SELECT *, round(score - previous_best, 6) AS d FROM dl WHERE score > previous_best)", f"{_EV}, {_DELTA}",
+)
+_query("queue_counts", "SELECT state, count(*) AS launches FROM launch GROUP BY 1", _LAUNCH)(lambda s, d: views.queue_counts(launches(s, d)))
+_query("launch_view", "SELECT launch_id, place, state = 'queued' AS can_cancel FROM launch LEFT JOIN (SELECT launch_id, row_number() OVER (ORDER BY requested_us, launch_id) AS place FROM launch WHERE state = 'queued') USING (launch_id)", _LAUNCH)(
+    lambda s, d: views.launch_view(launches(s, d), runs.queue_position(launches(s, d))).select("launch_id", F.col("place").cast("long").alias("place"), "can_cancel")
+)
+
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_linestatus"]
 LABEL = "l_returnflag"
 _CONTINGENCY = (
