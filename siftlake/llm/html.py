@@ -30,16 +30,18 @@ from siftlake.llm.textkernel import string_column
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math".split())
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
+    " head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags and words of class, id and role that mark what is no article text.
-BOILER_TAGS = frozenset("nav footer aside form button select option menu dialog head search".split())
+BOILER_TAGS = frozenset("nav footer aside form button select option optgroup menu dialog head search".split())
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu nav navbar navigation"
-    " newsletter notice notices pagination popup promo promoted related share sharing sidebar sidebars social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertisements alert alerts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer masthead menu modal nav navbar"
+    " navigation newsletter notice notices overlay pagination popup promo promoted related share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words beside "header" in a class or id that make it the page's, not the article's.
+PAGE_WORDS = frozenset("site page global top main".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 MAIN = frozenset("article main".split())
 CONTAINERS = frozenset("# html body div section td center article main".split())
@@ -65,7 +67,8 @@ class _Element:
         label = f"{tag}.{'-'.join(words)}" if words else tag
         self.path = f"{parent.path}/{label}" if parent else label
         # A header inside an article is that article's own heading; elsewhere it is the page's.
-        own = tag in BOILER_TAGS or (tag == "header" and not (parent and parent.inside(MAIN))) or (tag not in ("html", "body", *MAIN) and (not BOILER_WORDS.isdisjoint(words) or role in BOILER_ROLES)) or hidden or "hidden" in re.split(r"[\s=]+", attributes.lower())
+        page_header = tag == "header" or (tag in BLOCK and "header" in words and (len(words) == 1 or not PAGE_WORDS.isdisjoint(words)))
+        own = tag in BOILER_TAGS or (page_header and not (parent and parent.inside(MAIN))) or (tag not in ("html", "body", *MAIN) and (not BOILER_WORDS.isdisjoint(words) or role in BOILER_ROLES)) or hidden or "hidden" in re.split(r"[\s=]+", attributes.lower())
         self.boiler = own or bool(parent and parent.boiler)
 
     def inside(self, tags: frozenset[str]) -> bool:
@@ -93,6 +96,11 @@ def blocks(html: str) -> list[tuple[str, _Element]]:
     top = _Element("#", None, "")
     stack, out, text, at, holder = [top], [], [], 0, top
 
+    def add(piece: str) -> None:
+        # What an inline element that is boilerplate holds (a button, an advert) is no part of the block around it.
+        if not stack[-1].boiler or holder.boiler:
+            text.append(piece)
+
     def flush() -> None:
         nonlocal text
         joined = SPACE.sub(" ", unescape("".join(text))).strip()
@@ -103,10 +111,10 @@ def blocks(html: str) -> list[tuple[str, _Element]]:
     while at < len(html):
         m = TOKEN.search(html, at)
         if not m:
-            text.append(html[at:])
+            add(html[at:])
             break
         if m.start() > at:
-            text.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:

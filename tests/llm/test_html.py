@@ -14,6 +14,7 @@ SHELL = "<!DOCTYPE html><html><head><title>T</title><style>p::x</style><script>v
         (SHELL.replace("{}", "<nav><ul><li><a href=x>Home</a></ul></nav><div class='ad'>Buy, now.</div>", 1).replace("{}", "<h1>Head  line</h1><p><b>One &eacute;&#33;<br>two<p>Three.\n four</p>", 1).replace("{}", "<footer>&copy; me</footer>", 1), "Head line\nOne é! two\nThree. four"),
         ("<article><header><h1>Own</h1></header><p>x <b>bold</b>y</p><ul><li>one<li>two</ul><table><tr><td>a<td>b</table><form><p>mail?</p></form><section class=comments><p>Nice. Very nice, indeed.</p></section></article>", "Own\nx boldy\none\ntwo\na\nb"),
         ("<body><header>Site</header><div id=content><h1>T</h1><p>Para one, is long. And has text; more.</p><p>Short</p></div><aside>links</aside><div class='cookie-notice'>We use cookies, yes.</div></body>", "T\nPara one, is long. And has text; more.\nShort"),
+        ("<div class='site-header'><p>Top</p></div><article><div class='post-header'><h1>H</h1></div><p>one <button>Buy</button>two<span class=ad>now</span></p></article>", "H\none two"),
         ("<article><p>a &lt;b&gt; c</p><!-- gone --><p>d</p", "a <b> c\nd"),
     ],
 )
