@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from siftlake.llm.bpe import byte_letters, default_vocabulary
 from siftlake.llm.textkernel import string_column
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 CACHE_BYTES = 48
 ROWS = 512
 
