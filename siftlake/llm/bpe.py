@@ -41,9 +41,9 @@ LATE = (
     "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f"
     "\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 CACHE_LETTERS = 48
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Words of one block, bits of a part's id, and the rank of parts that never merge.
 ROWS = 8192
 PART_BITS = 20
@@ -245,6 +245,17 @@ def bpe_decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", vocabu
     return _mapped(df, ids, {decoded: (T.StringType(), pa.string())}, content, lambda bpe, b: [pa.array([bpe.decode(x or b"") for x in b.column(b.schema.get_field_index(ids)).to_pylist()], pa.string())])
 
 
+def bpe_round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", vocabulary: str | None = None) -> DataFrame:
+    """bpe_encode and bpe_decode in one pass, so that a task needs one Python worker."""
+    content = Path(vocabulary or default_vocabulary()).read_text()
+
+    def both(bpe: Bpe, batch: pa.RecordBatch) -> list[pa.Array]:
+        packed = bpe.encode_all(string_column(batch, text).to_pylist())
+        return [pa.array(packed, pa.binary()), pa.array(map(bpe.decode, packed), pa.string())]
+
+    return _mapped(df, text, {ids: (T.BinaryType(), pa.binary()), decoded: (T.StringType(), pa.string())}, content, both)
+
+
 def unpack_ids(ids: str = "ids"):
     """Packed ids as array<int>: a column expression without Python."""
     each = F.sequence(F.lit(1), (F.octet_length(ids) / 4).cast("int"))
@@ -255,7 +266,7 @@ def unpack_ids(ids: str = "ids"):
 
 def op8_bpe(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
-    out = bpe_decode(bpe_encode(documents.select("doc_id", "text"), vocabulary=vocabulary).drop("text"), vocabulary=vocabulary)
+    out = bpe_round_trip(documents.select("doc_id", "text"), vocabulary=vocabulary)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
