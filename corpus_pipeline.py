@@ -39,7 +39,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the packed ids and the text decoded from them."""
-    out = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "text")).drop("text"))
+    out = bpe.bpe_round_trip(docs.select("doc_id", "text"))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
