@@ -118,6 +118,11 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def pair_hashes(hashes: np.ndarray, apart: int) -> np.ndarray:
+    """A 64-bit hash of each value and the one so many places later; equal pairs agree whatever their distance."""
+    return mix(hashes[:-apart] * _PLACE[0] + hashes[apart:] * _PLACE[1])
+
+
 def sequence_hash(hashes: np.ndarray) -> np.uint64:
     """A 64-bit hash of a short whole sequence, apart from the hashes of windows."""
     total = np.array([len(hashes) + 0x777], np.uint64)

@@ -40,3 +40,31 @@ def test_alignment():
     seq = lambda s: D.word_sequence(s)
     assert D.align(seq("a b c d"), seq("x a b q c d y")) == (2 * 4 - 1, 6)
     assert D.align(seq("a b"), seq("")) == (0, 0)
+
+
+def test_edited_copies_against_all_alignments(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 4)))
+    items = [[word() for _ in range(n)] for n in (3, 4, 5, 6, 17, 24, 30, 40)]
+    rows = []
+    for k in range(240):
+        own = []
+        for w in items[k % 8]:
+            edit = rng.random() < rng.choice([0.2, 0.25, 0.3])
+            own += rng.choice([[], [word()], [w, word()]]) if edit else [w]
+        text = [word() for _ in range(20)] + own + [word() for _ in range(20)]
+        rows += [(len(rows) + c, " ".join(text)) for c in range(10 if k % 20 == 0 else 1)]
+    # No three words, or no two, stay side by side; outer words of three.
+    spread = lambda w, n: " ".join(x + " q" * (i % n == n - 1) for i, x in enumerate(w))
+    rows += [(10_000 + i, spread(w, n)) for n in (1, 2) for i, w in enumerate(items)]
+    rows += [(20_000, " ".join("q" if i % 3 == 2 else x for i, x in enumerate(items[4]))), (20_001, f"{items[0][0]} q {items[0][2]}"), (20_002, f"{items[0][0]} {items[0][2]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in D.op10_decontamination(docs, bench).collect()}
+    want = {}
+    for i, t in rows:
+        for k, w in enumerate(items):
+            share = D.align(D.word_sequence(" ".join(w)), D.word_sequence(t))[0] / (2 * len(w))
+            if share >= D.LEAST_SCORE:
+                want[i, k] = max(want.get((i, k), 0), round(share, 6))
+    assert got == want and len(want) > 150
