@@ -1,6 +1,7 @@
 """Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, A-Z taken as a-z. Each benchmark item is a sequence of n words. The score of a
+Words are runs of letters and digits of the text in normal form (NFKC) with all of Unicode's case folded; start and end
+count these words. Each benchmark item is a sequence of n words. The score of a
 document is the best local alignment's share of the item's own (match 2, mismatch -1, gap -1); from LEAST_SCORE on the
 item counts as leaked. Seeds lose no such alignment. Call two neighbouring words of the item kept if the document holds
 both with at most one word between them. An alignment of m matches and e edits has 2m - e >= n at LEAST_SCORE 0.5. Of
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,13 @@ HITS = 2_000_000
 _BITS = 20
 
 
+def fold(text: str) -> str:
+    """The text without differences of case and of composition; ASCII needs none of it, as word hashes fold A-Z."""
+    return text if text.isascii() else normalize("NFKC", normalize("NFKC", text).casefold())
+
+
 def word_sequence(text: str) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
+    raw = np.frombuffer(fold(text or "").encode(), np.uint8)
     starts, ends, _ = tk.words(raw, np.array([0, len(raw)]), tk.LETTERS)
     return tk.word_hashes(raw, starts, ends)
 
@@ -99,7 +106,8 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, word hashes and first words of the texts, in bounded runs of rows."""
-    for low, _, data, offsets in tk.slices(batch, "text"):
+    folded = pa.array(map(fold, tk.string_column(batch, "text").to_pylist()), pa.large_string())
+    for low, _, data, offsets in tk.slices(pa.RecordBatch.from_arrays([folded], ["text"]), "text"):
         starts, ends, first = tk.words(data, offsets, tk.LETTERS)
         yield low, tk.word_hashes(data, starts, ends), first
 

@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import textkernel as tk
-from siftlake.llm.decontaminate import word_sequence
 
 #: Short notices of licence families, as their own texts recommend them or as they are commonly given.
 TEMPLATES = {
@@ -74,6 +73,12 @@ SEED = 17
 _BITS = 16
 
 
+def word_sequence(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = tk.words(raw, np.array([0, len(raw)]), tk.LETTERS)
+    return tk.word_hashes(raw, starts, ends)
+
+
 def grams(words: np.ndarray) -> np.ndarray:
     """The distinct hashes of the 1-, 2- and 3-grams of a word sequence."""
     return np.unique(np.concatenate([tk.window_hashes(words, n) for n in SIZES]))

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from siftlake.llm import decontaminate as D
 
@@ -36,6 +37,17 @@ def test_matches_against_all_alignments(spark):
     assert D.op10_decontamination(docs.limit(0), bench).count() == 0 and D.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_case_and_composition(spark):
+    item = "doesbo dora el ñ es árbol ueciónez no ññci straße él"
+    rows = [(0, item.upper()), (1, unicodedata.normalize("NFD", item).title()), (2, f"x {item.upper()} y"), (3, item.replace("ñ", "n")), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for text in (item, unicodedata.normalize("NFD", item.upper())):
+        bench = spark.createDataFrame([(7, text)], "item_id long, text string")
+        got = {r.doc_id: r.score for r in D.op10_decontamination(docs, bench).collect()}
+        assert {k: v for k, v in got.items() if v == 1} == {0: 1, 1: 1, 2: 1}
+        assert [r.doc_id for r in D.clean(docs, bench).where("doc_id <> 3").collect()] == [4]
+
+
 def test_alignment():
     seq = lambda s: D.word_sequence(s)
     assert D.align(seq("a b c d"), seq("x a b q c d y")) == (2 * 4 - 1, 6)
