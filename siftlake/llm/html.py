@@ -3,9 +3,9 @@
 A page is read into blocks of text, each with its path of tags from the root (attributes that name a role included).
 For every path the lengths of its texts and their punctuation are summed and divided by the number of its nodes; both
 sequences, laid out in page order, are smoothed over neighbouring blocks and fused into one score. Paths whose score
-reaches a share of the page's standard deviation are content. The content region is the outermost article-like element
-that holds most of the content text, and in it every block that isn't boilerplate is kept, however short, so that
-nothing of the article is dropped or capped; what stands in navigation, headers, footers, sidebars, notices, adverts,
+reaches a share of the page's standard deviation are content. The content region is the lowest container that holds all
+content blocks and the title before them, or the outermost article-like element around it, and in it every block that
+isn't boilerplate is kept, however short, so that nothing of the article is dropped or capped; what stands in navigation, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or reader comments goes, by tag or by the words of class, id and role.
 
 Cases: a null html counts as empty, and gives the empty text; broken markup (open tags, ends of file within a tag) is
@@ -44,7 +44,7 @@ BOILER_WORDS = frozenset(
 PAGE_WORDS = frozenset("site page global top main".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 MAIN = frozenset("article main".split())
-CONTAINERS = frozenset("# html body div section td center article main".split())
+CONTAINERS = frozenset("# html body div section center article main".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 WORD = re.compile(r"[a-z]+")
@@ -52,8 +52,6 @@ SPACE = re.compile(r"\s+")
 SMOOTH = np.array([1, 2, 4, 2, 1]) / 10
 #: A path is content if its score reaches this share of the standard deviation of the scores.
 SHARE = 0.5
-#: A region holds the content if it has at least this share of the content text.
-MOST = 0.6
 
 
 class _Element:
@@ -71,13 +69,18 @@ class _Element:
         own = tag in BOILER_TAGS or (page_header and not (parent and parent.inside(MAIN))) or (tag not in ("html", "body", *MAIN) and (not BOILER_WORDS.isdisjoint(words) or role in BOILER_ROLES)) or hidden or "hidden" in re.split(r"[\s=]+", attributes.lower())
         self.boiler = own or bool(parent and parent.boiler)
 
-    def inside(self, tags: frozenset[str]) -> bool:
+    def line(self) -> Iterator[_Element]:
+        """This element and those around it, from within."""
         at: _Element | None = self
         while at:
-            if at.tag in tags:
-                return True
+            yield at
             at = at.parent
-        return False
+
+    def under(self, region: _Element) -> bool:
+        return any(x is region for x in self.line())
+
+    def inside(self, tags: frozenset[str]) -> bool:
+        return any(x.tag in tags for x in self.line())
 
 
 def _closes(open_tag: str, new: str) -> bool:
@@ -181,27 +184,23 @@ def main_text(html: str) -> str:
     if not found:
         return ""
     scores = _scores(found)
-    content = scores >= SHARE * scores.std()
-    weight = np.array([len(t) for t, _ in found]) * content
-    total = weight.sum()
-    held: dict[int, list] = {}
-    for k, (_, e) in enumerate(found):
-        at: _Element | None = e
-        while at:
-            entry = held.setdefault(id(at), [at, 0, []])
-            entry[1] += int(weight[k])
-            entry[2].append(k)
-            at = at.parent
-    depth = lambda e: e.path.count("/")
-    regions = [x for x in held.values() if x[0].tag in MAIN and x[1] >= MOST * total]
-    if regions:
-        # The inner of nested regions: a main that holds one article is the article.
-        _, _, chosen = max(regions, key=lambda x: depth(x[0]))
-        return "\n".join(found[k][0] for k in chosen)
-    # No article-like element holds the content: the deepest container that does, with its content paths and headings.
-    _, _, chosen = max((x for x in held.values() if x[0].tag in CONTAINERS and x[1] >= MOST * total), key=lambda x: (depth(x[0]), x[1]))
-    paths = {found[k][1].path for k in chosen if content[k]}
-    return "\n".join(found[k][0] for k in chosen if found[k][1].path in paths or found[k][1].tag in HEADINGS or any(found[k][1].path.startswith(f"{p}/") for p in paths))
+    content = np.flatnonzero(scores >= SHARE * scores.std()).tolist()
+    # The article's title: the last h1 before the content, or a heading that stands directly before it.
+    before = [k for k in range(content[0]) if found[k][1].tag == "h1"] or [k for k in range(max(content[0] - 1, 0), content[0]) if found[k][1].tag in HEADINGS]
+    region = _common([found[k][1] for k in (*content, *before[-1:])])
+    return "\n".join(t for t, e in found if e.under(region))
+
+
+def _common(elements: list[_Element]) -> _Element:
+    """The lowest container around all of the blocks that these elements open, or the outermost article-like element around that."""
+    shared: dict[int, _Element] = {}
+    for k, e in enumerate(elements):
+        # A block with text of its own is a paragraph, whatever its tag: what stands beside it belongs to it.
+        line = list((e if e.tag in MAIN or not e.parent else e.parent).line())
+        shared = {id(x): x for x in line if not k or id(x) in shared}
+    line = list(shared.values())
+    articles = [x for x in line if x.tag in MAIN]
+    return articles[-1] if articles else next((x for x in line if x.tag in CONTAINERS), line[-1])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -22,6 +22,26 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+SENTENCE = "This is a sentence of the article, and it goes on; it ends here. "
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body><nav>Home</nav><div id=content><h1>T</h1><div class=s1><p>{6}</p></div><div class=s2><p>{3}</p><ul><li>x</ul></div></div><footer>f</footer></body>", "T\n{6}\n{3}\nx"),
+        ("<body><div id=content><h1>T</h1><p class=byline>By me</p><div class=text><p>{6}</p><p>{6}</p><table><tr><td>1<td>2</table><p class=caption>Cap</p></div></div></body>", "T\nBy me\n{6}\n{6}\n1\n2\nCap"),
+        ("<body><main><h1>T</h1><article><p>{6}</p></article><section><p>{3}</p><p>End</p></section></main></body>", "T\n{6}\n{3}\nEnd"),
+        ("<body><article><p>{6}</p><article><p>{6}</p><p>{6}</p></article><p>tail</p></article></body>", "{6}\n{6}\n{6}\ntail"),
+        ("<body><article><p>{6}</p></article><article><p>{3}</p></article></body>", "{6}\n{3}"),
+        ("<body><section><h2>A</h2><p>{6}</p></section><section><h2>B</h2><p>{3}</p></section></body>", "A\n{6}\nB\n{3}"),
+        ("<body><div id=c><div>{6}</div><div>short</div></div></body>", "{6}\nshort"),
+    ],
+)
+def test_whole_article(html, text):
+    fill = lambda s: s.replace("{6}", (SENTENCE * 6).strip()).replace("{3}", (SENTENCE * 3).strip())
+    assert main_text(fill(html)) == fill(text)
+
+
 def test_query(spark):
     long = "<article>" + "<p>word, word. " * 20_000 + "</article>"
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "v", ""), (3, "w", long)]
