@@ -8,8 +8,8 @@ it: a temperature that makes the probabilities honest, and the least probability
 predictions are right; below it a paragraph is unknown. A prediction stands if one template of its family shares
 LEAST_SHARED of its 2-grams with the paragraph.
 
-Only paragraphs with an anchor are classified: a template word that no paragraph of the corpus sample holds. The
-features of all others are common words, which the unknown class owns. Scanning takes whole texts, without shuffles.
+All paragraphs that share LEAST_SHARED of the 2-grams of some template are classified, whatever the corpus is; of others
+no prediction could stand. Scanning takes whole texts, without shuffles.
 
 Cases: null and empty texts have no notices; repeated rows give repeated results; a null doc_id is kept; an empty corpus
 trains on templates alone and gives an empty result; columns other than doc_id and text are not read.
@@ -96,12 +96,15 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float
-    anchors: np.ndarray  # sorted word hashes
     templates: list[tuple[int, np.ndarray]]  # family and its 2-grams
 
     def __post_init__(self) -> None:
+        self.pairs = np.unique(np.concatenate([t for _, t in self.templates]))
+        #: Which templates hold each 2-gram, and how many each template has.
+        self.holds = np.array([np.isin(self.pairs, t) for _, t in self.templates]).T
+        self.sizes = np.array([len(t) for _, t in self.templates])
         self.bitmap = np.zeros(1 << _BITS, bool)
-        self.bitmap[self.anchors >> np.uint64(64 - _BITS)] = True
+        self.bitmap[self.pairs >> np.uint64(64 - _BITS)] = True
 
     def ids(self, words: np.ndarray) -> np.ndarray:
         found = grams(words)
@@ -122,15 +125,26 @@ class Model:
         own = np.unique(tk.window_hashes(words, 2))
         return max(len(np.intersect1d(t, own, assume_unique=True)) / len(t) for f, t in self.templates if f == family)
 
+    def candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The lines that share LEAST_SHARED of the 2-grams of some template."""
+        windows = tk.window_hashes(hashes, 2)
+        at = np.flatnonzero(self.bitmap[windows >> np.uint64(64 - _BITS)])
+        pair = np.minimum(np.searchsorted(self.pairs, windows[at]), len(self.pairs) - 1)
+        line = np.searchsorted(first, at, "right") - 1
+        good = (self.pairs[pair] == windows[at]) & (at + 1 < first[line + 1])
+        # each 2-gram once a line
+        line, pair = np.divmod(np.unique(line[good] * len(self.pairs) + pair[good]), len(self.pairs))
+        owner, template = np.nonzero(self.holds[pair])
+        held, shared = np.unique(line[owner] * len(self.sizes) + template, return_counts=True)
+        line, template = np.divmod(held, len(self.sizes))
+        return np.unique(line[shared / self.sizes[template] >= LEAST_SHARED])
+
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(text, family, probability) of each notice."""
         lines = _lines(data, offsets)
         starts, ends, first = tk.words(data, lines, tk.LETTERS)
         hashes = tk.word_hashes(data, starts, ends)
-        at = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - _BITS)])
-        entry = np.minimum(np.searchsorted(self.anchors, hashes[at]), len(self.anchors) - 1)
-        at = at[self.anchors[entry] == hashes[at]]
-        for line in np.unique(np.searchsorted(first, at, "right") - 1).tolist():
+        for line in self.candidates(hashes, first).tolist():
             family, p = self.classify(hashes[first[line] : first[line + 1]])
             if family != UNKNOWN:
                 yield int(np.searchsorted(offsets, lines[line], "right")) - 1, family, p
@@ -201,10 +215,7 @@ def train(documents: DataFrame) -> Model:
     rng = random.Random(SEED)
     texts, y = _examples(rng, negatives)
     vocabulary = np.unique(np.concatenate([grams(word_sequence(t)) for f in FAMILIES for t in TEMPLATES[f]]))
-    common = {w for n in negatives for w in n}
-    own = sorted({w for f in FAMILIES for t in TEMPLATES[f] for w in _split(t)} - common)
-    anchors = np.unique(np.concatenate([word_sequence(w) for w in own] or [np.zeros(1, np.uint64)]))
-    model = Model(vocabulary, np.zeros((len(vocabulary), UNKNOWN + 1)), np.zeros(UNKNOWN + 1), 1.0, 0.0, anchors, templates)
+    model = Model(vocabulary, np.zeros((len(vocabulary), UNKNOWN + 1)), np.zeros(UNKNOWN + 1), 1.0, 0.0, templates)
     rows = [model.ids(word_sequence(" ".join(t))) for t in texts]
     fitted = np.array([rng.random() < 0.75 for _ in texts])
     y = np.array(y)

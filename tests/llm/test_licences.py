@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from siftlake.llm import licences
 
 
@@ -20,3 +24,26 @@ def test_families_and_unknown(spark):
     assert all(got[k].families == "" and got[k].n_notices == 0 for k in [*range(40), 200, 201])
     assert got[None].families == "mit"
     assert licences.op6_licences(docs.limit(0)).count() == 0
+
+
+def test_common_template_words_hide_no_notice(spark):
+    plain = ["all is well with the mit team", "rights and wrongs of the town", "seats reserved for guests", "the film was released last year under a new title", "my driving license has gone", "permission to speak, free of any charge", "a gnu and a public house", "the general version of this work", "apache and creative commons in one line", "for each person the terms differ"]
+    rows = [(k, "\n".join([plain[k % 10], plain[(k + 3) % 10]])) for k in range(60)]
+    noted = {100: ("All rights reserved.", "reserved"), 101: ("Released under the MIT License.", "mit"), 102: ("x\nThis work is licensed under the GNU General Public License, version 3.", "gpl")}
+    docs = spark.createDataFrame(rows + [(i, t) for i, (t, _) in noted.items()], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licences.op6_licences(docs).collect()}
+    assert got == {k: "" for k, _ in rows} | {i: f for i, (_, f) in noted.items()}
+
+
+def test_candidates_are_what_can_be_confirmed(spark):
+    model = licences.train(spark.createDataFrame([("a b c",)], "text string"))
+    rng = random.Random(4)
+    words = sorted({w for ts in licences.TEMPLATES.values() for t in ts for w in licences._split(t)})
+    every = [t for ts in licences.TEMPLATES.values() for t in ts]
+    lines = ["", "all"] + [" ".join(rng.sample(words, 5)) for _ in range(50)] + [" ".join(w for w in rng.choice(every).split() if rng.random() > 0.2) + " end" for _ in range(300)]
+    data = "\n".join(lines).encode()
+    raw, offsets = np.frombuffer(data, np.uint8), np.array([0, len(data)])
+    starts, ends, first = licences.tk.words(raw, licences._lines(raw, offsets), licences.tk.LETTERS)
+    got = model.candidates(licences.tk.word_hashes(raw, starts, ends), first).tolist()
+    want = [k for k, t in enumerate(lines) if max(model.shared(f, licences.word_sequence(t)) for f in range(licences.UNKNOWN)) >= licences.LEAST_SHARED]
+    assert got == want and 100 < len(want) < 300
