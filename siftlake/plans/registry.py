@@ -279,6 +279,10 @@ def catalog_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.pairs(sets.withColumn("role", labels.role_of(F.col("name"))))
 
 
+#: Of an embedding.
+DIMENSIONS = 64
+
+
 def _vectors(spark: SparkSession, sf_dir: str, columns: int = 12) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(*(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(columns)), F.concat(F.lit("c"), F.col("label").cast("string")).alias("class"))
@@ -286,13 +290,13 @@ def _vectors(spark: SparkSession, sf_dir: str, columns: int = 12) -> DataFrame:
 
 @_query("relieff_rank")
 def relieff_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.relieff(_vectors(spark, sf_dir), [f"x{k}" for k in range(12)], "class")
+    return scoring.relieff(_vectors(spark, sf_dir, DIMENSIONS), [f"x{k}" for k in range(DIMENSIONS)], "class")
 
 
 @_query("binned_scores")
 def binned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [f"x{k}" for k in range(12)]
-    return scoring.scores(scoring.binned(_vectors(spark, sf_dir), names, "class"), names, "class")
+    names = [f"x{k}" for k in range(DIMENSIONS)]
+    return scoring.scores(scoring.binned(_vectors(spark, sf_dir, DIMENSIONS), names, "class"), names, "class")
 
 
 def _search(spark: SparkSession, sf_dir: str, **of) -> DataFrame:

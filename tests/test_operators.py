@@ -122,6 +122,34 @@ def test_mdl_and_relieff(spark):
     assert w["good"] > 0.05 > abs(w["bad"])
 
 
+def test_relieff_compares_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = rng.random((700, 3)), rng.choice(["a", "b", "b", "c"], 700)
+    x = (x - x.min(0)) / (x.max(0) - x.min(0))
+    want, far = np.zeros(3), np.abs(x[:, None] - x).sum(2)
+    for i in range(700):
+        for c in "abc":
+            near = [j for j in np.argsort(far[i]) if y[j] == c and j != i][:10]
+            want += np.abs(x[near] - x[i]).mean(0) * (-1 if c == y[i] else (y == c).mean() / (1 - (y == y[i]).mean()))
+    df = spark.createDataFrame([(*map(float, r), c) for r, c in zip(x, y)], "f0 double, f1 double, f2 double, class string")
+    monkeypatch.setattr(scoring, "BLOCK", 50)
+    got = {r.feature: r.relieff for r in scoring.relieff(df, ["f0", "f1", "f2"], "class").collect()}
+    assert np.allclose([got[f"f{k}"] for k in range(3)], want / 700)
+
+
+def test_cuts_from_counts_of_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 50, 3000).astype(float)
+    y = (x + rng.normal(size=3000) * 5 > 20).astype(int)
+    kinds, n = np.unique(np.column_stack([x, y]), axis=0, return_counts=True)
+    assert scoring.mdl_cuts(kinds[:, 0], kinds[:, 1], n) == scoring.mdl_cuts(x, y)
+    # Whichever of two values has the lesser hash, the few rows of the other are seen beside more than 50,000 of it.
+    for many in (0, 1):
+        df = spark.range(60_000).selectExpr(f"CAST(IF(id < 55000, {many}, {1 - many}) AS DOUBLE) AS f").selectExpr("f", "IF(f = 0, 'r', 's') AS class")
+        df = df.unionByName(spark.createDataFrame([(float("nan"), "s")], "f double, class string"))
+        assert scoring.binned(df, ["f"], "class").select("f").distinct().count() == 2
+
+
 @pytest.fixture(scope="module")
 def problem(spark):
     rng = np.random.default_rng(3)
