@@ -3,10 +3,11 @@
 Documents of equal text form a group, and a group goes to the shard where the dot product of its vector (bytes, tokens,
 rows, each as a share of a shard's capacity) with the shard's residual capacity is highest; large groups go first.
 
-For scale the packing runs at two levels. A group that holds more than 1/(64 shards) of any total is heavy: it is dealt
-into pieces of about that share, so there are at most a few thousand pieces whatever the corpus is, and they are packed
-on the driver. All other groups are dealt by hash into cells of about CELL_GROUPS groups; each cell is one task that
-packs its groups into its share of the capacity which the heavy pieces have left. Slots are numbered in two steps as
+For scale the packing runs at two levels. A group that holds more than 1/(64 shards) of any total is heavy. There are at
+most a few thousand of them whatever the corpus is, and they are packed on the driver, each whole. Only a group that
+takes more than WHOLE of a shard, or that no shard has room for in all dimensions, would break the balance: it is dealt
+into pieces of about 1/64 of a shard, or of a row, which are packed in the same order of size. All other groups are dealt by hash into cells of about CELL_GROUPS groups; each cell is one task that
+packs its groups into its share of the capacity which the heavy groups have left. Slots are numbered in two steps as
 well, within a bucket of a shard and by the sums of the buckets before it, so no task holds a shard.
 
 Cases: a null text has no bytes and no tokens and is not equal to the empty text; repeated rows each get a slot; a null
@@ -24,6 +25,8 @@ from siftlake.session import cut
 
 SHARDS = 24
 HEAVY_PARTS = 64
+#: The part of a shard up to which a group is kept whole.
+WHOLE = 1 / 8
 CELL_GROUPS = 20_000
 BUCKET_ROWS = 50_000
 LEAST_BUCKETS = 32
@@ -31,17 +34,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 DIMENSIONS = ("bytes", "tokens", "rows")
 
 
-def place(items: np.ndarray, residual: np.ndarray, capacity: np.ndarray) -> np.ndarray:
+def place(items: np.ndarray, residual: np.ndarray, capacity: np.ndarray, strict: np.ndarray | None = None) -> np.ndarray:
     """The shard of each item (rows of items, largest first): where its share of capacity, dotted with what is left, is highest.
 
     Only shards whose bytes it fits are asked, as bytes are the law; if there is none, it goes where most bytes are left.
-    Ties go to the lowest shard. residual is changed.
+    A strict item must fit in all dimensions, and goes nowhere (-1) otherwise. Ties go to the lowest shard. residual is changed.
     """
     scale = np.where(capacity > 0, capacity, 1.0)
     items, left = items / scale, residual / scale
     out = np.empty(len(items), np.int32)
     for k, item in enumerate(items):
-        fits = left[:, 0] >= item[0]
+        held = strict is not None and strict[k]
+        fits = (left >= item).all(1) if held else left[:, 0] >= item[0]
+        if held and not fits.any():
+            out[k] = -1
+            continue
         out[k] = best = int(np.argmax(np.where(fits, left @ item, -np.inf) if fits.any() else left[:, 0]))
         left[best] -= item
     residual[:] = left * scale
@@ -73,17 +80,39 @@ def pack(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     parts = shards * HEAVY_PARTS
     share = F.greatest(*(F.col(d) * F.lit(parts / max(total[k], 1.0)) for k, d in enumerate(DIMENSIONS)))
     # Each heavy group holds more than 1/parts of some total: there are fewer than 3 * parts of them.
-    heavy = [(r.g1, r.g2, r.pieces) for r in groups.where(share > 1).select("g1", "g2", F.least(F.ceil(share), F.col("rows")).cast("int").alias("pieces")).collect()]
+    pieces = F.least(F.ceil(share), F.col("rows")).cast("int").alias("pieces")
+    heavy = pd.DataFrame([tuple(r) for r in groups.where(share > 1).select("g1", "g2", *DIMENSIONS, pieces).collect()], columns=["g1", "g2", *DIMENSIONS, "pieces"])
+    heavy = _largest_first(heavy, total)
     session = documents.sparkSession
-    heavies = session.createDataFrame(heavy, "g1 long, g2 long, pieces int")
-    marked = base.join(F.broadcast(heavies), ["g1", "g2"], "left")
-    big = marked.where("pieces IS NOT NULL").withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int"))
     capacity = total / shards
     residual = np.tile(capacity, (shards, 1))
-    pieces = pd.DataFrame([tuple(r) for r in big.groupBy("g1", "g2", "piece").agg(*vector).collect()], columns=["g1", "g2", "piece", *DIMENSIONS])
-    pieces = _largest_first(pieces, total)
+    names = ["g1", "g2", "piece", *DIMENSIONS]
+
+    def integers(frame: pd.DataFrame, columns: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(map(int, r)) for r in frame[columns].itertuples(index=False)]
+
+    def deal(frame: pd.DataFrame) -> pd.DataFrame:
+        """The pieces of groups."""
+        if not len(frame):
+            return pd.DataFrame(columns=names)
+        to = session.createDataFrame(integers(frame, ["g1", "g2", "pieces"]), "g1 long, g2 long, pieces int")
+        parts = base.join(F.broadcast(to), ["g1", "g2"]).withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int"))
+        return pd.DataFrame([tuple(r) for r in parts.groupBy("g1", "g2", "piece").agg(*vector).collect()], columns=names)
+
+    # Whole groups have one piece, of number 0; what no shard has room for is dealt after all.
+    small = (heavy["pieces"] == 1) | (heavy[list(DIMENSIONS)].to_numpy(float) <= WHOLE * capacity).all(1)
+    items = _largest_first(pd.concat([heavy[small].assign(piece=0, strict=heavy["pieces"] > 1), deal(heavy[~small]).assign(strict=False)], ignore_index=True), total)
+    items["shard"] = place(items[list(DIMENSIONS)].to_numpy(float), residual, capacity, items["strict"].to_numpy(bool)) if len(items) else []
+    out = set(integers(items[items["shard"] < 0], ["g1", "g2"]))
+    late = np.array([g in out for g in integers(heavy, ["g1", "g2"])], bool)
+    pieces = _largest_first(deal(heavy[late]), total)
     pieces["shard"] = place(pieces[list(DIMENSIONS)].to_numpy(float), residual, capacity) if len(pieces) else []
-    chosen = session.createDataFrame([tuple(map(int, r)) for r in pieces[["g1", "g2", "piece", "shard"]].itertuples(index=False)], "g1 long, g2 long, piece int, shard int")
+    heavy.loc[small & ~late, "pieces"] = 1
+    heavies = session.createDataFrame(integers(heavy, ["g1", "g2", "pieces"]), "g1 long, g2 long, pieces int")
+    marked = base.join(F.broadcast(heavies), ["g1", "g2"], "left")
+    big = marked.where("pieces IS NOT NULL").withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int"))
+    shard_of = [r for x in (items[items["shard"] >= 0], pieces) for r in integers(x, ["g1", "g2", "piece", "shard"])]
+    chosen = session.createDataFrame(shard_of, "g1 long, g2 long, piece int, shard int")
     columns = ["doc_id", "size", "text_crc32", "row", "shard"]
     placed = big.join(F.broadcast(chosen), ["g1", "g2", "piece"]).select(*columns)
     n_light = sums["groups"] - len(heavy)

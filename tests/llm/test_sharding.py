@@ -31,3 +31,22 @@ def test_light_groups_stay_together_and_repeat(spark, monkeypatch):
     one, two = ({r.doc_id: r.shard for r in sharding.pack(df).collect()} for _ in range(2))
     assert one == two
     assert all(one[k] == one[k // 3 * 3] for k in one)
+
+
+def test_heavy_groups_stay_whole_while_balance_allows(spark):
+    # 1/1,536 of the rows is less than two: each pair, and 10 copies beside 100 rows of a shard. 800 copies must be dealt.
+    rows = [(k, f"text number {k} " * (k % 11 + 2)) for k in range(1400)]
+    rows += [(10_000 + k, f"pair {k // 2} of equal texts " * 5) for k in range(200)] + [(20_000 + k, f"ten copies {k // 10} " * 5) for k in range(100)]
+    rows += [(30_000 + k, "very common text " * 5) for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got, texts = sharding.op4_sharding(df).collect(), dict(rows)
+    at, sizes, n = {}, [0] * 24, [0] * 24
+    for r in got:
+        if r.doc_id >= 10_000:
+            at.setdefault(texts[r.doc_id], set()).add(r.shard)
+        sizes[r.shard] += r.size
+        n[r.shard] += 1
+    common = at.pop("very common text " * 5)
+    assert len(got) == len(rows) and len(at) == 110 and all(len(s) == 1 for s in at.values()) and len(common) > 6
+    mean = sum(sizes) / 24
+    assert max(sizes) < 1.03 * mean and min(sizes) > 0.97 * mean and max(n) < 1.1 * len(rows) / 24
