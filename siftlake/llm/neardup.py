@@ -1,9 +1,9 @@
-"""MinHash near-duplicate groups by an LSH forest, confirmed on whole shingle sets.
+"""MinHash near-duplicate groups by fixed banding, confirmed on whole shingle sets.
 
 1. A text becomes its set of distinct 5-word shingles (64-bit hashes) and a signature of 128 minima. Equal sets form a
    class, which stands for all its documents from here on.
-2. The signature, rotated, gives 32 sorted orders. Neighbours in an order are those with a common prefix of at least
-   DEPTH minima: a region. At similarity 0.75 two classes share a region of some order with probability
+2. The signature is split into 32 bands of DEPTH minima; classes with an equal band are a region. No prefix longer or
+   shorter than DEPTH is looked at, as in an LSH forest. At similarity 0.75 two classes share a region with probability
    1 - (1 - 0.75**4)**32, over 0.99999. In a region of up to REGION_MAX classes, neighbours whose signatures agree in
    LEAST_AGREE minima or more (5 standard deviations below 0.75) are candidates; a larger region is not listed pair by
    pair but joined whole to one of its classes, so it loses no candidate.
