@@ -1,16 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into blocks of text, each with its path of tags from the root (attributes that name a role included).
-For every path the lengths of its texts and their punctuation are summed and divided by the number of its nodes; both
-sequences, laid out in page order, are smoothed over neighbouring blocks and fused into one score. Paths whose score
-reaches a share of the page's standard deviation are content. The content region is the lowest container that holds all
-content blocks and the title before them, or the outermost article-like element around it, and in it every block that
-isn't boilerplate is kept, however short, so that nothing of the article is dropped or capped; what stands in navigation, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or reader comments goes, by tag or by the words of class, id and role.
-
-Cases: a null html counts as empty, and gives the empty text; broken markup (open tags, ends of file within a tag) is
-read as browsers do as far as it matters for blocks; repeated rows give repeated results; a null url or page_id is kept;
-other columns are not read.
+A page is read into blocks of text, each with its path of tags from the root (names in class, id and role included).
+
+1. For every path the lengths of its texts and their punctuation are summed and divided by the number of its nodes; both
+   sequences, laid out in page order, are smoothed over neighbouring blocks and fused into one value per block.
+2. What else is known of a path is a factor of its score: tags, roles and names of menus, adverts, comments and the like
+   on the path (STRONG, or WEAK for names that articles use as well), and whether it holds nothing but links.
+3. Blocks whose score reaches SHARE of the root mean square of the page's unmarked paths are content. The region of the
+   article is the lowest container around all content and the title before it, up to the outermost article or main.
+4. In the region a block that isn't content itself inherits the region's score, times the factors between the region and
+   the block: so headings, captions, list items and cells stay, however short, while a marked part stays only if its
+   text alone scores as content.
+
+Time and memory grow with the length of the page, whatever its depth: paths are numbers, and regions and factors pass
+from parents to children.
+
+Cases: a null html counts as empty, and gives the empty text; broken markup (open tags, ends of file within a tag, open
+quotes) is read as browsers do as far as it matters for blocks; a page of marked parts only has no main text; repeated
+rows give repeated results; a null url or page_id is kept; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,82 +42,106 @@ BLOCK = frozenset(
     " head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Tags and words of class, id and role that mark what is no article text.
+#: Tags, roles and names (words of class and id) of what is no article text.
 BOILER_TAGS = frozenset("nav footer aside form button select option optgroup menu dialog head search".split())
+BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements alert alerts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer masthead menu modal nav navbar"
-    " navigation newsletter notice notices overlay pagination popup promo promoted related share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad ads advert adverts advertisement advertisements alert alerts breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus feedback footer masthead menu modal nav navbar"
+    " navigation newsletter notice notices overlay pagination popup promo promoted replies reply respond sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar topbar".split()
 )
+#: Names that parts of articles have as well.
+WEAK_WORDS = frozenset("banner discussion related responses share widget".split())
 #: Words beside "header" in a class or id that make it the page's, not the article's.
 PAGE_WORDS = frozenset("site page global top main".split())
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 MAIN = frozenset("article main".split())
 CONTAINERS = frozenset("# html body div section center article main".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))|[^>])*+)(?:>|\Z)""",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"""(?<![^\s/"'])([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]++)))?""")
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+PUNCTUATION = ".,;:!?。，"
 SMOOTH = np.array([1, 2, 4, 2, 1]) / 10
-#: A path is content if its score reaches this share of the standard deviation of the scores.
-SHARE = 0.5
+#: Factors of a path's score for each strong and weak mark, and for a path of so many nodes that are only links.
+STRONG, WEAK, LINKS = 0.02, 0.5, 0.02
+LINK_SHARE, LINK_NODES = 0.9, 3
+#: A block is content if its score reaches this share of the root mean square of unmarked paths; inherited scores are at
+#: most so many times this threshold.
+SHARE = 0.4
+INHERITED = 4.0
 
 
 class _Element:
-    __slots__ = ("tag", "path", "boiler", "parent", "step")
+    __slots__ = ("tag", "path", "parent", "weight", "own", "in_main", "place", "inline")
 
-    def __init__(self, tag: str, parent: _Element | None, attributes: str, hidden: bool = False) -> None:
-        self.tag, self.parent, self.step = tag, parent, 0
-        marks = {k.lower(): unescape(a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+    def __init__(self, tag: str, parent: _Element | None, attributes: str, paths: dict[tuple[int, str], int], place: int) -> None:
+        self.tag, self.parent, self.place = tag, parent, place
+        marks = {k.lower(): unescape(a or b or c or "").lower() for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         words = WORD.findall(f"{marks.get('class', '')} {marks.get('id', '')}")
         role = marks.get("role", "")
         label = f"{tag}.{'-'.join(words)}" if words else tag
-        self.path = f"{parent.path}/{label}" if parent else label
+        self.path = paths.setdefault((parent.path if parent else -1, label), len(paths))
         # A header inside an article is that article's own heading; elsewhere it is the page's.
-        page_header = tag == "header" or (tag in BLOCK and "header" in words and (len(words) == 1 or not PAGE_WORDS.isdisjoint(words)))
-        own = tag in BOILER_TAGS or (page_header and not (parent and parent.inside(MAIN))) or (tag not in ("html", "body", *MAIN) and (not BOILER_WORDS.isdisjoint(words) or role in BOILER_ROLES)) or hidden or "hidden" in re.split(r"[\s=]+", attributes.lower())
-        self.boiler = own or bool(parent and parent.boiler)
-
-    def line(self) -> Iterator[_Element]:
-        """This element and those around it, from within."""
-        at: _Element | None = self
-        while at:
-            yield at
-            at = at.parent
+        header = tag == "header" or (tag in BLOCK and "header" in words and (len(words) == 1 or not PAGE_WORDS.isdisjoint(words)))
+        named = tag not in ("html", "body", *MAIN)
+        strong = tag in BOILER_TAGS or (header and not (parent and parent.in_main)) or (named and (not BOILER_WORDS.isdisjoint(words) or role in BOILER_ROLES)) or "hidden" in marks
+        #: the factor of this element alone, and of its path
+        self.own = STRONG if strong else WEAK if named and not WEAK_WORDS.isdisjoint(words) else 1.0
+        self.weight = self.own * (parent.weight if parent else 1.0)
+        self.in_main = tag in MAIN or bool(parent and parent.in_main)
+        #: how many inline elements of each tag are open within this block
+        self.inline: dict[str, int] = {}
 
-    def under(self, region: _Element) -> bool:
-        return any(x is region for x in self.line())
 
-    def inside(self, tags: frozenset[str]) -> bool:
-        return any(x.tag in tags for x in self.line())
+class Block(NamedTuple):
+    text: str
+    element: _Element
+    links: int  # characters within links, before white space is joined
 
 
 def _closes(open_tag: str, new: str) -> bool:
     """Whether an open element ends where a new one starts."""
     if open_tag == "p":
         return new in BLOCK and new not in ("html", "body", "head")
-    same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option", "optgroup"), "tr": ("tr", "tbody", "tfoot"), "td": ("td", "th", "tr", "tbody", "tfoot"), "th": ("td", "th", "tr", "tbody", "tfoot")}
+    same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "tbody", "tfoot"), "td": ("td", "th", "tr", "tbody", "tfoot"), "th": ("td", "th", "tr", "tbody", "tfoot")}
     return new in same.get(open_tag, ()) or (open_tag == "head" and new == "body")
 
 
-INLINE_SCOPE = frozenset("ul ol dl table article section div main body html td th".split())
-
-
-def blocks(html: str) -> list[tuple[str, _Element]]:
-    """The blocks of text of a page in order: text, and the element that opened the block."""
-    top = _Element("#", None, "")
-    stack, out, text, at, holder = [top], [], [], 0, top
+def blocks(html: str) -> tuple[list[Block], list[_Element]]:
+    """The blocks of text of a page in order, and all its elements, parents first."""
+    paths: dict[tuple[int, str], int] = {}
+    top = _Element("#", None, "", paths, 0)
+    elements, stack, holders = [top], [top], [top]  # holders: the open blocks of the stack
+    opened: dict[str, int] = {}
+    out: list[Block] = []
+    text: list[str] = []
+    links = at = 0
 
     def add(piece: str) -> None:
-        # What an inline element that is boilerplate holds (a button, an advert) is no part of the block around it.
-        if not stack[-1].boiler or holder.boiler:
+        nonlocal links
+        # What an inline element of its own kind holds (a button, an advert) is no part of the block around it.
+        if stack[-1].weight == holders[-1].weight:
             text.append(piece)
+            if holders[-1].inline.get("a") or holders[-1].tag == "a":
+                links += len(piece.strip())
 
     def flush() -> None:
-        nonlocal text
+        nonlocal text, links
         joined = SPACE.sub(" ", unescape("".join(text))).strip()
         if joined:
-            out.append((joined, holder))
-        text = []
+            out.append(Block(joined, holders[-1], links))
+        text, links = [], 0
+
+    def pop() -> _Element:
+        gone = stack.pop()
+        opened[gone.tag] -= 1
+        if gone is holders[-1]:
+            holders.pop()
+        else:
+            holders[-1].inline[gone.tag] -= 1
+        return gone
 
     while at < len(html):
         m = TOKEN.search(html, at)
@@ -123,22 +155,16 @@ def blocks(html: str) -> list[tuple[str, _Element]]:
         if not tag:
             continue
         if m[1]:
-            names = [e.tag for e in stack]
-            if tag in names:
-                if tag in BLOCK or any(n in BLOCK for n in names[len(names) - names[::-1].index(tag) :]):
-                    if tag in BLOCK:
-                        flush()
-                    else:
-                        continue  # the end of an inline element does not close blocks
-                while stack.pop().tag != tag:
-                    pass
-                holder = next((e for e in reversed(stack) if e.tag in BLOCK or e is top), top)
-            elif tag in BLOCK:
+            # The end of a block closes what is open in it; that of an inline element doesn't close blocks.
+            if tag in BLOCK:
                 flush()
+            if opened.get(tag) if tag in BLOCK else holders[-1].inline.get(tag):
+                while pop().tag != tag:
+                    pass
             continue
         if tag in VOID:
-            if tag in ("br", "wbr"):
-                text.append(" " if tag == "br" else "")
+            if tag == "br":
+                text.append(" ")
             elif tag == "hr":
                 flush()
             continue
@@ -148,59 +174,87 @@ def blocks(html: str) -> list[tuple[str, _Element]]:
             continue
         if tag in BLOCK:
             flush()
-            depth = len(stack) - 1
-            while depth > 0:
-                if _closes(stack[depth].tag, tag):
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in INLINE_SCOPE:
-                    break
-                depth -= 1
-        element = _Element(tag, stack[-1], m[3] or "")
+            while len(holders) > 1 and _closes(holders[-1].tag, tag):
+                last = holders[-1]
+                while pop() is not last:
+                    pass
+        element = _Element(tag, stack[-1], m[3] or "", paths, len(elements))
+        elements.append(element)
         stack.append(element)
+        opened[tag] = opened.get(tag, 0) + 1
         if tag in BLOCK:
-            element.step = len(out)
-            holder = element
+            holders.append(element)
+        else:
+            holders[-1].inline[tag] = holders[-1].inline.get(tag, 0) + 1
     flush()
-    return out
+    return out, elements
 
 
-def _scores(found: list[tuple[str, _Element]]) -> np.ndarray:
-    """The fused tag-path score of each block."""
-    length, marks, nodes = {}, {}, {}
-    for text, e in found:
-        length[e.path] = length.get(e.path, 0) + len(text)
-        marks[e.path] = marks.get(e.path, 0) + sum(map(text.count, ".,;:!?。，"))
-        nodes[e.path] = nodes.get(e.path, 0) + 1
-    ratio = np.array([length[e.path] / nodes[e.path] for _, e in found])
-    points = np.array([marks[e.path] / nodes[e.path] for _, e in found])
+def _ratios(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """For each block its path's fused ratio of text and punctuation to nodes, smoothed, and the factor for paths of links."""
+    path = np.unique([b.element.path for b in found], return_inverse=True)[1]
+    count = lambda values: np.bincount(path, values)[path]
+    nodes = count(np.ones(len(found)))
+    length, links = count([len(b.text) for b in found]), count([b.links for b in found])
+    ratio, points = length / nodes, count([sum(map(b.text.count, PUNCTUATION)) for b in found]) / nodes
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), SMOOTH, "valid")
-    return np.sqrt(smooth(ratio) * (1 + smooth(points))) * np.sqrt(ratio * (1 + points))
+    fused = (smooth(ratio) * (1 + smooth(points)) * ratio * (1 + points)) ** 0.25
+    only_links = (nodes >= LINK_NODES) & (links >= LINK_SHARE * length) & (points < 1)
+    return fused, np.where(only_links, LINKS, 1.0)
+
+
+def _scores(found: list[Block]) -> tuple[np.ndarray, float]:
+    """The score of each block, and the threshold of content."""
+    fused, links = _ratios(found)
+    weight = np.array([b.element.weight for b in found]) * links
+    plain = fused[weight == 1] if (weight == 1).any() else fused
+    return fused * weight, SHARE * float(np.sqrt((plain**2).mean()))
 
 
 def main_text(html: str) -> str:
     """The article of a page: its blocks joined by line feeds."""
-    found = [(t, e) for t, e in blocks(html) if not e.boiler]
+    found, elements = blocks(html)
     if not found:
         return ""
-    scores = _scores(found)
-    content = np.flatnonzero(scores >= SHARE * scores.std()).tolist()
+    scores, least = _scores(found)
+    content = np.flatnonzero(scores >= least).tolist()
+    if not content:
+        return ""
     # The article's title: the last h1 before the content, or a heading that stands directly before it.
-    before = [k for k in range(content[0]) if found[k][1].tag == "h1"] or [k for k in range(max(content[0] - 1, 0), content[0]) if found[k][1].tag in HEADINGS]
-    region = _common([found[k][1] for k in (*content, *before[-1:])])
-    return "\n".join(t for t, e in found if e.under(region))
+    before = [k for k in range(content[0]) if found[k].element.tag == "h1"] or [k for k in range(max(content[0] - 1, 0), content[0]) if found[k].element.tag in HEADINGS]
+    before = [k for k in before if found[k].element.weight == 1]
+    region = _common([found[k].element for k in (*content, *before[-1:])], elements)
+    factor = _inherited(region, elements) * min(float(scores[content].mean()), INHERITED * least)
+    links = _ratios(found)[1]
+    kept = [b.text for b, own, alone in zip(found, scores, links) if factor[b.element.place] > 0 and max(own, factor[b.element.place] * alone) >= least]
+    return "\n".join(kept)
 
 
-def _common(elements: list[_Element]) -> _Element:
+def _common(chosen: list[_Element], elements: list[_Element]) -> _Element:
     """The lowest container around all of the blocks that these elements open, or the outermost article-like element around that."""
-    shared: dict[int, _Element] = {}
-    for k, e in enumerate(elements):
+    held = np.zeros(len(elements), np.int64)
+    for e in chosen:
         # A block with text of its own is a paragraph, whatever its tag: what stands beside it belongs to it.
-        line = list((e if e.tag in MAIN or not e.parent else e.parent).line())
-        shared = {id(x): x for x in line if not k or id(x) in shared}
-    line = list(shared.values())
+        held[(e if e.tag in MAIN or not e.parent else e.parent).place] += 1
+    for e in reversed(elements):
+        if e.parent:
+            held[e.parent.place] += held[e.place]
+    at: _Element | None = elements[int(np.flatnonzero(held == len(chosen))[-1])]
+    line = []
+    while at:
+        line.append(at)
+        at = at.parent
     articles = [x for x in line if x.tag in MAIN]
-    return articles[-1] if articles else next((x for x in line if x.tag in CONTAINERS), line[-1])
+    return articles[-1] if articles else next(x for x in line if x.tag in CONTAINERS)
+
+
+def _inherited(region: _Element, elements: list[_Element]) -> np.ndarray:
+    """The factor of all marks between the region and each element; 0 outside of the region."""
+    out = np.zeros(len(elements))
+    out[region.place] = 1
+    for e in elements[region.place + 1 :]:
+        out[e.place] = out[e.parent.place] * (1 if e.own == 1 else STRONG)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

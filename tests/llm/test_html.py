@@ -1,5 +1,10 @@
+import re
+import time
+
+import numpy as np
 import pytest
 
+from siftlake.llm import html as extraction
 from siftlake.llm.html import main_text, op2_html
 
 SHELL = "<!DOCTYPE html><html><head><title>T</title><style>p::x</style><script>var t='</p>';</script></head><body>{}<article>{}</article>{}</body></html>"
@@ -42,6 +47,90 @@ def test_whole_article(html, text):
     assert main_text(fill(html)) == fill(text)
 
 
+PARA = "One sentence of the text, with a comma. Another one follows, and it ends. "
+PLAIN_PAGES = [
+    # neither article nor main, and no telling names
+    ("<body><div><ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>Contact</a></ul></div><div><h1>T</h1><p>{4}</p><p>{2}</p><p>Short</p></div><div><ul><li><a href=d>Imprint</a><li><a href=e>Terms</a><li><a href=f>More</a></ul></div></body>", "T\n{4}\n{2}\nShort"),
+    ("<table><tr><td><a href=a>Home</a></td></tr><tr><td><a href=b>News</a></td></tr><tr><td><a href=b>Map</a></td></tr></table><div class=x><p>{3}</p><h2>Next</h2><p>{4}</p><ul><li>one</li><li>two</li></ul></div>", "{3}\nNext\n{4}\none\ntwo"),
+    # names that only sound like boilerplate
+    ("<article><h1>T</h1><p>{4}</p><section class=related-studies><p>{4}</p><p>{3}</p></section></article>", "T\n{4}\n{4}\n{3}"),
+    ("<article><p>{4}</p><div class=related><ul><li><a href=a>Other</a><li><a href=b>Posts</a><li><a href=c>Here</a></ul></div></article>", "{4}"),
+    # comments as long as the article, with no article tag
+    ("<body><div class=post><h1>T</h1><p>{4}</p><p>{4}</p></div><div class=reader-feedback><p>{4}</p><p>{4}</p></div></body>", "T\n{4}\n{4}"),
+    ("<body><nav><a href=a>Home</a></nav><div class=cookie-notice>{4}</div></body>", ""),
+    ("<body><div><p>{4}</p><p>See <a href=x>the whole of it</a></p><p><a href=y>A link, alone.</a></p></div></body>", "{4}\nSee the whole of it\nA link, alone."),
+    ('<body><div title="a>b"><p title=it\'s>{4}</p></div></body>', "{4}"),
+]
+
+
+def filled(s):
+    return re.sub(r"\{(\d)\}", lambda m: (PARA * int(m[1])).strip(), s)
+
+
+@pytest.mark.parametrize(("html", "text"), PLAIN_PAGES)
+def test_pages_without_marks(html, text):
+    assert main_text(filled(html)) == filled(text)
+
+
+def brute_scores(found):
+    """Scores and threshold as the module's text says, block by block."""
+    paths = []
+    for b in found:
+        at, path = b.element, []
+        while at:
+            path.append(at.path)
+            at = at.parent
+        paths.append(tuple(path))
+    of = {p: [b for b, q in zip(found, paths) if q == p] for p in paths}
+    ratio = [sum(len(b.text) for b in of[p]) / len(of[p]) for p in paths]
+    points = [sum(1 for b in of[p] for c in b.text if c in extraction.PUNCTUATION) / len(of[p]) for p in paths]
+
+    def smooth(x, k):
+        near = [x[min(max(k + d, 0), len(x) - 1)] for d in range(-2, 3)]
+        return (near[0] + 2 * near[1] + 4 * near[2] + 2 * near[3] + near[4]) / 10
+
+    scores, plain, every = [], [], []
+    for k, (b, p) in enumerate(zip(found, paths)):
+        value = (smooth(ratio, k) * (1 + smooth(points, k)) * ratio[k] * (1 + points[k])) ** 0.25
+        links = sum(x.links for x in of[p]) >= 0.9 * sum(len(x.text) for x in of[p]) and len(of[p]) >= 3 and points[k] < 1
+        weight, at = 0.02 if links else 1.0, b.element
+        while at:
+            weight, at = weight * at.own, at.parent
+        scores.append(value * weight)
+        every.append(value)
+        if weight == 1:
+            plain.append(value)
+    plain = plain or every
+    return scores, 0.4 * (sum(x * x for x in plain) / len(plain)) ** 0.5
+
+
+@pytest.mark.parametrize("html", [h for h, _ in PLAIN_PAGES])
+def test_scores_by_brute_force(html):
+    found, _ = extraction.blocks(filled(html))
+    got, want = extraction._scores(found), brute_scores(found)
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
+
+
+def test_scores_decide(monkeypatch):
+    """With scores dealt out at random, or turned around, other blocks are chosen."""
+    own, rng = extraction._scores, np.random.default_rng(1)
+    pages = [filled(h) for h, t in PLAIN_PAGES if t] * 5
+    right = [main_text(h) for h in pages]
+    for change in (rng.permutation, np.negative):
+        monkeypatch.setattr(extraction, "_scores", lambda found, change=change: (change(own(found)[0]), own(found)[1]))
+        assert sum(main_text(h) != t for h, t in zip(pages, right)) > 0.3 * len(pages)
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<span>x", "<li><p>x", "<table><tr><td>x", "<b><p></p>", "<a 'x", "<!", "<i></b>", "<p>x</p></div>"])
+def test_time_is_linear_in_length(part):
+    spent = []
+    for n in (4_000, 40_000):
+        start = time.process_time()
+        main_text(part * n)
+        spent.append(time.process_time() - start)
+    assert spent[1] < 30 * spent[0] + 0.5
+
+
 def test_query(spark):
     long = "<article>" + "<p>word, word. " * 20_000 + "</article>"
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "v", ""), (3, "w", long)]
