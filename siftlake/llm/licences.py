@@ -1,15 +1,17 @@
 """Licence scans: a paragraph classifier of word n-grams, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text; words are runs of letters and digits, A-Z taken as a-z. The features of a paragraph
-are the word 1-, 2- and 3-grams of the templates that it holds. Softmax regression with an L2 penalty learns the
-families, and an unknown class, from noised copies of the templates (words dropped, swapped or put around), from
-shuffles of their words, and from at most NEGATIVES paragraphs of the corpus. A part that isn't fitted on calibrates
-it: a temperature that makes the probabilities honest, and the least probability at which LEAST_PRECISION of the
-predictions are right; below it a paragraph is unknown. A prediction stands if one template of its family shares
-LEAST_SHARED of its 2-grams with the paragraph.
-
-All paragraphs that share LEAST_SHARED of the 2-grams of some template are classified, whatever the corpus is; of others
-no prediction could stand. Scanning takes whole texts, without shuffles.
+Paragraphs are the blocks between blank lines (lines without letters or digits); words are runs of letters and digits,
+A-Z taken as a-z and British spellings as American ones, so line breaks, comment marks and punctuation within a notice
+don't matter. What is classified is a passage of a paragraph: a run of words, about as long as some template, that holds
+LEAST_SEEDS of its 2-grams. All such passages are found by an index of the 2-grams, whatever the corpus is; where they
+overlap, the one with most 2-grams goes first.
+
+The features of a passage are the word 1-, 2- and 3-grams of the templates that it holds. Softmax regression with an L2
+penalty learns the families, and an unknown class, from noised copies of the templates (words dropped, changed or put
+around), from shuffles of their words, and from at most NEGATIVES lines of the corpus. A part that isn't fitted on
+calibrates it: a temperature that makes the probabilities honest, and the least probability at which LEAST_PRECISION of
+the predictions are right; below it a passage is unknown. A prediction stands if LEAST_SHARED of the words of one
+template of its family occur in the passage in the template's order.
 
 Cases: null and empty texts have no notices; repeated rows give repeated results; a null doc_id is kept; an empty corpus
 trains on templates alone and gives an empty result; columns other than doc_id and text are not read.
@@ -20,6 +22,8 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -68,25 +72,64 @@ NEGATIVE_LETTERS = 2_000
 COPIES = 60
 PENALTY = 0.02
 LEAST_PRECISION = 0.99
-LEAST_SHARED = 0.6
+LEAST_SEEDS = 0.4
+LEAST_SHARED = 0.7
 SEED = 17
 _BITS = 16
+#: British spellings and their American forms.
+SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "authorised": "authorized"}
 
 
-def word_sequence(text: str) -> np.ndarray:
+def _plain_sequence(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
     starts, ends, _ = tk.words(raw, np.array([0, len(raw)]), tk.LETTERS)
     return tk.word_hashes(raw, starts, ends)
 
 
+_SPELLED = sorted((int(_plain_sequence(k)[0]), int(_plain_sequence(v)[0])) for k, v in SPELLINGS.items())
+_FROM, _TO = (np.array(x, np.uint64) for x in zip(*_SPELLED))
+
+
+def _respelt(hashes: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(_FROM, hashes), len(_FROM) - 1)
+    return np.where(_FROM[at] == hashes, _TO[at], hashes)
+
+
+def word_sequence(text: str) -> np.ndarray:
+    return _respelt(_plain_sequence(text))
+
+
 def grams(words: np.ndarray) -> np.ndarray:
     """The distinct hashes of the 1-, 2- and 3-grams of a word sequence."""
     return np.unique(np.concatenate([tk.window_hashes(words, n) for n in SIZES]))
 
 
-def _lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Offsets of the paragraphs: of texts, and of what follows a line feed."""
-    return np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1]))
+def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and paragraph of each word."""
+    starts, ends, first = tk.words(data, offsets, tk.LETTERS)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    opens = np.ones(len(starts), bool)
+    opens[1:] = (text[1:] != text[:-1]) | (line[1:] > line[:-1] + 1)
+    return _respelt(tk.word_hashes(data, starts, ends)), text, np.cumsum(opens)
+
+
+def in_order(template: list[int], words: list[int]) -> int:
+    """The length of the longest common subsequence."""
+    row = [0] * (len(words) + 1)
+    for t in template:
+        new = [0]
+        for k, w in enumerate(words):
+            new.append(row[k] + 1 if w == t else max(new[k], row[k + 1]))
+        row = new
+    return row[-1]
+
+
+class Passage(NamedTuple):
+    first: int  # words
+    end: int
+    template: int
+    pairs: int  # distinct 2-grams of the template
 
 
 @dataclass
@@ -96,13 +139,15 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float
-    templates: list[tuple[int, np.ndarray]]  # family and its 2-grams
+    templates: list[tuple[int, np.ndarray]]  # family and word hashes
 
     def __post_init__(self) -> None:
-        self.pairs = np.unique(np.concatenate([t for _, t in self.templates]))
-        #: Which templates hold each 2-gram, and how many each template has.
-        self.holds = np.array([np.isin(self.pairs, t) for _, t in self.templates]).T
-        self.sizes = np.array([len(t) for _, t in self.templates])
+        own = [np.unique(tk.window_hashes(t, 2)) for _, t in self.templates]
+        self.pairs = np.unique(np.concatenate(own))
+        #: Which templates hold each 2-gram; of each template the 2-grams that a passage needs, and its greatest span.
+        self.holds = np.array([np.isin(self.pairs, t) for t in own]).T
+        self.needed = np.array([ceil(LEAST_SEEDS * len(t)) for t in own])
+        self.span = np.array([len(t) + max(8, len(t) // 2) for t in own])
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[self.pairs >> np.uint64(64 - _BITS)] = True
 
@@ -122,32 +167,48 @@ class Model:
         return family, float(p[family])
 
     def shared(self, family: int, words: np.ndarray) -> float:
-        own = np.unique(tk.window_hashes(words, 2))
-        return max(len(np.intersect1d(t, own, assume_unique=True)) / len(t) for f, t in self.templates if f == family)
+        return max(in_order(t.tolist(), words.tolist()) / len(t) for f, t in self.templates if f == family)
 
-    def candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The lines that share LEAST_SHARED of the 2-grams of some template."""
+    def passages(self, hashes: np.ndarray, paragraph: np.ndarray) -> list[Passage]:
+        """For each 2-gram that opens a passage of a template, that passage: up to where it has most of the template."""
         windows = tk.window_hashes(hashes, 2)
         at = np.flatnonzero(self.bitmap[windows >> np.uint64(64 - _BITS)])
         pair = np.minimum(np.searchsorted(self.pairs, windows[at]), len(self.pairs) - 1)
-        line = np.searchsorted(first, at, "right") - 1
-        good = (self.pairs[pair] == windows[at]) & (at + 1 < first[line + 1])
-        # each 2-gram once a line
-        line, pair = np.divmod(np.unique(line[good] * len(self.pairs) + pair[good]), len(self.pairs))
+        good = (self.pairs[pair] == windows[at]) & (paragraph[at] == paragraph[at + 1])
+        at, pair = at[good], pair[good]
         owner, template = np.nonzero(self.holds[pair])
-        held, shared = np.unique(line[owner] * len(self.sizes) + template, return_counts=True)
-        line, template = np.divmod(held, len(self.sizes))
-        return np.unique(line[shared / self.sizes[template] >= LEAST_SHARED])
+        order = np.lexsort((at[owner], template))
+        at, pair, template = at[owner][order], pair[owner][order], template[order]
+        last = np.arange(len(at)) + self.needed[template] - 1
+        end = np.minimum(last, len(at) - 1)
+        near = lambda j: (template[j] == template) & (paragraph[at[j]] == paragraph[at]) & (at[j] - at < self.span[template])
+        out = []
+        for i in np.flatnonzero((last < len(at)) & near(end)).tolist() if len(at) else ():
+            seen: set[int] = set()
+            best, j = Passage(0, 0, int(template[i]), 0), i
+            while j < len(at) and template[j] == template[i] and at[j] - at[i] < self.span[template[i]] and paragraph[at[j]] == paragraph[at[i]]:
+                seen.add(int(pair[j]))
+                if len(seen) > best.pairs:
+                    best = Passage(int(at[i]), int(at[j]) + 2, best.template, len(seen))
+                j += 1
+            if best.pairs >= self.needed[best.template]:
+                out.append(best)
+        return out
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(text, family, probability) of each notice."""
-        lines = _lines(data, offsets)
-        starts, ends, first = tk.words(data, lines, tk.LETTERS)
-        hashes = tk.word_hashes(data, starts, ends)
-        for line in self.candidates(hashes, first).tolist():
-            family, p = self.classify(hashes[first[line] : first[line + 1]])
-            if family != UNKNOWN:
-                yield int(np.searchsorted(offsets, lines[line], "right")) - 1, family, p
+        hashes, text, paragraph = paragraphs(data, offsets)
+        found = self.passages(hashes, paragraph)
+        taken = np.zeros(len(hashes), bool)
+        for p in sorted(found, key=lambda p: (-p.pairs, p.end - p.first, p.first, p.template)):
+            if not taken[p.first : p.end].any():
+                # a word on either side may belong to the notice without a 2-gram of it
+                a = p.first - (p.first > 0 and paragraph[p.first - 1] == paragraph[p.first] and not taken[p.first - 1])
+                b = p.end + (p.end < len(hashes) and paragraph[p.end] == paragraph[p.end - 1] and not taken[p.end])
+                family, probability = self.classify(hashes[a:b])
+                if family != UNKNOWN:
+                    taken[p.first : p.end] = True
+                    yield int(text[p.first]), family, probability
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -182,7 +243,7 @@ def _examples(rng: random.Random, negatives: list[list[str]]) -> tuple[list[list
     for k, f in enumerate(FAMILIES):
         for t in words[f]:
             for copy in range(COPIES):
-                out = [w for w in t if copy == 0 or rng.random() > 0.06]
+                out = [w if copy == 0 or rng.random() > 0.03 else rng.choice(fill) for w in t if copy == 0 or rng.random() > 0.06]
                 if copy % 3 == 1:
                     out = rng.sample(fill, min(len(fill), rng.randint(1, 8))) + out
                 if copy % 3 == 2:
@@ -209,13 +270,14 @@ def train(documents: DataFrame) -> Model:
     share = 4 * NEGATIVES / max(lines.count(), 1)
     few = lines.where(F.pmod(F.xxhash64("line"), F.lit(1 << 31)) < int(min(share, 1.0) * (1 << 31))).distinct()
     sample = [r.line for r in few.orderBy(F.pmod(F.xxhash64("line"), F.lit(1 << 31)), "line").limit(NEGATIVES).collect()]
-    templates = [(k, np.unique(tk.window_hashes(word_sequence(t), 2))) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
-    near = lambda w: any(len(np.intersect1d(t, np.unique(tk.window_hashes(w, 2)))) >= 0.5 * len(t) for _, t in templates)
-    negatives = [_split(x) for x in sorted(sample) if not near(word_sequence(x))]
+    templates = [(k, word_sequence(t)) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
+    vocabulary = np.unique(np.concatenate([grams(t) for _, t in templates]))
+    model = Model(vocabulary, np.zeros((len(vocabulary), UNKNOWN + 1)), np.zeros(UNKNOWN + 1), 1.0, 0.0, templates)
+    # A line that may be a notice is no example of the unknown class.
+    alone = lambda w: not model.passages(w, np.zeros(len(w), np.int64))
+    negatives = [_split(x) for x in sorted(sample) if alone(word_sequence(x))]
     rng = random.Random(SEED)
     texts, y = _examples(rng, negatives)
-    vocabulary = np.unique(np.concatenate([grams(word_sequence(t)) for f in FAMILIES for t in TEMPLATES[f]]))
-    model = Model(vocabulary, np.zeros((len(vocabulary), UNKNOWN + 1)), np.zeros(UNKNOWN + 1), 1.0, 0.0, templates)
     rows = [model.ids(word_sequence(" ".join(t))) for t in texts]
     fitted = np.array([rng.random() < 0.75 for _ in texts])
     y = np.array(y)
