@@ -210,17 +210,6 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return forest(len(sets), near)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def each() -> Iterator[list[tuple[int, int]]]:
-        for task in grouped(batches, "task"):
-            if task.num_rows > 1:
-                nodes = task.column(1).to_pylist()
-                sets = [np.frombuffer(s, np.uint64) for s in task.column(2).to_pylist()]
-                yield [(nodes[a], nodes[b]) for a, b in linked(sets)]
-
-    return _gathered(each())
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in tk.slices(batch, "text"):
@@ -230,9 +219,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(tasks: DataFrame) -> DataFrame:
-    """Links of the nodes of each task: task, node, shingles."""
-    dealt = tasks.select("task", "node", "shingles").repartition("task").sortWithinPartitions("task", "node")
-    return dealt.mapInArrow(_confirmed, "a long, b long")
+    """Links of the nodes of each task: task, node, shingles.
+
+    The grouping is part of the plan: a repartition by task above a join by cluster counts as done, and adaptive
+    execution may then read a cluster in parts.
+    """
+
+    def links(table: pa.Table) -> pa.Table:
+        pairs = linked([np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]) if table.num_rows > 1 else []
+        at, nodes = np.array(pairs, np.int64).reshape(-1, 2), table["node"]
+        return pa.table([nodes.take(pa.array(at[:, 0])), nodes.take(pa.array(at[:, 1]))], names=["a", "b"])
+
+    return tasks.select("task", "node", "shingles").groupBy("task").applyInArrow(links, "a long, b long")
 
 
 def _confirm_clusters(members: DataFrame) -> DataFrame:
