@@ -15,7 +15,16 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
+def brute_by_shingle(rows):
+    """As brute, over the pairs that share a shingle."""
+    holders = {}
+    for k, (_, t) in enumerate(rows):
+        for x in shingles(t):
+            holders.setdefault(x, []).append(k)
+    return brute(rows, {(a, b) for ks in holders.values() for a in ks for b in ks if b < a})
+
+
+def brute(rows, pairs=None):
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -24,15 +33,15 @@ def brute(rows):
             x = root[x]
         return x
 
-    for a in range(len(rows)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-                root[find(a)] = find(b)
-    out = {}
+    for a, b in pairs if pairs is not None else ((a, b) for a in range(len(rows)) for b in range(a)):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            root[find(a)] = find(b)
+    out, ids = {}, {}
     for k, (i, _) in enumerate(rows):
-        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(k) and rows[j][0] is not None]
-        out.setdefault((i, rows[k][1]), set()).add((len(sets[k]), min(ids, default=None)))
+        ids.setdefault(find(k), []).extend([] if i is None else [i])
+    for k, (i, _) in enumerate(rows):
+        out.setdefault((i, rows[k][1]), set()).add((len(sets[k]), min(ids[find(k)], default=None)))
     return out
 
 
@@ -74,6 +83,23 @@ def test_against_all_pairs(spark):
     assert neardup.op7_near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [4, 8, 211])
+def test_no_link_is_lost_under_adaptive_execution(spark, partitions):
+    """At a size where adaptive execution deals the tasks anew: links between parts of a cluster were once lost here."""
+    rows = corpus(700, 12, 9)[10:-2]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = {i: v for (i, _), vs in brute_by_shingle(rows).items() for v in vs}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+        for _ in range(2):
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.op7_near_duplicates(df).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_large_regions_and_clusters_lose_nothing(spark, monkeypatch):
     rows = corpus(6, 60, 5)
     for name, value in (("REGION_MAX", 5), ("CLUSTER_CLASSES", 8), ("PIVOTS", 3), ("BROADCAST_IDS", 0)):
@@ -81,6 +107,57 @@ def test_large_regions_and_clusters_lose_nothing(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_depth_adapts_to_each_region(spark, monkeypatch):
+    """Leaves are the shortest prefixes that few enough classes share, and only the last depth is joined whole."""
+    monkeypatch.setattr(neardup, "REGION_MAX", 4)
+    rng = random.Random(3)
+    common = [rng.randrange(1 << 32) for _ in range(neardup.MINIMA)]
+    sign = {}
+    for k in range(40):
+        own = list(common) if k < 20 else [rng.randrange(1 << 32) for _ in common]
+        # 0 to 5 share four minima of each order, 6 to 9 three, 10 to 19 two
+        keep = 4 if k < 6 else 3 if k < 10 else 2
+        sign[k] = [m if k >= 20 or j % neardup.STEP < keep else rng.randrange(1 << 32) for j, m in enumerate(own)]
+    rows = [(k, bytearray(b"".join(m.to_bytes(4, "little") for m in ms))) for k, ms in sign.items()]
+    listed, joined = neardup._regions(spark.createDataFrame(rows, "node long, minima binary"))
+    by_region = {}
+    for r in listed.collect():
+        by_region.setdefault((r.tree, r.region), set()).add(r.node)
+    assert all(len(v) <= 4 for v in by_region.values())
+    assert {r.node for r in joined.collect()} == set(range(6)) and joined.count() == 6 * neardup.TREES
+    deep = sorted(map(sorted, by_region.values()))
+    assert deep == []  # 3 minima are shared by 10 classes, 4 by 6; 10 to 19 are alone beyond two
+
+
+def test_neighbours_are_the_components_of_agreeing_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (6, neardup.MINIMA), dtype=np.uint8)
+    labels, region = [], []
+    for r in range(30):
+        own = []
+        for _ in range(rng.integers(2, 12)):
+            row = base[rng.integers(0, 6)].copy()
+            at = rng.integers(0, neardup.MINIMA, rng.integers(0, 60))
+            row[at] = rng.integers(0, 256, len(at))
+            own.append(row.tobytes())
+        labels += sorted(own)
+        region += [r] * len(own)
+    labels = np.frombuffer(b"".join(labels), np.uint8).reshape(-1, neardup.MINIMA)
+    got = neardup.neighbours(np.array(region), labels)
+    for r in range(30):
+        at = [k for k, x in enumerate(region) if x == r]
+        want = {k: {k} for k in at}
+        for a in at:
+            for b in at:
+                if (labels[a] == labels[b]).sum() >= neardup.LEAST_AGREE and want[a] is not want[b]:
+                    both = want[a] | want[b]
+                    for k in both:
+                        want[k] = both
+        assert all((got[a] == got[b]) == (b in want[a]) for a in at for b in at)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rng = random.Random(seed)
