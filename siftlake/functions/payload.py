@@ -43,15 +43,22 @@ def int_array(payload: str | Column, paths: list[str]) -> Column:
 
 
 #: Fields of a search snapshot, and of the history entry that it may hold.
-HISTORY = ("f1Score", "cpuUsage", "memoryUsage", "memoryUsagePercent", "localSearch", "neighborhood", "stage", "status", "iterationNeighborhood", "solutionFeatures", "rclfeatures")
-FIELDS = (*HISTORY, "bestF1Score", "currentF1Score", "seedId", "requestId", "rclAlgorithm", "trainingFileName", "testingFileName")
+HISTORY = (
+    "f1Score", "cpuUsage", "memoryUsage", "memoryUsagePercent", "localSearch", "neighborhood", "stage", "status", "topic", "requestId", "iterationNeighborhood", "iterationLocalSearch",
+    "previousBestF1Score", "scoreDelta", "improved", "solutionFeatures", "rclFeatures", "enabledLocalSearches", "solutionSize", "rclSize",
+)
+FIELDS = (*HISTORY, "bestF1Score", "currentF1Score", "seedId", "rclAlgorithm", "classifier", "classfier", "trainingFileName", "testingFileName", "createdAt", "updatedAt")
 
 
 def parsed(payload: str = "payload") -> Column:
-    """The payload as one struct of texts, so that the JSON is read once for all fields."""
+    """The payload as one struct of texts, so that the JSON is read once for all fields.
+
+    Two spellings of the candidate list that differ by case alone, which a struct can't tell apart, are made one before.
+    """
+    text = F.regexp_replace(F.col(payload), '"rclfeatures"', '"rclFeatures"')
     history = "historyEntry struct<" + ", ".join(f"{f}: string" for f in HISTORY) + ">"
     fields = ", ".join([*(f"{f}: string" for f in FIELDS), history])
-    return F.from_json(F.col(payload), f"payload struct<{fields}>, " + ", ".join([*(f"{f} string" for f in FIELDS), history]))
+    return F.from_json(text, f"payload struct<{fields}>, " + ", ".join([*(f"{f} string" for f in FIELDS), history]))
 
 
 def pick(struct: str, paths: list[str]) -> Column:

@@ -75,7 +75,6 @@ def first_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
-
 def latest() -> list[Column]:
     return [F.desc("created_at"), F.desc("event_id")]
 
@@ -97,11 +96,14 @@ def fold_runs(events: DataFrame) -> DataFrame:
     """Runs: the state of each seed after its messages in order of time.
 
     The last message gives the current fields, the greatest score is the best one, and a run is completed from its
-    first completed message on. One aggregation: ordered structs stand for windows, so nothing is sorted.
+    first completed message on. Of the latest initial message its score and algorithm are kept, and of the best
+    best-solution message its features. One aggregation: ordered structs stand for windows, so nothing is sorted.
     """
     at = F.struct("created_at", "event_id")
     last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), at))
-    fields = ["request_id", "topic", "stage", "rcl_algorithm", "local_search", "neighborhood", "training_file_name", "testing_file_name", "cpu_usage", "memory_usage", "memory_usage_percent", "solution_features", "rcl_features"]
+    initial = F.when(F.col("topic") == S.INITIAL, at)
+    solved = F.when(F.col("topic") == S.BEST, F.struct("score", "created_at", "event_id"))
+    fields = ["request_id", "topic", "stage", "rcl_algorithm", "classifier", "local_search", "neighborhood", "training_file_name", "testing_file_name", "cpu_usage", "memory_usage", "memory_usage_percent", "solution_features", "rcl_features"]
     return snapshots(events).where("seed_id IS NOT NULL").groupBy("seed_id").agg(
         *(last(c).alias(c) for c in fields),
         last("score").alias("current_score"),
@@ -110,22 +112,23 @@ def fold_runs(events: DataFrame) -> DataFrame:
         F.max("created_at").alias("updated_at"),
         F.count("*").alias("updates"),
         F.max(F.col("status") == "completed").alias("completed"),
+        F.max_by("score", initial).alias("initial_score"),
+        F.max_by("rcl_algorithm", initial).alias("initial_algorithm"),
+        F.max_by("solution_features", solved).alias("best_features"),
     )
 
 
-def final_rows(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """Runs with the initial score of their seed and the features of its best solution message."""
-    initial = initial_latest(events).select("seed_id", F.col("score").alias("initial_score"), F.col("rcl_algorithm").alias("initial_algorithm"))
-    solved = first_per(snapshots(events).where(F.col("topic") == S.BEST), ["seed_id"], best()).select("seed_id", F.col("solution_features").alias("best_features"))
-    rows = runs.where(F.coalesce("best_score", "current_score").isNotNull()).join(initial, "seed_id", "left").join(solved, "seed_id", "left")
+def final_rows(runs: DataFrame) -> DataFrame:
+    """Runs that have a score, with the algorithm that they count for."""
+    rows = runs.where(F.coalesce("best_score", "current_score").isNotNull())
     return rows.withColumn("algorithm", F.coalesce(F.nullif("rcl_algorithm", F.lit("")), "initial_algorithm", F.lit(S.UNKNOWN))).withColumn("final_score", F.coalesce("best_score", "current_score"))
 
 
-def final_summary(events: DataFrame, runs: DataFrame) -> DataFrame:
+def final_summary(runs: DataFrame) -> DataFrame:
     """By algorithm: seeds, best run, mean final score and gain, searches and datasets."""
     pair = F.concat_ws("|", "training_file_name", "testing_file_name")
     order = F.struct("final_score", "updated_at", "seed_id")
-    return final_rows(events, runs).groupBy("algorithm").agg(
+    return final_rows(runs).groupBy("algorithm").agg(
         F.count("*").alias("seeds"),
         F.max("final_score").alias("best_score"),
         F.max_by("seed_id", order).alias("best_seed"),
@@ -140,9 +143,8 @@ def search_outcomes(events: DataFrame, runs: DataFrame) -> DataFrame:
     """By local search: seeds, seeds that it won, best outcome, mean score and gain over the best message of each seed and search."""
     rows = snapshots(events).where(F.col("topic").isin(S.PROGRESS, S.SOLUTIONS) & (F.col("local_search") != S.UNKNOWN))
     top = first_per(rows, ["seed_id", "local_search"], best())
-    initial = initial_latest(events).select("seed_id", F.col("score").alias("initial_score"))
-    final = runs.select("seed_id", F.coalesce(F.nullif("local_search", F.lit("")), F.nullif("neighborhood", F.lit("")), F.lit(S.UNKNOWN)).alias("final_search"))
-    return top.join(initial, "seed_id", "left").join(final, "seed_id", "left").groupBy("local_search").agg(
+    final = runs.select("seed_id", "initial_score", F.coalesce(F.nullif("local_search", F.lit("")), F.nullif("neighborhood", F.lit("")), F.lit(S.UNKNOWN)).alias("final_search"))
+    return top.join(final, "seed_id", "left").groupBy("local_search").agg(
         F.countDistinct("seed_id").alias("seeds"),
         F.countDistinct(F.when(F.col("final_search") == F.col("local_search"), F.col("seed_id"))).alias("won_seeds"),
         F.max("score").alias("best_score"),
@@ -159,8 +161,10 @@ def timeline(events: DataFrame, keys: list[str], seconds: int = 60, newest: int
         mean("score").alias("avg_score"), F.max("score").alias("best_score"), mean("cpu_usage").alias("avg_cpu"), mean("memory_usage_percent").alias("avg_memory_percent"),
         F.max("request_id").alias("request_id"), F.max("rcl_algorithm").alias("algorithm"),
     )
+    if newest and not keys:
+        return out.orderBy(F.desc("bucket")).limit(newest)
     if newest:
-        order = Window.partitionBy(*keys).orderBy(F.desc("bucket")) if keys else Window.orderBy(F.desc("bucket"))
+        order = Window.partitionBy(*keys).orderBy(F.desc("bucket"))
         out = out.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= newest).drop("_rank")
     return out
 

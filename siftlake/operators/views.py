@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake import schemas as S
 from siftlake.functions import labels
+from siftlake.operators.feed import within
 from siftlake.operators.monitor import activity, best, first_per, improvements, latest, mean, snapshots, topic_metrics
 
 #: Topics that a stage lens lets through.
@@ -69,12 +70,38 @@ def selection(algorithm: str | None = None, pair: str | None = None, lens: str =
     return out
 
 
-def time_text(query: str, column: str = "created_at") -> Column:
-    """Whether a time, in ISO form or as local date and minute, holds a text."""
-    shown = F.concat_ws(" ", F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.date_format(column, "yyyy-MM-dd HH:mm"))
+def time_text(query: str, column: str = "created_at", order: str | None = None) -> Column:
+    """Whether a time, in ISO form, as local date and minute, or by its place in the timeline (#n), holds a text."""
+    place = [F.concat(F.lit("#"), F.col(order).cast("string"))] if order else []
+    shown = F.concat_ws(" ", F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.date_format(column, "yyyy-MM-dd HH:mm"), *place)
     return F.contains(F.lower(shown), F.lit(query.strip().lower()))
 
 
+#: Seconds of the named windows of time.
+WINDOWS = {"15m": 900, "1h": 3_600, "6h": 21_600, "24h": 86_400, "7d": 604_800}
+
+
+def window_bounds(name: str, now: datetime, since: datetime | None = None, until: datetime | None = None) -> tuple[datetime | None, datetime | None]:
+    """The closed range of a named window that ends now; custom has its own bounds, and any other name none."""
+    if name == "custom":
+        return since, until
+    return (now - timedelta(seconds=WINDOWS[name]), now) if name in WINDOWS else (None, None)
+
+
+def in_window(rows: DataFrame, name: str, now: datetime, since: datetime | None = None, until: datetime | None = None, column: str = "created_at") -> DataFrame:
+    """Rows of a named window; a null time passes."""
+    low, high = window_bounds(name, now, since, until)
+    return rows.where(within(column, low, high)) if low or high else rows
+
+
+def duration_label(seconds: Column) -> Column:
+    """A span of time in its two greatest units."""
+    part = lambda n, unit: F.concat(n.cast("long").cast("string"), F.lit(unit))
+    whole = F.greatest(F.floor(seconds), F.lit(0))
+    pair = lambda big, small, u, v: F.concat_ws(" ", part(F.floor(whole / big), u), part(F.floor(F.pmod(whole, F.lit(big)) / small), v))
+    return F.when(whole < 60, part(whole, "s")).when(whole < 3600, pair(60, 1, "m", "s")).when(whole < 86400, pair(3600, 60, "h", "m")).otherwise(pair(86400, 3600, "d", "h"))
+
+
 def newest(events: DataFrame, n: int = 300) -> DataFrame:
     """The live window: the newest events over all seeds."""
     return snapshots(events).orderBy(*latest()).limit(n)
@@ -101,9 +128,18 @@ def queue_counts(launches: DataFrame) -> DataFrame:
     return launches.groupBy("state").agg(F.count("*").alias("launches"))
 
 
-def launch_view(launches: DataFrame, places: DataFrame) -> DataFrame:
-    """Launches with their place in the queue, and whether they can still be cancelled."""
-    return launches.join(places.select("launch_id", "place"), "launch_id", "left").withColumn("can_cancel", F.col("state") == "queued")
+def launch_view(launches: DataFrame, places: DataFrame, progress: DataFrame | None = None) -> DataFrame:
+    """Launches with their place in the queue, their counts and reconciled state, and whether they can still be cancelled.
+
+    progress: launch_id, expected, observed, done, pending, state; launches it doesn't name have counts of 0.
+    """
+    out = launches.join(places.select("launch_id", "place"), "launch_id", "left")
+    if progress is not None:
+        counts = ("expected", "observed", "done", "pending")
+        out = out.join(progress.select("launch_id", *counts, F.col("state").alias("_state")), "launch_id", "left")
+        out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts} | {"state": F.coalesce("_state", "state")}).drop("_state")
+        out = out.withColumn("pipeline_completed", F.col("state") == "completed")
+    return out.withColumn("can_cancel", F.col("state").isin("queued", "dispatching", "cancelling"))
 
 
 def latest_and_best(runs: DataFrame, events: DataFrame) -> DataFrame:

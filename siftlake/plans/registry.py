@@ -6,16 +6,19 @@ scores to 8, so that results can be compared by value.
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake import schemas as S
 from siftlake.functions import labels
 from siftlake.operators import feed, monitor, runs, scoring, search, series, views
-from siftlake.sources import catalog, eventlog
-from siftlake.session import table
+from siftlake.session import shared_dir, table
+from siftlake.sources import arff, catalog, eventlog, sinks
+from siftlake.streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,21 +33,32 @@ _EV = """ev AS (
     list_extract(['VND','RVND'], CAST(user_id % 2 + 1 AS INTEGER)) AS strategy, k % 13 AS iteration,
     CASE WHEN k % 11 = 0 THEN 'completed' ELSE 'running' END AS status,
     'train-' || CAST(user_id % 3 AS VARCHAR) || '.arff' AS training, 'test-' || CAST(user_id % 3 AS VARCHAR) || '.arff' AS testing,
-    [k % 7 + 1, k % 5 + 8, k % 3 + 13] AS features, [k % 4 + 16, k % 6 + 20] AS rcl
+    [k % 7 + 1, k % 5 + 8, k % 3 + 13] AS features, [k % 4 + 16, k % 6 + 20] AS rcl, list_extract(['J48','NB'], CAST(user_id % 5 % 2 + 1 AS INTEGER)) AS classifier
   FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events)),
 st AS (SELECT *, CASE topic WHEN 'INITIAL_SOLUTION_TOPIC' THEN 'initial_solution' WHEN 'NEIGHBORHOOD_RESTART_TOPIC' THEN 'neighborhood_restart'
       WHEN 'BEST_SOLUTION_TOPIC' THEN 'best_solution' ELSE lower(search) END AS stage FROM ev)"""
 _RUNS = """runs AS (SELECT seed_id, arg_max(request_id, us) AS request_id, arg_max(topic, us) AS topic, arg_max(algorithm, us) AS algorithm, arg_max(search, us) AS search, arg_max(strategy, us) AS strategy,
-    arg_max(training, us) AS training, arg_max(testing, us) AS testing, arg_max(features, us) AS features, arg_max(rcl, us) AS rcl, arg_max(score, us) AS current_score, max(score) AS best_score,
+    arg_max(training, us) AS training, arg_max(testing, us) AS testing, arg_max(features, us) AS features, arg_max(rcl, us) AS rcl, arg_max(classifier, us) AS classifier, arg_max(cpu, us) AS cpu, arg_max(memp, us) AS memp, arg_max(score, us) AS current_score, max(score) AS best_score,
     min(us) AS created_us, max(us) AS updated_us, count(*) AS updates, bool_or(status = 'completed') AS completed FROM ev GROUP BY seed_id)"""
 _INITIAL = "initial AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY us DESC, event_id DESC) AS rk FROM ev WHERE topic = 'INITIAL_SOLUTION_TOPIC') WHERE rk = 1)"
 _LAUNCH = """launch AS (SELECT o_orderkey AS launch_id, 'req-' || CAST(o_custkey % 10 AS VARCHAR) AS request_id, CASE WHEN o_orderstatus = 'O' THEN 'queued' ELSE 'started' END AS state,
     1704067200000000 + (o_orderkey % 43200) * 60000000 - 30000000 AS requested_us, CASE WHEN o_orderstatus <> 'O' THEN 1704067200000000 + (o_orderkey % 43200) * 60000000 END AS started_us,
     [list_extract(['IG','GR','RF','SU'], CAST(o_custkey % 4 + 1 AS INTEGER)), list_extract(['IG','GR','RF','SU'], CAST((o_custkey + 1) % 4 + 1 AS INTEGER))] AS algorithms,
-    'train-' || CAST(o_custkey % 3 AS VARCHAR) || '.arff' AS training, 'test-' || CAST(o_custkey % 3 AS VARCHAR) || '.arff' AS testing, o_orderkey % 5 + 1 AS generations FROM orders)"""
-_NEXT = "nxt AS (SELECT *, lead(started_us) OVER (ORDER BY started_us, launch_id) AS next_us FROM launch WHERE started_us IS NOT NULL)"
+    'train-' || CAST(o_custkey % 3 AS VARCHAR) || '.arff' AS training, 'test-' || CAST(o_custkey % 3 AS VARCHAR) || '.arff' AS testing, o_orderkey % 5 + 1 AS generations,
+    CASE WHEN o_orderkey % 7 > 0 THEN list_extract(['J48','NB'], CAST(o_custkey % 5 % 2 + 1 AS INTEGER)) END AS classifier, o_custkey AS requested_by FROM orders)"""
+_NEXT = "nxt AS (SELECT *, first_value(started_us IGNORE NULLS) OVER (ORDER BY requested_us, launch_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_us FROM launch)"
 _MATCH = """matched AS (SELECT l.launch_id, r.* FROM (SELECT *, unnest(algorithms) AS alg FROM nxt) l JOIN runs r ON r.algorithm = l.alg AND r.training = l.training AND r.testing = l.testing
-    AND r.created_us >= l.started_us AND (l.next_us IS NULL OR r.created_us < l.next_us))"""
+    AND (l.classifier IS NULL OR l.classifier = r.classifier) AND r.created_us >= coalesce(l.started_us, l.requested_us) AND (l.next_us IS NULL OR r.created_us < l.next_us))"""
+#: Lists of columns of the SQL of runs.
+_STATES = """s1 AS (SELECT *, topic = 'SOLUTIONS_TOPIC' AND iteration >= CASE WHEN strategy = 'VND' THEN 6 ELSE 2 END AS ends FROM st),
+s2 AS (SELECT *, min(us) FILTER (ends) OVER (PARTITION BY seed_id) AS first_end, max(us) FILTER (ends) OVER (PARTITION BY seed_id) AS last_end,
+    max(score) OVER (PARTITION BY seed_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s1),
+s3 AS (SELECT *, first_end IS NULL OR us <= first_end OR ends AS shown, before IS NULL OR score > before AS improved FROM s2),
+states AS (SELECT seed_id, arg_max(request_id, us) AS request_id, arg_max(algorithm, us) AS rcl_algorithm, arg_max(classifier, us) AS classifier, arg_max(training, us) AS training_file_name, arg_max(search, us) FILTER (shown) AS local_search,
+    arg_max(iteration, us) FILTER (shown) AS iteration_neighborhood, CASE WHEN bool_or(ends) THEN 'completed' ELSE 'running' END AS status, arg_max(stage, us) FILTER (shown) AS stage, arg_max(topic, us) FILTER (shown) AS topic,
+    arg_max(score, us) FILTER (shown) AS current_score, max(score) AS best_score, round(coalesce((array_agg(before ORDER BY us DESC) FILTER (shown))[1], arg_min(before, us) FILTER (NOT shown AND us > last_end)), 6) AS previous_best,
+    round(coalesce((array_agg(score - before ORDER BY us DESC) FILTER (shown))[1], arg_min(score - before, us) FILTER (NOT shown AND us > last_end AND before IS NOT NULL)), 6) AS delta, arg_max(improved, us) FILTER (shown) AS improved,
+    arg_max(cpu, us) AS cpu_usage, max(last_end) AS completed_us, count(*) AS updates, count(*) FILTER (topic <> 'LOCAL_SEARCH_PROGRESS_TOPIC') AS history_count, arg_max(features, us) FILTER (shown) AS features FROM s3 GROUP BY seed_id)"""
 
 
 def launches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +73,7 @@ def launches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "O", "queued").otherwise("started").alias("state"), (start - F.expr("INTERVAL 30 SECONDS")).alias("requested_at"),
         F.when(F.col("o_orderstatus") != "O", start).alias("started_at"), F.array(pick(F.col("o_custkey")), pick(F.col("o_custkey") + 1)).alias("algorithms"),
         name("train").alias("training_file_name"), name("test").alias("testing_file_name"), (F.col("o_orderkey") % 5 + 1).alias("generations"),
+        F.when(F.col("o_orderkey") % 7 > 0, F.element_at(F.array(F.lit("J48"), F.lit("NB")), (F.col("o_custkey") % 5 % 2 + 1).cast("int"))).alias("classifier"), F.col("o_custkey").alias("requested_by"),
     )
 
 
@@ -109,7 +124,7 @@ _query(
     "SELECT r.algorithm, count(*) AS seeds, max(r.best_score) AS best_score, (array_agg(r.seed_id ORDER BY r.best_score DESC, r.updated_us DESC, r.seed_id DESC))[1] AS best_seed, round(avg(r.best_score), 6) AS avg_final, round(avg(r.best_score - i.score), 6) AS avg_gain, "
     "array_to_string(list_sort(list_distinct(array_agg(r.search))), ',') AS searches, array_to_string(list_sort(list_distinct(array_agg(r.training || '|' || r.testing))), ',') AS datasets FROM runs r LEFT JOIN initial i USING (seed_id) GROUP BY 1",
     f"{_EV}, {_INITIAL}, {_RUNS}",
-)(lambda s, d: monitor.final_summary(_ev(s, d), _runs(s, d)))
+)(lambda s, d: monitor.final_summary(_runs(s, d)))
 _query(
     "dls_outcome_summary",
     "SELECT t.search AS local_search, count(DISTINCT t.seed_id) AS seeds, count(DISTINCT CASE WHEN r.search = t.search THEN t.seed_id END) AS won_seeds, max(t.score) AS best_score, round(avg(t.score), 6) AS avg_score, round(avg(t.score - i.score), 6) AS avg_gain "
@@ -140,16 +155,18 @@ _on_events("feed_export", lambda e: feed.export(e, _FILTERS).select("event_id",
 _on_events("free_text_search", lambda e: e.where(feed.free_text("t_f_ip")).groupBy("local_search").agg(F.count("*").alias("n")), "SELECT search AS local_search, count(*) AS n FROM st WHERE lower(search) LIKE '%t_f_ip%' OR lower(stage) LIKE '%t_f_ip%' GROUP BY 1")
 _on_events("time_range", lambda e: feed.anchored(e, 24).agg(F.count("*").alias("n"), F.min(monitor.micros()).alias("first_us")), "SELECT count(*) AS n, min(us) AS first_us FROM ev WHERE us >= (SELECT max(us) FROM ev) - 86400000000")
 _on_events(
-    "event_dedup", lambda e: monitor.deduplicate(e.where("event_id % 3 = 0"), e, ["event_id"]).groupBy("topic").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")),
-    "SELECT topic, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM ev GROUP BY 1",
+    "event_dedup", lambda e: monitor.deduplicate(e.where("event_id % 3 = 0").withColumn("score", F.col("score") + 1000), e.where("event_id % 2 = 0").unionByName(e.where("event_id % 4 = 0").withColumn("score", F.lit(-1.0)).withColumn("created_at", F.col("created_at") - F.expr("INTERVAL 1 DAY"))), ["event_id"]).select("event_id", "topic", "score"),
+    "SELECT event_id, topic, CASE WHEN event_id % 3 = 0 THEN score + 1000 ELSE score END AS score FROM ev WHERE event_id % 3 = 0 OR event_id % 2 = 0",
 )
 _on_events(
     "preferred_event", lambda e: monitor.preferred(e, ["seed_id"], labels.topic_priority(F.col("topic"))).select("seed_id", "event_id", "score"),
     "SELECT seed_id, event_id, score FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY CASE WHEN topic IN ('BEST_SOLUTION_TOPIC', 'SOLUTIONS_TOPIC') THEN 2 WHEN topic = 'LOCAL_SEARCH_PROGRESS_TOPIC' THEN 1 ELSE 0 END DESC, score DESC NULLS LAST, us DESC, event_id DESC) AS rk FROM ev) WHERE rk = 1",
 )
+_PRIORITY = "CASE WHEN topic IN ('BEST_SOLUTION_TOPIC', 'SOLUTIONS_TOPIC') THEN 2 WHEN topic = 'LOCAL_SEARCH_PROGRESS_TOPIC' THEN 1 ELSE 0 END"
+_HALF = "(SELECT seed_id, arg_max(topic, us) AS topic, max(score) AS best_score, max(us) AS us, '{1}' AS source FROM ev WHERE {0} GROUP BY 1)".format
 _query(
-    "merge_runs", "SELECT seed_id, best_score, 'live' AS source FROM runs", f"{_EV}, {_RUNS}"
-)(lambda s, d: runs.merge_runs(_runs(s, d).withColumn("source", F.lit("stored")), _runs(s, d).withColumn("source", F.lit("live"))).select("seed_id", "best_score", "source"))
+    "merge_runs", f"SELECT seed_id, topic, best_score, source FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY {_PRIORITY} DESC, best_score DESC, us DESC, source) AS rk FROM ({_HALF('event_id % 3 > 0', 'stored')} UNION ALL {_HALF('event_id % 2 = 0 AND event_id % 7 < 4', 'live')})) WHERE rk = 1"
+)(lambda s, d: runs.merge_runs(*(monitor.fold_runs(_ev(s, d).where(some)).withColumn("source", F.lit(name)) for some, name in (("event_id % 3 > 0", "stored"), ("event_id % 2 = 0 AND event_id % 7 < 4", "live")))).select("seed_id", "topic", "best_score", "source"))
 _on_events(
     "seed_lifecycle", lambda e: runs.lifecycle(e, F.lit(2), F.lit(3)),
     "SELECT seed_id, arg_max(terminal, us) AS completed, count(*) FILTER (terminal) AS terminals, count(*) FILTER (processing) AS processings, max(CASE WHEN terminal THEN us END) AS last_terminal FROM (SELECT *, CASE WHEN topic IN ('INITIAL_SOLUTION_TOPIC', 'NEIGHBORHOOD_RESTART_TOPIC') THEN true "
@@ -157,7 +174,9 @@ _on_events(
 )
 _on_events("stage_distribution", runs.stage_distribution, "SELECT CASE topic WHEN 'INITIAL_SOLUTION_TOPIC' THEN 'initial' WHEN 'SOLUTIONS_TOPIC' THEN 'local_final' ELSE 'best' END AS stage, count(*) AS n FROM ev WHERE topic IN ('INITIAL_SOLUTION_TOPIC', 'SOLUTIONS_TOPIC', 'BEST_SOLUTION_TOPIC') GROUP BY 1")
 _query("feature_frequency", "SELECT feature, count(*) AS n FROM (SELECT unnest(list_distinct(features)) AS feature FROM runs) GROUP BY 1 ORDER BY n DESC, feature LIMIT 10", f"{_EV}, {_RUNS}")(lambda s, d: runs.feature_frequency(_runs(s, d)))
-_query("shared_features", "SELECT feature FROM (SELECT unnest(list_distinct(features)) AS feature FROM runs) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM runs)", f"{_EV}, {_RUNS}")(lambda s, d: runs.shared_features(_runs(s, d)))
+_query("shared_features", "SELECT feature FROM (SELECT unnest(list_distinct(features)) AS feature FROM runs WHERE list_contains(features, 3)) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM runs WHERE list_contains(features, 3))", f"{_EV}, {_RUNS}")(
+    lambda s, d: runs.shared_features(_runs(s, d).where(F.array_contains("solution_features", 3)))
+)
 _query("rcl_complement", "SELECT seed_id, array_to_string(list_filter(range(1, len(rcl) + len(features) + 1), lambda x: NOT list_contains(features, x)), ',') AS complement FROM runs", f"{_EV}, {_RUNS}")(lambda s, d: runs.rcl_complement(_runs(s, d)).select("seed_id", F.array_join("complement", ",").alias("complement")))
 _query(
     "run_compare",
@@ -175,9 +194,25 @@ _query(
     f"{_EV}, {_RUNS}, {_LAUNCH}, {_NEXT}, {_MATCH}",
 )(lambda s, d: runs.launch_progress(launches(s, d), _runs(s, d)).select("launch_id", "expected", "observed", "done", "pending", "state"))
 _query("queue_position", "SELECT launch_id, row_number() OVER (ORDER BY requested_us, launch_id) AS place FROM launch WHERE state = 'queued'", _LAUNCH)(lambda s, d: runs.queue_position(launches(s, d)).select("launch_id", F.col("place").cast("long").alias("place")))
+_WITHIN = "e.us >= l.requested_us AND (l.next_us IS NULL OR e.us < l.next_us)"
 _query(
-    "launch_events", "SELECT launch_id, count(DISTINCT event_id) AS events FROM (SELECT l.launch_id, e.event_id FROM launch l JOIN matched m USING (launch_id) JOIN ev e ON e.seed_id = m.seed_id) GROUP BY 1", f"{_EV}, {_RUNS}, {_LAUNCH}, {_NEXT}, {_MATCH}"
-)(lambda s, d: runs.launch_events(launches(s, d).where(F.lit(False)), _ev(s, d), runs.launch_runs(launches(s, d), _runs(s, d)).select("launch_id", "seed_id")).groupBy("launch_id").agg(F.count("*").alias("events")))
+    "launch_events", f"SELECT launch_id, count(*) AS events, min(event_id) AS first_event FROM (SELECT l.launch_id, e.event_id FROM nxt l JOIN ev e USING (request_id) WHERE {_WITHIN} UNION SELECT l.launch_id, e.event_id FROM nxt l JOIN matched m USING (launch_id) JOIN ev e ON e.seed_id = m.seed_id WHERE {_WITHIN}) GROUP BY 1",
+    f"{_EV}, {_RUNS}, {_LAUNCH}, {_NEXT}, {_MATCH}",
+)(lambda s, d: runs.launch_events(launches(s, d), _ev(s, d), runs.launch_runs(launches(s, d), _runs(s, d)).select("launch_id", "seed_id")).groupBy("launch_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event")))
+_query("launch_users", "SELECT launch_id, c_name AS user_name, lower(c_mktsegment) AS user_role FROM launch LEFT JOIN customer ON c_custkey = requested_by AND c_custkey % 2 = 0", _LAUNCH)(
+    lambda s, d: runs.launch_users(launches(s, d), table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("mail"), F.lower("c_mktsegment").alias("role"))).select("launch_id", "user_name", "user_role")
+)
+
+
+def _dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = launches(spark, sf_dir).withColumn("request_id", F.concat(F.lit("r"), F.floor(F.col("launch_id") / 4).cast("string")))
+    return runs.gateway_dispatches(asked.where("launch_id % 2 = 0"), asked.where("launch_id % 3 = 0"))
+
+
+_GATEWAY = "gateway AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY fresh DESC, requested_us DESC, launch_id DESC) AS rk FROM (SELECT *, 'r' || CAST(launch_id // 4 AS VARCHAR) AS request, 0 AS fresh FROM launch WHERE launch_id % 2 = 0 UNION ALL SELECT *, 'r' || CAST(launch_id // 4 AS VARCHAR), 1 FROM launch WHERE launch_id % 3 = 0)) WHERE rk = 1)"
+_query("gateway_events", "SELECT 'gateway:' || request AS fingerprint, 'gateway.dispatch' AS event_type, 'API_GATEWAY' AS topic, 'REQUESTED' AS status, launch_id, requested_us AS created_us FROM gateway", f"{_LAUNCH}, {_GATEWAY}")(
+    lambda s, d: _us(runs.gateway_events(_dispatches(s, d)).drop("request_id"), "created_at")
+)
 _query(
     "dataset_usage", "SELECT name, count(r.seed_id) AS runs, max(r.best_score) AS best_score FROM (SELECT DISTINCT training AS name FROM launch UNION SELECT DISTINCT testing FROM launch) f LEFT JOIN runs r ON r.training = f.name OR r.testing = f.name GROUP BY 1", f"{_EV}, {_RUNS}, {_LAUNCH}"
 )(lambda s, d: runs.dataset_usage(launches(s, d).select(F.explode(F.array("training_file_name", "testing_file_name")).alias("name")).distinct(), _runs(s, d)))
@@ -185,17 +220,18 @@ _query(
 
 @_query(
     "research_summary",
-    "SELECT r.*, g.*, q.requests, u.unique_features, round(g.runs_with_history / r.runs, 6) AS history_coverage, round(r.runs_with_telemetry / r.runs, 6) AS telemetry_coverage, round(g2.n / r.runs, 6) AS avg_history_depth, CAST(round((o.hi - o.lo) / 1000000.0, 0) AS BIGINT) AS observation_seconds, "
+    "SELECT r.*, g.*, rc.*, ne.events, dp.max_history_depth, q.requests, u.unique_features, round(g.runs_with_history / r.runs, 6) AS history_coverage, round(r.runs_with_telemetry / r.runs, 6) AS telemetry_coverage, round(g2.n / r.runs, 6) AS avg_history_depth, CAST(round((o.hi - o.lo) / 1000000.0, 0) AS BIGINT) AS observation_seconds, "
     "CAST(round((h.at - o.lo) / 1000000.0, 0) AS BIGINT) AS seconds_to_high_quality FROM (SELECT count(*) AS runs, count(DISTINCT training || '|' || testing) AS dataset_pairs, count(*) FILTER (best_score >= 95) AS high_quality_runs, round(count(*) FILTER (best_score >= 95) / count(*), 6) AS high_quality_ratio, max(best_score) AS best_score, "
     "(array_agg(seed_id ORDER BY best_score DESC, updated_us DESC, seed_id DESC))[1] AS best_seed, count(*) AS runs_with_telemetry, round(avg(len(features)), 6) AS avg_solution_size, round(avg(len(rcl)), 6) AS avg_rcl_size, array_to_string(list_sort(list_distinct(array_agg(search))), ',') AS searches, "
     "array_to_string(list_sort(list_distinct(array_agg(strategy))), ',') AS strategies FROM runs) r, (SELECT count(*) FILTER (delta > 0) AS improvements, round(avg(delta) FILTER (delta > 0), 6) AS avg_improvement, max(delta) FILTER (delta > 0) AS max_improvement, count(DISTINCT seed_id) AS runs_with_history "
-    "FROM (SELECT *, round(score - previous_best, 6) AS delta FROM dl)) g, (SELECT count(*) AS n FROM dl) g2, (SELECT count(DISTINCT request_id) AS requests FROM ev) q, (SELECT count(DISTINCT f) AS unique_features FROM (SELECT unnest(features) AS f FROM runs)) u, (SELECT min(us) AS lo, max(us) AS hi FROM ev) o, (SELECT min(us) AS at FROM dl WHERE score >= 95) h",
+    "FROM (SELECT *, round(score - previous_best, 6) AS delta FROM dl)) g, (SELECT count(*) AS n FROM dl) g2, (SELECT count(DISTINCT request_id) AS requests FROM ev) q, (SELECT count(DISTINCT f) AS unique_features FROM (SELECT unnest(features) AS f FROM runs)) u, (SELECT min(us) AS lo, max(us) AS hi FROM ev) o, (SELECT min(us) AS at FROM dl WHERE score >= 95) h, (SELECT count(*) AS events FROM ev) ne, (SELECT max(n) AS max_history_depth FROM (SELECT count(*) AS n FROM dl GROUP BY seed_id)) dp, "
+    "(SELECT count(*) FILTER (topic = 'BEST_SOLUTION_TOPIC') AS best_solutions, count(*) FILTER (completed) AS completed_runs, count(*) FILTER (NOT completed) AS active_runs, count(DISTINCT algorithm) AS algorithms, CAST(NULL AS DOUBLE) AS avg_enabled_searches FROM runs) rc",
     f"{_EV}, {_RUNS}, {_DELTA}",
 )
 def research_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _ev(spark, sf_dir)
     history = monitor.score_deltas(events).select("seed_id", "request_id", F.col("created_at").alias("at"), "score", "delta", "improved")
-    return runs.research_summary(_runs(spark, sf_dir), history, events.select("request_id", F.col("created_at").alias("at")))
+    return runs.research_summary(_runs(spark, sf_dir), history, events.select("request_id", F.col("created_at").alias("at"), "score"))
 
 
 _on_events(
@@ -234,9 +270,146 @@ _on_events(
     "SELECT count(*) AS improvements, max(d) AS strongest, (array_agg(seed_id ORDER BY d DESC, us DESC, event_id DESC))[1] AS strongest_seed, (array_agg(seed_id ORDER BY us DESC, event_id DESC))[1] AS latest_seed FROM (SELECT *, round(score - previous_best, 6) AS d FROM dl WHERE score > previous_best)", f"{_EV}, {_DELTA}",
 )
 _query("queue_counts", "SELECT state, count(*) AS launches FROM launch GROUP BY 1", _LAUNCH)(lambda s, d: views.queue_counts(launches(s, d)))
-_query("launch_view", "SELECT launch_id, place, state = 'queued' AS can_cancel FROM launch LEFT JOIN (SELECT launch_id, row_number() OVER (ORDER BY requested_us, launch_id) AS place FROM launch WHERE state = 'queued') USING (launch_id)", _LAUNCH)(
-    lambda s, d: views.launch_view(launches(s, d), runs.queue_position(launches(s, d))).select("launch_id", F.col("place").cast("long").alias("place"), "can_cancel")
+_query(
+    "launch_view",
+    "SELECT l.launch_id, q.place, coalesce(p.expected, 0) AS expected, coalesce(p.observed, 0) AS observed, coalesce(p.done, 0) AS done, coalesce(greatest(p.expected - p.done, 0), 0) AS pending, CASE WHEN p.launch_id IS NULL THEN l.state WHEN p.done >= p.expected THEN 'completed' WHEN p.observed > 0 THEN 'monitoring' ELSE 'dispatched' END AS state, "
+    "coalesce(p.done >= p.expected, false) AS pipeline_completed, l.state = 'queued' AS can_cancel FROM launch l LEFT JOIN (SELECT launch_id, row_number() OVER (ORDER BY requested_us, launch_id) AS place FROM launch WHERE state = 'queued') q USING (launch_id) "
+    "LEFT JOIN (SELECT l.launch_id, len(l.algorithms) * l.generations AS expected, count(m.seed_id) AS observed, count(*) FILTER (m.completed) AS done FROM launch l LEFT JOIN matched m USING (launch_id) WHERE l.started_us IS NOT NULL GROUP BY l.launch_id, l.algorithms, l.generations) p ON p.launch_id = l.launch_id",
+    f"{_EV}, {_RUNS}, {_LAUNCH}, {_NEXT}, {_MATCH}",
+)(
+    lambda s, d: views.launch_view(launches(s, d), runs.queue_position(launches(s, d)), runs.launch_progress(launches(s, d), _runs(s, d))).select(
+        "launch_id", F.col("place").cast("long").alias("place"), "expected", "observed", "done", "pending", "state", "pipeline_completed", "can_cancel"
+    )
+)
+_STATE_COLUMNS = ["seed_id", "request_id", "rcl_algorithm", "classifier", "training_file_name", "local_search", "iteration_neighborhood", "status", "stage", "topic", "current_score", "best_score", "previous_best", "delta", "improved", "cpu_usage", "completed_at", "updates", "history_count"]
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_states(_ev(spark, sf_dir), F.lit(2), F.lit(3))
+
+
+_query("run_states", f"SELECT {', '.join(c.replace('_at', '_us') if c == 'completed_at' else c for c in _STATE_COLUMNS)} FROM states", f"{_EV}, {_STATES}")(lambda s, d: _us(_states(s, d).select(*_STATE_COLUMNS), "completed_at"))
+
+
+def _listed(column: str, name: str) -> Column:
+    """An array as text."""
+    return F.array_join(F.col(column).cast("array<string>"), "|").alias(name)
+
+
+_ENTRY_SQL = (
+    "event_id, seed_id, request_id, topic, stage, score, CASE WHEN event_id % 3 = 0 THEN round(score - cpu, 6) END AS previous_best, CASE WHEN event_id % 3 = 0 THEN cpu END AS delta, CASE WHEN event_id % 3 = 0 THEN cpu > 0 END AS improved, "
+    "CASE WHEN event_id % 3 = 0 THEN 2 ELSE 3 END AS solution_size, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS rcl_size, CASE WHEN event_id % 3 = 0 THEN CAST(rcl[1] AS VARCHAR) ELSE array_to_string(rcl, '|') END AS rcl, search AS enabled, us AS created_us"
+)
+_on_events(
+    "history_entries", lambda e: _us(eventlog.history_entries(eventlog.stored(e)).select("event_id", "seed_id", "request_id", "topic", "stage", "score", F.round("previous_best", 6).alias("previous_best"), "delta", "improved", "solution_size", "rcl_size", _listed("rcl_features", "rcl"), _listed("enabled_local_searches", "enabled"), "created_at"), "created_at"),
+    f"SELECT {_ENTRY_SQL} FROM st",
+)
+_on_events(
+    "feed_snapshots", lambda e: _us(eventlog.feed_snapshots(eventlog.stored(e)).select("event_id", "event_type", "seed_id", "request_id", "topic", "stage", "status", "rcl_algorithm", "classifier", "local_search", "neighborhood", "current_score", "best_score", "training_file_name", "testing_file_name", "iteration_neighborhood", "iteration_local_search", "delta", "memory_usage", "memory_usage_percent", "cpu_usage", _listed("solution_features", "features"), "created_at"), "created_at"),
+    "SELECT event_id, CASE WHEN topic = 'LOCAL_SEARCH_PROGRESS_TOPIC' THEN 'kafka.progress' ELSE 'kafka.update' END AS event_type, seed_id, request_id, topic, stage, status, algorithm AS rcl_algorithm, classifier, search AS local_search, strategy AS neighborhood, score AS current_score, score AS best_score, training AS training_file_name, testing AS testing_file_name, "
+    "iteration AS iteration_neighborhood, CAST(NULL AS INTEGER) AS iteration_local_search, CASE WHEN event_id % 3 = 0 THEN cpu END AS delta, mem AS memory_usage, memp AS memory_usage_percent, cpu AS cpu_usage, array_to_string(features, '|') AS features, us AS created_us FROM st",
+)
+_query(
+    "history_snapshots", "SELECT h.event_id, h.seed_id, h.topic, h.stage, h.score AS current_score, h.score AS best_score, h.iteration AS iteration_neighborhood, CASE WHEN event_id % 3 = 0 THEN h.cpu ELSE s.delta END AS delta, CASE WHEN event_id % 3 = 0 THEN h.cpu > 0 ELSE s.improved END AS improved, s.rcl_algorithm, s.classifier, s.training_file_name, s.status FROM st h JOIN states s USING (seed_id)",
+    f"{_EV}, {_STATES}",
+)(lambda s, d: eventlog.history_snapshots(_states(s, d), eventlog.history_entries(eventlog.stored(_ev(s, d)))).select("event_id", "seed_id", "topic", "stage", "current_score", "best_score", "iteration_neighborhood", "delta", "improved", "rcl_algorithm", "classifier", "training_file_name", "status"))
+_query("comparison_runs", "SELECT seed_id, best_score, least(count(*), 30) AS history_count FROM runs JOIN ev USING (seed_id) GROUP BY 1, 2", f"{_EV}, {_RUNS}")(
+    lambda s, d: runs.comparison_runs(views.runs_with_events(_runs(s, d), _ev(s, d))).select("seed_id", "best_score", "history_count")
+)
+_query(
+    "timeline_comparison", "SELECT seed_id, CASE WHEN seed_id = '7' THEN 0.5 WHEN user_id % 3 = 0 THEN best_score + 1 ELSE best_score END AS best_score, topic FROM (SELECT *, CAST(seed_id AS INTEGER) AS user_id FROM runs) WHERE user_id % 2 = 1", f"{_EV}, {_RUNS}"
+)(
+    lambda s, d: runs.timeline_comparison(
+        _runs(s, d).where("CAST(seed_id AS INT) % 2 = 1").select("seed_id", "best_score", "topic"),
+        _runs(s, d).where("CAST(seed_id AS INT) % 3 = 0").select("seed_id", (F.col("best_score") + 1).alias("best_score"), F.lit(None).cast("string").alias("topic")),
+        _runs(s, d).where("seed_id = '7'").select("seed_id", F.lit(0.5).alias("best_score")),
+    )
 )
+_query(
+    "option_values",
+    "SELECT 'algorithm' AS kind, algorithm AS value FROM ev UNION SELECT 'dataset', training || '|' || testing FROM ev UNION SELECT 'search', search FROM ev UNION SELECT 'search', strategy FROM ev UNION SELECT 'status', status FROM ev",
+)(lambda s, d: runs.option_values(_runs(s, d).withColumn("status", F.lit(None).cast("string")), _ev(s, d)))
+_query(
+    "research_by_algorithm", f"SELECT algorithm, count(*) AS runs, max(best_score) AS best_score, (array_agg(seed_id ORDER BY best_score DESC, created_us, seed_id DESC))[1] AS best_seed, {_A('cpu', 'avg_cpu')}, {_A('memp', 'avg_memory_percent')} FROM runs GROUP BY 1", f"{_EV}, {_RUNS}"
+)(lambda s, d: runs.research_by_algorithm(_runs(s, d)))
+_query(
+    "research_counts",
+    "SELECT 'stage' AS kind, stage AS name, count(*) AS n, CAST(NULL AS DOUBLE) AS best_score FROM (SELECT seed_id, arg_max(stage, us) AS stage FROM st GROUP BY 1) GROUP BY 2 UNION ALL SELECT 'search', search, count(*), max(best_score) FROM runs GROUP BY 2 UNION ALL SELECT 'topic', topic, count(*), NULL FROM ev GROUP BY 2",
+    f"{_EV}, {_RUNS}",
+)(lambda s, d: runs.research_counts(_runs(s, d), _ev(s, d)))
+_query(
+    "first_high_quality", "SELECT least((SELECT min(us) FROM ev WHERE user_id % 2 = 0 AND score >= 480), (SELECT CASE WHEN s.created_us IS NULL OR s.created_us > r.created_us THEN r.updated_us END FROM (SELECT * FROM runs WHERE best_score >= 480 ORDER BY created_us, seed_id LIMIT 1) r "
+    "LEFT JOIN (SELECT min(created_us) AS created_us FROM runs WHERE seed_id IN (SELECT seed_id FROM ev WHERE user_id % 2 = 0 AND score >= 480)) s ON true)) AS high_us", f"{_EV}, {_RUNS}"
+)(lambda s, d: _us(runs.first_high_quality(_runs(s, d), _ev(s, d).where("CAST(seed_id AS INT) % 2 = 0").select("seed_id", F.col("created_at").alias("at"), "score"), _ev(s, d).select(F.col("created_at").alias("at"), "score"), 480.0), "high_at"))
+_NOON = datetime.datetime(2024, 1, 15, 12)
+for _name, _span in (("15m", 900), ("6h", 21_600), ("7d", 604_800)):
+    _on_events(f"window_{_name}", lambda e, w=_name: views.in_window(e, w, _NOON).agg(F.count("*").alias("n"), F.min(monitor.micros()).alias("first_us")), f"SELECT count(*) AS n, min(us) AS first_us FROM ev WHERE us <= epoch_us(TIMESTAMP '2024-01-15 12:00:00') AND us >= epoch_us(TIMESTAMP '2024-01-15 12:00:00') - {_span}000000")
+_on_events("time_text_place", lambda e: e.where(views.time_text(" #12", order="event_id")).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM ev WHERE contains('#' || CAST(event_id AS VARCHAR), '#12')")
+_on_events(
+    "duration_labels", lambda e: monitor.elapsed(e).groupBy(views.duration_label(F.col("elapsed")).alias("label")).agg(F.count("*").alias("n")),
+    "SELECT CASE WHEN t < 60 THEN t || 's' WHEN t < 3600 THEN t // 60 || 'm ' || t % 60 || 's' WHEN t < 86400 THEN t // 3600 || 'h ' || t % 3600 // 60 || 'm' ELSE t // 86400 || 'd ' || t % 86400 // 3600 || 'h' END AS label, count(*) AS n FROM (SELECT (us - min(us) OVER (PARTITION BY seed_id)) // 1000000 AS t FROM ev) GROUP BY 1",
+)
+_DAY = "strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+_on_events(
+    "snapshot_export", lambda e: sinks.flat(eventlog.feed_snapshots(eventlog.stored(e))).select(*(F.col(c).alias(c.lower()) for c in sinks.SNAPSHOT_COLUMNS)),
+    f"SELECT {_DAY} AS timestamp, topic, stage, status, algorithm, search, strategy AS neighborhood, CAST(score AS VARCHAR) AS currentf1score, CAST(score AS VARCHAR) AS bestf1score, CASE WHEN event_id % 3 = 0 THEN CAST(score - cpu AS VARCHAR) ELSE '' END AS previousbestf1score, CASE WHEN event_id % 3 = 0 THEN CAST(cpu AS VARCHAR) ELSE '' END AS scoredelta, seed_id AS seedid, "
+    "request_id AS requestid, training AS trainingfilename, testing AS testingfilename, array_to_string(features, ' | ') AS solutionfeatures, CASE WHEN event_id % 3 = 0 THEN CAST(rcl[1] AS VARCHAR) ELSE array_to_string(rcl, ' | ') END AS rclfeatures, CAST(cpu AS VARCHAR) AS cpuusage, CAST(mem AS VARCHAR) AS memoryusage, CAST(memp AS VARCHAR) AS memoryusagepercent FROM st",
+)
+_query("export_summary", "SELECT (SELECT count(*) FROM runs) AS runs, count(*) AS snapshots, count(DISTINCT seed_id) AS seeds, count(DISTINCT request_id) + 1 AS requests FROM ev", f"{_EV}, {_RUNS}")(lambda s, d: sinks.export_summary(_runs(s, d), _ev(s, d), "another"))
+_on_events(
+    "metrics_rows", lambda e: sinks.metrics_rows(e.select("event_id", "solution_features", F.col("score").alias("f1_score"), "cpu_usage", F.lit(float("nan")).alias("memory_usage"), "classifier", F.lit(None).cast("string").alias("training_file_name")), {"id": "event_id", "features": "solution_features", "f1": "f1_score", "cpu": "cpu_usage", "memory": "memory_usage", "classifier": "classifier", "training": "training_file_name"}),
+    "SELECT CAST(event_id AS VARCHAR) AS id, '[' || array_to_string(features, ', ') || ']' AS features, printf('%.4f', score) AS f1, printf('%.4f', cpu) AS cpu, '0.0000' AS memory, classifier, 'null' AS training FROM ev",
+)
+_on_events(
+    "event_upsert", lambda e: sinks.latest_events(e.unionByName(e.where("event_id % 3 = 0").withColumns({"score": F.col("score") + 1, "created_at": F.col("created_at") + F.expr("INTERVAL 1 SECOND")})), ["event_id"]).select("event_id", "score"),
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN score + 1 ELSE score END AS score FROM ev",
+)
+_query("run_upsert", f"SELECT coalesce(n.seed_id, o.seed_id) AS seed_id, CASE WHEN n.seed_id IS NULL THEN o.best_score ELSE n.best_score END AS best_score FROM {_HALF('event_id % 3 > 0', 'stored')} o FULL JOIN {_HALF('event_id % 2 = 0 AND user_id % 4 > 0', 'new')} n ON n.seed_id = o.seed_id")(
+    lambda s, d: sinks.upsert_runs(monitor.fold_runs(_ev(s, d).where("event_id % 3 > 0")), monitor.fold_runs(_ev(s, d).where("event_id % 2 = 0 AND CAST(seed_id AS INT) % 4 > 0"))).select("seed_id", "best_score")
+)
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("read_model", ORACLE_SQL["topic_metrics"], "")
+def read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _ev(spark, sf_dir)
+    model = sinks.ReadModel(spark, _shared(spark, "model"))
+    model.serve(monitor.watermark(e, monitor.fold_runs(e)), lambda: {"topics": monitor.topic_metrics(e)})
+    return model.table("topics")
+
+
+@_query("arff_scan", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_discount), 2) AS discount FROM lineitem GROUP BY 1", "")
+def arff_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _shared(spark, "arff")
+    arff.write(table(spark, sf_dir, "lineitem").select("l_quantity", "l_tax", "l_discount", "l_returnflag"), path)
+    data = arff.subset(arff.Cache().get(spark, path), [1, 3])
+    return data.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_discount"), 2).alias("discount"))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a fold of the rows as a stream of JSON messages emits, through files in the shared folder."""
+    folder = _shared(spark, "stream")
+    rows.repartitionByRange(4, "created_at", "event_id").sortWithinPartitions("created_at", "event_id").select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value")).write.text(f"{folder}/in")
+    out = fold(folds.topic_source(spark, S.EVENT, f"{folder}/in"))
+    out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@_query("stream_verified_best", "SELECT event_id, seed_id, us AS created_us, score FROM (SELECT *, max(score) OVER (PARTITION BY seed_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM ev WHERE topic = 'SOLUTIONS_TOPIC') WHERE prior IS NULL OR score > prior")
+def stream_verified_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _us(_streamed(spark, _ev(spark, sf_dir).where(F.col("topic") == S.SOLUTIONS), folds.verify), "created_at")
+
+
+@_query("stream_run_fold", "SELECT seed_id, best_score, updates, created_us, updated_us FROM runs", f"{_EV}, {_RUNS}")
+def stream_run_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _streamed(spark, _ev(spark, sf_dir), folds.fold_runs)
+    last = out.groupBy("seed_id").agg(F.max_by(F.struct("best_score", "updates", "created_us", "updated_us"), "updates").alias("r"))
+    return last.select("seed_id", "r.*")
+
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_linestatus"]
 LABEL = "l_returnflag"

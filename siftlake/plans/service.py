@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import queue
 import threading
 import time
 from collections import deque
@@ -33,6 +34,26 @@ class Kept:
             self.held = {k: v for k, v in self.held.items() if name and not k.startswith(f"{name}:")}
 
 
+class Confirmations:
+    """A place for one confirmation: a writer is refused while it is taken, a reader waits for so many seconds."""
+
+    def __init__(self) -> None:
+        self.held: queue.Queue = queue.Queue(maxsize=1)
+
+    def offer(self, value: Any) -> bool:
+        try:
+            self.held.put_nowait(value)
+        except queue.Full:
+            return False
+        return True
+
+    def poll(self, seconds: float) -> Any | None:
+        try:
+            return self.held.get(timeout=seconds)
+        except queue.Empty:
+            return None
+
+
 @dataclass
 class Item:
     """A request in the queue: queued, dispatching, monitoring, completed, failed or cancelled."""

@@ -14,11 +14,11 @@ MESSAGE = (
 EVENT = (
     "event_id long, seed_id string, request_id string, topic string, event_type string, stage string, status string, created_at timestamp, score double, "
     "cpu_usage double, memory_usage double, memory_usage_percent double, rcl_algorithm string, local_search string, neighborhood string, "
-    "iteration_neighborhood int, training_file_name string, testing_file_name string, solution_features array<int>, rcl_features array<int>"
+    "iteration_neighborhood int, training_file_name string, testing_file_name string, solution_features array<int>, rcl_features array<int>, classifier string"
 )
 
 LAUNCH = (
-    "launch_id long, request_id string, requested_at timestamp, started_at timestamp, algorithms array<string>, training_file_name string, "
+    "launch_id long, request_id string, requested_by long, requested_at timestamp, started_at timestamp, algorithms array<string>, training_file_name string, "
     "testing_file_name string, classifier string, executions int, generations int, state string"
 )
 
@@ -28,4 +28,5 @@ TOPICS = (INITIAL, RESTART, SOLUTIONS, PROGRESS, BEST)
 LOCAL_SEARCHES = ("BIT_FLIP", "IWSS", "IWSSR")
 STRATEGIES = ("VND", "RVND")
 SNAPSHOT_EVENTS = ("kafka.update", "kafka.progress")
+GATEWAY_EVENT, GATEWAY_TOPIC = "gateway.dispatch", "API_GATEWAY"
 UNKNOWN, NO_FILE, NO_TOPIC = "Unknown", "--", "UNSPECIFIED"

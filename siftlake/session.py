@@ -36,11 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session, as in tests, gets one of our own without it."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None)
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="siftlake-checkpoint-")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="siftlake-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

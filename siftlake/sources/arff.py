@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ATTRIBUTE = re.compile(r"""@attribute\s+('[^']*'|"[^"]*"|\S+)\s+(.+)""", re.I)
-HEADER_LINES = 100_000
+#: Most attributes of a file; one of more is refused, as its header is held by the driver.
+ATTRIBUTES = 100_000
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,9 @@ def _unquoted(text: str) -> str:
 
 def header(spark: SparkSession, path: str) -> list[Attribute]:
     """The attributes of a file, read through Spark; only lines of the header are collected."""
-    lines = spark.read.text(path).where(F.lower(F.trim("value")).startswith("@attribute")).limit(HEADER_LINES).collect()
+    lines = spark.read.text(path).where(F.lower(F.trim("value")).startswith("@attribute")).limit(ATTRIBUTES + 1).collect()
+    if len(lines) > ATTRIBUTES:
+        raise ValueError(f"more than {ATTRIBUTES} attributes in {path}")
     out = []
     for (line,) in lines:
         m = ATTRIBUTE.match(line.strip())
@@ -44,11 +47,13 @@ def header(spark: SparkSession, path: str) -> list[Attribute]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a file: numbers as double, all else as string; ? is null; a nominal column's values are in its metadata.
 
-    The class is the last column. Lines before @data, blank lines and % comments are no rows.
+    The class is the last column. Declarations, blank lines and % comments are no rows; any other line is, one that
+    begins with @ included.
     """
     attributes = header(spark, path)
     line = F.trim("value")
-    rows = spark.read.text(path).where((line != "") & ~line.startswith("%") & ~line.startswith("@"))
+    declares = F.lower(line).rlike(r"^@(relation|attribute)\s|^@data\s*$")
+    rows = spark.read.text(path).where((line != "") & ~line.startswith("%") & ~declares)
     parsed = rows.select(F.from_csv("value", ", ".join(f"`{a.name}` string" for a in attributes), {"quote": "'", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r"))
     out = []
     for place, a in enumerate(attributes):
@@ -69,6 +74,18 @@ def subset(data: DataFrame, features: list[int]) -> DataFrame:
     return data.select(*(F.col(f"`{c}`") for c in [*own, data.columns[-1]]))
 
 
+def write(data: DataFrame, path: str, relation: str = "data") -> None:
+    """A DataFrame as ARFF: numbers are numeric, other columns nominal by their distinct values; the class is the last column."""
+    kinds = dict(data.dtypes)
+    nominal = [c for c in data.columns if kinds[c] not in ("double", "float", "int", "bigint", "smallint")]
+    values = data.agg(*(F.sort_array(F.collect_set(F.col(f"`{c}`"))).alias(c) for c in nominal)).first() if nominal else {}
+    declared = [f"@attribute '{c}' " + ("{" + ",".join(map(str, values[c])) + "}" if c in nominal else "numeric") for c in data.columns]
+    lines = [f"@relation {relation}", "", *declared, "", "@data"]
+    spark = data.sparkSession
+    rows = data.select(F.concat_ws(",", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("?")) for c in data.columns)).alias("value"))
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).unionByName(rows).write.mode("overwrite").text(path)
+
+
 class Cache:
     """Data sets kept by path, length and time of change; a changed file replaces what was kept of it."""
 

@@ -38,7 +38,8 @@ def from_payload(stored: DataFrame) -> DataFrame:
         F.coalesce(f("trainingFileName", False), F.lit(S.NO_FILE)).alias("training_file_name"),
         F.coalesce(f("testingFileName", False), F.lit(S.NO_FILE)).alias("testing_file_name"),
         ints("solutionFeatures").alias("solution_features"),
-        ints("rclfeatures").alias("rcl_features"),
+        ints("rclFeatures").alias("rcl_features"),
+        F.coalesce(f("classifier", False), f("classfier", False)).alias("classifier"),
     )
 
 
@@ -75,19 +76,102 @@ def of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("test-"), (user % 3).cast("string"), F.lit(".arff")).alias("testing_file_name"),
         F.array(F.col("k") % 7 + 1, F.col("k") % 5 + 8, F.col("k") % 3 + 13).alias("solution_features"),
         F.array(F.col("k") % 4 + 16, F.col("k") % 6 + 20).alias("rcl_features"),
+        _pick(("J48", "NB"), user % 5 % 2).alias("classifier"),
     )
 
 
 def stored(events: DataFrame) -> DataFrame:
     """Events packed the way the store keeps them: fields in a JSON payload, wrapped for even ids, with a history entry for every third."""
-    entry = F.struct(F.col("score").alias("f1Score"), F.col("cpu_usage").alias("cpuUsage"), F.col("local_search").alias("localSearch"))
+    c = F.col
+    before, delta = c("score") - c("cpu_usage"), c("cpu_usage")
+    entry = F.struct(
+        c("score").alias("f1Score"), c("cpu_usage").alias("cpuUsage"), c("local_search").alias("localSearch"), before.alias("previousBestF1Score"), delta.alias("scoreDelta"),
+        (delta > 0).alias("improved"), F.lit(2).alias("solutionSize"), F.array(c("rcl_features")[0]).alias("rclFeatures"),
+    )
     body = F.struct(
-        F.when(F.col("event_id") % 3 == 0, entry).alias("historyEntry"),
-        F.col("seed_id").alias("seedId"), F.col("request_id").alias("requestId"), F.col("score").alias("f1Score"), F.col("cpu_usage").alias("cpuUsage"),
-        F.col("memory_usage").alias("memoryUsage"), F.col("memory_usage_percent").alias("memoryUsagePercent"), F.col("rcl_algorithm").alias("rclAlgorithm"),
-        F.col("local_search").alias("localSearch"), F.col("neighborhood").alias("neighborhood"), F.col("iteration_neighborhood").alias("iterationNeighborhood"),
-        F.col("training_file_name").alias("trainingFileName"), F.col("testing_file_name").alias("testingFileName"), F.col("status").alias("status"),
-        F.col("solution_features").alias("solutionFeatures"), F.col("rcl_features").alias("rclfeatures"),
+        F.when(c("event_id") % 3 == 0, entry).alias("historyEntry"),
+        c("seed_id").alias("seedId"), c("request_id").alias("requestId"), c("score").alias("f1Score"), c("cpu_usage").alias("cpuUsage"),
+        c("memory_usage").alias("memoryUsage"), c("memory_usage_percent").alias("memoryUsagePercent"), c("rcl_algorithm").alias("rclAlgorithm"),
+        c("local_search").alias("localSearch"), c("neighborhood").alias("neighborhood"), c("iteration_neighborhood").alias("iterationNeighborhood"),
+        c("training_file_name").alias("trainingFileName"), c("testing_file_name").alias("testingFileName"), c("status").alias("status"),
+        c("solution_features").alias("solutionFeatures"), c("rcl_features").alias("rclfeatures"), F.array(c("local_search")).alias("enabledLocalSearches"),
+        F.when(c("event_id") % 5 > 0, c("classifier")).alias("classifier"), F.when(c("event_id") % 5 == 0, c("classifier")).alias("classfier"),
     )
-    packed = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(body.alias("payload")))).otherwise(F.to_json(body))
+    packed = F.when(c("event_id") % 2 == 0, F.to_json(F.struct(body.alias("payload")))).otherwise(F.to_json(body))
     return events.select("event_id", F.lit(None).cast("string").alias("seed_id"), F.lit(None).cast("string").alias("request_id"), "topic", "event_type", F.col("stage"), "created_at", packed.alias("payload"))
+
+
+def _snapshot(stored: DataFrame) -> DataFrame:
+    """Stored rows with the structs `s`, the snapshot (wrapped or bare), and `h`, its history entry."""
+    rows = stored.withColumn("p", payload.parsed())
+    wrapped, fields = F.col("p.payload"), [*payload.FIELDS, "historyEntry"]
+    bare = F.struct(*(F.col(f"p.{f}").alias(f) for f in fields))
+    return rows.withColumn("s", F.coalesce(wrapped, bare)).withColumn("h", F.col("s.historyEntry"))
+
+
+def _first(*columns: str) -> Column:
+    """The first of some fields that holds text."""
+    return F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in columns))
+
+
+def _any(name: str) -> Column:
+    return F.coalesce(F.col(f"h.{name}"), F.col(f"s.{name}"))
+
+
+def _ints(*columns: str) -> Column:
+    return F.coalesce(F.from_json(_first(*columns), "array<int>"), F.array().cast("array<int>"))
+
+
+def feed_snapshots(stored: DataFrame) -> DataFrame:
+    """The search snapshot of each stored event as flat columns: history entry before snapshot before the event itself.
+
+    Lists that are missing are empty, and the sizes default to their lengths. The payload's JSON is read once.
+    """
+    number, bool_ = payload.number, lambda c: c.try_cast("boolean")
+    out = _snapshot(stored).select(
+        "event_id", "event_type",
+        _first("s.seedId", "seed_id").alias("seed_id"), _first("s.requestId", "h.requestId", "request_id").alias("request_id"),
+        _first("h.topic", "topic", "s.topic").alias("topic"), _first("h.stage", "stage", "s.stage").alias("stage"), _first("s.status").alias("status"),
+        F.coalesce("created_at", F.col("s.updatedAt").try_cast("timestamp"), F.col("s.createdAt").try_cast("timestamp")).alias("created_at"),
+        _first("s.rclAlgorithm").alias("rcl_algorithm"), _first("s.classifier", "s.classfier").alias("classifier"),
+        _first("h.localSearch", "s.localSearch").alias("local_search"), _first("h.neighborhood", "s.neighborhood").alias("neighborhood"),
+        number(F.coalesce("h.f1Score", "s.currentF1Score", "s.f1Score")).alias("current_score"),
+        number(F.coalesce("s.bestF1Score", "s.currentF1Score", "s.f1Score")).alias("best_score"),
+        _first("s.trainingFileName").alias("training_file_name"), _first("s.testingFileName").alias("testing_file_name"),
+        _any("iterationNeighborhood").try_cast("int").alias("iteration_neighborhood"), _any("iterationLocalSearch").try_cast("int").alias("iteration_local_search"),
+        number(_any("previousBestF1Score")).alias("previous_best"), number(_any("scoreDelta")).alias("delta"), bool_(_any("improved")).alias("improved"),
+        _ints("h.solutionFeatures", "s.solutionFeatures").alias("solution_features"), _ints("h.rclFeatures", "s.rclFeatures").alias("rcl_features"),
+        F.coalesce(F.from_json(_any("enabledLocalSearches"), "array<string>"), F.array().cast("array<string>")).alias("enabled_local_searches"),
+        _any("solutionSize").try_cast("int").alias("_solution_size"), _any("rclSize").try_cast("int").alias("_rcl_size"),
+        number(_any("memoryUsage")).alias("memory_usage"), number(_any("memoryUsagePercent")).alias("memory_usage_percent"), number(_any("cpuUsage")).alias("cpu_usage"),
+    )
+    sized = out.withColumns({"solution_size": F.coalesce("_solution_size", F.size("solution_features")), "rcl_size": F.coalesce("_rcl_size", F.size("rcl_features"))})
+    return sized.drop("_solution_size", "_rcl_size")
+
+
+#: Columns of a history entry.
+ENTRY = (
+    "event_id", "seed_id", "created_at", "request_id", "stage", "topic", "event_type", "score", "previous_best", "delta", "improved", "cpu_usage", "memory_usage", "memory_usage_percent",
+    "local_search", "neighborhood", "iteration_neighborhood", "iteration_local_search", "solution_size", "rcl_size", "enabled_local_searches", "rcl_features", "solution_features",
+)
+
+
+def history_entries(stored: DataFrame) -> DataFrame:
+    """Stored events as entries of their run's history; the score is that of the message, never the run's best."""
+    return feed_snapshots(stored).withColumnRenamed("current_score", "score").select(*ENTRY)
+
+
+def history_snapshots(runs: DataFrame, entries: DataFrame) -> DataFrame:
+    """History entries with what only their run holds: an entry's own value goes before the run's. Runs without history have no row."""
+    own = set(entries.columns) - {"seed_id"}
+    r = runs.select("seed_id", *(F.col(c).alias(f"_{c}") for c in runs.columns if c != "seed_id"))
+    rows = entries.join(r, "seed_id")
+    pick = lambda name, run: F.coalesce(*([F.col(name)] if name in own else []), *(F.col(f"_{c}") for c in run if f"_{c}" in r.columns))
+    from_run = ("rcl_algorithm", "classifier", "training_file_name", "testing_file_name", "status")
+    both = ("request_id", "local_search", "neighborhood", "iteration_neighborhood", "iteration_local_search", "previous_best", "delta", "improved", "solution_features", "rcl_features", "solution_size", "rcl_size", "cpu_usage", "memory_usage", "memory_usage_percent")
+    known = lambda name: name in own or f"_{name}" in r.columns
+    return rows.select(
+        "seed_id", "event_id", "topic", "stage", F.coalesce("created_at", "_updated_at", "_created_at").alias("created_at"),
+        pick("score", ["current_score"]).alias("current_score"), pick("score", ["best_score", "current_score"]).alias("best_score"),
+        *(pick(c, [c]).alias(c) for c in both if known(c)), *(F.col(f"_{c}").alias(c) for c in from_run if f"_{c}" in r.columns),
+    )

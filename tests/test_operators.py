@@ -52,7 +52,7 @@ def test_research_summary_fixture(spark):
         "cpu_usage double, memory_usage_percent double, solution_features array<int>, rcl_features array<int>, created_at timestamp, updated_at timestamp",
     )
     history = spark.createDataFrame([("seed-1", "req-1", at(2), 88.0, 8.0, True), ("seed-1", "req-1", at(7), 96.0, 8.0, True), ("seed-2", "req-2", at(9), 90.0, 3.0, True)], "seed_id string, request_id string, at timestamp, score double, delta double, improved boolean")
-    seen = spark.createDataFrame([("req-1", at(1)), ("req-2", at(4))], "request_id string, at timestamp")
+    seen = spark.createDataFrame([("req-1", at(1), None), ("req-2", at(4), 97.0)], "request_id string, at timestamp, score double")
     r = runs.research_summary(own, history, seen).first()
     assert (r.runs, r.dataset_pairs, r.high_quality_runs, r.seconds_to_high_quality, r.best_seed, r.best_score) == (2, 2, 1, 7, "seed-1", 96.0)
     assert (r.improvements, r.avg_improvement, r.max_improvement, r.requests) == (3, round(19 / 3, 6), 8.0, 2)

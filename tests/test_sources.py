@@ -63,10 +63,10 @@ def test_sinks(spark, tmp_path):
     e = log(spark).limit(20)
     sinks.snapshots_csv(e, f"{tmp_path}/s")
     back = spark.read.option("header", True).csv(f"{tmp_path}/s")
-    assert back.columns == list(sinks.SNAPSHOT_COLUMNS) and back.count() == 20 and " | " in back.first().solution_features
+    assert back.columns == list(sinks.SNAPSHOT_COLUMNS) and back.count() == 20 and " | " in back.first().solutionFeatures
     sinks.metrics_csv(spark.createDataFrame([("a", 1.23456, float("nan")), ("b", None, 2.0)], "k string, x double, y double"), f"{tmp_path}/m", ["x", "y"])
     assert sorted(open(p).read() for p in (tmp_path / "m").glob("part*"))[-1].startswith("k;x;y\n")
-    row = sinks.export_summary(monitor.fold_runs(e), e).first()
+    row = sinks.export_summary(monitor.fold_runs(e), e).first()  # of runs and rows
     assert row.snapshots == 20 and row.seeds == row.runs
     sinks.json_export(monitor.fold_runs(e), e, f"{tmp_path}/j")
     assert spark.read.json(f"{tmp_path}/j/snapshots").count() == 20
