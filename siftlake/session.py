@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,9 @@ TABLES = (
 )
 
 
+ROOT = Path(__file__).resolve().parent.parent
+
+
 def build_session(cpus: int | None = None, app: str = "siftlake", **conf: str) -> SparkSession:
     """A local session with the settings the library is tested under; a cluster brings its own."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
@@ -24,12 +29,22 @@ def build_session(cpus: int | None = None, app: str = "siftlake", **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.executorEnv.PYTHONPATH", str(ROOT))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster that hasn't got it installed: call once, before the first query."""
+    package = Path(tempfile.mkdtemp(prefix="siftlake-package-")) / "siftlake.zip"
+    with zipfile.ZipFile(package, "w") as archive:
+        for file in sorted((ROOT / "siftlake").rglob("*.py")):
+            archive.write(file, file.relative_to(ROOT))
+    spark.sparkContext.addPyFile(str(package))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read through Spark so that any store it can reach works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
