@@ -17,6 +17,8 @@ are not read by scan() and passed through by redact().
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,18 +98,22 @@ def _linked(parts: DataFrame) -> DataFrame:
     return beside.where(needs).select(*KEY, "kind", "start", "end")
 
 
-def scan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a row for each document: doc_id, k1, k2; a row for each span of distinct documents: k1, k2, kind, start, end)."""
+def scan(documents: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(a row for each document: the carried columns, k1, k2, hit; a row for each span of distinct documents: k1, k2, kind, start, end).
+
+    Each text is scanned once: the matches, and what the caller carries along, are written and read again. hit says
+    whether the text has any match, reported or not. documents must have no columns but doc_id, text and the carried.
+    """
     text = F.coalesce("text", F.lit(""))
-    found = cut(_key(documents.select("doc_id", "text")).select("doc_id", *KEY, *(_matches(text, p).alias(name) for name, p, _ in KINDS)))
-    hit = found.where(" OR ".join(f"`{name}` IS NOT NULL" for name, _, _ in KINDS))
-    parts = cut(_parts(hit))
-    return found.select("doc_id", *KEY), parts.where(F.col("kind") < BASE).unionByName(_linked(parts))
+    found = cut(_key(documents).select(*carried, *KEY, *(_matches(text, p).alias(name) for name, p, _ in KINDS)))
+    hit = reduce(lambda a, b: a | b, (F.col(name).isNotNull() for name, _, _ in KINDS))
+    parts = cut(_parts(found.where(hit)))
+    return found.select(*carried, *KEY, hit.alias("hit")), parts.where(F.col("kind") < BASE).unionByName(_linked(parts))
 
 
 def op9_secrets(documents: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and all spans as one string."""
-    rows, spans = scan(documents)
+    rows, spans = scan(documents.select("doc_id", "text"), ["doc_id"])
     name = F.element_at(F.array(*(F.lit(k) for k, _, _ in KINDS)), F.col("kind") + 1)
     spans = spans.select(*KEY, "kind", F.struct("start", "kind", F.concat_ws(":", name, F.col("start"), F.col("end")).alias("s")).alias("x"))
     joined = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["s"]), ",")
@@ -116,7 +122,7 @@ def op9_secrets(documents: DataFrame) -> DataFrame:
         joined(F.collect_list(F.when(F.col("kind") < BASE, F.col("x")))).alias("base"),
         joined(F.collect_list("x")).alias("spans"),
     )
-    out = rows.join(of, KEY, "left")
+    out = rows.where("hit").join(of, KEY, "left").unionByName(rows.where("NOT hit"), allowMissingColumns=True)
     return out.select(
         "doc_id",
         *(F.coalesce(f"n_{KINDS[k][0]}", F.lit(0)).cast("long").alias(f"n_{KINDS[k][0]}") for k in range(BASE)),
@@ -127,18 +133,18 @@ def op9_secrets(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame) -> DataFrame:
     """The documents with each reported span, or run of overlapping spans, replaced by MASK; no row goes."""
-    _, spans = scan(documents)
+    own = documents.columns
+    # The caller's columns travel in one struct, so none of their names can clash with those used here.
+    rows, spans = scan(documents.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), "doc_id", "text"), ["row"])
     order = Window.partitionBy(*KEY).orderBy("start", "end")
     islands = spans.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
     islands = islands.withColumn("island", F.sum("new").over(order)).groupBy(*KEY, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = islands.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    own = documents.columns
-    # The caller's columns travel in one struct, so none of their names can clash with those used here.
-    keyed = _key(documents.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), "doc_id", "text"))
-    keyed = keyed.withColumn("may", F.coalesce(F.greatest(*(F.col("text").rlike(p) for _, p, _ in KINDS)), F.lit(False)))
-    end, start = (lambda k: F.coalesce(F.get("cuts", k)["end"], F.lit(0)).cast("int")), (lambda k: F.coalesce(F.get("cuts", k)["start"], F.length("text").cast("long")).cast("int"))
-    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda k: F.substring(F.col("text"), end(k - 1) + 1, start(k) - end(k - 1))), MASK)
-    hit = keyed.where("may").join(cuts, KEY, "left").withColumn("text", F.when(F.col("cuts").isNotNull(), clean).otherwise(F.col("text")))
+    text = F.col("row.text")
+    end, start = (lambda k: F.coalesce(F.get("cuts", k)["end"], F.lit(0)).cast("int")), (lambda k: F.coalesce(F.get("cuts", k)["start"], F.length(text).cast("long")).cast("int"))
+    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda k: F.substring(text, end(k - 1) + 1, start(k) - end(k - 1))), MASK)
+    # Only texts with matches meet the spans: clean ones are not shuffled.
+    hit = rows.where("hit").join(cuts, KEY, "left").select("row", F.when(F.col("cuts").isNotNull(), clean).otherwise(text).alias("text"))
+    out = hit.unionByName(rows.where("NOT hit").select("row", text.alias("text")))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    shown = [(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in own]
-    return keyed.where(~F.col("may")).select(*shown).unionByName(hit.select(*shown))
+    return out.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in own))

@@ -49,6 +49,35 @@ def test_weak_parts_need_their_complement(spark):
     assert got == {1: ["identifier", "secret"], 2: [], 3: [], 4: [], 5: ["endpoint", "identifier", "secret"], 6: ["access"], 7: ["identifier", "assign"]}
 
 
+def test_linking_against_all_pairs(spark):
+    """Random parts of many texts, crowded ones among them: the interval join equals a look at all pairs."""
+    rng = random.Random(6)
+    names = [name for name, _, _ in secrets.KINDS]
+    parts = set()
+    for text in range(60):
+        for _ in range(rng.choice([2, 5, 12, 60])):
+            start = rng.randrange(0, rng.choice([300, 1500, 6000]))
+            parts.add((text, -text, rng.randrange(len(names)), start, start + rng.randint(1, rng.choice([20, 20, 700]))))
+    by_text = {}
+    for t, _, kind, start, end in parts:
+        by_text.setdefault(t, []).append((kind, start, end))
+    role = {k: r for k, (_, _, r) in enumerate(secrets.KINDS)}
+    want = set()
+    for t, own in by_text.items():
+        bases = [p for p in own if p[0] < secrets.BASE]
+        # what overlaps a base span is that span
+        clear = bases + [p for p in own if p[0] >= secrets.BASE and not any(p[1] < e and s < p[2] for _, s, e in bases)]
+        for p in clear:
+            if p[0] >= secrets.BASE:
+                near = {role[k] for k, s, e in clear if e >= p[1] - secrets.SCOPE and s <= p[2] + secrets.SCOPE}
+                needs = {"identifier": {"secret"}, "secret": {"identifier"}, "endpoint": {"secret", "identifier"}}[role[p[0]]]
+                if needs <= near:
+                    want.add((t, *p))
+    df = spark.createDataFrame(sorted(parts), "k1 long, k2 long, kind int, start long, end long").repartition(4)
+    got = [(r.k1, r.kind, r.start, r.end) for r in secrets._linked(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 50 < len(want) < len(parts)
+
+
 def test_redaction(spark):
     rows = [(1, "a password=abcdefabcdef1234 b 0123456789abcdef c", 1), (2, "clean ü", 7), (3, None, None), (1, "a password=abcdefabcdef1234 b 0123456789abcdef c", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").selectExpr("*", "'z' AS may", "doc_id AS k1", "text AS cuts")
