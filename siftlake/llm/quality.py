@@ -23,6 +23,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.llm.sampling import least_hashed
 from siftlake.session import cut
 
 #: Most labelled rows that train, candidate thresholds of a statistic, rules of a list, conditions of a rule.
@@ -126,7 +127,7 @@ def verdict(rules: list[Rule], features: str = "stats.f") -> Column:
 def learn(documents: DataFrame, labels: DataFrame) -> list[Rule]:
     """Rules that reject rows like those labelled quality 0, among rows that pass the base."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    marks = least_hashed(marks, ["doc_id"], LABELLED)
     rows = statistics(documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", "y", "text"))
     rows = rows.where(~F.col("stats.base_failed")).select((F.col("y") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) < 2).alias("grows"), F.col("stats.f").alias("f"))
     rows = cut(rows.repartition(4))
