@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import textkernel as tk
+from siftlake.llm.sampling import least_hashed
 
 #: Short notices of licence families, as their own texts recommend them or as they are commonly given.
 TEMPLATES = {
@@ -265,11 +266,7 @@ def _split(text: str) -> list[str]:
 
 def train(documents: DataFrame) -> Model:
     lines = documents.select(F.explode(F.split("text", "\n", -1)).alias("line")).where((F.length("line") > 0) & (F.length("line") <= NEGATIVE_LETTERS))
-    # The lines of the least hash, each once. A threshold leaves a few times as many as are asked for before any are
-    # sorted, so that what reaches the driver doesn't grow with the number of tasks.
-    share = 4 * NEGATIVES / max(lines.count(), 1)
-    few = lines.where(F.pmod(F.xxhash64("line"), F.lit(1 << 31)) < int(min(share, 1.0) * (1 << 31))).distinct()
-    sample = [r.line for r in few.orderBy(F.pmod(F.xxhash64("line"), F.lit(1 << 31)), "line").limit(NEGATIVES).collect()]
+    sample = [r.line for r in least_hashed(lines, ["line"], NEGATIVES, distinct=True).collect()]
     templates = [(k, word_sequence(t)) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
     vocabulary = np.unique(np.concatenate([grams(t) for _, t in templates]))
     model = Model(vocabulary, np.zeros((len(vocabulary), UNKNOWN + 1)), np.zeros(UNKNOWN + 1), 1.0, 0.0, templates)
