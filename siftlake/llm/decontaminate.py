@@ -11,7 +11,7 @@ or hold two edits, so at least n/3 - 1 pairs are kept, within 2n words. So the c
 seeds as must remain are aligned. The choice of seeds changes the cost, not the result. Of an item of three words the
 outer two are a pair as well.
 
-The benchmark is the query set: it is collected in blocks of at most BLOCK_ITEMS items, each block is broadcast and all
+The benchmark is the query set: it is collected in blocks of about BLOCK_ITEMS items or BLOCK_BYTES at most, each block is broadcast and all
 documents pass it, twice (frequencies, alignment). Documents are never shuffled, and only matches are returned.
 
 Cases: null and empty texts match nothing; items with null ids or texts, or of fewer than LEAST_WORDS words, match nothing;
@@ -37,6 +37,7 @@ LEAST_WORDS = 3
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_ITEMS = 50_000
+BLOCK_BYTES = 16_000_000
 HITS = 2_000_000
 _BITS = 20
 
@@ -172,7 +173,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _blocks(documents: DataFrame, benchmark: DataFrame) -> Iterator[tuple[list[int], list[np.ndarray], Pairs, np.ndarray]]:
     """Ids, words, seeds, and the number of seeds that an alignment holds at least, of the items of each block."""
     usable = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    blocks = -(-usable.count() // BLOCK_ITEMS)
+    size = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(-(-size.n // BLOCK_ITEMS), -(-size.bytes // BLOCK_BYTES))
     for k in range(blocks):
         rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = [word_sequence(r.text) for r in rows]
