@@ -87,3 +87,19 @@ def pages(n: int, size: int = PAGE) -> int:
 
 def export(events: DataFrame, filters: Filters, cap: int = EXPORT_CAP) -> DataFrame:
     return feed(events, filters).orderBy(*latest()).limit(cap)
+
+
+def run_history(events: DataFrame, seed_id: str, types: list[str] | None = None, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """The stored events of one run: of some types, within a closed range of time; a null time doesn't pass a range."""
+    out = events.where(F.col("seed_id") == seed_id)
+    out = out.where(F.col("event_type").isin(*dict.fromkeys(types))) if types else out
+    out = out.where(F.col("created_at") >= F.lit(since)) if since else out
+    return out.where(F.col("created_at") <= F.lit(until)) if until else out
+
+
+def table_view(rows: DataFrame, key: str, query: str = "", sort: str | None = None, descending: bool = False, number: int = 1, size: int = PAGE) -> DataFrame:
+    """A page of any table: rows in which some column holds the query, case aside, sorted by a column (null last), then by the key."""
+    text = [F.lower(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c, kind in rows.dtypes if not kind.startswith(("array", "struct", "map"))]
+    found = rows.where(reduce(lambda a, b: a | b, (F.contains(t, F.lit(query.strip().lower())) for t in text))) if query.strip() else rows
+    order = [(F.desc_nulls_last if descending else F.asc_nulls_last)(sort)] if sort else []
+    return found.orderBy(*order, key).offset((max(number, 1) - 1) * max(size, 1)).limit(max(size, 1))

@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake import schemas as S
+from siftlake.operators import scoring
+from siftlake.sources import arff
 
-#: Most rows of training or test data that are broadcast.
+#: Most rows, and most values, of training or test data that are broadcast.
 MOST_ROWS = 2_000_000
+MOST_CELLS = 50_000_000
 
 
 def confusion(actual: Column, predicted: Column, normal: Column | str) -> list[Column]:
@@ -160,8 +163,9 @@ class Problem:
     @classmethod
     def of(cls, train: DataFrame, test: DataFrame, normal: str | None = None) -> Problem:
         for df in (train, test):
-            if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
-                raise ValueError(f"more than {MOST_ROWS} rows; evaluate on a sample")
+            most = min(MOST_ROWS, MOST_CELLS // max(len(df.columns), 1))
+            if df.limit(most + 1).count() > most:
+                raise ValueError(f"more than {most} rows of {len(df.columns)} columns; evaluate on a sample")
         a, b = train.toPandas().dropna(), test.toPandas().dropna()
         label = a.columns[-1]
         classes = sorted(set(a[label].astype(str)) | set(b[label].astype(str)), key=lambda c: (c != normal, c))
@@ -261,6 +265,12 @@ def local_search(spark: SparkSession, solutions: list[tuple[Solution, str]], pro
     return {r.seed_id: (r.b.f1, list(r.b.features)) for r in best.collect()}
 
 
+def boolean(value: object) -> bool | None:
+    """A boolean, or a word for one; None for anything else."""
+    words = {"true": True, "1": True, "yes": True, "on": True, "false": False, "0": False, "no": False, "off": False}
+    return value if isinstance(value, bool) else words.get(value.strip().lower()) if isinstance(value, str) else None
+
+
 @dataclass
 class Request:
     """Parameters of a search, normalised and checked."""
@@ -287,6 +297,95 @@ class Request:
         classifier(self.classifier)
 
 
+#: The scores by which a candidate list can be ranked, by the algorithm's name.
+RANKINGS = {"IG": "info_gain", "GR": "gain_ratio", "SU": "symmetrical_uncertainty", "RF": "relieff"}
+REQUIRED = ("maxGenerations", "rclCutoff", "sampleSize", "datasetTrainingName", "datasetTestingName")
+OPTIONAL = ("neighborhoodMaxIterations", "bitFlipMaxIterations", "iwssMaxIterations", "iwssrMaxIterations")
+
+
+@dataclass
+class Launch:
+    """A request as clients send it: algorithms, the two data sets, whether parsed data may be kept, and the search."""
+
+    algorithms: list[str]
+    training: str
+    testing: str
+    use_cache: bool
+    search: Request
+
+    @classmethod
+    def of(cls, payload: dict) -> Launch:
+        """A payload checked and normalised: required fields, positive integers, words for booleans, known names only."""
+        empty = lambda c: payload.get(c) in (None, "")
+        missing = [c for c in REQUIRED if empty(c)]
+        if missing:
+            raise ValueError(f"missing: {', '.join(missing)}")
+        numbers = {}
+        for c in (*REQUIRED[:3], *OPTIONAL):
+            if not empty(c):
+                value = float(payload[c])
+                if value != int(value) or value <= 0:
+                    raise ValueError(f"{c} must be a positive integer")
+                numbers[c] = int(value)
+        given = payload.get("algorithms") or list(RANKINGS)
+        algorithms = [a for a in dict.fromkeys(str(x).strip().upper() for x in (given if isinstance(given, list) else [given])) if a in RANKINGS]
+        if not algorithms:
+            raise ValueError(f"no algorithm known; there are {sorted(RANKINGS)}")
+        listed = payload.get("localSearches") or []
+        wanted = [str(x).strip().upper() for x in (listed.split(",") if isinstance(listed, str) else listed)]
+        searches = [x for x in dict.fromkeys(wanted) if x in S.LOCAL_SEARCHES]
+        if wanted and not searches:
+            raise ValueError("no local search known")
+        cache = boolean(payload.get("useTrainingCache", False))
+        if cache is None:
+            raise ValueError("useTrainingCache must be true or false")
+        steps = {"BIT_FLIP": numbers.get("bitFlipMaxIterations", 100), "IWSS": numbers.get("iwssMaxIterations", 20), "IWSSR": numbers.get("iwssrMaxIterations", 20)}
+        search = Request(
+            generations=numbers["maxGenerations"], cutoff=numbers["rclCutoff"], sample=numbers["sampleSize"], classifier=payload.get("classifier") or "J48", strategy=str(payload.get("neighborhoodStrategy") or "VND"),
+            searches=searches or list(S.LOCAL_SEARCHES), cycles=numbers.get("neighborhoodMaxIterations", 10), steps=steps,
+        )
+        return cls(algorithms, payload["datasetTrainingName"], payload["datasetTestingName"], cache, search)
+
+
+def execute(spark: SparkSession, folder: str, payload: dict, cache: arff.Cache | None = None) -> DataFrame:
+    """The whole of a request: both data sets of a folder, the ranking of features by each algorithm, and its search.
+
+    One row for each evaluated step, as run_search(), with the algorithm and the data sets. Nominal features are scored
+    as they are, numeric ones by their cuts.
+    """
+    launch = Launch.of(payload)
+    kept = cache or arff.Cache()
+    load = lambda name: kept.get(spark, f"{folder}/{name}") if launch.use_cache else arff.read(spark, f"{folder}/{name}")
+    train, test = load(launch.training), load(launch.testing)
+    label, features = train.columns[-1], train.columns[:-1]
+    numeric = [c for c, kind in train.dtypes if kind == "double" and c != label]
+    nominal = [c for c in features if c not in numeric]
+    values = (train.schema[label].metadata or {}).get("values") or [None]
+    problem = Problem.of(_coded(train, label), _coded(test, label), values[0])
+    out = None
+    for algorithm in launch.algorithms:
+        by = RANKINGS[algorithm]
+        if algorithm == "RF":
+            scored = scoring.relieff(train, numeric, label)
+        else:
+            parts = [scoring.scores(data, names, label) for data, names in ((train, nominal), (scoring.binned(train, numeric, label) if numeric else train, numeric)) if names]
+            scored = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+        ranked = [r.place for r in scoring.top_features(scored, by, features, launch.search.cutoff).collect()]
+        found = run_search(spark, ranked, problem, launch.search).withColumns({"rcl_algorithm": F.lit(algorithm), "training_file_name": F.lit(launch.training), "testing_file_name": F.lit(launch.testing), "classifier": F.lit(launch.search.classifier)})
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _coded(data: DataFrame, label: str) -> DataFrame:
+    """Nominal features as the places of their values, so that classifiers get numbers; the class stays."""
+
+    def code(c: str, kind: str):
+        values = (data.schema[c].metadata or {}).get("values") or []
+        return F.col(f"`{c}`") if c == label or kind == "double" else F.array_position(F.array(*map(F.lit, values)), F.col(f"`{c}`")).cast("double").alias(c) if values else F.lit(0.0).alias(c)
+
+    return data.select(*(code(c, kind) for c, kind in data.dtypes))
+
+
 def run_search(spark: SparkSession, rcl: list[int], problem: Problem, request: Request) -> DataFrame:
     """Construction, evaluation and local searches of all seeds in bounded rounds; one row for each evaluated step.
 

@@ -369,6 +369,14 @@ _query("run_upsert", f"SELECT coalesce(n.seed_id, o.seed_id) AS seed_id, CASE WH
 )
 
 
+_query("run_history", "SELECT event_id, topic, score FROM ev WHERE seed_id = '7' AND topic <> 'LOCAL_SEARCH_PROGRESS_TOPIC' AND us >= epoch_us(TIMESTAMP '2024-01-05 00:00:00') AND us <= epoch_us(TIMESTAMP '2024-01-20 00:00:00')")(
+    lambda s, d: feed.run_history(_ev(s, d), "7", ["kafka.update"], datetime.datetime(2024, 1, 5), datetime.datetime(2024, 1, 20)).select("event_id", "topic", "score")
+)
+_query("table_page", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE contains(lower(c_mktsegment), 'build') ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 10 OFFSET 20", "")(
+    lambda s, d: feed.table_view(table(s, d, "customer").where(F.contains(F.lower("c_mktsegment"), F.lit("build"))), "c_custkey", "", "c_acctbal", True, 3, 10).select("c_custkey", "c_name", "c_acctbal")
+)
+
+
 def _shared(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

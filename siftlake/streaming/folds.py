@@ -6,6 +6,7 @@ same to these operators: topic_source() hides which it is.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -56,8 +57,8 @@ def activity(rows: DataFrame, window: str = "60 seconds", slide: str | None = No
 VERIFIED = "seed_id string, event_id long, created_at timestamp, score double"
 
 
-def verify(rows: DataFrame) -> DataFrame:
-    """New bests of each seed: a message whose score (null: 0) beats all earlier ones of its seed; the first counts."""
+def verify(rows: DataFrame, first: bool = True) -> DataFrame:
+    """New bests of each seed: a message whose score (null: 0) beats all earlier ones of its seed; the first counts, or doesn't."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best = state.get[0] if state.exists else None
@@ -66,8 +67,9 @@ def verify(rows: DataFrame) -> DataFrame:
         for row in frame.itertuples():
             score = 0.0 if pd.isna(row.score) else float(row.score)
             if best is None or score > best:
-                best = score
-                out.append((key[0], row.event_id, row.created_at, score))
+                told, best = first or best is not None, score
+                if told:
+                    out.append((key[0], row.event_id, row.created_at, score))
         state.update((best,))
         yield pd.DataFrame(out, columns=["seed_id", "event_id", "created_at", "score"])
 
@@ -111,6 +113,106 @@ def fold_runs(rows: DataFrame) -> DataFrame:
     return own.groupBy("seed_id").applyInPandasWithState(step, RUN, _RUN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def notify(rows: DataFrame) -> DataFrame:
+    """Improvements to tell of: a message that beats all earlier ones of its seed; the first one only sets the mark."""
+    return verify(rows, first=False)
+
+
+#: Fields of a run's state, by how a message changes them: always by what it names, unless the run is completed by what
+#: it names, unless completed by what it holds, and always by what it holds.
+FOLLOWED = ("request_id", "rcl_algorithm", "classifier", "training_file_name", "testing_file_name")
+CARRIED = ("local_search", "neighborhood", "iteration_neighborhood", "solution_features", "rcl_features")
+FRESH = ("current_score", "previous_best", "delta", "improved")
+LATEST = ("cpu_usage", "memory_usage", "memory_usage_percent")
+STATE = (
+    "seed_id string, status string, stage string, topic string, request_id string, rcl_algorithm string, classifier string, training_file_name string, testing_file_name string, local_search string, "
+    "neighborhood string, iteration_neighborhood int, solution_features array<int>, rcl_features array<int>, current_score double, best_score double, previous_best double, delta double, improved boolean, "
+    "cpu_usage double, memory_usage double, memory_usage_percent double, created_us long, updated_us long, completed_us long, updates long, "
+    "history array<struct<us: long, request_id: string, topic: string, stage: string, score: double, previous_best: double, delta: double, improved: boolean, local_search: string, cpu_usage: double>>"
+)
+_MESSAGE = ("event_id", "us", "topic", "stage", "score", *FOLLOWED, *CARRIED, *LATEST)
+
+
+def advance(run: dict, m: dict, cycles: int, searches: int, history: int, progress: bool = True) -> dict:
+    """The state of a run after a message; a completed run keeps what it shows, but for another message that ends it."""
+    steps = cycles * searches if (m["neighborhood"] or run.get("neighborhood") or "").upper() == "VND" else cycles
+    step = m["iteration_neighborhood"] if m["iteration_neighborhood"] is not None else run.get("iteration_neighborhood")
+    ends = m["topic"] == S.SOLUTIONS and step is not None and step >= steps
+    keeps = run.get("status") == "completed" and not ends
+    score, best = m["score"], run.get("best_score")
+    delta = None if score is None or best is None else round(score - best, 6)
+    told = {"current_score": score, "previous_best": best, "delta": delta, "improved": score is not None and (best is None or score > best)}
+    new = dict(run)
+    for c in FRESH:
+        new[c] = run[c] if keeps and run.get(c) is not None else told[c]
+    for c in CARRIED:
+        values = (run.get(c), m[c]) if keeps else (m[c], run.get(c))
+        new[c] = next((v for v in values if v not in (None, "")), None)
+    for c in FOLLOWED:
+        new[c] = m[c] or run.get(c)
+    for c in LATEST:
+        new[c] = m[c]
+    if not keeps:
+        new |= {"stage": m["stage"], "topic": m["topic"], "status": "completed" if ends else "running"}
+    if ends:
+        new["completed_us"] = m["us"]
+    if score is not None:
+        new["best_score"] = score if best is None else max(best, score)
+    if progress or m["topic"] != S.PROGRESS:
+        entry = {"us": m["us"], "request_id": new["request_id"], "topic": m["topic"], "stage": m["stage"], "score": score, **{c: told[c] for c in FRESH[1:]}, "local_search": m["local_search"], "cpu_usage": m["cpu_usage"]}
+        new["history"] = [*run.get("history", []), entry][-history:]
+    return new | {"updates": run.get("updates", 0) + 1, "created_us": run.get("created_us", m["us"]), "updated_us": m["us"]}
+
+
+def fold_states(rows: DataFrame, cycles: int = 10, searches: int = len(S.LOCAL_SEARCHES), history: int = 500, progress: bool = True) -> DataFrame:
+    """The whole state of each seed's run, with its newest history entries, once for each batch that has messages of it.
+
+    A batch's messages are taken in order of time. The state of a seed is one JSON text of bounded length.
+    """
+    names = [x.split()[0] for x in STATE.split(", history ")[0].split(", ")] + ["history"]
+    plain = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v.tolist() if hasattr(v, "tolist") else v
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run = json.loads(state.get[0]) if state.exists else {}
+        for row in pd.concat(list(frames)).sort_values(["us", "event_id"]).to_dict("records"):
+            m = {c: plain(row[c]) for c in _MESSAGE}
+            m["iteration_neighborhood"] = None if m["iteration_neighborhood"] is None else int(m["iteration_neighborhood"])
+            run = advance(run, m, cycles, searches, history, progress)
+        state.update((json.dumps(run),))
+        yield pd.DataFrame([{"seed_id": key[0]} | run]).reindex(columns=names).astype(object)
+
+    own = rows.where("seed_id IS NOT NULL").withColumn("us", F.unix_micros("created_at")).select("seed_id", *_MESSAGE)
+    return own.groupBy("seed_id").applyInPandasWithState(step, STATE, "run string", "append", GroupStateTimeout.NoTimeout)
+
+
+class LiveWindow:
+    """The newest events over all seeds, for clients: at most so many are held, whatever a batch brings."""
+
+    def __init__(self, size: int = 300) -> None:
+        self.size, self.held, self.clients = size, [], []
+
+    def take(self, batch: DataFrame, _id: int = 0) -> None:
+        """A micro-batch, for foreachBatch: its newest rows join those held, and each goes to every client, oldest first."""
+        order = [F.desc("created_at"), F.desc("event_id")]
+        new = batch.orderBy(*order).limit(self.size).collect()
+        self.held = sorted([*new, *self.held], key=lambda r: (r.created_at, r.event_id), reverse=True)[: self.size]
+        for row in reversed(new):
+            for client in list(self.clients):
+                client("event", row)
+
+    def join(self, client: Callable[[str, object], None]) -> Callable[[], None]:
+        """A client gets what is held at once, then each event; the answer takes it off again."""
+        client("snapshot", list(self.held))
+        self.clients.append(client)
+        return lambda: self.clients.remove(client)
+
+    def rehydrate(self, stored: DataFrame) -> None:
+        """What is held after a restart: the newest stored events. No client is told."""
+        clients, self.clients = self.clients, []
+        self.take(stored)
+        self.clients = clients
+
+
 ROUTED = "seed_id string, iteration int, local_search string, best_score double, action string"
 _ROUTE_STATE = "best double, baseline double, place int, iteration int"
 
@@ -119,40 +221,49 @@ def route(rows: DataFrame, strategy: str, searches: tuple[str, ...] = S.LOCAL_SE
     """The neighborhood step of each result message: which search is next, or that the seed restarts or ends.
 
     VND takes the searches in turn and starts a new cycle if the last one improved; RVND restarts on improvement and
-    otherwise draws the next search, by a hash of seed and step, so that a replay draws the same.
+    otherwise draws the next search, by a hash of seed and step, so that a replay draws the same. A message's own
+    iteration_neighborhood says how many steps were dispatched, where it tells; one beyond the budget is passed over. The
+    state of a seed goes with its end.
     """
     turns = strategy.upper() == "VND"
     budget = max(cycles * len(searches), len(searches)) if turns else cycles
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, baseline, place, iteration = state.get if state.exists else (None, None, -1, 0)
-        out = []
+        fresh = (None, None, -1, 0)
+        best, baseline, place, iteration = state.get if state.exists else fresh
+        out, ended = [], not state.exists
         for row in pd.concat(list(frames)).sort_values(["created_at", "event_id"]).itertuples():
+            iteration = iteration if pd.isna(row.step) else int(row.step)
+            if iteration > budget:
+                (best, baseline, place, iteration), ended = fresh, True
+                continue
             score = 0.0 if pd.isna(row.score) else float(row.score)
             better = best is not None and score > best
             best = score if best is None else max(best, score)
-            baseline = best if baseline is None else baseline
-            if iteration >= budget:
+            baseline, ended = best if baseline is None else baseline, False
+            idle = turns and place + 1 == len(searches) and best <= baseline
+            if iteration == budget or idle:
                 out.append((key[0], iteration, None, best, "done"))
+                (best, baseline, place, iteration), ended = fresh, True
                 continue
             iteration += 1
             action = "next"
             if turns:
                 place += 1
                 if place == len(searches):
-                    if best <= baseline:
-                        place = len(searches) - 1
-                        out.append((key[0], iteration, None, best, "done"))
-                        continue
                     place, baseline, action = 0, best, "restart"
             else:
                 action = "restart" if better else "next"
                 place = _draw(f"{seed}|{key[0]}|{iteration}", len(searches))
             out.append((key[0], iteration, searches[place], best, action))
-        state.update((best, baseline, place, iteration))
+        if not ended:
+            state.update((best, baseline, place, iteration))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=[x.split()[0] for x in ROUTED.split(", ")])
 
-    own = for_strategy(rows, strategy).where("seed_id IS NOT NULL").select("seed_id", "event_id", "created_at", "score")
+    told = F.col("iteration_neighborhood") if "iteration_neighborhood" in rows.columns else F.lit(None).cast("int")
+    own = for_strategy(rows, strategy).where("seed_id IS NOT NULL").select("seed_id", "event_id", "created_at", "score", told.alias("step"))
     return own.groupBy("seed_id").applyInPandasWithState(step, ROUTED, _ROUTE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -1,9 +1,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftlake import schemas as S
-from siftlake.operators import monitor
+from siftlake.operators import feed, monitor, runs, search, views
 from siftlake.plans import registry
 from siftlake.sources import arff, catalog, sinks
 from siftlake.streaming import folds
@@ -120,6 +121,65 @@ def test_streamed_fold_equals_batch(spark, tmp_path):
     assert {s: (r.updates, r.best_score, r.completed) for s, r in last.items()} == {s: (r.updates, r.best_score, r.completed) for s, r in want.items()}
 
 
+def test_streamed_states_equal_batch(spark, tmp_path):
+    rows = log(spark)
+    out = folds.fold_states(stream(spark, tmp_path, rows), 2, 3, history=5)
+    last = {}
+    for r in drain(spark, out, tmp_path):
+        if r.seed_id not in last or r.updates > last[r.seed_id].updates:
+            last[r.seed_id] = r
+    want = {r.seed_id: r for r in runs.run_states(rows, F.lit(2), F.lit(3)).collect()}
+    assert set(last) == set(want)
+    same = [c for c in (*folds.FOLLOWED, *folds.CARRIED, *folds.FRESH, *folds.LATEST, "status", "stage", "topic", "best_score", "updates")]
+    for seed, r in last.items():
+        assert {c: r[c] for c in same} == {c: want[seed][c] for c in same}, seed
+    newest = {r.seed_id: [h.event_id for h in r.history] for r in views.runs_with_events(want_runs(rows), rows, 5).collect()}
+    times = {r.event_id: r.us for r in rows.selectExpr("event_id", "unix_micros(created_at) AS us").collect()}
+    assert all([h.us // 1000 for h in reversed(last[s].history)] == [times[i] // 1000 for i in ids] for s, ids in newest.items())
+
+
+def want_runs(rows):
+    return monitor.fold_runs(rows)
+
+
+def test_notify_and_live_window(spark, tmp_path):
+    rows = log(spark).where(f"topic = '{S.SOLUTIONS}'")
+    got = {(r.seed_id, r.event_id) for r in drain(spark, folds.notify(stream(spark, tmp_path, rows)), tmp_path)}
+    first = {r.seed_id: r.event_id for r in rows.orderBy(F.desc("created_at"), F.desc("event_id")).collect()}
+    assert got == {(r.seed_id, r.event_id) for r in monitor.verified_best(rows).collect()} - set(first.items())
+    window, told = folds.LiveWindow(4), []
+    window.rehydrate(rows.where("event_id % 2 = 0"))
+    leave = window.join(lambda kind, value: told.append((kind, value)))
+    window.take(rows.where("event_id % 2 = 1"))
+    leave()
+    window.take(rows.limit(1))
+    assert [r.event_id for r in window.held] == [r.event_id for r in rows.orderBy(F.desc("created_at"), F.desc("event_id")).limit(4).collect()]
+    assert told[0][0] == "snapshot" and len(told[0][1]) == 4 and [k for k, _ in told[1:]] == ["event"] * 4
+
+
+def test_request_as_a_whole(spark, folder):
+    lines = ARFF + "".join(f"{k % 7},{'tcp' if k % 2 else 'udp'},{k % 5},{'attack' if k % 2 else 'normal'}\n" for k in range(40))
+    for name in ("flow_train.arff", "flow_test.arff"):
+        (folder / name).write_text(lines.replace("?", "1"))
+    payload = {"maxGenerations": "2", "rclCutoff": 3, "sampleSize": 1, "datasetTrainingName": "flow_train.arff", "datasetTestingName": "flow_test.arff", "classifier": "NB", "algorithms": ["ig", "IG", "rf", "x"], "localSearches": "iwss, what", "neighborhoodMaxIterations": 1, "useTrainingCache": "yes"}
+    out = search.execute(spark, str(folder), payload).collect()
+    assert {r.rcl_algorithm for r in out} == {"IG", "RF"} and {r.local_search for r in out} == {"", "IWSS"}
+    assert max(r.best_f1 for r in out if r.rcl_algorithm == "IG") > 95
+    assert all(len({r.seed_id for r in out if r.rcl_algorithm == a}) == 2 for a in ("IG", "RF"))
+    for bad in ({"rclCutoff": ""}, {"sampleSize": 1.5}, {"maxGenerations": 0}, {"localSearches": ["no"]}, {"useTrainingCache": "maybe"}, {"neighborhoodStrategy": "XND"}, {"algorithms": ["no"]}, {"classifier": "no"}):
+        with pytest.raises(ValueError):
+            search.Launch.of(payload | bad)
+
+
+def test_tables_and_run_history(spark):
+    rows = spark.createDataFrame([(k, f"name {k % 3}", None if k == 4 else float(-k)) for k in range(9)], "k int, name string, x double")
+    at = lambda **a: [r.k for r in feed.table_view(rows, "k", **a).collect()]
+    assert at(query="NAME 1") == [1, 4, 7] and at(sort="x") == [8, 7, 6, 5, 3, 2, 1, 0, 4] and at(sort="x", descending=True, number=2, size=3) == [3, 5, 6] and at(query="none") == []
+    e = log(spark)
+    one = feed.run_history(e, "7", ["kafka.update"], dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20))
+    assert one.count() == e.where("seed_id = '7' AND event_type = 'kafka.update' AND created_at BETWEEN '2024-01-05' AND '2024-01-20'").count() > 0
+
+
 def test_routes_stay_within_budget(spark, tmp_path):
     rows = log(spark).where(f"topic = '{S.SOLUTIONS}'")
     out = drain(spark, folds.route(stream(spark, tmp_path, rows), "VND", cycles=2), tmp_path)
