@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftlake.llm import bpe, decontaminate, html, licences, neardup, quality, secrets, sharding, toxicity, wordpiece
@@ -51,6 +52,24 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What quality rules are learned from and the base decides: no label is read."""
+    out = quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *(F.col(f"stats.{c}").alias(c) for c in (*quality.BASE, "base_failed")))
+
+
+def _secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op9(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def _shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each shard whether its slots are gapless from 0, and its bytes within a fiftieth of the mean, or the longest text, of it."""
+    own = _op4(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.sum("size").alias("bytes"), F.max("size").alias("most"))
+    mean = own.agg((F.sum("bytes") / sharding.SHARDS).alias("mean"), F.max("most").alias("longest"))
+    gapless = (F.col("first") == 0) & (F.col("last") == F.col("n") - 1) & (F.col("slots") == F.col("n"))
+    return own.crossJoin(F.broadcast(mean)).select("shard", gapless.alias("gapless"), (F.abs(F.col("bytes") - F.col("mean")) <= F.greatest(F.col("mean") / 50, F.col("longest"))).alias("near_equal"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _op1,
@@ -64,6 +83,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": _op9,
         "op10_decontamination": _op10,
         "pipeline": corpus_pipeline.run,
+        # Columns of the above that SQL can express.
+        "quality_base": _quality_base,
+        "secret_counts": _secret_counts,
+        "shard_laws": _shard_laws,
     }
 
 
@@ -82,6 +105,26 @@ SELECT doc_id, any_value(n) AS n_shingles, min(r) AS component_id, doc_id = min(
 """
 
 
+_QUALITY_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, len(w) AS k, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+runs AS (SELECT doc_id, k, i, concat_ws(' ', x, lead(x, 1) OVER d, lead(x, 2) OVER d, lead(x, 3) OVER d, lead(x, 4) OVER d) AS x FROM places WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM runs WHERE i <= k - 4) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM twice, (SELECT unnest(range(5)) AS d) GROUP BY 1),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed
+FROM t JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+"""
+_SECRET_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex
+FROM t
+"""
+_SHARD_SQL = "SELECT CAST(unnest(range(24)) AS INTEGER) AS shard, true AS gapless, true AS near_equal"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the others: learned models, greedy packing and matching, BPE, alignment, HTML, and look-around patterns."""
-    return {"op7_near_duplicates": _OP7_SQL}
+    return {"op7_near_duplicates": _OP7_SQL, "quality_base": _QUALITY_SQL, "secret_counts": _SECRET_SQL, "shard_laws": _SHARD_SQL}

@@ -1,0 +1,25 @@
+"""Registered queries of the training-data operators against their DuckDB SQL."""
+
+import os
+
+import duckdb
+import pytest
+
+from siftlake.llm import registry
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not there")
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "labels", "pages", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = registry.queries()[name](spark, DATA)
+    columns = sorted(df.columns)
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+    cursor = duck.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    assert got == sorted((tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()), key=str)
