@@ -464,28 +464,28 @@ def catalog_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIMENSIONS = 64
 
 
-def _vectors(spark: SparkSession, sf_dir: str, columns: int = 12) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select(*(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(columns)), F.concat(F.lit("c"), F.col("label").cast("string")).alias("class"))
+    return e.select(*(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(DIMENSIONS)), F.concat(F.lit("c"), F.col("label").cast("string")).alias("class"))
 
 
 @_query("relieff_rank")
 def relieff_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.relieff(_vectors(spark, sf_dir, DIMENSIONS), [f"x{k}" for k in range(DIMENSIONS)], "class")
+    return scoring.relieff(_vectors(spark, sf_dir), [f"x{k}" for k in range(DIMENSIONS)], "class")
 
 
 @_query("binned_scores")
 def binned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f"x{k}" for k in range(DIMENSIONS)]
-    return scoring.scores(scoring.binned(_vectors(spark, sf_dir, DIMENSIONS), names, "class"), names, "class")
+    return scoring.scores(scoring.binned(_vectors(spark, sf_dir), names, "class"), names, "class")
 
 
 def _search(spark: SparkSession, sf_dir: str, **of) -> DataFrame:
     data = _vectors(spark, sf_dir)
     split = F.pmod(F.xxhash64(*data.columns), F.lit(3)) == 0
     problem = search.Problem.of(data.where(~split), data.where(split), "c0")
-    request = search.Request(generations=2, cutoff=10, sample=3, classifier="NB", cycles=1, steps={"BIT_FLIP": 6, "IWSS": 4, "IWSSR": 3}, **of)
-    return search.run_search(spark, list(range(1, 13)), problem, request)
+    request = search.Request(generations=2, cutoff=DIMENSIONS, sample=3, classifier="NB", cycles=1, steps={"BIT_FLIP": 6, "IWSS": 4, "IWSSR": 3}, **of)
+    return search.run_search(spark, list(range(1, DIMENSIONS + 1)), problem, request)
 
 
 for _name, _searches in (("bitflip", ["BIT_FLIP"]), ("iwss", ["IWSS"]), ("iwssr", ["IWSSR"])):
