@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import textkernel as tk
+from siftlake.llm.sampling import least_hashed
+from siftlake.session import cut
 
 SIZES = (4, 5, 6)
 LABELLED = 12_000
@@ -115,8 +117,9 @@ def fit(sizes: np.ndarray, features: np.ndarray, y: np.ndarray, ratio: np.ndarra
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """The model of labelled documents that aren't held out."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    rows = documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("y", "text")
+    marks = least_hashed(marks, ["doc_id"], LABELLED)
+    # The few labelled texts are read once, and written for the two passes over them.
+    rows = cut(documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("y", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = np.ones(1 << BUCKET_BITS, bool)
@@ -133,7 +136,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
         if texts.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), *(pa.array(np.append(counts[k][some], texts[k]).astype(np.int64)) for k in (0, 1))], ["bucket", "n0", "n1"])
 
-    held = rows.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    held = cut(rows.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     empty = Model(np.zeros(1 << BUCKET_BITS), -np.inf)
     # Ratios need the sizes of the classes, which are the row of bucket -1.
     whole = held.where("bucket = -1").first()
