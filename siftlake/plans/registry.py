@@ -49,7 +49,7 @@ _LAUNCH = """launch AS (SELECT o_orderkey AS launch_id, 'req-' || CAST(o_custkey
 _NEXT = "nxt AS (SELECT *, first_value(started_us IGNORE NULLS) OVER (ORDER BY requested_us, launch_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_us FROM launch)"
 _MATCH = """matched AS (SELECT l.launch_id, r.* FROM (SELECT *, unnest(algorithms) AS alg FROM nxt) l JOIN runs r ON r.algorithm = l.alg AND r.training = l.training AND r.testing = l.testing
     AND (l.classifier IS NULL OR l.classifier = r.classifier) AND r.created_us >= coalesce(l.started_us, l.requested_us) AND (l.next_us IS NULL OR r.created_us < l.next_us))"""
-#: Lists of columns of the SQL of runs.
+#: The whole state of runs: shown messages are those up to the first end of a run, and further ends.
 _STATES = """s1 AS (SELECT *, topic = 'SOLUTIONS_TOPIC' AND iteration >= CASE WHEN strategy = 'VND' THEN 6 ELSE 2 END AS ends FROM st),
 s2 AS (SELECT *, min(us) FILTER (ends) OVER (PARTITION BY seed_id) AS first_end, max(us) FILTER (ends) OVER (PARTITION BY seed_id) AS last_end,
     max(score) OVER (PARTITION BY seed_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s1),
