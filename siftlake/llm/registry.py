@@ -58,6 +58,10 @@ def _quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"stats.{c}").alias(c) for c in (*quality.BASE, "base_failed")))
 
 
+def _token_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op3(spark, sf_dir).select("doc_id", "n_words")
+
+
 def _secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op9(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
 
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": corpus_pipeline.run,
         # Columns of the above that SQL can express.
         "quality_base": _quality_base,
+        "token_words": _token_words,
         "secret_counts": _secret_counts,
         "shard_laws": _shard_laws,
     }
@@ -116,6 +121,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed
 FROM t JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
 """
+_WORDS_SQL = r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_words FROM documents"
 _SECRET_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
@@ -127,4 +133,4 @@ _SHARD_SQL = "SELECT CAST(unnest(range(24)) AS INTEGER) AS shard, true AS gaples
 
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the others: learned models, greedy packing and matching, BPE, alignment, HTML, and look-around patterns."""
-    return {"op7_near_duplicates": _OP7_SQL, "quality_base": _QUALITY_SQL, "secret_counts": _SECRET_SQL, "shard_laws": _SHARD_SQL}
+    return {"op7_near_duplicates": _OP7_SQL, "quality_base": _QUALITY_SQL, "token_words": _WORDS_SQL, "secret_counts": _SECRET_SQL, "shard_laws": _SHARD_SQL}
