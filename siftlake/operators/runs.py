@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlake import schemas as S
 from siftlake.functions import labels
 from siftlake.operators.monitor import mean, snapshots
+from siftlake.session import cut
 
 HIGH_QUALITY = 95.0
 
@@ -318,11 +319,20 @@ def first_high_quality(runs: DataFrame, history: DataFrame, events: DataFrame, t
 def research_summary(runs: DataFrame, history: DataFrame, events: DataFrame, threshold: float = HIGH_QUALITY) -> DataFrame:
     """The research summary as one row. history: seed_id, request_id, at, score, delta, improved; events: request_id, at, score.
 
-    Sections are aggregates of one row each, joined side by side.
+    Runs, history by seed and events by request are each made once and written: they are far fewer than the events, and
+    the sections are aggregates of one row each of them, joined side by side.
     """
     score = F.coalesce("best_score", "current_score")
     size = lambda c: F.when(F.size(c) > 0, F.size(c))
+    has = lambda c: c in runs.columns
+    none = F.lit(0).cast("long")
     telemetry = F.coalesce("cpu_usage", "memory_usage_percent").isNotNull()
+    gain = F.when(F.col("delta") > 0, F.col("delta"))
+    high = F.min(F.when(F.col("score") >= threshold, F.col("at"))).alias("high")
+    seen_at = (F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
+    runs = cut(runs)
+    by_seed = cut(history.groupBy("seed_id").agg(F.count(gain).alias("gains"), F.sum(gain).alias("gain"), F.max(gain).alias("most"), high, *seen_at, F.collect_set("request_id").alias("requests")))
+    by_request = cut(events.groupBy("request_id").agg(high, *seen_at))
     totals = runs.agg(
         F.count("*").alias("runs"),
         F.countDistinct(labels.dataset_pair(F.col("training_file_name"), F.col("testing_file_name"))).alias("dataset_pairs"),
@@ -334,28 +344,29 @@ def research_summary(runs: DataFrame, history: DataFrame, events: DataFrame, thr
         mean(size("rcl_features")).alias("avg_rcl_size"),
         F.array_join(F.array_sort(F.collect_set(F.upper("local_search"))), ",").alias("searches"),
         F.array_join(F.array_sort(F.collect_set(F.upper("neighborhood"))), ",").alias("strategies"),
-        F.count_if(F.col("topic") == S.BEST).alias("best_solutions") if "topic" in runs.columns else F.lit(0).cast("long").alias("best_solutions"),
-        F.count_if("completed").alias("completed_runs") if "completed" in runs.columns else F.lit(0).cast("long").alias("completed_runs"),
+        (F.count_if(F.col("topic") == S.BEST) if has("topic") else none).alias("best_solutions"),
+        (F.count_if("completed") if has("completed") else none).alias("completed_runs"),
         F.countDistinct(F.nullif("rcl_algorithm", F.lit(""))).alias("algorithms"),
-        mean(size("enabled_local_searches")).alias("avg_enabled_searches") if "enabled_local_searches" in runs.columns else F.lit(None).cast("double").alias("avg_enabled_searches"),
+        (mean(size("enabled_local_searches")) if has("enabled_local_searches") else F.lit(None).cast("double")).alias("avg_enabled_searches"),
         F.min("created_at").alias("_run_first"),
         F.max("updated_at").alias("_run_last"),
     )
-    gains = history.agg(
-        F.count_if(F.col("delta") > 0).alias("improvements"),
-        mean(F.when(F.col("delta") > 0, F.col("delta"))).alias("avg_improvement"),
-        F.max(F.when(F.col("delta") > 0, F.col("delta"))).alias("max_improvement"),
-        F.countDistinct("seed_id").alias("runs_with_history"),
-        F.min("at").alias("_first"),
-        F.max("at").alias("_last"),
-        F.count("*").alias("history_entries"),
+    gains = by_seed.agg(
+        F.coalesce(F.sum("gains"), none).alias("improvements"),
+        F.round(F.sum("gain") / F.nullif(F.sum("gains"), F.lit(0)), 6).alias("avg_improvement"),
+        F.max("most").alias("max_improvement"),
+        F.count("*").alias("runs_with_history"),
+        F.min("first").alias("_first"),
+        F.max("last").alias("_last"),
+        F.coalesce(F.sum("n"), none).alias("history_entries"),
+        F.coalesce(F.max("n"), none).alias("max_history_depth"),
     )
-    seen = events.agg(F.count("*").alias("events"), F.min("at").alias("_event_first"), F.max("at").alias("_event_last"))
-    depth = history.groupBy("seed_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_history_depth"))
-    high = first_high_quality(runs, history, events, threshold)
-    requests = runs.select("request_id").union(history.select("request_id")).union(events.select("request_id")).agg(F.countDistinct("request_id").alias("requests"))
+    seen = by_request.agg(F.coalesce(F.sum("n"), none).alias("events"), F.min("first").alias("_event_first"), F.max("last").alias("_event_last"))
+    requests = runs.select("request_id").union(by_seed.select(F.explode("requests"))).union(by_request.select("request_id")).agg(F.countDistinct("request_id").alias("requests"))
     features = runs.select(F.explode("solution_features").alias("f")).agg(F.countDistinct("f").alias("unique_features"))
-    row = totals.crossJoin(gains).crossJoin(seen).crossJoin(requests).crossJoin(features).crossJoin(depth).crossJoin(high)
+    reached = lambda rows, *keys: rows.where("high IS NOT NULL").select(*keys, F.col("high").alias("at"), F.lit(threshold).alias("score"))
+    first_high = first_high_quality(runs, reached(by_seed, "seed_id"), reached(by_request), threshold)
+    row = totals.crossJoin(gains).crossJoin(seen).crossJoin(requests).crossJoin(features).crossJoin(first_high)
     first, last = F.least("_run_first", "_first", "_event_first"), F.greatest("_run_last", "_last", "_event_last")
     seconds = lambda a, b: F.round((F.unix_micros(b) - F.unix_micros(a)) / 1_000_000, 0).cast("long")
     share = lambda n: F.round(F.col(n) / F.greatest("runs", F.lit(1)), 6)
