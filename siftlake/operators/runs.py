@@ -70,12 +70,13 @@ def next_started(launches: DataFrame, span_seconds: int = DAY) -> DataFrame:
     table of a row for each day. So no task orders all launches.
     """
     rows = launches.withColumn("_day", _cell("requested_at", span_seconds))
-    order = Window.partitionBy("_day").orderBy("requested_at", "launch_id")
-    own = F.first("started_at", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # Backwards, so that the frames grow: a frame up to the end would be read anew for every row.
+    order = Window.partitionBy("_day").orderBy(F.desc("requested_at"), F.desc("launch_id"))
+    own = F.last("started_at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     first = F.min_by("started_at", F.when(F.col("started_at").isNotNull(), F.struct("requested_at", "launch_id"))).alias("_first")
     days = rows.groupBy("_day").agg(first)
-    later = Window.orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
-    days = days.select("_day", F.first("_first", ignorenulls=True).over(later).alias("_next_day"))
+    later = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_day", F.last("_first", ignorenulls=True).over(later).alias("_next_day"))
     return rows.withColumn("_next", own).join(days, "_day").withColumn("next_started_at", F.coalesce("_next", "_next_day")).drop("_day", "_next", "_next_day")
 
 
