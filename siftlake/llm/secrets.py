@@ -77,9 +77,9 @@ def _parts(found: DataFrame) -> DataFrame:
 def _linked(parts: DataFrame) -> DataFrame:
     """The weak candidates that stand beside complementary parts."""
     base = F.col("kind") < BASE
-    order = [F.col("start"), F.col("kind")]
-    so_far = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    # Both frames grow row by row, forwards and backwards: a frame up to the end would be read anew for every row.
+    so_far = Window.partitionBy(*KEY).orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*KEY).orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     clear = parts.withColumns({"last": F.max(F.when(base, F.col("end"))).over(so_far), "next": F.min(F.when(base, F.col("start"))).over(ahead)})
     # A weak candidate that overlaps a base span is that span.
     clear = clear.where(base | (F.coalesce(F.col("last") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))))
