@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftlake.llm import bpe, decontaminate, html, licences, neardup, quality, secrets, sharding, toxicity, wordpiece
+from siftlake.llm import bpe, decontaminate, html, licences, neardup, quality, secrets, sharding, simhash, toxicity, wordpiece
 from siftlake.session import table
 
 
@@ -52,6 +52,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op11_simhash(table(spark, sf_dir, "documents"))
+
+
 def _quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What quality rules are learned from and the base decides: no label is read."""
     out = quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": _op8,
         "op9_secrets": _op9,
         "op10_decontamination": _op10,
+        "op11_simhash": _op11,
         "pipeline": corpus_pipeline.run,
         # Columns of the above that SQL can express.
         "quality_base": _quality_base,
