@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftlake.llm import bpe, decontaminate, html, licences, neardup, quality, secrets, sharding, simhash, toxicity, wordpiece
+from siftlake.llm import bpe, crosstok, decontaminate, html, licences, neardup, quality, ranked, secrets, sharding, simhash, toxicity, wordpiece
 from siftlake.session import table
 
 
@@ -56,6 +56,14 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op11_simhash(table(spark, sf_dir, "documents"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.op12_cross_tokenizer(table(spark, sf_dir, "documents"))
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.op13_ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What quality rules are learned from and the base decides: no label is read."""
     out = quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -91,6 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": _op9,
         "op10_decontamination": _op10,
         "op11_simhash": _op11,
+        "op12_cross_tokenizer": _op12,
+        "op13_ranked": _op13,
         "pipeline": corpus_pipeline.run,
         # Columns of the above that SQL can express.
         "quality_base": _quality_base,
@@ -136,6 +146,25 @@ FROM t
 _SHARD_SQL = "SELECT CAST(unnest(range(24)) AS INTEGER) AS shard, true AS gapless, true AS near_equal"
 
 
+#: Every document that shares a term with an item is scored.
+_OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM docs),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM docs) GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id, t FROM (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals WHERE t IN (SELECT t FROM asked) GROUP BY t, docs),
+lengths AS (SELECT doc_id, 100 - 50 + (50 * n * docs) // length AS m FROM docs, totals),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN tf USING (t) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the others: learned models, greedy packing and matching, BPE, alignment, HTML, and look-around patterns."""
-    return {"op7_near_duplicates": _OP7_SQL, "quality_base": _QUALITY_SQL, "token_words": _WORDS_SQL, "secret_counts": _SECRET_SQL, "shard_laws": _SHARD_SQL}
+    return {"op7_near_duplicates": _OP7_SQL, "op13_ranked": _OP13_SQL, "quality_base": _QUALITY_SQL, "token_words": _WORDS_SQL, "secret_counts": _SECRET_SQL, "shard_laws": _SHARD_SQL}
