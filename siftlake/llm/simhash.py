@@ -405,10 +405,9 @@ def near_duplicates(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     nodes = cut(base.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     roots = components(links(nodes, nodes.count(), crowd)).select(F.col("node").alias("fp"), "root")
     of = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = of.where("root <> fp OR copies > 1").select("root").distinct()
     # Only nodes that reach another document are named to the documents; any other is its own component.
-    groups = of.join(least, "root", "left_semi")
-    named = groups.join(groups.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
+    groups = of.groupBy("root").agg(F.min("least").alias("component"), F.sum("copies").alias("documents")).where("documents > 1")
+    named = of.join(groups, "root").select("fp", "component")
     named = cut(named)
     named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
     return base.join(named.withColumn("grouped", F.lit(True)), "fp", "left").select("doc_id", "fp", F.when(F.col("grouped"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
