@@ -1,268 +1,85 @@
-"""Evaluation of feature subsets, and the searches that improve them.
+"""Searches that improve feature subsets; their state is a table.
 
-Within a search the candidates do not depend on each other's scores, so a search writes them all down first, and each
-becomes a row that is evaluated where the row is; only the best is chosen afterwards. Evaluation trains a small
-classifier in the task, on data that are broadcast: train and test data of this problem are one machine's, and their
-row counts are checked.
+A seed is a row: its features, the candidates left, its best score and where it is in its searches. The candidates of a
+search don't depend on each other's scores, so each round writes them all down by array expressions, evaluates them in
+one job, and joins the best back to the seeds. Whatever is random is drawn from a hash of the request's seed, the seed's
+name and the step, so a search repeats itself on any cluster. Only the number of seeds that go on reaches the driver.
 """
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake import schemas as S
 from siftlake.operators import scoring
+from siftlake.operators.evaluation import Problem, classifier, confusion, evaluate, evaluate_subsets, metrics
+from siftlake.session import cut
 from siftlake.sources import arff
 
-#: Most rows, and most values, of training or test data that are broadcast.
-MOST_ROWS = 2_000_000
-MOST_CELLS = 50_000_000
-
-
-def confusion(actual: Column, predicted: Column, normal: Column | str) -> list[Column]:
-    """Counts of a test: the normal class is negative; a wrong guess of another class than normal is a false positive."""
-    normal = F.lit(normal) if isinstance(normal, str) else normal
-    right = actual == predicted
-    return [
-        F.count_if(right & (predicted != normal)).alias("tp"),
-        F.count_if(right & (predicted == normal)).alias("tn"),
-        F.count_if(~right & (predicted != normal)).alias("fp"),
-        F.count_if(~right & (predicted == normal)).alias("fn"),
-    ]
-
-
-def metrics(counts: DataFrame) -> DataFrame:
-    """Accuracy, precision, recall and F1 in percent of rows with tp, tn, fp, fn; a zero denominator gives 0."""
-    ratio = lambda a, b: F.when(b > 0, 100.0 * a / b).otherwise(0.0)
-    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    out = counts.withColumns({"accuracy": ratio(tp + tn, tp + tn + fp + fn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn)})
-    p, r = F.col("precision"), F.col("recall")
-    return out.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
-
-
-def evaluate(predictions: DataFrame, actual: str, predicted: str, normal: str, keys: list[str] | None = None) -> DataFrame:
-    """Metrics of predictions, by keys."""
-    return metrics(predictions.groupBy(*(keys or [])).agg(*confusion(F.col(actual), F.col(predicted), normal)))
-
-
-class GaussianBayes:
-    """Naive Bayes with a normal density for each feature and class."""
-
-    def fit(self, x: np.ndarray, y: np.ndarray, n: int) -> GaussianBayes:
-        self.prior = np.log(np.maximum(np.bincount(y, minlength=n), 1e-9) / len(y))
-        empty = np.zeros(x.shape[1])
-        self.mean = np.array([x[y == k].mean(0) if (y == k).any() else empty for k in range(n)])
-        self.var = np.array([x[y == k].var(0) if (y == k).any() else empty + 1 for k in range(n)]) + 1e-9 * max(float(x.var(0).max(initial=0)), 1e-9) + 1e-12
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        log = [p - 0.5 * (np.log(2 * np.pi * v) + (x - m) ** 2 / v).sum(1) for p, m, v in zip(self.prior, self.mean, self.var)]
-        return np.argmax(log, axis=0)
-
-
-class EntropyTree:
-    """A decision tree of binary splits by gain ratio."""
-
-    def __init__(self, depth: int = 8, least: int = 2, pick: int | None = None, rng: np.random.Generator | None = None) -> None:
-        self.depth, self.least, self.pick, self.rng = depth, least, pick, rng
-
-    def fit(self, x: np.ndarray, y: np.ndarray, n: int) -> EntropyTree:
-        self.n = n
-        self.root = self._grow(x, y, self.depth)
-        return self
-
-    def _grow(self, x: np.ndarray, y: np.ndarray, depth: int) -> tuple:
-        counts = np.bincount(y, minlength=self.n)
-        leaf = (int(counts.argmax()),)
-        if depth == 0 or len(y) < 2 * self.least or counts.max() == len(y):
-            return leaf
-        columns = range(x.shape[1]) if not self.pick else sorted(self.rng.choice(x.shape[1], min(self.pick, x.shape[1]), replace=False))
-        best = (1e-9, None, 0.0)
-        for f in columns:
-            order = np.argsort(x[:, f], kind="stable")
-            v, left = x[order, f], np.eye(self.n)[y[order]].cumsum(0)
-            at = np.flatnonzero(v[1:] > v[:-1]) + 1
-            at = at[(at >= self.least) & (at <= len(y) - self.least)]
-            if len(at):
-                a, b = left[at - 1], counts - left[at - 1]
-                share = at / len(y)
-                gain = _entropy(counts[None])[0] - share * _entropy(a) - (1 - share) * _entropy(b)
-                ratio = gain / np.maximum(-(share * np.log2(share) + (1 - share) * np.log2(1 - share)), 1e-9)
-                k = int(ratio.argmax())
-                if gain[k] > 1e-9 and ratio[k] > best[0]:
-                    best = (float(ratio[k]), f, float((v[at[k] - 1] + v[at[k]]) / 2))
-        if best[1] is None:
-            return leaf
-        low = x[:, best[1]] <= best[2]
-        return best[1], best[2], self._grow(x[low], y[low], depth - 1), self._grow(x[~low], y[~low], depth - 1)
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), int)
-
-        def go(node: tuple, rows: np.ndarray) -> None:
-            if len(node) == 1:
-                out[rows] = node[0]
-            else:
-                low = x[rows, node[0]] <= node[1]
-                go(node[2], rows[low])
-                go(node[3], rows[~low])
-
-        go(self.root, np.arange(len(x)))
-        return out
-
-
-def _entropy(counts: np.ndarray) -> np.ndarray:
-    p = counts / np.maximum(counts.sum(-1, keepdims=True), 1)
-    return -(p * np.log2(np.where(p > 0, p, 1))).sum(-1)
-
-
-class EntropyForest:
-    """Trees of bootstrapped rows and random features, that vote."""
-
-    def __init__(self, trees: int = 25, seed: int = 1) -> None:
-        self.trees, self.seed = trees, seed
-
-    def fit(self, x: np.ndarray, y: np.ndarray, n: int) -> EntropyForest:
-        rng, self.n, self.grown = np.random.default_rng(self.seed), n, []
-        for _ in range(self.trees):
-            rows = rng.integers(0, len(x), len(x))
-            self.grown.append(EntropyTree(pick=max(1, int(np.log2(x.shape[1]) + 1)), rng=rng).fit(x[rows], y[rows], n))
-        return self
+__all__ = ["Launch", "Problem", "Request", "bit_flip", "boolean", "confusion", "construct", "evaluate", "evaluate_subsets", "execute", "incremental", "incremental_replace", "metrics", "run_search"]
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        votes = np.zeros((len(x), self.n))
-        for tree in self.grown:
-            votes[np.arange(len(x)), tree.predict(x)] += 1
-        return votes.argmax(1)
 
+def draw(*parts: Column | str | int) -> Column:
+    """A number from 0 to 2**28 - 1 that depends on the parts only."""
+    named = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *(p.cast("string") for p in named))), 1, 7), 16, 10).cast("int")
 
-CLASSIFIERS = {"J48": EntropyTree, "NB": GaussianBayes, "NAIVEBAYES": GaussianBayes, "RF": EntropyForest, "RANDOMFOREST": EntropyForest}
 
+def construct(spark: SparkSession, rcl: list[int], generations: int, sample: int, seed: int) -> DataFrame:
+    """seed_id, features, rcl: randomised starts, each a sample without repetition from the candidate list; what was sampled leaves the list."""
+    name = F.concat(F.lit(f"seed-{seed}-"), F.col("id").cast("string"))
+    listed = F.array(*map(F.lit, rcl)).cast("array<int>")
+    order = F.array_sort(F.transform(listed, lambda f: F.struct(draw("sample", F.col("seed_id"), f).alias("o"), f.alias("f"))))
+    chosen = F.transform(F.slice(order, 1, sample), lambda x: x["f"])
+    starts = spark.range(generations).select(name.alias("seed_id")).withColumn("features", chosen)
+    return starts.withColumn("rcl", without(listed, F.col("features")))
 
-def classifier(name: str):
-    if name.upper() not in CLASSIFIERS:
-        raise ValueError(f"no classifier {name!r}; there are {sorted(CLASSIFIERS)}")
-    return CLASSIFIERS[name.upper()]()
 
+def without(values: Column, others: Column) -> Column:
+    """The values that aren't among others, in order."""
+    return F.filter(values, lambda v: ~F.array_contains(others, v))
 
-@dataclass
-class Problem:
-    """Training and test data as arrays; the class is the last column, its first value in order is the normal one."""
-
-    train: tuple[np.ndarray, np.ndarray]
-    test: tuple[np.ndarray, np.ndarray]
-    classes: list[str]
 
-    @classmethod
-    def of(cls, train: DataFrame, test: DataFrame, normal: str | None = None) -> Problem:
-        for df in (train, test):
-            most = min(MOST_ROWS, MOST_CELLS // max(len(df.columns), 1))
-            if df.limit(most + 1).count() > most:
-                raise ValueError(f"more than {most} rows of {len(df.columns)} columns; evaluate on a sample")
-        a, b = train.toPandas().dropna(), test.toPandas().dropna()
-        label = a.columns[-1]
-        classes = sorted(set(a[label].astype(str)) | set(b[label].astype(str)), key=lambda c: (c != normal, c))
-        pair = lambda d: (d.iloc[:, :-1].to_numpy(float), d[label].astype(str).map(classes.index).to_numpy())
-        return cls(pair(a), pair(b), classes)
-
-    def score(self, features: list[int], name: str) -> dict[str, float]:
-        """Confusion counts and metrics of a subset (places from 1; others are passed over)."""
-        at = sorted({f - 1 for f in features if 1 <= f <= self.train[0].shape[1]})
-        if not at:
-            return {"tp": 0, "tn": 0, "fp": 0, "fn": 0, "accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1": 0.0}
-        guess = classifier(name).fit(self.train[0][:, at], self.train[1], len(self.classes)).predict(self.test[0][:, at])
-        y = self.test[1]
-        tp, tn = int(((guess == y) & (guess != 0)).sum()), int(((guess == y) & (guess == 0)).sum())
-        fp, fn = int(((guess != y) & (guess != 0)).sum()), int(((guess != y) & (guess == 0)).sum())
-        ratio = lambda a, b: 100.0 * a / b if b else 0.0
-        p, r = ratio(tp, tp + fp), ratio(tp, tp + fn)
-        return {"tp": tp, "tn": tn, "fp": fp, "fn": fn, "accuracy": ratio(tp + tn, len(y)), "precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else 0.0}
-
-
-SCORED = "features array<int>, tp long, tn long, fp long, fn long, accuracy double, precision double, recall double, f1 double"
-
-
-def evaluate_subsets(candidates: DataFrame, problem: Problem, name: str) -> DataFrame:
-    """Metrics of each candidate (column features), with its other columns."""
-    sent = candidates.sparkSession.sparkContext.broadcast(problem)
-    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields if f.name != "features"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame([sent.value.score(list(f), name) for f in frame["features"]], index=range(len(frame)))], axis=1)[[*(c for c in frame.columns if c != "features"), *(x.split()[0] for x in SCORED.split(", "))]]
-
-    return candidates.mapInPandas(run, ", ".join([*rest, SCORED]))
+def _drop(values: Column, place: Column) -> Column:
+    """The values without that at a place (from 0)."""
+    return F.concat(F.slice(values, F.lit(1), place), F.slice(values, place + 2, F.size(values)))
 
 
-@dataclass
-class Solution:
-    seed_id: str
-    features: list[int]
-    rcl: list[int]
-    f1: float = 0.0
-    search: str = ""
-    iteration: int = 0
-
-
-def construct(rcl: list[int], generations: int, sample: int, seed: int) -> list[Solution]:
-    """Randomised starts: samples without repetition from the candidate list; what was sampled leaves the list."""
-    rng = random.Random(seed)
-    out = []
-    for k in range(generations):
-        chosen = rng.sample(rcl, min(sample, len(rcl)))
-        out.append(Solution(f"seed-{seed}-{k}", chosen, [f for f in rcl if f not in chosen]))
-    return out
+def bit_flip(features: Column, rcl: Column, steps: int, seed_id: Column, iteration: Column) -> Column:
+    """A random walk: each step swaps a random candidate in and a random earlier member out, and is never taken back."""
+    none = F.array().cast("array<array<int>>")
 
+    def step(state: Column, k: Column) -> Column:
+        f, r = state["f"], state["r"]
+        take, give = draw("in", seed_id, iteration, k) % F.size(r), draw("out", seed_id, iteration, k) % F.size(f)
+        left = F.when(F.size(f) > 0, F.concat(_drop(r, take), F.array(F.get(f, give)))).otherwise(_drop(r, take))
+        grown = F.concat(F.when(F.size(f) > 0, _drop(f, give)).otherwise(f), F.array(F.get(r, take)))
+        new = F.struct(grown.alias("f"), left.alias("r"), F.concat(state["out"], F.array(grown)).alias("out"))
+        return F.when(F.size(r) > 0, new).otherwise(state)
 
-def bit_flip(s: Solution, steps: int, rng: random.Random) -> list[list[int]]:
-    """A random walk: each step swaps a random candidate in and a random earlier member out, and is never taken back."""
-    features, rcl, out = list(s.features), list(s.rcl), []
-    for _ in range(steps):
-        if not rcl:
-            break
-        new = rcl.pop(rng.randrange(len(rcl)))
-        if features:
-            rcl.append(features.pop(rng.randrange(len(features))))
-        features.append(new)
-        out.append(list(features))
-    return out
+    start = F.struct(features.cast("array<int>").alias("f"), rcl.cast("array<int>").alias("r"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda state: state["out"])
 
 
-def incremental(s: Solution, steps: int) -> list[list[int]]:
+def incremental(features: Column, rcl: Column, steps: int) -> Column:
     """Growing subsets: one candidate after another is appended, and kept even if that is worse."""
-    return [s.features + s.rcl[: k + 1] for k in range(min(steps, len(s.rcl)))]
+    n = F.least(F.lit(steps), F.size(rcl))
+    grown = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.concat(features, F.slice(rcl, F.lit(1), k)))
+    return F.when(n > 0, grown).otherwise(F.array().cast("array<array<int>>"))
 
 
-def incremental_replace(s: Solution, steps: int) -> list[list[int]]:
+def incremental_replace(features: Column, rcl: Column, steps: int) -> Column:
     """As incremental(), and for each step also the subsets without one of its members; these don't feed the next step."""
-    out = []
-    for grown in incremental(s, steps):
-        out.append(grown)
-        out += [grown[:k] + grown[k + 1 :] for k in range(len(grown)) if len(grown) > 1]
-    return out
-
-
-def candidates_of(s: Solution, search: str, steps: int, rng: random.Random) -> list[list[int]]:
-    if search == "BIT_FLIP":
-        return bit_flip(s, steps, rng)
-    return {"IWSS": incremental, "IWSSR": incremental_replace}[search](s, steps)
 
+    def with_drops(grown: Column) -> Column:
+        drops = F.transform(F.sequence(F.lit(0), F.size(grown) - 1), lambda k: _drop(grown, k))
+        return F.concat(F.array(grown), F.when(F.size(grown) > 1, drops).otherwise(F.array().cast("array<array<int>>")))
 
-def local_search(spark: SparkSession, solutions: list[tuple[Solution, str]], problem: Problem, name: str, steps: dict[str, int], seed: int) -> dict[str, tuple[float, list[int]]]:
-    """The best candidate (F1, features) of each solution under its search, all evaluated in one job."""
-    rows = [(s.seed_id, k, c) for s, search in solutions for k, c in enumerate(candidates_of(s, search, steps.get(search, 20), random.Random(f"{seed}-{s.seed_id}-{s.iteration}")))]
-    if not rows:
-        return {}
-    df = spark.createDataFrame(rows, "seed_id string, place int, features array<int>").repartition(min(len(rows), 64))
-    best = evaluate_subsets(df, problem, name).groupBy("seed_id").agg(F.max_by(F.struct("f1", "features"), F.struct("f1", -F.col("place"))).alias("b"))
-    return {r.seed_id: (r.b.f1, list(r.b.features)) for r in best.collect()}
+    return F.flatten(F.transform(incremental(features, rcl, steps), with_drops))
 
 
 def boolean(value: object) -> bool | None:
@@ -386,47 +203,54 @@ def _coded(data: DataFrame, label: str) -> DataFrame:
     return data.select(*(code(c, kind) for c, kind in data.dtypes))
 
 
+STEPS = ("seed_id", "iteration", "topic", "local_search", "step", "features", "tp", "tn", "fp", "fn", "f1", "best_f1")
+
+
 def run_search(spark: SparkSession, rcl: list[int], problem: Problem, request: Request) -> DataFrame:
-    """Construction, evaluation and local searches of all seeds in bounded rounds; one row for each evaluated step.
+    """Construction, evaluation and local searches of all seeds in bounded rounds; a row for every evaluated step.
 
-    VND goes through the searches in turn and starts again after a cycle that improved; RVND draws the next search at
-    random and, too, starts again on improvement. A round evaluates the current search of every active seed at once.
+    The start of a seed is iteration 0; each further iteration has its candidates in order (topic of progress) and, as
+    step 0, its outcome: the best of them, earlier ones first. best_f1 is the seed's best before or, for an outcome,
+    after it. VND goes through the searches in turn and starts again after a cycle that improved; RVND draws the next
+    search at random. A round evaluates the current search of every active seed in one job.
     """
-    rng = random.Random(request.seed)
-    all_features = list(dict.fromkeys(rcl[: request.cutoff]))
-    active = construct(all_features, request.generations, request.sample, request.seed)
-    first = evaluate_subsets(spark.createDataFrame([(s.seed_id, s.features) for s in active], "seed_id string, features array<int>"), problem, request.classifier).collect()
-    scored = {r.seed_id: r.f1 for r in first}
-    rows = []
-    for s in active:
-        s.f1 = scored[s.seed_id]
-        rows.append((s.seed_id, 0, S.INITIAL, "", s.f1, s.f1, list(s.features)))
-    place = {s.seed_id: 0 for s in active}
-    gained = {s.seed_id: False for s in active}
-    budget = request.cycles * (len(request.searches) if request.strategy == "VND" else 1)
-    while active:
-        chosen = []
-        for s in active:
-            s.search = request.searches[place[s.seed_id]] if request.strategy == "VND" else rng.choice(request.searches)
-            s.iteration += 1
-            chosen.append((s, s.search))
-        found = local_search(spark, chosen, problem, request.classifier, request.steps, request.seed)
-        going = []
-        for s in active:
-            f1, features = found.get(s.seed_id, (s.f1, s.features))
-            better = f1 > s.f1
-            if better:
-                s.f1, s.features = f1, features
-                s.rcl = [f for f in all_features if f not in features]
-                gained[s.seed_id] = True
-            rows.append((s.seed_id, s.iteration, S.SOLUTIONS, s.search, f1, s.f1, list(features)))
-            if request.strategy == "VND":
-                place[s.seed_id] += 1
-                if place[s.seed_id] == len(request.searches):
-                    if not gained[s.seed_id]:
-                        continue
-                    place[s.seed_id], gained[s.seed_id] = 0, False
-            if s.iteration < budget:
-                going.append(s)
-        active = going
-    return spark.createDataFrame(rows, "seed_id string, iteration int, topic string, local_search string, f1 double, best_f1 double, features array<int>")
+    listed = list(dict.fromkeys(rcl[: request.cutoff]))
+    n = len(request.searches)
+    vnd = request.strategy == "VND"
+    budget = request.cycles * (n if vnd else 1)
+    names = F.array(*map(F.lit, request.searches))
+    counts = ["tp", "tn", "fp", "fn"]
+    first = cut(evaluate_subsets(construct(spark, listed, request.generations, request.sample, request.seed), problem, request.classifier))
+    start = {"iteration": F.lit(0), "topic": F.lit(S.INITIAL), "local_search": F.lit(""), "step": F.lit(0), "best_f1": F.col("f1")}
+    steps = [first.withColumns(start).select(*STEPS)]
+    state = first.select("seed_id", "features", "rcl", "f1", F.lit(0).alias("place"), F.lit(False).alias("gained"))
+    for k in range(1, budget + 1):
+        iteration = F.lit(k)
+        search = F.get(names, F.col("place") if vnd else draw("next", request.seed, F.col("seed_id"), iteration) % n)
+        chosen = state.withColumns({"iteration": iteration, "local_search": search})
+        last = (F.col("features"), F.col("rcl"))
+        ways = {"BIT_FLIP": bit_flip(*last, request.steps.get("BIT_FLIP", 20), F.col("seed_id"), iteration), "IWSS": incremental(*last, request.steps.get("IWSS", 20)), "IWSSR": incremental_replace(*last, request.steps.get("IWSSR", 20))}
+        own = reduce(lambda e, name: e.when(F.col("local_search") == name, ways[name]), request.searches[1:], F.when(F.col("local_search") == request.searches[0], ways[request.searches[0]]))
+        tried = chosen.select("seed_id", "iteration", "local_search", F.col("f1").alias("best_f1"), F.posexplode(own).alias("place", "features"))
+        tried = cut(evaluate_subsets(tried.select("seed_id", "iteration", "local_search", "best_f1", (F.col("place") + 1).alias("step"), "features"), problem, request.classifier))
+        best = tried.groupBy("seed_id").agg(F.max_by(F.struct("f1", "features", *counts), F.struct("f1", -F.col("step"))).alias("b"))
+        joined = chosen.join(best, "seed_id", "left")
+        f1 = F.coalesce("b.f1", "f1")
+        better = f1 > F.col("f1")
+        found = F.coalesce("b.features", "features")
+        after = joined.select(
+            "seed_id", "iteration", "local_search", found.alias("found"), f1.alias("found_f1"), *(F.col(f"b.{c}").alias(c) for c in counts), F.greatest(f1, "f1").alias("f1"),
+            F.when(better, found).otherwise(F.col("features")).alias("features"), F.when(better, without(F.array(*map(F.lit, listed)).cast("array<int>"), found)).otherwise(F.col("rcl")).alias("rcl"),
+            (F.col("place") + 1).alias("place"), (F.col("gained") | better).alias("gained"),
+        )
+        after = cut(after)
+        steps.append(tried.withColumn("topic", F.lit(S.PROGRESS)).select(*STEPS))
+        steps.append(after.select("seed_id", "iteration", F.lit(S.SOLUTIONS).alias("topic"), "local_search", F.lit(0).alias("step"), F.col("found").alias("features"), *counts, F.col("found_f1").alias("f1"), F.col("f1").alias("best_f1")))
+        state = after.select("seed_id", "features", "rcl", "f1", "place", "gained")
+        if vnd:
+            # A cycle that improved nothing ends the seed; another starts anew.
+            ends = F.col("place") == n
+            state = state.where(~ends | F.col("gained")).withColumns({"place": F.when(ends, 0).otherwise(F.col("place")), "gained": F.col("gained") & ~ends})
+        if k < budget and state.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, steps)

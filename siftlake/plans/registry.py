@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siftlake import schemas as S
 from siftlake.functions import labels
 from siftlake.operators import feed, monitor, runs, scoring, search, series, views
+from siftlake.plans import searchsql
 from siftlake.session import shared_dir, table
 from siftlake.sources import arff, catalog, eventlog, sinks
 from siftlake.streaming import folds
@@ -464,9 +465,9 @@ def catalog_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIMENSIONS = 64
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select(*(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(DIMENSIONS)), F.concat(F.lit("c"), F.col("label").cast("string")).alias("class"))
+    return e.select(*kept, *(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(DIMENSIONS)), F.concat(F.lit("c"), F.col("label").cast("string")).alias("class"))
 
 
 @_query("relieff_rank")
@@ -480,15 +481,22 @@ def binned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scores(scoring.binned(_vectors(spark, sf_dir), names, "class"), names, "class")
 
 
+SEARCH_STEPS = {"BIT_FLIP": 6, "IWSS": 4, "IWSSR": 3}
+
+
 def _search(spark: SparkSession, sf_dir: str, **of) -> DataFrame:
-    data = _vectors(spark, sf_dir)
-    split = F.pmod(F.xxhash64(*data.columns), F.lit(3)) == 0
-    problem = search.Problem.of(data.where(~split), data.where(split), "c0")
-    request = search.Request(generations=2, cutoff=DIMENSIONS, sample=3, classifier="NB", cycles=1, steps={"BIT_FLIP": 6, "IWSS": 4, "IWSSR": 3}, **of)
-    return search.run_search(spark, list(range(1, DIMENSIONS + 1)), problem, request)
+    data, test = _vectors(spark, sf_dir, "vec_id"), F.col("vec_id") % 3 == 0
+    problem = search.Problem.of(data.where(~test).drop("vec_id"), data.where(test).drop("vec_id"), "c0")
+    request = search.Request(generations=2, cutoff=DIMENSIONS, sample=3, classifier="NB", cycles=1, steps=SEARCH_STEPS, **of)
+    steps = search.run_search(spark, list(range(1, DIMENSIONS + 1)), problem, request)
+    return steps.withColumns({"features": F.array_join("features", ","), "f1": F.round("f1", 6), "best_f1": F.round("best_f1", 6)})
+
+
+def _search_sql(searches: list[str], strategy: str) -> str:
+    return searchsql.search_sql(DIMENSIONS, 2, 3, 1, searches, strategy, SEARCH_STEPS)
 
 
 for _name, _searches in (("bitflip", ["BIT_FLIP"]), ("iwss", ["IWSS"]), ("iwssr", ["IWSSR"])):
-    _query(_name)(lambda s, d, chosen=_searches: _search(s, d, searches=chosen))
-_query("vnd_search")(lambda s, d: _search(s, d, strategy="VND"))
-_query("rvnd_search")(lambda s, d: _search(s, d, strategy="RVND"))
+    _query(_name, _search_sql(_searches, "VND"), "")(lambda s, d, chosen=_searches: _search(s, d, searches=chosen))
+for _strategy in S.STRATEGIES:
+    _query(f"{_strategy.lower()}_search", _search_sql(list(S.LOCAL_SEARCHES), _strategy), "")(lambda s, d, strategy=_strategy: _search(s, d, strategy=strategy))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake import schemas as S
 from siftlake.functions import labels, payload
-from siftlake.operators import feed, monitor, runs, scoring, search, series
+from siftlake.operators import evaluation, feed, monitor, runs, scoring, search, series
 
 T0 = dt.datetime(2026, 3, 19, 10, 0)
 
@@ -161,31 +161,138 @@ def problem(spark):
     return search.Problem.of(df.limit(200), df, "normal")
 
 
-@pytest.mark.parametrize("name", ["J48", "NB", "RF"])
-def test_classifiers_and_confusion(problem, name):
-    good, bad = problem.score([1, 3], name), problem.score([2, 4], name)
-    assert good["f1"] > 90 > bad["f1"] and sum(good[k] for k in ("tp", "tn", "fp", "fn")) == 300
-    assert problem.score([], name)["f1"] == 0.0 and problem.score([99], name)["f1"] == 0.0
+def one(spark, problem, subsets, name):
+    rows = search.evaluate_subsets(spark.createDataFrame(list(enumerate(subsets)), "k int, features array<int>"), problem, name).collect()
+    return [r for r in sorted(rows, key=lambda r: r.k)]
 
 
-def test_candidates():
-    s = search.Solution("s", [1, 2], [3, 4, 5])
-    assert search.incremental(s, 2) == [[1, 2, 3], [1, 2, 3, 4]]
-    assert search.incremental_replace(s, 1) == [[1, 2, 3], [2, 3], [1, 3], [1, 2]]
-    walk = search.bit_flip(s, 50, random.Random(1))
-    assert len(walk) == 50 and all(len(set(c)) == 2 for c in walk) and walk == search.bit_flip(s, 50, random.Random(1))
+@pytest.mark.parametrize("name", ["J48", "NB", "RF"])
+def test_classifiers_and_confusion(spark, problem, name):
+    good, bad, none, beyond, again = one(spark, problem, [[1, 3], [2, 4], [], [99], [3, 1, 3, 77]], name)
+    assert good.f1 > 90 > bad.f1 and good.tp + good.tn + good.fp + good.fn == 300
+    assert none.f1 == beyond.f1 == 0.0 and none.tp + none.tn + none.fp + none.fn == 0
+    assert again.features == [3, 1, 3, 77] and (again.tp, again.fn) == (good.tp, good.fn)
+
+
+def test_nulls_and_empty_data(spark):
+    rows = [(1.0, 0.0, "a"), (2.0, 1.0, "b"), (None, 1.0, "b"), (float("nan"), 1.0, "a"), (3.0, 5.0, None)]
+    df = spark.createDataFrame(rows, "x double, z double, class string")
+    p = search.Problem.of(df, df, "a")
+    assert p.classes == ["a", "b"] and p.train.count() == 2
+    for name in ("NB", "J48", "RF"):
+        (got,) = one(spark, p, [[1, 2]], name)
+        assert got.tp + got.tn + got.fp + got.fn == 2
+        (got,) = one(spark, search.Problem.of(df.limit(0), df.limit(0)), [[1, 2]], name)
+        assert got.f1 == 0.0
+        (got,) = one(spark, search.Problem.of(df.limit(0), df, "a"), [[1]], name)
+        assert got.tp + got.tn + got.fp + got.fn == 2
+
+
+def test_bayes_equals_densities_of_all_rows(spark, problem):
+    """Against densities made from the rows themselves."""
+    rows = [(r.x, r.y) for r in problem.train.collect()]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    tested = [(r.x, r.y) for r in problem.test.collect()]
+    eps = 1e-9 * x.var(0).max() + 1e-12
+    for subset in ([1], [2, 3], [1, 2, 3, 4]):
+        at = [f - 1 for f in subset]
+        want = [0, 0, 0, 0]
+        for v, c in tested:
+            log = [np.log((y == k).mean()) - 0.5 * sum(np.log(2 * np.pi * (x[y == k, f].var() + eps)) + (v[f] - x[y == k, f].mean()) ** 2 / (x[y == k, f].var() + eps) for f in at) for k in range(3)]
+            g = int(np.argmax(log))
+            want[0 if g == c and g else 1 if g == c else 2 if g else 3] += 1
+        (got,) = one(spark, problem, [subset], "NB")
+        assert [got.tp, got.tn, got.fp, got.fn] == want
+
+
+def entropy(counts):
+    p = counts[counts > 0] / counts.sum()
+    return -(p * np.log2(p)).sum()
+
+
+def grown(bins, y, features, depth):
+    """A tree on binned rows, made recursively: (class,) or (feature, bin, left, right)."""
+    counts = np.bincount(y, minlength=3)
+    best = (-1.0, None, None)
+    if depth and counts.max() < len(y) and len(y) >= 4:
+        for f in features:
+            for b in range(evaluation.BINS):
+                low = bins[:, f] <= b
+                if 2 <= low.sum() <= len(y) - 2:
+                    share = low.mean()
+                    gain = entropy(counts) - share * entropy(np.bincount(y[low], minlength=3)) - (1 - share) * entropy(np.bincount(y[~low], minlength=3))
+                    ratio = round(gain / entropy(np.array([share, 1 - share])), 12)
+                    if gain > 1e-9 and ratio > best[0]:
+                        best = (ratio, f, b)
+    if best[1] is None:
+        return (int(counts.argmax()),)
+    low = bins[:, best[1]] <= best[2]
+    return best[1], best[2], grown(bins[low], y[low], features, depth - 1), grown(bins[~low], y[~low], features, depth - 1)
+
+
+def as_tuple(tree, node=0):
+    if tree.feature[node] < 0:
+        return (tree.guess[node],)
+    return tree.feature[node], tree.bin[node], as_tuple(tree, tree.child[node]), as_tuple(tree, tree.child[node] + 1)
+
+
+@pytest.mark.parametrize("held", [evaluation.HELD, 1])
+def test_trees_equal_trees_of_all_rows(spark, problem, monkeypatch, held):
+    """Level by level, all nodes in one job or each in its own, the trees are those of a recursion over the rows."""
+    monkeypatch.setattr(evaluation, "HELD", held)
+    monkeypatch.setattr(evaluation, "DEPTH", 4 if held > 1 else 2)
+    subsets = [[1], [2, 4], [1, 2, 3, 4]] if held > 1 else [[1, 2]]
+    trees = evaluation.Trees(problem, subsets)
+    rows = problem.train.collect()
+    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
+    for tree, subset in zip(trees.trees, subsets):
+        assert as_tuple(tree) == grown(trees.binned(x), y, [f - 1 for f in subset], evaluation.DEPTH)
+
+
+def test_forest_weighs_rows_by_their_hash(spark, problem):
+    h = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 50_000)
+    w = evaluation._weights(h, 3, 1)
+    assert abs(w.mean() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.01
+    assert (w == evaluation._weights(h, 3, 1)).all() and (w != evaluation._weights(h, 4, 1)).any()
+
+
+def lists(spark, **columns):
+    made = spark.range(1).select(*(F.array(*map(F.lit, v)).cast("array<int>").alias(k) for k, v in columns.items()))
+    return lambda expr: [list(x) for x in made.select(expr.alias("x")).first().x]
+
+
+def test_candidates(spark):
+    at = lists(spark, f=[1, 2], r=[3, 4, 5], none=[])
+    f, r, none = F.col("f"), F.col("r"), F.col("none")
+    assert at(search.incremental(f, r, 2)) == [[1, 2, 3], [1, 2, 3, 4]] and at(search.incremental(f, none, 2)) == []
+    assert at(search.incremental_replace(f, r, 1)) == [[1, 2, 3], [2, 3], [1, 3], [1, 2]] and at(search.incremental_replace(none, r, 1)) == [[3]]
+    walk = at(search.bit_flip(f, r, 50, F.lit("s"), F.lit(1)))
+    assert len(walk) == 50 and all(len(set(c)) == 2 for c in walk) and walk == at(search.bit_flip(f, r, 50, F.lit("s"), F.lit(1)))
+    assert walk != at(search.bit_flip(f, r, 50, F.lit("s"), F.lit(2))) and len({tuple(c) for c in walk}) > 5
+    assert at(search.bit_flip(f, none, 3, F.lit("s"), F.lit(1))) == [] and at(search.bit_flip(none, r, 5, F.lit("s"), F.lit(1)))[2:] != []
+
+
+def test_starts(spark):
+    rows = search.construct(spark, [9, 4, 7, 1], 5, 2, 3).collect()
+    assert [len(x.features) for x in rows] == [2] * 5 and all(sorted([*x.features, *x.rcl]) == [1, 4, 7, 9] for x in rows)
+    assert len({tuple(x.features) for x in rows}) > 1 and rows == search.construct(spark, [9, 4, 7, 1], 5, 2, 3).collect()
+    assert [x.rcl for x in search.construct(spark, [1, 2], 1, 9, 3).collect()] == [[]]
 
 
 @pytest.mark.parametrize("strategy", S.STRATEGIES)
 def test_search_improves_and_repeats(spark, problem, strategy):
     ask = search.Request(generations=2, cutoff=4, sample=1, classifier="NB", strategy=strategy, cycles=2, steps={"BIT_FLIP": 3, "IWSS": 3, "IWSSR": 2}, seed=4)
-    rows = search.run_search(spark, [2, 4, 1, 3], problem, ask).orderBy("seed_id", "iteration").collect()
-    again = search.run_search(spark, [2, 4, 1, 3], problem, ask).orderBy("seed_id", "iteration").collect()
-    assert rows == again
+    rows = search.run_search(spark, [2, 4, 1, 3], problem, ask).orderBy("seed_id", "iteration", "step").collect()
+    assert {r.topic for r in rows} == {S.INITIAL, S.PROGRESS, S.SOLUTIONS}
     for seed in {r.seed_id for r in rows}:
-        best = [r.best_f1 for r in rows if r.seed_id == seed]
-        assert best == sorted(best)
-        assert len(best) - 1 <= 2 * (3 if strategy == "VND" else 1)
+        own = [r for r in rows if r.seed_id == seed]
+        told = [r for r in own if r.topic != S.PROGRESS]
+        assert [r.best_f1 for r in told] == sorted(r.best_f1 for r in told)
+        assert len(told) - 1 <= 2 * (3 if strategy == "VND" else 1)
+        for before, r in zip(told, told[1:]):
+            steps = [p for p in own if p.topic == S.PROGRESS and p.iteration == r.iteration]
+            assert [p.step for p in steps] == list(range(1, len(steps) + 1)) and {p.best_f1 for p in steps} <= {before.best_f1}
+            assert r.best_f1 == max([before.best_f1, *(p.f1 for p in steps)]) and r.f1 == max([p.f1 for p in steps], default=before.best_f1)
 
 
 def test_request_checks():
