@@ -1,19 +1,16 @@
-"""Feature scores of nominal data from one contingency table, and ReliefF."""
+"""Feature scores of nominal data from one contingency table, and bins of numeric features."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.operators import cuts
+from siftlake.operators.relief import relieff
+
+__all__ = ["binned", "contingency", "relieff", "scores", "top_features"]
+
 DIGITS = 8
-#: ReliefF: rows that a block compares with, rows compared at once, rows of a task.
-BLOCK = 4_096
-QUERIES = 64
-TASK_ROWS = 1_024
 
 
 def contingency(data: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -49,108 +46,12 @@ def top_features(scored: DataFrame, by: str, order: list[str], k: int) -> DataFr
     return scored.select("feature", places[F.col("feature")].alias("place"), F.col(by).alias("score")).orderBy(F.desc("score"), "place").limit(k)
 
 
-def mdl_cuts(values: np.ndarray, classes: np.ndarray, counts: np.ndarray | None = None) -> list[float]:
-    """Cut points of a numeric feature by recursive entropy splits that pay for their description length; counts are rows of each entry."""
-    order = np.argsort(values, kind="stable")
-    x, (kinds, y) = values[order], np.unique(classes[order], return_inverse=True)
-    hot = np.eye(len(kinds))[y] * (1 if counts is None else counts[order][:, None])
-    sums = np.vstack([np.zeros(len(kinds)), hot.cumsum(0)])
-
-    def entropy(n: np.ndarray) -> np.ndarray:
-        p = n / np.maximum(n.sum(-1, keepdims=True), 1)
-        return -(p * np.log2(np.where(p > 0, p, 1))).sum(-1)
-
-    out: list[float] = []
-    todo = [(0, len(x))]
-    while todo:
-        a, b = todo.pop()
-        at = a + 1 + np.flatnonzero(x[a + 1 : b] > x[a : b - 1])
-        if not len(at):
-            continue
-        left, right, whole = sums[at] - sums[a], sums[b] - sums[at], sums[b] - sums[a]
-        n = whole.sum()
-        cost = (left.sum(1) * entropy(left) + right.sum(1) * entropy(right)) / n
-        k = int(cost.argmin())
-        parts = [(c > 0).sum() for c in (whole, left[k], right[k])]
-        h = [float(entropy(c)) for c in (whole, left[k], right[k])]
-        delta = np.log2(3.0 ** parts[0] - 2) - (parts[0] * h[0] - parts[1] * h[1] - parts[2] * h[2])
-        if h[0] - cost[k] > (np.log2(n - 1) + delta) / n:
-            out.append(float((x[at[k] - 1] + x[at[k]]) / 2))
-            todo += [(a, int(at[k])), (int(at[k]), b)]
-    return sorted(out)
+def binned(data: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Numeric features replaced by their MDL bin numbers; cuts come from the value and class counts of all rows."""
+    found = cuts.mdl_cuts(data, features, label)
 
+    def place(f: str) -> Column:
+        value = F.col(f).cast("double")
+        return F.when(value.isNotNull(), F.size(F.filter(F.array(*map(F.lit, found[f])), lambda c: value > c)) if found[f] else F.lit(0))
 
-def binned(data: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Numeric features replaced by their MDL bin numbers; cuts come from the value and class counts of all rows, a task for each feature."""
-
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"feature": frame["feature"].iloc[:1], "cuts": [mdl_cuts(frame["value"].to_numpy(), frame["class"].to_numpy(), frame["n"].to_numpy())]})
-
-    table = contingency(data.select(*(F.col(f).cast("double").alias(f) for f in features), label), features, label).withColumn("value", F.col("value").cast("double")).where("value IS NOT NULL AND NOT isnan(value)")
-    found = {r.feature: r.cuts for r in table.groupBy("feature").applyInPandas(cut, "feature string, cuts array<double>").collect()}
-    out = {}
-    for f in features:
-        cuts = found.get(f, [])
-        out[f] = sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts), F.lit(0)) if cuts else F.when(F.col(f).isNotNull(), F.lit(0))
-    return data.withColumns(out)
-
-
-def _nearest(rows: np.ndarray, own: np.ndarray, others: np.ndarray, first: int, k: int) -> np.ndarray:
-    """The k places in others (numbered from first, one class) that are nearest to each row, itself left out; merged over blocks."""
-    far, at = np.zeros((len(rows), 0)), np.zeros((len(rows), 0), np.int64)
-    for low in range(0, len(others), BLOCK):
-        part = others[low : low + BLOCK]
-        gap, total = np.empty((len(rows), len(part))), np.zeros((len(rows), len(part)))
-        for f in range(rows.shape[1]):
-            np.subtract(rows[:, f : f + 1], part[:, f], out=gap)
-            np.abs(gap, out=gap)
-            total += gap
-        places = np.arange(first + low, first + low + len(part))
-        total[own[:, None] == places] = np.inf
-        if len(part) > k:
-            some = np.argpartition(total, k - 1, axis=1)[:, :k]
-            total, places = np.take_along_axis(total, some, 1), places[some]
-        else:
-            places = np.broadcast_to(places, total.shape)
-        far, at = np.hstack([far, total]), np.hstack([at, places])
-        best = np.lexsort((at, far))[:, :k]
-        far, at = np.take_along_axis(far, best, 1), np.take_along_axis(at, best, 1)
-    return np.where(np.isinf(far), -1, at)
-
-
-def relieff(data: DataFrame, features: list[str], label: str, neighbours: int = 10) -> DataFrame:
-    """ReliefF weights of numeric features: how much farther the nearest misses are than the nearest hits.
-
-    Every row without nulls is compared with every other by Manhattan distance over features scaled to 0..1, so time grows
-    with the square of the rows. The scaled rows are broadcast, and tasks take ranges of them; the k nearest of each class
-    are merged over blocks of BLOCK rows. Memory is 8 bytes for each value of the table, in the driver and each worker.
-    """
-    spans = data.agg(*(f(F.col(c)).cast("double").alias(f"{k}{c}") for c in features for k, f in (("a", F.min), ("b", F.max)))).first()
-    scaled = data.select(*(((F.col(c) - spans[f"a{c}"]) / ((spans[f"b{c}"] - spans[f"a{c}"]) or 1.0)).cast("double").alias(c) for c in features), F.col(label).cast("string").alias("class"))
-    rows = scaled.dropna().toArrow()
-    matrix, classes = np.column_stack([rows.column(f).to_numpy() for f in features]), rows.column("class").to_numpy()
-    kinds, kind, sizes = np.unique(classes.astype(str), return_inverse=True, return_counts=True)
-    # Rows by class, and within it by value, so that ties don't depend on the order of the input.
-    matrix = matrix[np.lexsort((*matrix.T, kind))]
-    sent = data.sparkSession.sparkContext.broadcast((matrix, sizes))
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix, sizes = sent.value
-        ends = np.cumsum(sizes)
-        prior = sizes / len(matrix)
-        total, n = np.zeros(len(features)), 0
-        for frame in batches:
-            for low in range(0, len(frame), QUERIES):
-                own = frame["id"].to_numpy()[low : low + QUERIES]
-                query, mine = matrix[own], np.searchsorted(ends, own, "right")
-                for c, (end, size) in enumerate(zip(ends, sizes)):
-                    near = _nearest(query, own, matrix[end - size : end], end - size, neighbours)
-                    found = (near >= 0).sum(1)
-                    weight = np.where(mine == c, -1.0, prior[c] / np.maximum(1 - prior[mine], 1e-300)) / np.maximum(found, 1)
-                    gaps = np.abs(matrix[near] - query[:, None, :]) * (near >= 0)[:, :, None]
-                    total += (gaps.sum(1) * weight[:, None]).sum(0)
-                n += len(own)
-        yield pd.DataFrame({"feature": features, "weight": total, "n": n})
-
-    parts = data.sparkSession.range(0, len(matrix), 1, max(8, -(-len(matrix) // TASK_ROWS))).mapInPandas(weigh, "feature string, weight double, n long")
-    return parts.groupBy("feature").agg((F.sum("weight") / F.greatest(F.sum("n"), F.lit(1))).alias("relieff"))
+    return data.withColumns({f: place(f) for f in features})

@@ -470,9 +470,22 @@ def _vectors(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
     return e.select(*kept, *(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(DIMENSIONS)), F.concat(F.lit("c"), F.col("label").cast("string")).alias("class"))
 
 
-@_query("relieff_rank")
+#: Of every row the ten nearest of each class, over features scaled to 0..1.
+_RELIEF_SQL = """
+WITH long AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS f FROM embeddings),
+unit AS (SELECT vec_id, label, f, (v - min(v) OVER (PARTITION BY f)) / (max(v) OVER (PARTITION BY f) - min(v) OVER (PARTITION BY f)) AS v FROM long),
+rows AS (SELECT vec_id, label, list(v ORDER BY f) AS x FROM unit GROUP BY ALL),
+sizes AS (SELECT label, count(*) / sum(count(*)) OVER () AS p FROM rows GROUP BY label),
+pairs AS (SELECT a.vec_id, a.label AS own, b.label AS kind, b.vec_id AS near, list_sum(list_transform(range(1, 65), lambda i: abs(a.x[i] - b.x[i]))) AS far FROM rows a JOIN rows b ON a.vec_id <> b.vec_id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, kind ORDER BY far, near) AS k FROM pairs) WHERE k <= 10),
+weighed AS (SELECT vec_id, near, CASE WHEN own = kind THEN -1.0 ELSE s.p / (1 - t.p) END / count(*) OVER (PARTITION BY vec_id, kind) AS w FROM best JOIN sizes s ON s.label = kind JOIN sizes t ON t.label = own)
+SELECT 'x' || CAST(a.f AS VARCHAR) AS feature, round(sum(w * abs(a.v - b.v)) / (SELECT count(*) FROM rows), 8) AS relieff FROM weighed JOIN unit a USING (vec_id) JOIN unit b ON b.vec_id = near AND b.f = a.f GROUP BY a.f
+"""
+
+
+@_query("relieff_rank", _RELIEF_SQL, "")
 def relieff_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.relieff(_vectors(spark, sf_dir), [f"x{k}" for k in range(DIMENSIONS)], "class")
+    return scoring.relieff(_vectors(spark, sf_dir), [f"x{k}" for k in range(DIMENSIONS)], "class").select("feature", F.round("relieff", 8).alias("relieff"))
 
 
 @_query("binned_scores")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake import schemas as S
 from siftlake.functions import labels, payload
-from siftlake.operators import evaluation, feed, monitor, runs, scoring, search, series
+from siftlake.operators import cuts, evaluation, feed, monitor, relief, runs, scoring, search, series
 
 T0 = dt.datetime(2026, 3, 19, 10, 0)
 
@@ -111,43 +111,99 @@ def test_scores_of_known_tables(spark):
     assert [r.feature for r in scoring.top_features(scoring.scores(data, ["noise", "same"], "class"), "info_gain", ["noise", "same"], 1).collect()] == ["same"]
 
 
-def test_mdl_and_relieff(spark):
+def mdl(x, y):
+    """The cuts of a feature by recursion over its sorted rows."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], np.eye(len(set(y.tolist())), dtype=np.int64)[np.unique(y, return_inverse=True)[1]][order]
+    at = [k for k in range(1, len(x)) if x[k] > x[k - 1]]
+    costs = [(k, sum(len(p) * float(cuts.entropy(p.sum(0))) for p in (y[:k], y[k:])) / len(x)) for k in at]
+    if not costs:
+        return []
+    k, cost = min(costs, key=lambda c: (round(c[1], 12), c[0]))
+    n, parts = len(x), [p.sum(0) for p in (y, y[:k], y[k:])]
+    h, kinds = [float(cuts.entropy(p)) for p in parts], [(p > 0).sum() for p in parts]
+    delta = np.log2(3.0 ** kinds[0] - 2) - sum(s * a * b for s, a, b in zip((1, -1, -1), kinds, h))
+    if h[0] - cost <= (np.log2(n - 1) + delta) / n:
+        return []
+    back = y.argmax(1)
+    return sorted([*mdl(x[:k], back[:k]), float((x[k - 1] + x[k]) / 2), *mdl(x[k:], back[k:])])
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_cuts_equal_recursion_over_rows(spark, partitions):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=400)
-    y = (x > 0.2).astype(int)
-    cuts = scoring.mdl_cuts(x, y)
-    assert len(cuts) == 1 and abs(cuts[0] - 0.2) < 0.1 and scoring.mdl_cuts(rng.normal(size=400), y) == []
-    df = spark.createDataFrame([(float(a), float(b), f"c{c}") for a, b, c in zip(x, rng.normal(size=400), y)], "good double, bad double, class string")
-    w = {r.feature: r.relieff for r in scoring.relieff(df, ["good", "bad"], "class").collect()}
-    assert w["good"] > 0.05 > abs(w["bad"])
+    n = 900
+    step, noise = rng.integers(0, 60, n).astype(float), rng.normal(size=n)
+    y = (step > 20).astype(int) + (step > 45) * (rng.random(n) < 0.9)
+    normal = rng.normal(size=n)
+    rows = [(float(a), float(b), float(c), None if k % 50 == 0 else float(a + b), f"c{d}") for k, (a, b, c, d) in enumerate(zip(step, noise, normal, y))]
+    df = spark.createDataFrame([*rows, (float("nan"), None, 1.0, 1.0, "c0"), (1.0, 1.0, 1.0, 1.0, None)], "step double, noise double, normal double, both double, class string").repartition(partitions)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = cuts.mdl_cuts(df, ["step", "noise", "normal", "both"], "class")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    at = {c: k for k, c in enumerate(("step", "noise", "normal", "both"))}
+    for name, k in at.items():
+        own = [(r[k], r[4]) for r in [*rows, (np.nan, None, 1.0, 1.0, "c0")] if r[k] is not None and r[k] == r[k]]
+        assert got[name] == mdl(np.array([v for v, _ in own]), np.array([int(c[1]) for _, c in own])), name
+    assert len(got["step"]) == 2 and got["normal"] == []
+
+
+def test_bins(spark):
+    # Whichever of two values has the lesser hash, the few rows of the other are seen beside more than 50,000 of it.
+    for many in (0, 1):
+        df = spark.range(60_000).selectExpr(f"CAST(IF(id < 55000, {many}, {1 - many}) AS DOUBLE) AS f").selectExpr("f", "IF(f = 0, 'r', 's') AS class")
+        df = df.unionByName(spark.createDataFrame([(float("nan"), "s"), (None, "s")], "f double, class string"))
+        assert sorted((r.f, r["count"]) for r in scoring.binned(df, ["f"], "class").where("f IS NOT NULL").groupBy("f").count().collect()) == [(0, 55_000 if not many else 5_000), (1, 5_001 if not many else 55_001)]
+    assert cuts.mdl_cuts(df.limit(0), ["f"], "class") == {"f": []} and cuts.mdl_cuts(df, [], "class") == {}
+    assert scoring.binned(df.where("f = 0"), ["f"], "class").select("f").distinct().collect() == [(0,)]
 
 
-def test_relieff_compares_all_rows(spark, monkeypatch):
+@pytest.mark.parametrize("block, group", [(1024, 8), (32, 2)])
+def test_relieff_equals_all_pairs(spark, monkeypatch, block, group):
     rng = np.random.default_rng(5)
-    x, y = rng.random((700, 3)), rng.choice(["a", "b", "b", "c"], 700)
+    x, y = rng.random((500, 3)), rng.choice(["a", "b", "b", "c"], 500)
+    x[:60] = np.round(x[:60], 1)
+    x[60:70] = x[60]
     x = (x - x.min(0)) / (x.max(0) - x.min(0))
-    want, far = np.zeros(3), np.abs(x[:, None] - x).sum(2)
-    for i in range(700):
+    # Equally far rows go by class, distance from the middle, and values.
+    order = np.lexsort((*x.T[::-1], np.abs(x - 0.5).sum(1), y))
+    x, y = x[order], y[order]
+    far = np.zeros((500, 500))
+    for f in range(3):
+        far += np.abs(x[:, f][:, None] - x[:, f])
+    want = np.zeros(3)
+    for i in range(500):
         for c in "abc":
-            near = [j for j in np.argsort(far[i]) if y[j] == c and j != i][:10]
+            near = [j for j in np.argsort(far[i], kind="stable") if y[j] == c and j != i][:10]
             want += np.abs(x[near] - x[i]).mean(0) * (-1 if c == y[i] else (y == c).mean() / (1 - (y == y[i]).mean()))
-    df = spark.createDataFrame([(*map(float, r), c) for r, c in zip(x, y)], "f0 double, f1 double, f2 double, class string")
-    monkeypatch.setattr(scoring, "BLOCK", 50)
-    got = {r.feature: r.relieff for r in scoring.relieff(df, ["f0", "f1", "f2"], "class").collect()}
-    assert np.allclose([got[f"f{k}"] for k in range(3)], want / 700)
-
-
-def test_cuts_from_counts_of_all_rows(spark):
-    rng = np.random.default_rng(6)
-    x = rng.integers(0, 50, 3000).astype(float)
-    y = (x + rng.normal(size=3000) * 5 > 20).astype(int)
-    kinds, n = np.unique(np.column_stack([x, y]), axis=0, return_counts=True)
-    assert scoring.mdl_cuts(kinds[:, 0], kinds[:, 1], n) == scoring.mdl_cuts(x, y)
-    # Whichever of two values has the lesser hash, the few rows of the other are seen beside more than 50,000 of it.
-    for many in (0, 1):
-        df = spark.range(60_000).selectExpr(f"CAST(IF(id < 55000, {many}, {1 - many}) AS DOUBLE) AS f").selectExpr("f", "IF(f = 0, 'r', 's') AS class")
-        df = df.unionByName(spark.createDataFrame([(float("nan"), "s")], "f double, class string"))
-        assert scoring.binned(df, ["f"], "class").select("f").distinct().count() == 2
+    rows = [(*map(float, r), c) for r, c in zip(x, y)]
+    df = spark.createDataFrame([*rows, (0.5, None, 0.5, "a"), (0.5, float("nan"), 0.5, "a"), (0.5, 0.5, 0.5, None)], "f0 double, f1 double, f2 double, class string").repartition(3)
+    monkeypatch.setattr(relief, "BLOCK", block)
+    monkeypatch.setattr(relief, "GROUP", group)
+    got = {r.feature: r.relieff for r in relief.relieff(df, ["f0", "f1", "f2"], "class").collect()}
+    assert np.allclose([got[f"f{k}"] for k in range(3)], want / 500, atol=1e-12)
+
+
+def test_relieff_of_little_data(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, class string")
+    assert [(r.feature, r.relieff) for r in scoring.relieff(df, ["x"], "class").collect()] == [("x", 1.0)]
+    assert [(r.feature, r.relieff) for r in scoring.relieff(df.limit(0), ["x"], "class").collect()] == [("x", 0.0)]
+    assert [(r.feature, r.relieff) for r in scoring.relieff(df.limit(1), ["x"], "class").collect()] == [("x", 0.0)]
+
+
+def test_relief_passes_over_far_blocks():
+    """Blocks farther than the nearest so far aren't compared: their rows aren't even read."""
+    import pyarrow as pa
+
+    rows = lambda low: np.linspace(low, low + 0.01, 20)
+    block = lambda k, low, asks, data: {"asks": asks, "block": k, "kind": 0, "low": 0.5 - low - 0.01, "high": 0.5 - low, "rows": data}
+    near = [block(0, 0.0, True, rows(0.0).tobytes()), block(0, 0.0, False, rows(0.0).tobytes()), block(1, 0.4, False, rows(float("nan")).tobytes())]
+    table = relief._nearest(1, 1024, 5)(pa.Table.from_pylist(near))
+    assert table.num_rows == 100 and set((table["near"].to_numpy() // 1024).tolist()) == {0}
 
 
 @pytest.fixture(scope="module")
