@@ -10,7 +10,8 @@
    sorted, counts first (Spark sorts and spills); a task reads the stream, keeps the counts of the token at hand, which
    the vocabulary of B bounds, takes their maximum, and passes the postings by. A token of A with more than TARGET
    postings is dealt by slices of documents into as many keys as it needs, each with all its counts.
-4. What a task adds to a document is summed before it leaves the task, and then by document.
+4. What a task adds to a document is summed before it leaves the task, packed by blocks of documents, and then summed by
+   document in a stream sorted by block.
 
 The driver gathers the number of keys of the tokens of A that need several: at most one row for each entry of A.
 
@@ -59,7 +60,11 @@ MORE = np.uint32(1 << 31)
 MOST = 65535
 
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-POSTED = f"row long, a int, data binary, digest struct<{DIGEST.replace(' long', ': long').replace(' string', ': string')}>"
+DIGEST_FIELDS = DIGEST.replace(" long", ": long").replace(" string", ": string")
+POSTED = f"row long, a int, data binary, digest struct<{DIGEST_FIELDS}>"
+#: What a task adds to a document, and the documents that are summed together.
+ADDED = np.dtype([("doc", "<u2"), ("n_best", "<i8"), ("count_sum", "<i8")])
+BLOCK = 1 << 12
 
 
 def default_a() -> str:
@@ -407,10 +412,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, n_best, count_sum) of a stream sorted by token of A, part of it, counts before postings."""
+    """Packed sums (n_best, count_sum) of documents, a row for each block of them, of a stream sorted by token of A, part of it, counts before postings."""
 
     def out(row: np.ndarray, n_best: np.ndarray, count_sum: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(n_best), pa.array(count_sum)], ["row", "n_best", "count_sum"])
+        records = np.empty(len(row), ADDED)
+        records["doc"], records["n_best"], records["count_sum"] = row % BLOCK, n_best, count_sum
+        block = row // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(row) else np.zeros(0, np.int64)
+        offsets = np.concatenate([first, [len(row)]]).astype(np.int32) * ADDED.itemsize
+        data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(records.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), data], ["block", "data"])
 
     sums = Sums(2)
     last, kept_key, kept_n = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -444,6 +455,37 @@ def _contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(*sums.take())
 
 
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, n_best, count_sum) of each document, of a stream sorted by block, digests before sums."""
+    at: int | None = None
+    digests: list[pa.RecordBatch] = []
+    total = np.zeros((BLOCK, 2), np.int64)
+
+    def out() -> pa.RecordBatch:
+        table = pa.Table.from_batches(digests).combine_chunks()
+        own = table["row"].to_numpy() % BLOCK
+        return pa.RecordBatch.from_arrays([table["digest"].combine_chunks(), pa.array(total[own, 0]), pa.array(total[own, 1])], ["digest", "n_best", "count_sum"])
+
+    for batch in batches:
+        blocks = batch.column(batch.schema.get_field_index("block")).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]])) if len(blocks) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if at != blocks[a]:
+                if digests:
+                    yield out()
+                at, digests, total = int(blocks[a]), [], np.zeros((BLOCK, 2), np.int64)
+            run = batch.slice(a, b - a)
+            told = run.filter(run.column(run.schema.get_field_index("row")).is_valid()).select(["row", "digest"])
+            if told.num_rows:
+                digests.append(told)
+            for data in run.column(run.schema.get_field_index("data")).drop_null():
+                records = np.frombuffer(data.as_buffer(), ADDED)
+                total[records["doc"], 0] += records["n_best"]
+                total[records["doc"], 1] += records["count_sum"]
+    if digests:
+        yield out()
+
+
 def postings(documents: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """Written: rows of digests (a null), and of packed postings by token of A and slice of documents."""
     a_json, b_model = Path(a_path or default_a()).read_text(encoding="utf-8"), Path(b_path or default_b()).read_bytes()
@@ -466,10 +508,11 @@ def cross_align(documents: DataFrame, a_path: str | None = None, b_path: str | N
     known = counts.join(many, "a", "left").select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "b", "n", F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("data"))
     passed = posted.where("a IS NOT NULL").join(many, "a", "left").select("a", F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"), F.lit(None).cast("int").alias("b"), F.lit(None).cast("long").alias("n"), "row", "data")
     stream = known.unionByName(passed).repartition(F.xxhash64("a", "salt")).sortWithinPartitions("a", "salt", F.col("data").isNotNull())
-    added = stream.mapInArrow(_contribute, "row long, n_best long, count_sum long")
-    added = added.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    out = posted.where("a IS NULL").select("row", "digest").join(added, "row", "left")
-    return out.select("digest.*", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")))
+    added = stream.mapInArrow(_contribute, "block long, data binary")
+    told = posted.where("a IS NULL").select(F.floor(F.col("row") / BLOCK).cast("long").alias("block"), "row", "digest")
+    both = told.unionByName(added, allowMissingColumns=True).repartition(F.xxhash64("block")).sortWithinPartitions("block", F.col("row").isNull())
+    out = both.mapInArrow(_finish, f"digest struct<{DIGEST_FIELDS}>, n_best long, count_sum long")
+    return out.select("digest.*", "n_best", "count_sum")
 
 
 def op12_cross_tokenizer(documents: DataFrame) -> DataFrame:
