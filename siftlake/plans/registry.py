@@ -399,11 +399,11 @@ def arff_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_discount"), 2).alias("discount"))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _streamed(spark: SparkSession, rows: DataFrame, fold: Callable[[DataFrame], DataFrame], schema: str = S.EVENT) -> DataFrame:
     """What a fold of the rows as a stream of JSON messages emits, through files in the shared folder."""
     folder = _shared(spark, "stream")
     rows.repartitionByRange(4, "created_at", "event_id").sortWithinPartitions("created_at", "event_id").select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value")).write.text(f"{folder}/in")
-    out = fold(folds.topic_source(spark, S.EVENT, f"{folder}/in"))
+    out = fold(folds.topic_source(spark, schema, f"{folder}/in"))
     out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
@@ -420,6 +420,53 @@ def stream_run_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("seed_id", "r.*")
 
 
+@_query("stream_states", f"SELECT {', '.join(c.replace('completed_at', 'completed_us') for c in _STATE_COLUMNS if c != 'history_count')} FROM states", f"{_EV}, {_STATES}")
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _streamed(spark, _ev(spark, sf_dir).where(F.col("event_type").isin(*S.SNAPSHOT_EVENTS)), lambda rows: folds.fold_states(rows, 2, history=5))
+    last = out.groupBy("seed_id").agg(F.max_by(F.struct(*out.columns[1:]), "updates").alias("r"))
+    return last.select("seed_id", "r.*").select(*(c.replace("completed_at", "completed_us") for c in _STATE_COLUMNS if c != "history_count"))
+
+
+#: What the results of a seed say of its searches and cycles.
+_LISTS = [["IWSS", "BIT_FLIP"], list(S.LOCAL_SEARCHES), ["IWSSR"], ["IWSSR", "IWSS", "BIT_FLIP"]]
+
+
+def _route_sql(strategy: str) -> str:
+    turns = strategy == "VND"
+    before = f"""
+  SELECT w.seed_id, m.n, m.event_id, m.step, m.searches, m.cycles * {'len(m.searches)' if turns else '1'} AS budget, coalesce(greatest(w.best, m.score), m.score) AS best, w.best IS NOT NULL AND m.score > w.best AS better,
+    coalesce(w.baseline, coalesce(greatest(w.best, m.score), m.score)) AS baseline,
+    coalesce(list_position(m.searches, CASE WHEN list_contains(m.searches, m.search) THEN m.search WHEN list_contains(m.searches, w.last) THEN w.last END), 0) AS place
+  FROM walk w JOIN m ON m.seed_id = w.seed_id AND m.n = w.n + 1"""
+    if turns:
+        action = "CASE WHEN step > budget THEN NULL WHEN step = budget THEN 'done' WHEN place < len(searches) THEN 'next' WHEN best <= baseline THEN 'done' ELSE 'restart' END"
+        search, base = "searches[CASE WHEN place < len(searches) THEN place + 1 ELSE 1 END]", "CASE WHEN place > 0 AND place < len(searches) THEN baseline ELSE best END"
+    else:
+        action = "CASE WHEN step > budget THEN NULL WHEN step = budget THEN 'done' WHEN better THEN 'restart' ELSE 'next' END"
+        search, base = "searches[CAST('0x' || substr(md5('1|' || seed_id || '|' || CAST(step + 1 AS VARCHAR)), 1, 7) AS INTEGER) % len(searches) + 1]", "CAST(NULL AS DOUBLE)"
+    goes = "action IN ('next', 'restart')"
+    return f"""WITH RECURSIVE {_EV},
+m AS (SELECT seed_id, event_id, coalesce(score, 0) AS score, CAST(iteration AS INTEGER) AS step, search, {_LISTS!r}[user_id % 4 + 1] AS searches, 1 + user_id % 3 AS cycles, row_number() OVER (PARTITION BY seed_id ORDER BY us, event_id) AS n FROM ev WHERE topic = 'SOLUTIONS_TOPIC' AND strategy = '{strategy}'),
+walk AS (
+  SELECT DISTINCT seed_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS best, CAST(NULL AS DOUBLE) AS baseline, CAST(NULL AS VARCHAR) AS last, CAST(NULL AS INTEGER) AS iteration, CAST(NULL AS VARCHAR) AS local_search, CAST(NULL AS DOUBLE) AS best_score, CAST(NULL AS VARCHAR) AS action FROM m
+  UNION ALL
+  SELECT seed_id, n, event_id, CASE WHEN {goes} THEN best END, CASE WHEN {goes} THEN {base} END, CASE WHEN {goes} THEN {search} END, CASE WHEN {goes} THEN step + 1 ELSE step END, CASE WHEN {goes} THEN {search} END, best, action
+  FROM (SELECT *, {action} AS action FROM ({before}))
+)
+SELECT seed_id, event_id, iteration, local_search, best_score, action FROM walk WHERE action IS NOT NULL"""
+
+
+def _routes(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    user = F.col("seed_id").cast("long")
+    lists = F.array(*(F.array(*map(F.lit, x)) for x in _LISTS))
+    told = {"enabled_local_searches": F.get(lists, user % 4), "neighborhood_max_iterations": (1 + user % 3).cast("int")}
+    rows = _ev(spark, sf_dir).where(F.col("topic") == S.SOLUTIONS).withColumns(told)
+    return _streamed(spark, rows, lambda r: folds.route(r, strategy), f"{S.EVENT}, enabled_local_searches array<string>, neighborhood_max_iterations int")
+
+
+for _strategy in S.STRATEGIES:
+    _query(f"stream_{_strategy.lower()}", _route_sql(_strategy), "")(lambda s, d, strategy=_strategy: _routes(s, d, strategy))
+
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_linestatus"]
 LABEL = "l_returnflag"
 _CONTINGENCY = (

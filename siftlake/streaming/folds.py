@@ -1,19 +1,19 @@
 """Stateful operators over streams of search messages, and their batch counterparts.
 
-All state is keyed by seed, so it is spread over the cluster by hash of the seed. Kafka and directories of files are the
-same to these operators: topic_source() hides which it is.
+All state is keyed by seed, so it is spread over the cluster by hash of the seed, and held in typed values and lists of
+Spark's state store. State of a seed without messages expires (idle), and a stream can start from stored rows (initial).
+Kafka and directories of files are the same to these operators: topic_source() hides which it is.
 """
 
 from __future__ import annotations
 
-import json
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from siftlake import schemas as S
 
@@ -54,63 +54,147 @@ def activity(rows: DataFrame, window: str = "60 seconds", slide: str | None = No
     return rows.withWatermark("created_at", late).groupBy(by.alias("w")).agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), F.max("score").alias("best_score")).select("w.start", "w.end", "n", "avg_score", "best_score")
 
 
+#: How far a seed's last message may lie behind the newest of the stream, in seconds, before its state goes.
+IDLE_SECONDS = 7 * 24 * 3600
+#: Typed state with timers is kept by this store only.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class BySeed(StatefulProcessor):
+    """What the folds share: one typed value for each seed, and a timer that clears all of a seed that has become idle."""
+
+    value: str
+    output: str
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.value)
+        self.last = handle.getValueState("last", "ms long")
+
+    def touch(self, ms: int) -> None:
+        """Notes when the seed was last heard of; a timer is pending from the first time on."""
+        if self.last.exists():
+            self.last.update((max(ms, self.last.get()[0]),))
+        else:
+            self.last.update((ms,))
+            self.handle.registerTimer(ms + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        if last is not None and last + 1 > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(last + 1)
+        else:
+            self.forget()
+        return iter([])
+
+    def forget(self) -> None:
+        self.held.clear()
+        self.last.clear()
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        row = initialState.iloc[-1]
+        self.held.update(tuple(_plain(row[c]) for c in names(self.value)))
+        if "updated_us" in row and _plain(row["updated_us"]) is not None:
+            self.touch(int(row["updated_us"]) // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        out = list(self.fold(key[0], ({c: _plain(v) for c, v in r.items()} for r in frame.to_dict("records"))))
+        self.touch(int(frame["us"].max()) // 1000)
+        yield pd.DataFrame(out, columns=names(self.output)).astype(object)
+
+    def fold(self, seed: str, messages: Iterator[dict]) -> Iterator[tuple]:
+        """What the messages of a seed, in order of time, give."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+def names(schema: str) -> list[str]:
+    """The columns of a schema; only its last may be nested."""
+    head, _, last = schema.partition(" array<struct<")
+    return [x.split()[0] for x in head.split(", ")]
+
+
+def _plain(v: object) -> object:
+    """A value as Python's own: no NaN, no arrays or numbers of numpy."""
+    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        return None
+    if hasattr(v, "tolist"):
+        v = v.tolist()
+    return [x.asDict() if hasattr(x, "asDict") else x for x in v] if isinstance(v, (list, tuple)) else v
+
+
+def _by_seed(rows: DataFrame, processor: BySeed, columns: list, idle: float, initial: DataFrame | None = None) -> DataFrame:
+    """Runs a processor over the messages that have a seed. Their order is that of time, then event_id.
+
+    The watermark lies idle seconds behind the newest message: what is older is dropped, as its seed's state may be gone.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    if "spark.watermarkDelayMs" not in rows.schema["created_at"].metadata:
+        rows = rows.withWatermark("created_at", f"{idle} seconds")
+    own = rows.where("seed_id IS NOT NULL").select("seed_id", "event_id", "created_at", F.unix_micros("created_at").alias("us"), *columns)
+    start = initial.where("seed_id IS NOT NULL").groupBy("seed_id") if initial is not None else None
+    return own.groupBy("seed_id").transformWithStateInPandas(processor, processor.output, "append", "EventTime", start)
+
+
 VERIFIED = "seed_id string, event_id long, created_at timestamp, score double"
 
 
-def verify(rows: DataFrame, first: bool = True) -> DataFrame:
-    """New bests of each seed: a message whose score (null: 0) beats all earlier ones of its seed; the first counts, or doesn't."""
+class Verify(BySeed):
+    value, output = "best double", "seed_id string, event_id long, us long, score double"
+
+    def __init__(self, first: bool) -> None:
+        self.first = first
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get[0] if state.exists else None
-        frame = pd.concat(list(frames)).sort_values(["created_at", "event_id"])
-        out = []
-        for row in frame.itertuples():
-            score = 0.0 if pd.isna(row.score) else float(row.score)
+    def fold(self, seed: str, messages: Iterator[dict]) -> Iterator[tuple]:
+        best = self.held.get()[0] if self.held.exists() else None
+        for m in messages:
+            score = m["score"] or 0.0
             if best is None or score > best:
-                told, best = first or best is not None, score
+                told, best = self.first or best is not None, score
                 if told:
-                    out.append((key[0], row.event_id, row.created_at, score))
-        state.update((best,))
-        yield pd.DataFrame(out, columns=["seed_id", "event_id", "created_at", "score"])
+                    yield seed, m["event_id"], m["us"], score
+        self.held.update((best,))
 
-    own = rows.where("seed_id IS NOT NULL").select("seed_id", "event_id", "created_at", "score")
-    return own.groupBy("seed_id").applyInPandasWithState(step, VERIFIED, "best double", "append", GroupStateTimeout.NoTimeout)
 
+def verify(rows: DataFrame, first: bool = True, idle: float = IDLE_SECONDS, initial: DataFrame | None = None) -> DataFrame:
+    """New bests of each seed: a message whose score (null: 0) beats all earlier ones of its seed; the first counts, or doesn't. initial: seed_id, best."""
+    out = _by_seed(rows, Verify(first), ["score"], idle, initial)
+    return out.select("seed_id", "event_id", F.timestamp_micros("us").alias("created_at"), "score")
 
-RUN = "seed_id string, updates long, current_score double, best_score double, previous_best double, delta double, improved boolean, topic string, local_search string, completed boolean, created_us long, updated_us long"
-_RUN_STATE = "updates long, current_score double, best_score double, topic string, local_search string, completed boolean, created_us long, updated_us long"
 
+RUN = "seed_id string, updates long, current_score double, best_score double, previous_best double, delta double, improved boolean, topic string, local_search string, completed boolean, created_us long, updated_us long"
 
-def fold_runs(rows: DataFrame) -> DataFrame:
-    """The state of each seed after each of its messages, which are taken in order of time within a batch.
 
-    The best score never falls; a completed run stays completed and keeps its fields, unless a later message is a
-    completed one too; delta is the gain over the best before.
-    """
+class Runs(BySeed):
+    value, output = "updates long, current_score double, best_score double, topic string, local_search string, completed boolean, created_us long, updated_us long", RUN
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, current, best, topic, search, done, first, last = state.get if state.exists else (0, None, None, None, None, False, None, None)
-        frame = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        out = []
-        for row in frame.itertuples():
-            score = None if pd.isna(row.score) else float(row.score)
-            ends = row.status == "completed"
-            prior = best
+    def fold(self, seed: str, messages: Iterator[dict]) -> Iterator[tuple]:
+        n, current, best, topic, search, done, first, last = self.held.get() if self.held.exists() else (0, None, None, None, None, False, None, None)
+        for m in messages:
+            score, ends, prior = m["score"], m["status"] == "completed", best
             if score is not None:
                 best = score if best is None else max(best, score)
             if not done or ends:
                 current = score if score is not None else current
-                topic, search = row.topic or topic, row.local_search or search
+                topic, search = m["topic"] or topic, m["local_search"] or search
             n, done = n + 1, bool(done or ends)
-            first = row.us if first is None else min(first, row.us)
-            last = row.us if last is None else max(last, row.us)
+            first = m["us"] if first is None else min(first, m["us"])
+            last = m["us"] if last is None else max(last, m["us"])
             delta = None if score is None or prior is None else round(score - prior, 6)
-            out.append((key[0], n, current, best, prior, delta, score is not None and (prior is None or score > prior), topic, search, done, first, last))
-        state.update((n, current, best, topic, search, done, first, last))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in RUN.split(", ")])
+            yield seed, n, current, best, prior, delta, score is not None and (prior is None or score > prior), topic, search, done, first, last
+        self.held.update((n, current, best, topic, search, done, first, last))
 
-    own = rows.where("seed_id IS NOT NULL").select("seed_id", "event_id", F.unix_micros("created_at").alias("us"), "score", "status", "topic", "local_search")
-    return own.groupBy("seed_id").applyInPandasWithState(step, RUN, _RUN_STATE, "append", GroupStateTimeout.NoTimeout)
+
+def fold_runs(rows: DataFrame, idle: float = IDLE_SECONDS, initial: DataFrame | None = None) -> DataFrame:
+    """The state of each seed after each of its messages, which are taken in order of time within a batch.
+
+    The best score never falls; a completed run stays completed and keeps its fields, unless a later message is a
+    completed one too; delta is the gain over the best before. initial: stored rows of the same columns, one of a seed.
+    """
+    return _by_seed(rows, Runs(), ["score", "status", "topic", "local_search"], idle, initial)
 
 
 def notify(rows: DataFrame) -> DataFrame:
@@ -118,31 +202,51 @@ def notify(rows: DataFrame) -> DataFrame:
     return verify(rows, first=False)
 
 
+#: Fixed value: cycles of a run whose messages don't tell.
+CYCLES = 10
+
+
+def searches_of(listed: list[str] | None) -> list[str]:
+    """The searches that a message enables, in its order: known names once each, or all if it names none."""
+    known = [x for x in ((str(v) if v is not None else "").strip().upper() for v in listed or []) if x in S.LOCAL_SEARCHES]
+    return list(dict.fromkeys(known)) or list(S.LOCAL_SEARCHES)
+
+
 #: Fields of a run's state, by how a message changes them: always by what it names, unless the run is completed by what
 #: it names, unless completed by what it holds, and always by what it holds.
 FOLLOWED = ("request_id", "rcl_algorithm", "classifier", "training_file_name", "testing_file_name")
 CARRIED = ("local_search", "neighborhood", "iteration_neighborhood", "solution_features", "rcl_features")
 FRESH = ("current_score", "previous_best", "delta", "improved")
 LATEST = ("cpu_usage", "memory_usage", "memory_usage_percent")
-STATE = (
-    "seed_id string, status string, stage string, topic string, request_id string, rcl_algorithm string, classifier string, training_file_name string, testing_file_name string, local_search string, "
+#: What a message tells of its budget, kept for messages that don't.
+BUDGET = ("enabled_local_searches", "neighborhood_max_iterations")
+ENTRY = "us: long, request_id: string, topic: string, stage: string, score: double, previous_best: double, delta: double, improved: boolean, local_search: string, cpu_usage: double"
+_FIELDS = (
+    "status string, stage string, topic string, request_id string, rcl_algorithm string, classifier string, training_file_name string, testing_file_name string, local_search string, "
     "neighborhood string, iteration_neighborhood int, solution_features array<int>, rcl_features array<int>, current_score double, best_score double, previous_best double, delta double, improved boolean, "
-    "cpu_usage double, memory_usage double, memory_usage_percent double, created_us long, updated_us long, completed_us long, updates long, "
-    "history array<struct<us: long, request_id: string, topic: string, stage: string, score: double, previous_best: double, delta: double, improved: boolean, local_search: string, cpu_usage: double>>"
+    "cpu_usage double, memory_usage double, memory_usage_percent double, created_us long, updated_us long, completed_us long, updates long, enabled_local_searches array<string>, neighborhood_max_iterations int"
 )
-_MESSAGE = ("event_id", "us", "topic", "stage", "score", *FOLLOWED, *CARRIED, *LATEST)
+STATE = f"seed_id string, {_FIELDS}, history array<struct<{ENTRY}>>"
+_MESSAGE = ("topic", "stage", "score", *FOLLOWED, *CARRIED, *LATEST, *BUDGET)
 
 
-def advance(run: dict, m: dict, cycles: int, searches: int, history: int, progress: bool = True) -> dict:
-    """The state of a run after a message; a completed run keeps what it shows, but for another message that ends it."""
-    steps = cycles * searches if (m["neighborhood"] or run.get("neighborhood") or "").upper() == "VND" else cycles
+def advance(run: dict, m: dict, cycles: int = CYCLES, progress: bool = True) -> tuple[dict, dict | None]:
+    """The state of a run after a message, and its entry in the history; a completed run keeps what it shows, but for another message that ends it.
+
+    The budget is what the message tells of its searches and cycles, else what the run holds, else all searches and the given cycles.
+    """
+    told_budget = {c: m[c] if m[c] else run.get(c) for c in BUDGET}
+    own_cycles = told_budget["neighborhood_max_iterations"] or 0
+    own_cycles = own_cycles if own_cycles > 0 else cycles
+    turns = (m["neighborhood"] or run.get("neighborhood") or "").upper() == "VND"
+    steps = own_cycles * len(searches_of(told_budget["enabled_local_searches"])) if turns else own_cycles
     step = m["iteration_neighborhood"] if m["iteration_neighborhood"] is not None else run.get("iteration_neighborhood")
     ends = m["topic"] == S.SOLUTIONS and step is not None and step >= steps
     keeps = run.get("status") == "completed" and not ends
     score, best = m["score"], run.get("best_score")
     delta = None if score is None or best is None else round(score - best, 6)
     told = {"current_score": score, "previous_best": best, "delta": delta, "improved": score is not None and (best is None or score > best)}
-    new = dict(run)
+    new = dict(run) | told_budget
     for c in FRESH:
         new[c] = run[c] if keeps and run.get(c) is not None else told[c]
     for c in CARRIED:
@@ -158,31 +262,60 @@ def advance(run: dict, m: dict, cycles: int, searches: int, history: int, progre
         new["completed_us"] = m["us"]
     if score is not None:
         new["best_score"] = score if best is None else max(best, score)
+    entry = None
     if progress or m["topic"] != S.PROGRESS:
         entry = {"us": m["us"], "request_id": new["request_id"], "topic": m["topic"], "stage": m["stage"], "score": score, **{c: told[c] for c in FRESH[1:]}, "local_search": m["local_search"], "cpu_usage": m["cpu_usage"]}
-        new["history"] = [*run.get("history", []), entry][-history:]
-    return new | {"updates": run.get("updates", 0) + 1, "created_us": run.get("created_us", m["us"]), "updated_us": m["us"]}
-
-
-def fold_states(rows: DataFrame, cycles: int = 10, searches: int = len(S.LOCAL_SEARCHES), history: int = 500, progress: bool = True) -> DataFrame:
+    before = run.get("created_us")
+    return new | {"updates": (run.get("updates") or 0) + 1, "created_us": m["us"] if before is None else before, "updated_us": m["us"]}, entry
+
+
+class States(BySeed):
+    value, output = _FIELDS, STATE
+
+    def __init__(self, cycles: int, history: int, progress: bool) -> None:
+        self.cycles, self.history, self.progress = cycles, history, progress
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.entries = handle.getListState("entries", ENTRY.replace(":", ""))
+
+    def forget(self) -> None:
+        super().forget()
+        self.entries.clear()
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        super().handleInitialState(key, initialState, timerValues)
+        held = _plain(initialState.iloc[-1]["history"]) or []
+        columns = names(ENTRY.replace(":", ""))
+        if held:
+            self.entries.put([tuple(_plain(e[c]) for c in columns) for e in held[-self.history :]])
+
+    def fold(self, seed: str, messages: Iterator[dict]) -> Iterator[tuple]:
+        columns, entry_columns = names(self.value), names(ENTRY.replace(":", ""))
+        run = {c: _plain(v) for c, v in zip(columns, self.held.get())} if self.held.exists() else {}
+        run = {c: v for c, v in run.items() if v is not None}
+        entries = list(self.entries.get())
+        for m in messages:
+            run, entry = advance(run, m, self.cycles, self.progress)
+            if entry:
+                entries.append(tuple(entry[c] for c in entry_columns))
+        entries = entries[-self.history :]
+        self.held.update(tuple(run.get(c) for c in columns))
+        if entries:
+            self.entries.put(entries)
+        yield seed, *(run.get(c) for c in columns), [{c: _plain(v) for c, v in zip(entry_columns, e)} for e in entries]
+
+
+def fold_states(rows: DataFrame, cycles: int = CYCLES, history: int = 500, progress: bool = True, idle: float = IDLE_SECONDS, initial: DataFrame | None = None) -> DataFrame:
     """The whole state of each seed's run, with its newest history entries, once for each batch that has messages of it.
 
-    A batch's messages are taken in order of time. The state of a seed is one JSON text of bounded length.
+    A batch's messages are taken in order of time. What a message tells of its searches and cycles decides when its run
+    ends; rows without these columns take all searches and the given cycles. initial: stored rows of this fold, one of a
+    seed, from which the stream goes on as if it had never stopped.
     """
-    names = [x.split()[0] for x in STATE.split(", history ")[0].split(", ")] + ["history"]
-    plain = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v.tolist() if hasattr(v, "tolist") else v
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = json.loads(state.get[0]) if state.exists else {}
-        for row in pd.concat(list(frames)).sort_values(["us", "event_id"]).to_dict("records"):
-            m = {c: plain(row[c]) for c in _MESSAGE}
-            m["iteration_neighborhood"] = None if m["iteration_neighborhood"] is None else int(m["iteration_neighborhood"])
-            run = advance(run, m, cycles, searches, history, progress)
-        state.update((json.dumps(run),))
-        yield pd.DataFrame([{"seed_id": key[0]} | run]).reindex(columns=names).astype(object)
-
-    own = rows.where("seed_id IS NOT NULL").withColumn("us", F.unix_micros("created_at")).select("seed_id", *_MESSAGE)
-    return own.groupBy("seed_id").applyInPandasWithState(step, STATE, "run string", "append", GroupStateTimeout.NoTimeout)
+    missing = {"enabled_local_searches": "array<string>", "neighborhood_max_iterations": "int"}
+    columns = [F.col(c) if c in rows.columns else F.lit(None).cast(missing[c]).alias(c) for c in _MESSAGE]
+    return _by_seed(rows, States(cycles, history, progress), columns, idle, initial)
 
 
 class LiveWindow:
@@ -213,62 +346,76 @@ class LiveWindow:
         self.clients = clients
 
 
-ROUTED = "seed_id string, iteration int, local_search string, best_score double, action string"
-_ROUTE_STATE = "best double, baseline double, place int, iteration int"
+ROUTED = "seed_id string, event_id long, iteration int, local_search string, best_score double, action string"
 
 
-def route(rows: DataFrame, strategy: str, searches: tuple[str, ...] = S.LOCAL_SEARCHES, cycles: int = 10, seed: int = 1) -> DataFrame:
+def routed(held: tuple | None, m: dict, turns: bool, cycles: int, draw: Callable[[int, int], int]) -> tuple[tuple | None, tuple | None]:
+    """The state (best, baseline, iteration, search) of a seed after a result, and (iteration, search, best, action) if it is told of.
+
+    The message says which searches it enables, how many cycles it may take, how many steps were dispatched and which
+    search it comes from; where it doesn't, all searches, the given cycles, and what the state holds count.
+    """
+    searches = searches_of(m["enabled_local_searches"])
+    own_cycles = m["neighborhood_max_iterations"] or 0
+    budget = (own_cycles if own_cycles > 0 else cycles) * (len(searches) if turns else 1)
+    best, baseline, step, last = held or (None, None, 0, None)
+    step = step if m["step"] is None else m["step"]
+    if step > budget:
+        return None, None
+    score = m["score"] or 0.0
+    better = best is not None and score > best
+    best = score if best is None else max(best, score)
+    if step == budget:
+        return None, (step, None, best, "done")
+    if not turns:
+        search = searches[draw(step + 1, len(searches))]
+        return (best, None, step + 1, search), (step + 1, search, best, "restart" if better else "next")
+    baseline = best if baseline is None else baseline
+    came = next((x for x in ((m["local_search"] or "").strip().upper(), last) if x in searches), None)
+    place = searches.index(came) + 1 if came else 0
+    if place < len(searches):
+        search = searches[place]
+        return (best, best if place == 0 else baseline, step + 1, search), (step + 1, search, best, "next")
+    if best <= baseline:
+        return None, (step, None, best, "done")
+    return (best, best, step + 1, searches[0]), (step + 1, searches[0], best, "restart")
+
+
+class Routes(BySeed):
+    value, output = "best double, baseline double, iteration int, search string", ROUTED
+
+    def __init__(self, turns: bool, cycles: int, seed: int) -> None:
+        self.turns, self.cycles, self.seed = turns, cycles, seed
+
+    def fold(self, seed: str, messages: Iterator[dict]) -> Iterator[tuple]:
+        held = tuple(_plain(v) for v in self.held.get()) if self.held.exists() else None
+        for m in messages:
+            held, told = routed(held, m, self.turns, self.cycles, lambda step, n: _draw(f"{self.seed}|{seed}|{step}", n))
+            if told:
+                yield seed, m["event_id"], *told
+        if held:
+            self.held.update(held)
+        else:
+            self.held.clear()
+
+
+def route(rows: DataFrame, strategy: str, cycles: int = CYCLES, seed: int = 1, idle: float = IDLE_SECONDS, initial: DataFrame | None = None) -> DataFrame:
     """The neighborhood step of each result message: which search is next, or that the seed restarts or ends.
 
-    VND takes the searches in turn and starts a new cycle if the last one improved; RVND restarts on improvement and
-    otherwise draws the next search, by a hash of seed and step, so that a replay draws the same. A message's own
-    iteration_neighborhood says how many steps were dispatched, where it tells; one beyond the budget is passed over. The
-    state of a seed goes with its end.
+    VND takes the searches that the message enables in turn, from the one it comes from, and starts a new cycle if the
+    last one improved on the score it began with; RVND restarts on improvement and otherwise draws the next search, by a
+    hash of seed and step, so that a replay draws the same. The budget is the message's cycles, for VND times its
+    searches; a message beyond it is passed over. The first result of a seed is never an improvement. The state of a seed
+    goes with its end, or when it is idle. initial: seed_id, best, baseline, iteration, search.
     """
-    turns = strategy.upper() == "VND"
-    budget = max(cycles * len(searches), len(searches)) if turns else cycles
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fresh = (None, None, -1, 0)
-        best, baseline, place, iteration = state.get if state.exists else fresh
-        out, ended = [], not state.exists
-        for row in pd.concat(list(frames)).sort_values(["created_at", "event_id"]).itertuples():
-            iteration = iteration if pd.isna(row.step) else int(row.step)
-            if iteration > budget:
-                (best, baseline, place, iteration), ended = fresh, True
-                continue
-            score = 0.0 if pd.isna(row.score) else float(row.score)
-            better = best is not None and score > best
-            best = score if best is None else max(best, score)
-            baseline, ended = best if baseline is None else baseline, False
-            idle = turns and place + 1 == len(searches) and best <= baseline
-            if iteration == budget or idle:
-                out.append((key[0], iteration, None, best, "done"))
-                (best, baseline, place, iteration), ended = fresh, True
-                continue
-            iteration += 1
-            action = "next"
-            if turns:
-                place += 1
-                if place == len(searches):
-                    place, baseline, action = 0, best, "restart"
-            else:
-                action = "restart" if better else "next"
-                place = _draw(f"{seed}|{key[0]}|{iteration}", len(searches))
-            out.append((key[0], iteration, searches[place], best, action))
-        if not ended:
-            state.update((best, baseline, place, iteration))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in ROUTED.split(", ")])
-
-    told = F.col("iteration_neighborhood") if "iteration_neighborhood" in rows.columns else F.lit(None).cast("int")
-    own = for_strategy(rows, strategy).where("seed_id IS NOT NULL").select("seed_id", "event_id", "created_at", "score", told.alias("step"))
-    return own.groupBy("seed_id").applyInPandasWithState(step, ROUTED, _ROUTE_STATE, "append", GroupStateTimeout.NoTimeout)
+    missing = {"iteration_neighborhood": "int", "local_search": "string", "enabled_local_searches": "array<string>", "neighborhood_max_iterations": "int"}
+    told = {c: F.col(c) if c in rows.columns else F.lit(None).cast(kind) for c, kind in missing.items()}
+    columns = ["score", told.pop("iteration_neighborhood").cast("int").alias("step"), *(v.alias(c) for c, v in told.items())]
+    return _by_seed(for_strategy(rows, strategy), Routes(strategy.upper() == "VND", cycles, seed), columns, idle, initial)
 
 
 def _draw(text: str, n: int) -> int:
-    return zlib.crc32(text.encode()) % n
+    return int(hashlib.md5(text.encode()).hexdigest()[:7], 16) % n
 
 
 def progress_kept(rows: DataFrame, mode: str = "full", every: int = 1) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,7 +124,7 @@ def test_streamed_fold_equals_batch(spark, tmp_path):
 
 def test_streamed_states_equal_batch(spark, tmp_path):
     rows = log(spark)
-    out = folds.fold_states(stream(spark, tmp_path, rows), 2, 3, history=5)
+    out = folds.fold_states(stream(spark, tmp_path, rows), 2, history=5)
     last = {}
     for r in drain(spark, out, tmp_path):
         if r.seed_id not in last or r.updates > last[r.seed_id].updates:
@@ -190,6 +191,85 @@ def test_routes_stay_within_budget(spark, tmp_path):
     assert all(int(s) % 2 == 0 for s in by) and {r.action for r in out} <= {"next", "restart", "done"}
 
 
+def result(score, step=None, search=None, searches=None, cycles=None):
+    return {"score": score, "step": step, "local_search": search, "enabled_local_searches": searches, "neighborhood_max_iterations": cycles}
+
+
+def walk(messages, turns=True, cycles=10):
+    held, out = None, []
+    for m in messages:
+        held, told = folds.routed(held, m, turns, cycles, lambda step, n: step % n)
+        out.append(told and told[1:] and (told[0], told[1], told[3]))
+    return out, held
+
+
+def test_routes_follow_each_message():
+    two = ["iwss", None, "nope", "BIT_FLIP", "IWSS"]
+    # the message's own search and list decide what is next: IWSS, BIT_FLIP, and a new cycle if the last one improved
+    assert walk([result(1.0, 1, "IWSS", two), result(2.0, 2, "BIT_FLIP", two)])[0] == [(2, "BIT_FLIP", "next"), (3, "IWSS", "restart")]
+    assert walk([result(2.0, 1, "IWSS", two), result(1.0, 2, "BIT_FLIP", two)])[0] == [(2, "BIT_FLIP", "next"), (2, None, "done")]
+    # the same seed under three searches goes on
+    assert walk([result(2.0, 1, "BIT_FLIP"), result(1.0, 2, "IWSS"), result(1.0, 3, "IWSSR")])[0] == [(2, "IWSS", "next"), (3, "IWSSR", "next"), (3, None, "done")]
+    # budgets: cycles times searches for VND, cycles for RVND; zero and null take the default
+    assert walk([result(1.0, 2, "IWSS", two, 1)]) == ([(2, None, "done")], None) and walk([result(1.0, 2, "IWSS", two, 0)], cycles=1) == ([(2, None, "done")], None)
+    assert walk([result(1.0, 3, "IWSS", two, 1)]) == ([None], None)
+    assert walk([result(1.0, 1, "IWSS", ["IWSS"], 2)], turns=False)[0] == [(2, "IWSS", "next")]
+    assert walk([result(1.0, 1, None, None, 5), result(3.0, 2, None, None, 5), result(None, 3, None, None, 5), result(9.0, 5, None, None, 5)], turns=False)[0] == [(2, "IWSSR", "next"), (3, "BIT_FLIP", "restart"), (4, "IWSS", "next"), (5, None, "done")]
+    # a message from an unknown search starts at the first, and counts for itself
+    assert walk([result(1.0, None, "?", two), result(1.0, None, None, two)])[0] == [(1, "IWSS", "next"), (2, "BIT_FLIP", "next")]
+
+
+def test_budget_and_terminal_messages_of_runs():
+    m = {c: None for c in folds._MESSAGE} | {"topic": S.SOLUTIONS, "neighborhood": "VND", "us": 1, "score": 1.0}
+    ends = lambda **a: folds.advance({}, m | a)[0]["status"]
+    assert ends(iteration_neighborhood=29) == "running" and ends(iteration_neighborhood=30) == "completed"
+    assert ends(iteration_neighborhood=2, neighborhood_max_iterations=1, enabled_local_searches=["IWSS", "iwss", "BIT_FLIP"]) == "completed"
+    assert ends(iteration_neighborhood=4, neighborhood_max_iterations=4, neighborhood="RVND") == "completed" and ends(iteration_neighborhood=9, topic=S.PROGRESS, neighborhood_max_iterations=1) == "running"
+    # what an earlier message told of the budget holds; a later restart leaves a completed run as it is, and it stays so
+    run, _ = folds.advance({}, m | {"topic": S.INITIAL, "neighborhood_max_iterations": 1, "enabled_local_searches": ["IWSS"], "score": 5.0})
+    run, _ = folds.advance(run, m | {"iteration_neighborhood": 1, "score": 7.0, "us": 2})
+    assert run["status"] == "completed" and run["completed_us"] == 2
+    later, _ = folds.advance(run, m | {"topic": S.RESTART, "score": 9.0, "us": 3})
+    assert later["status"] == "completed" and later["current_score"] == 7.0 and later["best_score"] == 9.0 and later["topic"] == S.SOLUTIONS
+
+
+def states_of(rows):
+    last = {}
+    for r in rows:
+        if r.seed_id not in last or r.updated_us >= last[r.seed_id].updated_us:
+            last[r.seed_id] = r
+    return last
+
+
+def test_restart_from_stored_rows_equals_unbroken_run(spark, tmp_path):
+    rows = log(spark).where("CAST(seed_id AS INT) < 40")
+    middle = rows.selectExpr("percentile_approx(created_at, 0.5) AS t").first().t
+    early, late = rows.where(F.col("created_at") <= middle), rows.where(F.col("created_at") > middle)
+    for name in ("whole", "early", "late"):
+        (tmp_path / name).mkdir()
+    whole = states_of(drain(spark, folds.fold_states(stream(spark, tmp_path / "whole", rows), 2, history=6), tmp_path / "whole"))
+    stored = list(states_of(drain(spark, folds.fold_states(stream(spark, tmp_path / "early", early), 2, history=6), tmp_path / "early")).values())
+    store = spark.createDataFrame(stored, folds.STATE)
+    again = states_of([*stored, *drain(spark, folds.fold_states(stream(spark, tmp_path / "late", late), 2, history=6, initial=store), tmp_path / "late")])
+    assert again == whole and any(len(r.history) == 6 for r in whole.values())
+
+
+def test_idle_seeds_expire(spark, tmp_path):
+    """A seed whose last message lies too far behind the newest of the stream starts anew; one that is heard of goes on."""
+    day = lambda k, seed, n: {"event_id": n, "seed_id": seed, "created_at": f"2026-01-{k:02d}T00:00:00.000Z", "score": float(n)}
+    batches = [[day(1, "a", 1), day(1, "b", 2)], [day(2, "a", 3), day(2, "b", 4)], [day(6, "a", 5)], [day(10, "a", 6)], [day(11, "b", 7), day(11, "a", 8)]]
+    src = tmp_path / "in"
+    src.mkdir()
+    for k, batch in enumerate(batches):
+        (src / f"{k}.json").write_text("\n".join(json.dumps(r) for r in batch))
+        out = folds.fold_runs(folds.topic_source(spark, S.EVENT, str(src)), idle=5 * 24 * 3600)
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(240)
+    got = sorted((r.seed_id, r.created_us // 1000, r.updates) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    first = int(dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc).timestamp() * 1000)
+    assert [(s, n) for s, _, n in got] == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 5), ("b", 1), ("b", 2), ("b", 1)]
+    assert {at for s, at, _ in got if s == "a"} == {first} and [at - first for s, at, _ in got if s == "b"] == [0, 0, 10 * 24 * 3600 * 1000]
+
+
 def test_message_keys_and_progress(spark):
     df = spark.createDataFrame([("s", "J48", None, "t"), (None, "J48", None, "t")], "seed_id string, classifier string, training_file_name string, testing_file_name string")
     assert [r.key for r in folds.message_key(df).collect()] == ["s", "J48|null|t"]
