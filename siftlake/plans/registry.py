@@ -18,7 +18,7 @@ from siftlake.functions import labels
 from siftlake.operators import feed, monitor, runs, scoring, search, series, views
 from siftlake.plans import searchsql
 from siftlake.session import shared_dir, table
-from siftlake.sources import arff, catalog, eventlog, sinks
+from siftlake.sources import arff, catalog, eventlog, keyed, sinks
 from siftlake.streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -391,6 +391,31 @@ def read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.table("topics")
 
 
+@_query("keyed_store", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN score + 1 ELSE score END AS score, 0 AS rewritten FROM ev")
+def keyed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in three batches of a writer: as they are, a third of them again with new scores, and the first batch once more after a crash."""
+    rows = _ev(spark, sf_dir).select("event_id", "seed_id", "created_at", "score")
+    again = rows.where("event_id % 3 = 0").withColumns({"score": F.col("score") + 1, "created_at": F.col("created_at") + F.expr("INTERVAL 1 SECOND")})
+    store = keyed.KeyedStore(spark, _shared(spark, "store"), ["event_id"], ["created_at"])
+    store.upsert(rows, "log", 0)
+    store.upsert(again, "log", 1)
+    rewritten = len(store.upsert(rows.withColumn("score", F.lit(-1.0)), "log", 0))
+    return store.read().select("event_id", "score", F.lit(rewritten).alias("rewritten"))
+
+
+@_query("catalog_profiles", "SELECT o_orderstatus AS status, CAST(3 AS BIGINT) AS attributes, count(*) AS instances, 0 AS scanned FROM orders GROUP BY 1", "")
+def catalog_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data sets of a folder with kept profiles: scanned is how many files the second look reads."""
+    folder = _shared(spark, "sets")
+    lines = table(spark, sf_dir, "orders").select("o_orderstatus", F.concat_ws(",", "o_orderkey", "o_custkey", "o_totalprice").alias("value"))
+    lines.repartition("o_orderstatus").write.partitionBy("o_orderstatus").text(folder)
+    sets = catalog.Catalog(spark, folder, _shared(spark, "profiles"))
+    sets.datasets()
+    found = sets.datasets()
+    status = F.regexp_extract("path", "o_orderstatus=([^/]*)", 1)
+    return found.groupBy(status.alias("status")).agg(F.max("attributes").alias("attributes"), F.sum("instances").alias("instances")).withColumn("scanned", F.lit(sets.scanned))
+
+
 @_query("arff_scan", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_discount), 2) AS discount FROM lineitem GROUP BY 1", "")
 def arff_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _shared(spark, "arff")

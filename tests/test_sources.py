@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from siftlake import schemas as S
 from siftlake.operators import feed, monitor, runs, search, views
 from siftlake.plans import registry
-from siftlake.sources import arff, catalog, sinks
+from siftlake.sources import arff, catalog, keyed, sinks
 from siftlake.streaming import folds
 
 ARFF = "% comment\n@relation 'net flow'\n\n@attribute duration numeric\n@attribute proto {tcp,udp}\n@ATTRIBUTE 'src bytes' REAL\n@attribute class {normal, attack}\n@data\n% more\n1.5,tcp,?,normal\n2,udp,3,attack\n\n"
@@ -57,6 +58,58 @@ def test_catalog(spark, folder):
     assert (total.files, total.families, total.formats, total.richest, total.pairs) == (2, 1, "arff", "flow_test.arff", 1)
 
 
+def test_catalog_keeps_profiles(spark, folder):
+    (folder / "sub").mkdir()
+    (folder / "sub" / "plain.csv").write_text("p,q\n")
+    kept = tempfile.mkdtemp()
+    sets = catalog.Catalog(spark, str(folder), kept)
+    shown = lambda: sorted((r.path.removeprefix(f"file:{folder}/"), r.attributes, r.instances, r.relation) for r in sets.datasets().collect())
+    want = [("flow_test.arff", 4, 3, "'net flow'"), ("flow_train.arff", 4, 2, "'net flow'"), ("plain.csv", 3, 2, None), ("sub/plain.csv", 2, 1, None), ("wide.data", 4, 1, None)]
+    assert shown() == want and sets.scanned == 5
+    assert shown() == want and sets.scanned == 0
+    (folder / "plain.csv").write_text("# c\na,b,c\n1,2,3\n4,5,6\n")
+    (folder / "wide.data").unlink()
+    again = catalog.Catalog(spark, str(folder), kept)
+    found = sorted((r.path.removeprefix(f"file:{folder}/"), r.instances) for r in again.datasets().collect())
+    assert found == [("flow_test.arff", 3), ("flow_train.arff", 2), ("plain.csv", 3), ("sub/plain.csv", 1)] and again.scanned == 1
+
+
+def test_keyed_store(spark, tmp_path):
+    store = keyed.KeyedStore(spark, f"{tmp_path}/store", ["k"], ["at"], buckets=8)
+    rows = lambda *v: spark.createDataFrame(v, "k string, at int, x double")
+    held = lambda: {r.k: (r["at"], r.x) for r in store.read().collect()}
+    assert store.read() is None and store.upsert(rows().limit(0)) == [] and store.read().count() == 0
+    assert len(store.upsert(rows(*((f"k{n}", 1, float(n)) for n in range(200)), ("k0", 2, -1.0), (None, 1, 0.0)), "w", 0)) == 8
+    assert len(held()) == 200 and held()["k0"] == (2, -1.0)
+    # a batch again changes nothing; an older row doesn't replace a newer one, an equal one does; only its buckets are written
+    assert store.upsert(rows(("k1", 9, 9.0)), "w", 0) == [] and held()["k1"] == (1, 1.0)
+    before = store.version()[1]["buckets"]
+    touched = store.upsert(rows(("k0", 1, 5.0), ("k1", 1, 7.0)), "w", 1)
+    after = store.version()[1]["buckets"]
+    assert held()["k0"] == (2, -1.0) and held()["k1"] == (1, 7.0) and len(touched) <= 2
+    assert {b for b in after if after[b] != before[b]} == {str(b) for b in touched}
+    # two writers: who comes second to a version makes the next
+    other, lost = keyed.KeyedStore(spark, f"{tmp_path}/store", ["k"], ["at"], buckets=8), []
+    create = store._create
+    store._create = lambda number, content: create(number, content) if lost else (lost.append(1), other.upsert(rows(("k2", 5, 5.0))), create(number, content))[2]
+    store.upsert(rows(("k3", 5, 6.0)))
+    assert held()["k2"] == (5, 5.0) and held()["k3"] == (5, 6.0) and lost
+    # a column more: what was stored has nulls there
+    store.upsert(spark.createDataFrame([("k4", 5, 6.0, "y")], "k string, at int, x double, y string"))
+    assert {r.k: r.y for r in store.read().where("k IN ('k3', 'k4')").collect()} == {"k3": None, "k4": "y"}
+
+
+def test_keyed_store_as_a_sink(spark, tmp_path):
+    """A stream's batches are taken in once, though the stream is run anew from its beginning."""
+    rows = log(spark)
+    store = keyed.KeyedStore(spark, f"{tmp_path}/store", ["event_id"], ["created_at"], buckets=4)
+    (tmp_path / "a").mkdir()
+    source = stream(spark, tmp_path / "a", rows, per_file=400)
+    for run in range(2):
+        folds.into(source, f"{tmp_path}/ck{run}", store.sink("events")).awaitTermination(240)
+    assert {r.event_id for r in store.read().collect()} == {r.event_id for r in rows.collect()} and store.read().count() == rows.count()
+
+
 def log(spark):
     return registry._ev(spark, "/root/testdata/sf0.001").cache()
 
