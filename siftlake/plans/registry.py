@@ -18,7 +18,7 @@ from siftlake.functions import labels
 from siftlake.operators import feed, monitor, runs, scoring, search, series, views
 from siftlake.plans import searchsql
 from siftlake.session import shared_dir, table
-from siftlake.sources import arff, catalog, eventlog, keyed, sinks
+from siftlake.sources import arff, catalog, eventlog, keyed, sinks, topiclog
 from siftlake.streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -452,6 +452,27 @@ def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("seed_id", "r.*").select(*(c.replace("completed_at", "completed_us") for c in _STATE_COLUMNS if c != "history_count"))
 
 
+@_query("topic_log", "SELECT topic, seed_id AS key, count(*) AS n, count(*) AS gapless, min(event_id) AS first_id, max(event_id) AS last_id FROM ev GROUP BY ALL")
+def topic_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events sent to a log in two batches, sent all again after a crash, and read from the beginning in bounded batches: none is lost or repeated.
+
+    gapless: of the messages of a key those whose offset no other message of the partition has.
+    """
+    spark.dataSource.register(topiclog.TopicLog)
+    folder = _shared(spark, "log")
+    rows = _ev(spark, sf_dir).select("topic", F.coalesce("seed_id", F.lit("")).alias("key"), F.to_json(F.struct("event_id", "created_at")).alias("value"))
+    rows.repartitionByRange(2, "value").write.parquet(f"{folder}/in")
+    at = f"{folder}/topics".removeprefix("file:")
+    for attempt in range(2):
+        sent = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        sent.writeStream.format("topiclog").option("path", at).option("producer", "search").option("checkpointLocation", f"{folder}/sent-{attempt}").trigger(availableNow=True).start().awaitTermination()
+    got = spark.readStream.format("topiclog").option("path", at).option("group", "monitor").load()
+    got.writeStream.format("parquet").option("path", f"{folder}/got").option("checkpointLocation", f"{folder}/monitor").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(got.schema).parquet(f"{folder}/got")
+    event = F.get_json_object("value", "$.event_id").cast("long")
+    return kept.groupBy("topic", "key").agg(F.count("*").alias("n"), F.countDistinct("partition", "offset").alias("gapless"), F.min(event).alias("first_id"), F.max(event).alias("last_id"))
+
+
 #: What the results of a seed say of its searches and cycles.
 _LISTS = [["IWSS", "BIT_FLIP"], list(S.LOCAL_SEARCHES), ["IWSSR"], ["IWSSR", "IWSS", "BIT_FLIP"]]
 
