@@ -4,11 +4,12 @@ Documents of equal text form a group, and a group goes to the shard where the do
 rows, each as a share of a shard's capacity) with the shard's residual capacity is highest; large groups go first.
 
 For scale the packing runs at two levels. A group that holds more than 1/(64 shards) of any total is heavy. There are at
-most a few thousand of them whatever the corpus is, and they are packed on the driver, each whole. Only a group that
-takes more than WHOLE of a shard, or that no shard has room for in all dimensions, would break the balance: it is dealt
-into pieces of about 1/64 of a shard, or of a row, which are packed in the same order of size. All other groups are dealt by hash into cells of about CELL_GROUPS groups; each cell is one task that
-packs its groups into its share of the capacity which the heavy groups have left. Slots are numbered in two steps as
-well, within a bucket of a shard and by the sums of the buckets before it, so no task holds a shard.
+most a few thousand of them whatever the corpus is, and they are packed on the driver, each whole where any shard has
+bytes for it. Only a group that no shard has bytes for would break the law: it is dealt into pieces of about 1/64 of a
+shard, or of a row, which are packed in the same order of size. All other groups are dealt by hash into cells of about
+CELL_GROUPS groups; each cell is one task that packs its groups into its share of the capacity which the heavy groups
+have left. Slots are numbered in two steps as well, within a bucket of a shard and by the sums of the buckets before it,
+so no task holds a shard.
 
 Cases: a null text has no bytes and no tokens and is not equal to the empty text; repeated rows each get a slot; a null
 doc_id is kept; an empty table gives an empty result; other columns are not read.
@@ -25,8 +26,6 @@ from siftlake.session import cut
 
 SHARDS = 24
 HEAVY_PARTS = 64
-#: The part of a shard up to which a group is kept whole.
-WHOLE = 1 / 8
 CELL_GROUPS = 20_000
 BUCKET_ROWS = 50_000
 LEAST_BUCKETS = 32
@@ -37,16 +36,15 @@ DIMENSIONS = ("bytes", "tokens", "rows")
 def place(items: np.ndarray, residual: np.ndarray, capacity: np.ndarray, strict: np.ndarray | None = None) -> np.ndarray:
     """The shard of each item (rows of items, largest first): where its share of capacity, dotted with what is left, is highest.
 
-    Only shards whose bytes it fits are asked, as bytes are the law; if there is none, it goes where most bytes are left.
-    A strict item must fit in all dimensions, and goes nowhere (-1) otherwise. Ties go to the lowest shard. residual is changed.
+    Only shards whose bytes it fits are asked, as bytes are the law; if there is none, it goes where most bytes are left,
+    or, if it is strict, nowhere (-1). Ties go to the lowest shard. residual is changed.
     """
     scale = np.where(capacity > 0, capacity, 1.0)
     items, left = items / scale, residual / scale
     out = np.empty(len(items), np.int32)
     for k, item in enumerate(items):
-        held = strict is not None and strict[k]
-        fits = (left >= item).all(1) if held else left[:, 0] >= item[0]
-        if held and not fits.any():
+        fits = left[:, 0] >= item[0]
+        if strict is not None and strict[k] and not fits.any():
             out[k] = -1
             continue
         out[k] = best = int(np.argmax(np.where(fits, left @ item, -np.inf) if fits.any() else left[:, 0]))
@@ -99,8 +97,8 @@ def pack(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
         parts = base.join(F.broadcast(to), ["g1", "g2"]).withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int"))
         return pd.DataFrame([tuple(r) for r in parts.groupBy("g1", "g2", "piece").agg(*vector).collect()], columns=names)
 
-    # Whole groups have one piece, of number 0; what no shard has room for is dealt after all.
-    small = (heavy["pieces"] == 1) | (heavy[list(DIMENSIONS)].to_numpy(float) <= WHOLE * capacity).all(1)
+    # Whole groups have one piece, of number 0; what no shard has bytes for is dealt after all.
+    small = (heavy["pieces"] == 1) | (heavy["bytes"].to_numpy(float) <= capacity[0])
     items = _largest_first(pd.concat([heavy[small].assign(piece=0, strict=heavy["pieces"] > 1), deal(heavy[~small]).assign(strict=False)], ignore_index=True), total)
     items["shard"] = place(items[list(DIMENSIONS)].to_numpy(float), residual, capacity, items["strict"].to_numpy(bool)) if len(items) else []
     out = set(integers(items[items["shard"] < 0], ["g1", "g2"]))
