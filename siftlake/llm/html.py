@@ -4,13 +4,14 @@ A page is read into blocks of text, each with its path of tags from the root (na
 
 1. For every path the lengths of its texts and their punctuation are summed and divided by the number of its nodes; both
    sequences, laid out in page order, are smoothed over neighbouring blocks and fused into one value per block.
-2. What else is known of a path is a factor of its score: tags, roles and names of menus, adverts, comments and the like
-   on the path (STRONG, or WEAK for names that articles use as well), and whether it holds nothing but links.
+2. What else is known of a path only shifts its score: whether it holds nothing but links, the tags, roles and names of
+   menus and page headers (PLACED: what is as dense as the article is still content), of footers, sidebars, adverts,
+   notices, forms and comments, which ratios alone can't tell from prose (HEARD), and names that have such a word among
+   others (MIXED: hardly anything).
 3. Blocks whose score reaches SHARE of the root mean square of the page's unmarked paths are content. The region of the
    article is the lowest container around all content and the title before it, up to the outermost article or main.
-4. In the region a block that isn't content itself inherits the region's score, times the factors between the region and
-   the block: so headings, captions, list items and cells stay, however short, while a marked part stays only if its
-   text alone scores as content.
+4. In the region a block that isn't content itself inherits the region's score: so headings, captions, list items and
+   cells stay, however short. A marked part passes nothing on, unless content makes up most of its own text.
 
 Time and memory grow with the length of the page, whatever its depth: paths are numbers, and regions and factors pass
 from parents to children.
@@ -42,15 +43,24 @@ BLOCK = frozenset(
     " head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Tags, roles and names (words of class and id) of what is no article text.
-BOILER_TAGS = frozenset("nav footer aside form button select option optgroup menu dialog head search".split())
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements alert alerts breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus feedback footer masthead menu modal nav navbar"
-    " navigation newsletter notice notices overlay pagination popup promo promoted replies reply respond sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar topbar".split()
+#: Tags, roles and names (words of class and id) of page parts around an article.
+PLACED_TAGS = frozenset("nav menu search".split())
+PLACED_ROLES = frozenset("navigation banner menu menubar".split())
+PLACED_WORDS = frozenset("breadcrumb breadcrumbs masthead menu nav navbar navigation pagination toolbar topbar".split())
+#: The same of page footers, sidebars, adverts, notices, forms and readers' comments.
+HEARD_TAGS = frozenset("footer aside form button select option optgroup dialog head".split())
+HEARD_ROLES = frozenset("contentinfo complementary search form alert dialog toolbar".split())
+HEARD_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements alert alerts comment comments commentlist consent cookie cookies copyright disqus feedback footer modal newsletter notice notices opinions overlay popup promo promoted reactions"
+    " replies reply respond sharing sidebar sidebars signup social sponsor sponsored subscribe talkback".split()
+)
+#: Words that may stand beside them in a name without changing what it is.
+PLAIN_WORDS = frozenset(
+    "area bar block body bottom box buttons center col column container content footer form global group header holder inner item items left link links list main outer page panel primary reader readers region right"
+    " row secondary section site slot sub text thread title top unit user users widget widgets wrap wrapper zone".split()
 )
 #: Names that parts of articles have as well.
-WEAK_WORDS = frozenset("banner discussion related responses share widget".split())
+MIXED_WORDS = frozenset("banner discussion related responses share thread widget".split())
 #: Words beside "header" in a class or id that make it the page's, not the article's.
 PAGE_WORDS = frozenset("site page global top main".split())
 MAIN = frozenset("article main".split())
@@ -64,8 +74,8 @@ WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 PUNCTUATION = ".,;:!?。，"
 SMOOTH = np.array([1, 2, 4, 2, 1]) / 10
-#: Factors of a path's score for each strong and weak mark, and for a path of so many nodes that are only links.
-STRONG, WEAK, LINKS = 0.02, 0.5, 0.02
+#: Factors of a path's score for each mark, and for a path of so many nodes that are only links.
+PLACED, HEARD, MIXED, LINKS = 0.45, 0.05, 0.8, 0.02
 LINK_SHARE, LINK_NODES = 0.9, 3
 #: A block is content if its score reaches this share of the root mean square of unmarked paths; inherited scores are at
 #: most so many times this threshold.
@@ -73,22 +83,37 @@ SHARE = 0.4
 INHERITED = 4.0
 
 
+def _named(words: list[str]) -> float:
+    """The factor of a class or id: that of its telling word if all others are plain, and hardly any if it says more than that."""
+    for known, factor in ((HEARD_WORDS, HEARD), (PLACED_WORDS, PLACED)):
+        if not known.isdisjoint(words):
+            return factor if all(w in HEARD_WORDS or w in PLACED_WORDS or w in PLAIN_WORDS for w in words) else MIXED
+    return 1.0 if MIXED_WORDS.isdisjoint(words) else MIXED
+
+
 class _Element:
     __slots__ = ("tag", "path", "parent", "weight", "own", "in_main", "place", "inline")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str, paths: dict[tuple[int, str], int], place: int) -> None:
         self.tag, self.parent, self.place = tag, parent, place
         marks = {k.lower(): unescape(a or b or c or "").lower() for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        words = WORD.findall(f"{marks.get('class', '')} {marks.get('id', '')}")
+        tokens = [WORD.findall(t) for t in f"{marks.get('class', '')} {marks.get('id', '')}".split()]
+        words = [w for t in tokens for w in t]
         role = marks.get("role", "")
         label = f"{tag}.{'-'.join(words)}" if words else tag
         self.path = paths.setdefault((parent.path if parent else -1, label), len(paths))
         # A header inside an article is that article's own heading; elsewhere it is the page's.
         header = tag == "header" or (tag in BLOCK and "header" in words and (len(words) == 1 or not PAGE_WORDS.isdisjoint(words)))
         named = tag not in ("html", "body", *MAIN)
-        strong = tag in BOILER_TAGS or (header and not (parent and parent.in_main)) or (named and (not BOILER_WORDS.isdisjoint(words) or role in BOILER_ROLES)) or "hidden" in marks
+        self.own = 1.0
+        if "hidden" in marks:
+            self.own = 0.0
+        elif tag in HEARD_TAGS or (named and role in HEARD_ROLES):
+            self.own = HEARD
+        elif tag in PLACED_TAGS or (header and not (parent and parent.in_main)) or (named and role in PLACED_ROLES):
+            self.own = PLACED
         #: the factor of this element alone, and of its path
-        self.own = STRONG if strong else WEAK if named and not WEAK_WORDS.isdisjoint(words) else 1.0
+        self.own = min([self.own, *(map(_named, tokens) if named else ())])
         self.weight = self.own * (parent.weight if parent else 1.0)
         self.in_main = tag in MAIN or bool(parent and parent.in_main)
         #: how many inline elements of each tag are open within this block
@@ -190,25 +215,34 @@ def blocks(html: str) -> tuple[list[Block], list[_Element]]:
     return out, elements
 
 
-def _ratios(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
-    """For each block its path's fused ratio of text and punctuation to nodes, smoothed, and the factor for paths of links."""
+def _paths(found: list[Block]) -> tuple[np.ndarray, ...]:
+    """For each block the nodes, characters, characters within links and punctuation marks of its path."""
     path = np.unique([b.element.path for b in found], return_inverse=True)[1]
     count = lambda values: np.bincount(path, values)[path]
-    nodes = count(np.ones(len(found)))
-    length, links = count([len(b.text) for b in found]), count([b.links for b in found])
-    ratio, points = length / nodes, count([sum(map(b.text.count, PUNCTUATION)) for b in found]) / nodes
+    return count(np.ones(len(found))), count([len(b.text) for b in found]), count([b.links for b in found]), count([sum(map(b.text.count, PUNCTUATION)) for b in found])
+
+
+def _links(found: list[Block]) -> np.ndarray:
+    """The factor for paths of links alone."""
+    nodes, length, links, points = _paths(found)
+    return np.where((nodes >= LINK_NODES) & (links >= LINK_SHARE * length) & (points < nodes), LINKS, 1.0)
+
+
+def _ratios(found: list[Block]) -> np.ndarray:
+    """For each block its path's fused ratio of text and punctuation to nodes, smoothed; little where all is links."""
+    nodes, length, _, points = _paths(found)
+    ratio, points = length / nodes, points / nodes
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), SMOOTH, "valid")
-    fused = (smooth(ratio) * (1 + smooth(points)) * ratio * (1 + points)) ** 0.25
-    only_links = (nodes >= LINK_NODES) & (links >= LINK_SHARE * length) & (points < 1)
-    return fused, np.where(only_links, LINKS, 1.0)
+    return (smooth(ratio) * (1 + smooth(points)) * ratio * (1 + points)) ** 0.25 * _links(found)
 
 
 def _scores(found: list[Block]) -> tuple[np.ndarray, float]:
     """The score of each block, and the threshold of content."""
-    fused, links = _ratios(found)
-    weight = np.array([b.element.weight for b in found]) * links
-    plain = fused[weight == 1] if (weight == 1).any() else fused
-    return fused * weight, SHARE * float(np.sqrt((plain**2).mean()))
+    fused = _ratios(found)
+    weight = np.array([b.element.weight for b in found])
+    plain = fused[(weight == 1) & (_links(found) == 1)]
+    # A page of marked parts only has no content.
+    return fused * weight, SHARE * float(np.sqrt((plain**2).mean())) if len(plain) else float("inf")
 
 
 def main_text(html: str) -> str:
@@ -224,8 +258,8 @@ def main_text(html: str) -> str:
     before = [k for k in range(content[0]) if found[k].element.tag == "h1"] or [k for k in range(max(content[0] - 1, 0), content[0]) if found[k].element.tag in HEADINGS]
     before = [k for k in before if found[k].element.weight == 1]
     region = _common([found[k].element for k in (*content, *before[-1:])], elements)
-    factor = _inherited(region, elements) * min(float(scores[content].mean()), INHERITED * least)
-    links = _ratios(found)[1]
+    factor = _inherited(region, elements, found, scores >= least) * min(float(scores[content].mean()), INHERITED * least)
+    links = _links(found)
     kept = [b.text for b, own, alone in zip(found, scores, links) if factor[b.element.place] > 0 and max(own, factor[b.element.place] * alone) >= least]
     return "\n".join(kept)
 
@@ -248,12 +282,18 @@ def _common(chosen: list[_Element], elements: list[_Element]) -> _Element:
     return articles[-1] if articles else next(x for x in line if x.tag in CONTAINERS)
 
 
-def _inherited(region: _Element, elements: list[_Element]) -> np.ndarray:
-    """The factor of all marks between the region and each element; 0 outside of the region."""
+def _inherited(region: _Element, elements: list[_Element], found: list[Block], content: np.ndarray) -> np.ndarray:
+    """1 for elements that inherit the region's score: not those in a marked part, unless content makes up most of its text; 0 outside of the region."""
+    held = np.zeros((len(elements), 2))
+    for b, own in zip(found, content.tolist()):
+        held[b.element.place] += (len(b.text), len(b.text) * own)
+    for e in reversed(elements):
+        if e.parent:
+            held[e.parent.place] += held[e.place]
     out = np.zeros(len(elements))
     out[region.place] = 1
     for e in elements[region.place + 1 :]:
-        out[e.place] = out[e.parent.place] * (1 if e.own == 1 else STRONG)
+        out[e.place] = out[e.parent.place] * (e.own == 1 or held[e.place, 1] > held[e.place, 0] / 2)
     return out
 
 

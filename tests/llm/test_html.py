@@ -1,7 +1,9 @@
+import os
 import re
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from siftlake.llm import html as extraction
@@ -89,7 +91,7 @@ def brute_scores(found):
         near = [x[min(max(k + d, 0), len(x) - 1)] for d in range(-2, 3)]
         return (near[0] + 2 * near[1] + 4 * near[2] + 2 * near[3] + near[4]) / 10
 
-    scores, plain, every = [], [], []
+    scores, plain = [], []
     for k, (b, p) in enumerate(zip(found, paths)):
         value = (smooth(ratio, k) * (1 + smooth(points, k)) * ratio[k] * (1 + points[k])) ** 0.25
         links = sum(x.links for x in of[p]) >= 0.9 * sum(len(x.text) for x in of[p]) and len(of[p]) >= 3 and points[k] < 1
@@ -97,11 +99,9 @@ def brute_scores(found):
         while at:
             weight, at = weight * at.own, at.parent
         scores.append(value * weight)
-        every.append(value)
         if weight == 1:
             plain.append(value)
-    plain = plain or every
-    return scores, 0.4 * (sum(x * x for x in plain) / len(plain)) ** 0.5
+    return scores, 0.4 * (sum(x * x for x in plain) / len(plain)) ** 0.5 if plain else float("inf")
 
 
 @pytest.mark.parametrize("html", [h for h, _ in PLAIN_PAGES])
@@ -121,6 +121,31 @@ def test_scores_decide(monkeypatch):
         assert sum(main_text(h) != t for h, t in zip(pages, right)) > 0.3 * len(pages)
 
 
+@pytest.mark.parametrize("change", ["constant", "inverse", "shuffled"])
+def test_ratios_decide_on_the_drivers_pages(monkeypatch, change):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not there")
+    pages = pq.read_table(path, columns=["html"]).column(0).to_pylist()
+    right = [main_text(h or "") for h in pages]
+    own, rng = extraction._ratios, np.random.default_rng(1)
+    to = {"constant": lambda f: np.ones(len(f)), "inverse": lambda f: 1 / np.maximum(f, 1e-9), "shuffled": rng.permutation}[change]
+    monkeypatch.setattr(extraction, "_ratios", lambda found: to(own(found)))
+    assert sum(main_text(h or "") != t for h, t in zip(pages, right)) > 0.2 * len(pages)
+
+
+@pytest.mark.parametrize("name", ["social-history", "menu-planning", "notice-of-results", "ad-hoc-methods", "newsletter-archive", "methods", "comment-analysis", "footer-design"])
+def test_a_name_alone_removes_no_prose(name):
+    html = filled(f"<body><nav><ul><li><a href=a>Home</a></ul></nav><article><h1>T</h1><p>{{4}}</p><section class={name}><h2>Part</h2><p>{{3}}</p><p>{{4}}</p><p>Short end</p></section></article></body>")
+    assert main_text(html) == filled("T\n{4}\nPart\n{3}\n{4}\nShort end")
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "user-opinions", "talkback", "reader-reactions", "cookie-notice", "ad", "site-footer", "sidebar", "newsletter-signup-form"])
+def test_comments_and_notices_go(name):
+    html = filled(f"<body><article><h1>T</h1><p>{{4}}</p><div class={name}><p>{{2}}</p><p>{{2}}</p></div></article></body>")
+    assert main_text(html) == filled("T\n{4}")
+
+
 @pytest.mark.parametrize("part", ["<div>x", "<span>x", "<li><p>x", "<table><tr><td>x", "<b><p></p>", "<a 'x", "<!", "<i></b>", "<p>x</p></div>"])
 def test_time_is_linear_in_length(part):
     spent = []
