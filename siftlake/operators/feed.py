@@ -3,17 +3,66 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import reduce
-from math import ceil
+from math import ceil, floor, isfinite
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake import schemas as S
 from siftlake.operators.monitor import latest, snapshots
 
 SEARCHED = ("seed_id", "request_id", "topic", "stage", "rcl_algorithm", "local_search", "training_file_name", "testing_file_name")
 PAGE, LARGEST_PAGE, EXPORT_CAP = 25, 100, 50_000
+#: The states that a feed can be asked for.
+STATES = ("REQUESTED", "RUNNING", "COMPLETED", "FAILED")
+
+
+def _text(value: object) -> str:
+    return "" if value is None else str(value).strip()
+
+
+def names_of(value: object) -> list[str]:
+    """Names once each, in order, of a list or of text with commas."""
+    parts = value if isinstance(value, (list, tuple)) else value.split(",") if isinstance(value, str) else []
+    return list(dict.fromkeys(t for t in map(_text, parts) if t))
+
+
+def number_of(value: object) -> float | None:
+    """A finite number, or None for anything else."""
+    try:
+        found = float(value) if value is not None and not isinstance(value, bool) and _text(value) else None
+    except (TypeError, ValueError):
+        return None
+    return found if found is not None and isfinite(found) else None
+
+
+def time_of(value: object) -> datetime | None:
+    """A time in UTC, of ISO text, milliseconds since 1970 or a datetime, or None for anything else."""
+    try:
+        if isinstance(value, datetime):
+            at = value
+        elif isinstance(value, (int, float)) and not isinstance(value, bool) and value:
+            at = datetime.fromtimestamp(value / 1000, timezone.utc)
+        else:
+            at = datetime.fromisoformat(_text(value))
+    except (ValueError, OverflowError, OSError):
+        return None
+    return at.astimezone(timezone.utc).replace(tzinfo=None) if at.tzinfo else at
+
+
+def files_of(key: object) -> tuple[str | None, str | None]:
+    """Training and test file of a data set's key; "all", an empty side or the mark of a missing file doesn't filter."""
+    text = _text(key)
+    both = [*("" if text == "all" else text).split("|"), ""][:2]
+    return tuple(t if t not in ("", S.NO_FILE) else None for t in both)
+
+
+def page_of(options: dict) -> tuple[int, int]:
+    """Number and size of a page: 1 and PAGE for what is no number from 1, and at most LARGEST_PAGE rows."""
+    number, size = number_of(options.get("page")), number_of(options.get("pageSize"))
+    return floor(number) if number is not None and number >= 1 else 1, min(floor(size), LARGEST_PAGE) if size is not None and size >= 1 else PAGE
 
 
 @dataclass
@@ -34,11 +83,24 @@ class Filters:
     least_score: float | None = None
     greatest_score: float | None = None
 
+    @classmethod
+    def of(cls, options: dict) -> Filters:
+        """Options as clients send them: text is trimmed, and what can't be read, or is no known state, doesn't filter."""
+        training, testing = files_of(options.get("datasetKey"))
+        state = _text(options.get("status")).upper()
+        return cls(
+            topics=names_of(options.get("topics")), seed_id=_text(options.get("seedId")) or None, request_id=_text(options.get("requestId")) or None, algorithm=_text(options.get("algorithm")) or None,
+            training=training, testing=testing, status=state if state in STATES else None, local_search=_text(options.get("searchLabel")) or None, since=time_of(options.get("start")), until=time_of(options.get("end")),
+            text=_text(options.get("query")) or None, least_score=number_of(options.get("minF1Score")), greatest_score=number_of(options.get("maxF1Score")),
+        )
+
     def column(self) -> Column:
         c = F.col
+        topic = F.coalesce("topic", F.lit(S.NO_TOPIC)) if S.NO_TOPIC in self.topics else c("topic")
         parts = [
-            c("topic").isin(*dict.fromkeys(self.topics)) if self.topics else None,
-            *(c(name) == value if value else None for name, value in (("seed_id", self.seed_id), ("request_id", self.request_id), ("rcl_algorithm", self.algorithm), ("training_file_name", self.training), ("testing_file_name", self.testing), ("status", self.status))),
+            topic.isin(*dict.fromkeys(self.topics)) if self.topics else None,
+            *(c(name) == value if value else None for name, value in (("seed_id", self.seed_id), ("request_id", self.request_id), ("rcl_algorithm", self.algorithm), ("training_file_name", self.training), ("testing_file_name", self.testing))),
+            F.upper("status") == self.status.upper() if self.status else None,
             F.upper("local_search") == self.local_search.upper() if self.local_search else None,
             c("created_at") >= F.lit(self.since) if self.since else None,
             c("created_at") <= F.lit(self.until) if self.until else None,

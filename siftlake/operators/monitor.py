@@ -169,6 +169,28 @@ def timeline(events: DataFrame, keys: list[str], seconds: int = 60, newest: int
     return out
 
 
+def timelines(events: DataFrame, seed_seconds: int = 3600, seconds: int = 60) -> DataFrame:
+    """The timelines of seeds, of algorithms and of all messages, from one scan and one aggregation of grouping sets.
+
+    scope says which: seed (seed_id, buckets of seed_seconds), algorithm (rcl_algorithm) or overview, with what timeline()
+    gives; latest score and stage are those of the bucket.
+    """
+    at = F.struct("created_at", "event_id")
+    wide, narrow = bucket("created_at", seed_seconds).alias("_wide"), bucket("created_at", seconds).alias("_narrow")
+    rows = snapshots(events).select("*", wide, narrow, F.col("seed_id").alias("_seed"), F.col("rcl_algorithm").alias("_algorithm"))
+    keys = [F.col(c) for c in ("_seed", "_algorithm", "_wide", "_narrow")]
+    out = rows.groupingSets([[keys[0], keys[2]], [keys[1], keys[3]], [keys[3]]], *keys).agg(
+        F.grouping_id(*keys).alias("_set"),
+        F.count("*").alias("n"), F.countDistinct("seed_id").alias("seeds"), F.max_by("score", at).alias("latest_score"), F.max_by("stage", at).alias("latest_stage"),
+        mean("score").alias("avg_score"), F.max("score").alias("best_score"), mean("cpu_usage").alias("avg_cpu"), mean("memory_usage_percent").alias("avg_memory_percent"),
+        F.max("request_id").alias("request_id"), F.max("rcl_algorithm").alias("algorithm"),
+    )
+    # A bit of the set is 1 for a key that it leaves out.
+    scope = F.when(F.col("_set") == 0b0101, "seed").when(F.col("_set") == 0b1010, "algorithm").otherwise("overview")
+    own = [c for c in out.columns if not c.startswith("_")]
+    return out.select(scope.alias("scope"), F.col("_seed").alias("seed_id"), F.col("_algorithm").alias("rcl_algorithm"), F.coalesce("_wide", "_narrow").alias("bucket"), *own)
+
+
 def run_timeline(events: DataFrame, seed_id: str, seconds: int = 60, newest: int = 240) -> DataFrame:
     """The newest buckets of one run, numbered from the oldest."""
     out = timeline(events.where(F.col("seed_id") == seed_id), ["seed_id"], max(seconds, 10), newest)

@@ -136,6 +136,16 @@ _TL = f"count(*) AS n, count(DISTINCT seed_id) AS seeds, arg_max(score, us) AS l
 _on_events("timeline_seed", lambda e: monitor.timeline(e, ["seed_id"], 3600), f"SELECT seed_id, us // 3600000000 * 3600 AS bucket, {_TL} FROM st GROUP BY 1, 2")
 _on_events("timeline_algorithm", lambda e: monitor.timeline(e, ["rcl_algorithm"], 60), f"SELECT st.algorithm AS rcl_algorithm, us // 60000000 * 60 AS bucket, {_TL.replace('max(algorithm)', 'max(st.algorithm)')} FROM st GROUP BY 1, 2")
 _on_events("timeline_overview", lambda e: monitor.timeline(e, [], 60), f"SELECT us // 60000000 * 60 AS bucket, {_TL.replace('max(algorithm)', 'max(st.algorithm)')} FROM st GROUP BY 1")
+_on_events(
+    "timelines", monitor.timelines,
+    f"SELECT 'seed' AS scope, seed_id, CAST(NULL AS VARCHAR) AS rcl_algorithm, us // 3600000000 * 3600 AS bucket, {_TL} FROM st GROUP BY seed_id, bucket UNION ALL "
+    f"SELECT 'algorithm', NULL, st.algorithm, us // 60000000 * 60 AS bucket, {_TL.replace('max(algorithm)', 'max(st.algorithm)')} FROM st GROUP BY st.algorithm, bucket UNION ALL "
+    f"SELECT 'overview', NULL, NULL, us // 60000000 * 60 AS bucket, {_TL.replace('max(algorithm)', 'max(st.algorithm)')} FROM st GROUP BY bucket",
+)
+_on_events(
+    "feed_options", lambda e: feed.count(e, feed.Filters.of({"topics": " SOLUTIONS_TOPIC,,BEST_SOLUTION_TOPIC ", "status": "completed", "datasetKey": "train-1.arff|--", "start": "2024-01-03T00:00:00Z", "end": "not a time", "minF1Score": "10", "maxF1Score": "", "query": " IWSS "})),
+    "SELECT count(*) AS n FROM st WHERE topic IN ('SOLUTIONS_TOPIC', 'BEST_SOLUTION_TOPIC') AND status = 'completed' AND training = 'train-1.arff' AND us >= epoch_us(TIMESTAMP '2024-01-03 00:00:00') AND score >= 10 AND (lower(search) LIKE '%iwss%' OR lower(stage) LIKE '%iwss%')",
+)
 _on_events("run_timeline", lambda e: monitor.run_timeline(e, "7", 3600, 240), f"SELECT *, row_number() OVER (ORDER BY bucket) AS place FROM (SELECT seed_id, us // 3600000000 * 3600 AS bucket, {_TL} FROM st WHERE seed_id = '7' GROUP BY 1, 2 ORDER BY bucket DESC LIMIT 240)")
 _DELTA = "dl AS (SELECT *, max(score) OVER (PARTITION BY seed_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_best FROM ev WHERE score IS NOT NULL)"
 _on_events("score_deltas", lambda e: monitor.score_deltas(e).select("event_id", "seed_id", "previous_best", "delta", "improved"), "SELECT event_id, seed_id, previous_best, round(score - previous_best, 6) AS delta, previous_best IS NULL OR score > previous_best AS improved FROM dl", f"{_EV}, {_DELTA}")

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake import schemas as S
-from siftlake.operators import runs, views
-from siftlake.plans import service
+from siftlake.operators import feed, monitor, runs, views
+from siftlake.plans import registry, service
 from siftlake.sources import arff, eventlog, sinks
 
 T0 = dt.datetime(2026, 3, 19, 10, 0)
@@ -161,3 +161,25 @@ def test_arff_round_trip(spark, tmp_path):
             arff.header(spark, f"{tmp_path}/at.arff")
     finally:
         arff.ATTRIBUTES = old
+
+
+def test_feed_options():
+    of = feed.Filters.of
+    assert of({}) == of({"topics": None, "status": "odd", "datasetKey": "all", "start": "x", "minF1Score": "", "maxF1Score": "NaN", "query": "  ", "seedId": " "}) == feed.Filters()
+    f = of({"topics": ["A", " A ", None, "B"], "status": " running ", "datasetKey": "--|b.arff", "start": 86_400_000, "end": "2024-01-02T03:04:05+02:00", "minF1Score": 0, "maxF1Score": "1e2", "searchLabel": " iwss", "seedId": 7})
+    assert f.topics == ["A", "B"] and f.status == "RUNNING" and (f.training, f.testing) == (None, "b.arff") and (f.least_score, f.greatest_score) == (0.0, 100.0) and f.seed_id == "7"
+    assert f.since == dt.datetime(1970, 1, 2) and f.until == dt.datetime(2024, 1, 2, 1, 4, 5) and f.local_search == "iwss"
+    assert feed.files_of("a|b|c") == ("a", "b") and feed.files_of("a") == ("a", None) and feed.files_of(None) == (None, None)
+    assert [feed.page_of(o) for o in ({}, {"page": "3", "pageSize": "7.9"}, {"page": 0, "pageSize": -1}, {"page": "x", "pageSize": 1e9}, {"page": 2.9, "pageSize": float("inf")})] == [(1, 25), (3, 7), (1, 25), (1, 100), (2, 25)]
+
+
+def test_feed_topics_of_none(spark):
+    rows = spark.createDataFrame([("kafka.update", None), ("kafka.update", "T"), ("kafka.update", "U")], "event_type string, topic string")
+    assert rows.where(feed.Filters(topics=["UNSPECIFIED", "T"]).column()).count() == 2 and rows.where(feed.Filters(topics=["T"]).column()).count() == 1
+
+
+def test_timelines_scan_once(spark):
+    """All three from one scan, with the two exchanges of a distinct count."""
+    plan = monitor.timelines(registry._ev(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert physical.count("FileScan") == 1 and physical.count("Exchange hashpartitioning") <= 2 and physical.count("Expand") == 1
