@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most classes, subsets of one evaluation, and numbers of learned parameters.
+#: Most classes, candidates of one evaluation, and numbers of learned parameters.
 CLASSES = 256
 SUBSETS = 200_000
 CELLS = 20_000_000
@@ -371,9 +371,10 @@ def evaluate_subsets(candidates: DataFrame, problem: Problem, name: str) -> Data
     """Counts and metrics of each candidate (column features: places from 1, others are passed over), with its other columns."""
     subset = F.array_sort(F.array_distinct(F.filter("features", lambda f: (f >= 1) & (f <= problem.width))))
     candidates = candidates.withColumn("subset", F.coalesce(subset, F.array().cast("array<int>")))
-    subsets = sorted(list(r.subset) for r in candidates.where(F.size("subset") > 0).select("subset").distinct().limit(SUBSETS + 1).collect())
-    if len(subsets) > SUBSETS:
-        raise ValueError(f"more than {SUBSETS} subsets at once")
+    listed = candidates.where(F.size("subset") > 0).select("subset").limit(SUBSETS + 1).collect()
+    subsets = sorted(map(list, {tuple(r.subset) for r in listed}))
+    if len(listed) > SUBSETS:
+        raise ValueError(f"more than {SUBSETS} candidates at once")
     counts = ("tp", "tn", "fp", "fn")
     found = confusions(problem, subsets, name) if subsets and problem.classes else None
     own = candidates.join(found, "subset", "left") if found is not None else candidates.withColumns({c: F.lit(None).cast("long") for c in counts})

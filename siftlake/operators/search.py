@@ -220,7 +220,8 @@ def run_search(spark: SparkSession, rcl: list[int], problem: Problem, request: R
     budget = request.cycles * (n if vnd else 1)
     names = F.array(*map(F.lit, request.searches))
     counts = ["tp", "tn", "fp", "fn"]
-    first = cut(evaluate_subsets(construct(spark, listed, request.generations, request.sample, request.seed), problem, request.classifier))
+    # The state has a row for each seed of a request: one partition holds it.
+    first = cut(evaluate_subsets(construct(spark, listed, request.generations, request.sample, request.seed), problem, request.classifier).coalesce(1))
     start = {"iteration": F.lit(0), "topic": F.lit(S.INITIAL), "local_search": F.lit(""), "step": F.lit(0), "best_f1": F.col("f1")}
     steps = [first.withColumns(start).select(*STEPS)]
     state = first.select("seed_id", "features", "rcl", "f1", F.lit(0).alias("place"), F.lit(False).alias("gained"))
@@ -243,7 +244,7 @@ def run_search(spark: SparkSession, rcl: list[int], problem: Problem, request: R
             F.when(better, found).otherwise(F.col("features")).alias("features"), F.when(better, without(F.array(*map(F.lit, listed)).cast("array<int>"), found)).otherwise(F.col("rcl")).alias("rcl"),
             (F.col("place") + 1).alias("place"), (F.col("gained") | better).alias("gained"),
         )
-        after = cut(after)
+        after = cut(after.coalesce(1))
         steps.append(tried.withColumn("topic", F.lit(S.PROGRESS)).select(*STEPS))
         steps.append(after.select("seed_id", "iteration", F.lit(S.SOLUTIONS).alias("topic"), "local_search", F.lit(0).alias("step"), F.col("found").alias("features"), *counts, F.col("found_f1").alias("f1"), F.col("f1").alias("best_f1")))
         state = after.select("seed_id", "features", "rcl", "f1", "place", "gained")
@@ -251,6 +252,6 @@ def run_search(spark: SparkSession, rcl: list[int], problem: Problem, request: R
             # A cycle that improved nothing ends the seed; another starts anew.
             ends = F.col("place") == n
             state = state.where(~ends | F.col("gained")).withColumns({"place": F.when(ends, 0).otherwise(F.col("place")), "gained": F.col("gained") & ~ends})
-        if k < budget and state.isEmpty():
-            break
+            if k % n == 0 and k < budget and state.isEmpty():
+                break
     return reduce(DataFrame.unionByName, steps)
