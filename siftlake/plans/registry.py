@@ -18,7 +18,7 @@ from siftlake.functions import labels
 from siftlake.operators import feed, monitor, runs, scoring, search, series, views
 from siftlake.plans import searchsql
 from siftlake.session import shared_dir, table
-from siftlake.sources import arff, catalog, eventlog, keyed, sinks, topiclog
+from siftlake.sources import arff, arffsource, catalog, eventlog, keyed, sinks, topiclog
 from siftlake.streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -434,6 +434,15 @@ def arff_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_discount"), 2).alias("discount"))
 
 
+@_query("arff_source", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_discount), 2) AS discount FROM lineitem GROUP BY 1", "")
+def arff_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.dataSource.register(arffsource.ArffSource)
+    path = _shared(spark, "arff")
+    arff.write(table(spark, sf_dir, "lineitem").select("l_quantity", "l_tax", "l_discount", "l_returnflag"), path)
+    data = spark.read.format("arff").option("features", "1,3").load(path)
+    return data.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_discount"), 2).alias("discount"))
+
+
 def _streamed(spark: SparkSession, rows: DataFrame, fold: Callable[[DataFrame], DataFrame], schema: str = S.EVENT) -> DataFrame:
     """What a fold of the rows as a stream of JSON messages emits, through files in the shared folder."""
     folder = _shared(spark, "stream")

@@ -34,14 +34,18 @@ def header(spark: SparkSession, path: str) -> list[Attribute]:
     lines = spark.read.text(path).where(F.lower(F.trim("value")).startswith("@attribute")).limit(ATTRIBUTES + 1).collect()
     if len(lines) > ATTRIBUTES:
         raise ValueError(f"more than {ATTRIBUTES} attributes in {path}")
-    out = []
-    for (line,) in lines:
-        m = ATTRIBUTE.match(line.strip())
-        if m:
-            kind = m[2].strip()
-            values = tuple(_unquoted(v) for v in kind[1 : kind.rindex("}")].split(",")) if kind.startswith("{") else None
-            out.append(Attribute(_unquoted(m[1]), values if values is not None else None if kind.split()[0].lower() in ("numeric", "real", "integer") else ()))
-    return out
+    return [a for a in (attribute_of(line.strip()) for (line,) in lines) if a]
+
+
+def attribute_of(line: str) -> Attribute | None:
+    """The attribute that a line declares, if it does: numeric, nominal with its values, or any other kind as text."""
+    m = ATTRIBUTE.match(line)
+    if not m:
+        return None
+    kind = m[2].strip()
+    if kind.startswith("{"):
+        return Attribute(_unquoted(m[1]), tuple(_unquoted(v) for v in kind[1 : kind.rindex("}")].split(",")))
+    return Attribute(_unquoted(m[1]), None if kind.split()[0].lower() in ("numeric", "real", "integer") else ())
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

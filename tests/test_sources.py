@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftlake import schemas as S
 from siftlake.operators import feed, monitor, runs, search, views
 from siftlake.plans import registry
-from siftlake.sources import arff, catalog, keyed, sinks
+from siftlake.sources import arff, arffsource, catalog, keyed, sinks
 from siftlake.streaming import folds
 
 ARFF = "% comment\n@relation 'net flow'\n\n@attribute duration numeric\n@attribute proto {tcp,udp}\n@ATTRIBUTE 'src bytes' REAL\n@attribute class {normal, attack}\n@data\n% more\n1.5,tcp,?,normal\n2,udp,3,attack\n\n"
@@ -58,6 +58,24 @@ def test_catalog(spark, folder):
     assert (total.files, total.families, total.formats, total.richest, total.pairs) == (2, 1, "arff", "flow_test.arff", 1)
 
 
+@pytest.mark.parametrize("split", [1, 7, 1 << 20])
+def test_arff_as_a_data_source(spark, folder, split):
+    """Rows, types and metadata equal those of arff.read(), however the file is split."""
+    spark.dataSource.register(arffsource.ArffSource)
+    lines = ARFF + "\n".join(["3, 'tcp' ,4,attack", " 4,udp,x,normal", "@odd,tcp,1,normal", "5,'a,b',6,'it is'", "%c", "", "6,tcp"]) + "\n7,tcp,é,normal"
+    (folder / "some.arff").write_text(lines)
+    load = lambda **o: spark.read.format("arff").options(splitBytes=split, **o).load(f"{folder}/some.arff")
+    want = arff.read(spark, f"{folder}/some.arff")
+    got = load()
+    assert got.schema == want.schema and [f.metadata for f in got.schema] == [f.metadata for f in want.schema]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    some = load(features="3,1,99")
+    assert some.schema == arff.subset(want, [3, 1, 99]).schema
+    assert sorted(map(tuple, some.collect()), key=str) == sorted(map(tuple, arff.subset(want, [3, 1, 99]).collect()), key=str)
+    with pytest.raises(Exception):
+        load(features="1,2,3,4").collect()
+
+
 def test_catalog_keeps_profiles(spark, folder):
     (folder / "sub").mkdir()
     (folder / "sub" / "plain.csv").write_text("p,q\n")
