@@ -18,7 +18,7 @@ from siftlake.functions import labels
 from siftlake.operators import feed, monitor, runs, scoring, search, series, views
 from siftlake.plans import searchsql
 from siftlake.session import shared_dir, table
-from siftlake.sources import arff, arffsource, catalog, eventlog, keyed, sinks, topiclog
+from siftlake.sources import arff, arffsource, catalog, eventlog, incremental, keyed, sinks, topiclog
 from siftlake.streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -434,6 +434,17 @@ def arff_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_discount"), 2).alias("discount"))
 
 
+@_query("incremental_model", ORACLE_SQL["topic_metrics"], "")
+def incremental_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic metrics of a model that took three batches: late events, many of them twice, and one batch again."""
+    e = _ev(spark, sf_dir)
+    model = incremental.TopicModel(spark, _shared(spark, "incremental"))
+    for batch_id, some in enumerate(("event_id % 3 <> 1", "event_id % 2 = 0", "event_id % 4 <> 2")):
+        model.take(e.where(some), batch_id)
+    model.take(e.where("event_id % 2 = 0"), 1)
+    return model.topics()
+
+
 @_query("arff_source", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_discount), 2) AS discount FROM lineitem GROUP BY 1", "")
 def arff_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.dataSource.register(arffsource.ArffSource)
