@@ -106,10 +106,29 @@ class Catalog:
         return files.join(own, _plain_path(F.col("path")) == F.col("_path"), "left").select("path", "bytes", "changed_at", *PROFILE)
 
 
+#: Rows of a side of a family that meet in one cell.
+SIDE = 1_024
+
+
 def pairs(datasets: DataFrame) -> DataFrame:
-    """Training and test files of a family, with the differences of their attributes and instances (columns name, family, role, attributes, instances)."""
-    side = lambda role: datasets.where(F.col("role") == role).select("family", *(F.col(c).alias(f"{role}_{c}") for c in ("name", "attributes", "instances")))
-    both = side("training").join(side("testing"), "family")
+    """Training and test files of a family, with the differences of their attributes and instances (columns name, family, role, attributes, instances).
+
+    A family of more than SIDE files of a role is a grid of cells of about SIDE by SIDE files, and the cells are dealt over
+    all shuffle partitions: what a task makes follows the pairs, not the bytes of the files' rows or the families.
+    """
+    n = int(datasets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = datasets.groupBy("family").agg(*(F.count_if(F.col("role") == role).alias(role) for role in ("training", "testing")))
+    large = sizes.where(F.greatest("training", "testing") > SIDE).where(F.least("training", "testing") > 0)
+    grid = F.broadcast(large.select("family", *(F.ceil(F.col(role) / SIDE).alias(f"_n_{role}") for role in ("training", "testing"))))
+
+    def side(role: str, other: str) -> DataFrame:
+        cells = lambda r: F.coalesce(f"_n_{r}", F.lit(1))
+        rows = datasets.where(F.col("role") == role).join(grid, "family", "left")
+        own, met = F.pmod(F.xxhash64("name", "attributes", "instances"), cells(role)), F.explode(F.sequence(F.lit(0), cells(other) - 1))
+        rows = rows.select("family", *(F.col(c).alias(f"{role}_{c}") for c in ("name", "attributes", "instances")), own.alias(f"_{role}"), met.alias(f"_{other}"))
+        return rows.repartition(n, "family", "_training", "_testing")
+
+    both = side("training", "testing").join(side("testing", "training"), ["family", "_training", "_testing"])
     gap = lambda c: F.abs(F.col(f"training_{c}") - F.col(f"testing_{c}")).alias(f"{c}_gap")
     return both.select("family", "training_name", "testing_name", gap("attributes"), gap("instances"))
 

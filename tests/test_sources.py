@@ -370,3 +370,16 @@ def test_message_keys_and_progress(spark):
     steps = spark.createDataFrame([("s", k, 10, float(v)) for k, v in enumerate([1, 3, 2, 5, 4, 4, 6, 1, 1, 2])], "seed_id string, step int, steps int, score double")
     kept = lambda *a: sorted(r.step for r in folds.progress_kept(steps, *a).collect())
     assert kept("off") == [] and kept("full") == list(range(10)) and kept("sampled", 4) == [0, 3, 7, 9] and kept("improvement") == [0, 1, 3, 6, 9]
+
+
+def test_pairs_of_one_large_family_are_made_by_many_tasks(spark, monkeypatch):
+    """A family is dealt over cells: each pair is there once, and no task makes most of them."""
+    monkeypatch.setattr(catalog, "SIDE", 20, raising=False)
+    sets = spark.range(300).selectExpr("'f' AS family", "concat('n', id) AS name", "if(id < 200, 'training', 'testing') AS role", "id AS attributes", "2 * id AS instances")
+    lone = spark.createDataFrame([("g", "a", "training", 1, 5), ("g", "b", "testing", 3, 1), ("h", "c", "training", 1, 1), (None, "d", "training", 1, 1), (None, "e", "testing", 1, 1)], "family string, name string, role string, attributes long, instances long")
+    out = catalog.pairs(sets.union(lone))
+    got = {(r.family, r.training_name, r.testing_name, r.attributes_gap, r.instances_gap) for r in out.collect()}
+    want = {("f", f"n{a}", f"n{b}", b - a, 2 * (b - a)) for a in range(200) for b in range(200, 300)} | {("g", "a", "b", 2, 4)}
+    assert out.count() == len(want) == 20_001 and got == want
+    parts = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(parts) == 4 and max(parts) < 12_000
