@@ -2,9 +2,10 @@
 
 1. Features are scaled to 0..1. Rows are sorted by class and by their distance from the middle, and packed into blocks of
    at most BLOCK rows of one class, which know the range of those distances.
-2. Blocks are dealt into groups of about GROUP blocks. A task compares two groups: for each row of the one, the nearest
-   of each class in the other. By the triangle inequality two rows are at least as far apart as their distances from the
-   middle differ, so a block that is farther from all rows at hand than their nearest so far is passed over.
+2. Blocks are dealt into groups in their order. A task compares two groups: for each row of the one, the nearest of each
+   class in the other. By the triangle inequality two rows are at least as far apart as their distances from the middle
+   differ, so a block that is farther from all rows at hand than their nearest so far is passed over. Of the other blocks
+   all distances are first counted in whole steps, which bounds them, and only what may be near is summed exactly.
 3. The nearest of all tasks are ranked by a window, for each row and class.
 4. The pairs that remain meet their two groups of blocks again, and the weighted differences are summed by feature.
 
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from siftlake.session import cut
 
 BLOCK = 1_024
-GROUP = 8
+#: Asking blocks of a task at most; four times as many are asked.
+GROUP = 16
 #: Rows that are compared with a block at once, and pairs that are summed at once.
-QUERIES = 64
+QUERIES = 128
 PAIRS = 1 << 15
 CLASSES = 256
 #: What a bound made of rounded sums is lowered by.
@@ -65,25 +67,50 @@ def _pack(width: int, block_rows: int):
     return pack
 
 
-def _distances(own: np.ndarray, others: np.ndarray) -> np.ndarray:
-    gap, total = np.empty((len(own), len(others))), np.zeros((len(own), len(others)))
-    for f in range(own.shape[1]):
-        np.subtract(own[:, f : f + 1], others[:, f], out=gap)
-        np.abs(gap, out=gap)
-        total += gap
-    return total
-
-
-def _least(total: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k least of each row, the first of equals."""
-    if total.shape[1] <= k:
-        return np.broadcast_to(np.arange(total.shape[1]), total.shape)
-    some = np.argpartition(total, k - 1, axis=1)[:, :k]
-    worst = np.take_along_axis(total, some, 1).max(1)
-    tied = np.flatnonzero((total <= worst[:, None]).sum(1) > k)
-    if len(tied):
-        some[tied] = np.argsort(total[tied], axis=1, kind="stable")[:, :k]
-    return some
+class Grid:
+    """Features in whole steps: a sum of absolute differences counted in steps is at most width steps off, and tells which pairs are worth their exact sum."""
+
+    def __init__(self, width: int) -> None:
+        self.kind = np.int16 if width <= 256 else np.int32
+        self.top = np.iinfo(self.kind).max
+        self.width, self.steps = width, (self.top - 63) // max(width, 1)
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The steps of rows, and half of what they sum to."""
+        q = np.rint(x * self.steps).astype(self.kind)
+        return q, (q.sum(1, dtype=np.int64) + 1) // 2
+
+
+def _near_ones(grid: Grid, steps: np.ndarray, others: np.ndarray, half: np.ndarray, same: np.ndarray | None, limit: np.ndarray, k: int, buffers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of others (by feature) that may be nearer than limit, or, where it is infinite, among the k nearest; same: what column is the row itself.
+
+    |a - b| is twice the greater of both less their sum, so the greater ones are summed, less half of the others' sums.
+    """
+    total, most = buffers[0, : len(steps), : others.shape[1]], buffers[1, : len(steps), : others.shape[1]]
+    total[:] = -half.astype(grid.kind)
+    for f in range(grid.width):
+        np.maximum(steps[:, f : f + 1], others[f], out=most)
+        total += most
+    if same is not None:
+        total[np.arange(len(steps)), same] = grid.top
+    bound = np.full(len(steps), grid.top - 1, np.int64)
+    known = np.isfinite(limit)
+    bound[known] = np.floor((limit[known] * grid.steps + grid.width + 1 + steps[known].sum(1, dtype=np.int64)) / 2)
+    if not known.all() and total.shape[1] > k:
+        bound[~known] = np.partition(total[~known], k - 1, axis=1)[:, k - 1].astype(np.int64) + grid.width + 2
+    return np.nonzero(total <= np.clip(bound, np.iinfo(grid.kind).min, grid.top - 1).astype(grid.kind)[:, None])
+
+
+def _take(far: np.ndarray, places: np.ndarray, row: np.ndarray, d: np.ndarray, place: np.ndarray) -> None:
+    """Keeps of each row the nearest of those held and those found (by ascending row), the first place of equals."""
+    k = far.shape[1]
+    touched, at, counts = np.unique(row, return_inverse=True, return_counts=True)
+    rows = np.concatenate([np.repeat(np.arange(len(touched)), k), at])
+    both, where = np.concatenate([far[touched].ravel(), d]), np.concatenate([places[touched].ravel(), place])
+    order = np.lexsort((where, both, rows))
+    first = np.cumsum(counts + k) - counts - k
+    kept = order[(first[:, None] + np.arange(k)).ravel()]
+    far[touched], places[touched] = both[kept].reshape(-1, k), where[kept].reshape(-1, k)
 
 
 def _matrix(rows: bytes, width: int) -> np.ndarray:
@@ -98,10 +125,13 @@ def _nearest(width: int, block_rows: int, k: int):
 
     def near(table: pa.Table) -> pa.Table:
         rows = table.select(["asks", "block", "kind", "low", "high", "rows"]).to_pylist()
-        targets = [r | {"x": _matrix(r["rows"], width)} for r in rows if not r["asks"]]
+        targets = [r for r in rows if not r["asks"]]
+        grid = Grid(width)
+        buffers = np.empty((2, QUERIES, max((len(t["rows"]) // (8 * width) for t in targets), default=0)), grid.kind)
         out: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for q in (r for r in rows if r["asks"]):
-            x, first = _matrix(q["rows"], width), q["block"] * block_rows
+        for q, low in ((r, low) for r in rows if r["asks"] for low in range(0, len(r["rows"]) // (8 * width), QUERIES)):
+            x, first = _matrix(q["rows"], width)[low : low + QUERIES], q["block"] * block_rows + low
+            steps, by_feature = grid.of(x)[0], np.ascontiguousarray(x.T)
             bound = lambda t, q=q: max(0.0, t["low"] - q["high"], q["low"] - t["high"])
             far: dict[int, np.ndarray] = {}
             places: dict[int, np.ndarray] = {}
@@ -109,18 +139,26 @@ def _nearest(width: int, block_rows: int, k: int):
                 c = t["kind"]
                 if c not in far:
                     far[c], places[c] = np.full((len(x), k), np.inf), np.full((len(x), k), -1)
-                if bound(t) - SLACK > far[c].max():
+                worst, start = far[c].max(1), t["block"] * block_rows
+                # Nothing is nearer than a copy, and an earlier copy goes before a later one.
+                done = (worst == 0) & (places[c].max(1) < start)
+                if bound(t) - SLACK > worst.max() or done.all():
                     continue
-                for low in range(0, len(x), QUERIES):
-                    own = slice(low, min(low + QUERIES, len(x)))
-                    total = _distances(x[own], t["x"])
-                    if t["block"] == q["block"]:
-                        total[np.arange(own.stop - low), np.arange(low, own.stop)] = np.inf
-                    some = _least(total, k)
-                    both = np.hstack([far[c][own], np.take_along_axis(total, some, 1)])
-                    at = np.hstack([places[c][own], t["block"] * block_rows + some])
-                    best = np.lexsort((at, both))[:, :k]
-                    far[c][own], places[c][own] = np.take_along_axis(both, best, 1), np.take_along_axis(at, best, 1)
+                if "x" not in t:
+                    t["x"] = np.ascontiguousarray(_matrix(t["rows"], width).T)
+                    q_steps, t["half"] = grid.of(t["x"].T)
+                    t["steps"] = np.ascontiguousarray(q_steps.T)
+                same = np.arange(low, low + len(x)) if t["block"] == q["block"] else None
+                row, col = _near_ones(grid, steps, t["steps"], t["half"], same, np.where(done, -4.0 * width, worst), k, buffers)
+                for some in (slice(at, at + PAIRS) for at in range(0, len(row), PAIRS)):
+                    r, j = row[some], col[some]
+                    # By feature, so that they are added one after another, as a plain sum does.
+                    gap = np.take(by_feature, r, axis=1)
+                    gap -= np.take(t["x"], j, axis=1)
+                    d = np.abs(gap, out=gap).sum(0)
+                    kept = d <= worst[r]
+                    if kept.any():
+                        _take(far[c], places[c], r[kept], d[kept], start + j[kept])
             for c, d in far.items():
                 row, j = np.nonzero(np.isfinite(d))
                 for held, values in zip(out, (first + row, np.full(len(row), q["kind"], np.int32), np.full(len(row), c, np.int32), places[c][row, j], d[row, j])):
@@ -176,19 +214,26 @@ def relieff(data: DataFrame, features: list[str], label: str, neighbours: int =
     placed = rows.select((F.array_position(kinds, F.col("class")) - 1).cast("int").alias("y"), far.alias("far"), "x")
     packed = placed.repartitionByRange("y", "far", "x").sortWithinPartitions("y", "far", "x")
     blocks = cut(packed.mapInArrow(_pack(width, BLOCK), "block long, kind int, low double, high double, rows binary"))
-    groups = max(1, -(-blocks.count() // GROUP))
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    of = lambda block: F.pmod(F.xxhash64(block), F.lit(groups)).cast("int")
-    asking = blocks.select(of(F.col("block")).alias("g"), every.alias("h"), F.lit(True).alias("asks"), "*")
-    asked = blocks.select(every.alias("g"), of(F.col("block")).alias("h"), F.lit(False).alias("asks"), "*")
-    both = asking.unionByName(asked)
+    # Numbered in their order, so that a group of asked blocks is of few classes, and few nearest ones are sent on.
+    order = blocks.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("n"))
+    count = blocks.count()
+    asks, asked = max(1, min(GROUP, -(-count // 12))), max(1, min(4 * GROUP, -(-count // 4)))
+    group = lambda n, size: F.floor(n / size).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit((count - 1) // size)))
+    placed_blocks = blocks.join(F.broadcast(order), "block")
+    asking = placed_blocks.select(group(F.col("n"), asks).alias("g"), every(asked).alias("h"), F.lit(True).alias("asks"), *blocks.columns)
+    others = placed_blocks.select(every(asks).alias("g"), group(F.col("n"), asked).alias("h"), F.lit(False).alias("asks"), *blocks.columns)
+    # A number of our own, as tasks of a few blocks' bytes take long and shouldn't be put together.
+    both = asking.unionByName(others).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g", "h")
     near = both.groupBy("g", "h").applyInArrow(_nearest(width, BLOCK, neighbours), NEAR)
     own = Window.partitionBy("place", "kind")
     best = near.withColumn("k", F.row_number().over(own.orderBy("far", "near"))).where(F.col("k") <= neighbours).withColumn("found", F.count("*").over(own))
     prior = F.array(*(F.lit(n / total) for _, n in sizes))
     share = F.when(F.col("kind") == F.col("own"), F.lit(-1.0)).otherwise(F.get(prior, F.col("kind")) / (1 - F.get(prior, F.col("own"))))
     block = lambda place: F.floor(F.col(place) / BLOCK).cast("long")
-    pairs = best.select(of(block("place")).alias("g"), of(block("near")).alias("h"), "place", "near", (share / F.col("found")).alias("weight"))
+    of = lambda place, size, name: F.broadcast(order.select(F.col("block").alias(f"_{place}"), group(F.col("n"), size).alias(name)))
+    pairs = best.select(block("place").alias("_place"), block("near").alias("_near"), "place", "near", (share / F.col("found")).alias("weight"))
+    pairs = pairs.join(of("place", asks, "g"), "_place").join(of("near", asked, "h"), "_near").select("g", "h", "place", "near", "weight")
     meet = both.select("g", "h", "asks", "block", "rows").unionByName(pairs, allowMissingColumns=True)
     sums = meet.groupBy("g", "h").applyInArrow(_differences(width, BLOCK), "f int, total double").groupBy("f").agg((F.sum("total") / total).alias("relieff"))
     return sums.join(F.broadcast(names), "f").select("feature", "relieff")

@@ -206,6 +206,22 @@ def test_relief_passes_over_far_blocks():
     assert table.num_rows == 100 and set((table["near"].to_numpy() // 1024).tolist()) == {0}
 
 
+@pytest.mark.parametrize("width", [2, 64, 300])
+def test_relief_sums_only_what_may_be_near(width):
+    """Steps rule out most pairs, and none of the nearest, whether a limit is known or not."""
+    rng = np.random.default_rng(8)
+    x, grid = rng.random((700, width)), relief.Grid(width)
+    x[5] = x[900 % 700]
+    far = np.abs(x[:100, None] - x[None]).sum(2)
+    far[np.arange(100), np.arange(100)] = np.inf
+    worst = np.sort(far, 1)[:, 9]
+    steps, half = grid.of(x)
+    for limit in (worst, np.where(np.arange(100) % 2, worst, np.inf)):
+        row, col = relief._near_ones(grid, steps[:100], np.ascontiguousarray(steps.T), half, np.arange(100), limit, 10, np.empty((2, 128, 700), grid.kind))
+        got = set(zip(row.tolist(), col.tolist()))
+        assert got >= set(zip(*(v.tolist() for v in np.nonzero(far <= worst[:, None])))) and len(got) < 5_000
+
+
 @pytest.fixture(scope="module")
 def problem(spark):
     rng = np.random.default_rng(3)
