@@ -457,7 +457,7 @@ def arff_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(spark: SparkSession, rows: DataFrame, fold: Callable[[DataFrame], DataFrame], schema: str = S.EVENT) -> DataFrame:
     """What a fold of the rows as a stream of JSON messages emits, through files in the shared folder."""
     folder = _shared(spark, "stream")
-    rows.repartitionByRange(4, "created_at", "event_id").sortWithinPartitions("created_at", "event_id").select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value")).write.text(f"{folder}/in")
+    rows.repartitionByRange("created_at", "event_id").sortWithinPartitions("created_at", "event_id").select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value")).write.text(f"{folder}/in")
     out = fold(folds.topic_source(spark, schema, f"{folder}/in"))
     out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")

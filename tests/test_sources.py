@@ -383,3 +383,27 @@ def test_pairs_of_one_large_family_are_made_by_many_tasks(spark, monkeypatch):
     assert out.count() == len(want) == 20_001 and got == want
     parts = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(parts) == 4 and max(parts) < 12_000
+
+
+def test_a_seed_is_folded_from_rows(spark):
+    """The fold of a seed takes and gives plain rows, so no frame is made for each seed; whole numbers stay so beside nulls."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    fold, timers = folds.Runs(), []
+    fold.held, fold.last, fold.handle = Held(), Held(), SimpleNamespace(registerTimer=timers.append)
+    message = lambda event_id, us, score: Row(seed_id="s", event_id=event_id, us=us, score=score, status="running", topic="t", local_search=None)
+    rows = list(fold.handleInputRows(("s",), iter([message(None, 5_000, 1.0), message(2, 5_000, float("nan")), message(1, 3_000, 2.0)]), None))
+    assert [(r.updates, r.current_score, r.best_score, r.created_us, r.updated_us) for r in rows] == [(1, 2.0, 2.0, 3_000, 3_000), (2, 2.0, 2.0, 3_000, 5_000), (3, 1.0, 2.0, 3_000, 5_000)]
+    assert fold.last.value == (5,) and timers == [6]
+    assert not list(fold.handleInputRows(("s",), iter([message(3, 9_000, 0.5)]), None))[0].improved and fold.last.value == (9,) and timers == [6]
