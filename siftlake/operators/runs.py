@@ -55,19 +55,19 @@ def run_compare(runs: DataFrame, keys: list[str]) -> DataFrame:
     return out.join(shared, keys, "left").withColumn("shared", F.coalesce("shared", F.lit(0)).cast("long"))
 
 
-#: Seconds of the cells in which launches meet runs and events, and of those in which launches are ordered.
-CELL, DAY = 3_600, 86_400
+#: Seconds of the cells in which launches meet runs and events, of those in which launches are ordered, and of a queue's.
+CELL, HOUR, DAY = 60, 3_600, 86_400
 
 
 def _cell(column: str | Column, seconds: int = CELL) -> Column:
     return F.floor(F.unix_micros(column) / (seconds * 1_000_000))
 
 
-def next_started(launches: DataFrame, span_seconds: int = DAY) -> DataFrame:
+def next_started(launches: DataFrame, span_seconds: int = HOUR) -> DataFrame:
     """Each launch with the start of the next one (by request, then id) that was ever started.
 
-    Days are windows of their own; the last launches of a day take the first start of the next day that has one, from a
-    table of a row for each day. So no task orders all launches.
+    Hours are windows of their own; the last launches of an hour take the first start of the next hour that has one, from
+    a table of a row for each hour. So no task orders all launches.
     """
     rows = launches.withColumn("_day", _cell("requested_at", span_seconds))
     # Backwards, so that the frames grow: a frame up to the end would be read anew for every row.
@@ -85,7 +85,11 @@ def _in_cells(launches: DataFrame, since: Column, until: DataFrame) -> DataFrame
 
     Intervals of started launches follow each other, so there are about as many rows as launches and cells together.
     """
-    asked = next_started(launches).withColumn("_since", since).crossJoin(F.broadcast(until))
+    return _cells(next_started(launches).withColumn("_since", since), until)
+
+
+def _cells(spans: DataFrame, until: DataFrame) -> DataFrame:
+    asked = spans.crossJoin(F.broadcast(until))
     end = F.least(F.coalesce("next_started_at", "_newest"), F.col("_newest"))
     return asked.where(F.col("_since") <= end).withColumn("_cell", F.explode(F.sequence(_cell("_since"), _cell(end)))).drop("_newest")
 
@@ -93,8 +97,8 @@ def _in_cells(launches: DataFrame, since: Column, until: DataFrame) -> DataFrame
 def launch_runs(launches: DataFrame, runs: DataFrame) -> DataFrame:
     """Runs of each launch: of its algorithms, files and classifier, created from its start (or request) to the next start.
 
-    A file or classifier that a launch leaves open takes any. Launches without a match stay out. Both sides meet in an
-    hour and an algorithm, so the join is one of equal keys whatever is left open.
+    A file or classifier that a launch leaves open takes any. Launches without a match stay out. Both sides meet in a
+    minute and an algorithm, so the join is one of equal keys whatever is left open.
     """
     newest = runs.agg(F.max("created_at").alias("_newest"))
     asked = _in_cells(launches, F.coalesce("started_at", "requested_at"), newest)
@@ -158,6 +162,29 @@ def launch_events(launches: DataFrame, events: DataFrame, seeds: DataFrame) -> D
     return by_request.where(inside).select("launch_id", "event_id").union(by_seed.where(inside).select("launch_id", "event_id")).distinct()
 
 
+def launch_event_counts(launches: DataFrame, events: DataFrame, seeds: DataFrame) -> DataFrame:
+    """launch_id, events, first_event: how many events launch_events() has of each launch, and the least event_id.
+
+    Launches of one request and interval have the same events by request, so these are counted once for all of them: the
+    work grows with intervals and events, not with launches times events. Of the events of a launch's seeds those of
+    other requests are added. Ids of launches and events are theirs alone; repeated rows of an event count once.
+    """
+    newest = events.agg(F.max("created_at").alias("_newest"))
+    asked = next_started(launches).select("launch_id", "request_id", "next_started_at", F.coalesce("requested_at", "started_at").alias("_since"))
+    rows = events.select("event_id", "seed_id", F.col("request_id").alias("_request"), "created_at", _cell("created_at").alias("_cell"))
+    inside = (F.col("created_at") >= F.col("_since")) & (F.col("next_started_at").isNull() | (F.col("created_at") < F.col("next_started_at")))
+    of = [F.count_distinct("event_id").alias("events"), F.min("event_id").alias("first_event")]
+    spans = _cells(asked.select("request_id", "_since", "next_started_at").distinct(), newest)
+    met = spans.join(rows.drop("seed_id").withColumnRenamed("_request", "request_id"), ["_cell", "request_id"]).where(inside).groupBy("request_id", "_since", "next_started_at").agg(*of)
+    met = met.select(F.col("request_id").alias("_r"), F.col("_since").alias("_s"), F.col("next_started_at").alias("_n"), "events", "first_event")
+    same = (F.col("request_id") == F.col("_r")) & (F.col("_since") == F.col("_s")) & F.col("next_started_at").eqNullSafe(F.col("_n"))
+    by_request = asked.join(met, same).select("launch_id", "events", "first_event")
+    theirs = _cells(asked.join(seeds.select("launch_id", "seed_id").distinct(), "launch_id"), newest)
+    other = ~F.coalesce(F.col("_request") == F.col("request_id"), F.lit(False))
+    by_seed = theirs.join(rows, ["_cell", "seed_id"]).where(inside & other).groupBy("launch_id").agg(*of)
+    return by_request.union(by_seed).groupBy("launch_id").agg(F.sum("events").alias("events"), F.min("first_event").alias("first_event"))
+
+
 def launch_users(launches: DataFrame, users: DataFrame) -> DataFrame:
     """Launches with name, mail and role of who asked for them; all stay. users: user_id and those."""
     known = users.select(F.col("user_id").alias("requested_by"), *(F.col(c).alias(f"user_{c}") for c in ("name", "mail", "role")))

@@ -209,7 +209,7 @@ _WITHIN = "e.us >= l.requested_us AND (l.next_us IS NULL OR e.us < l.next_us)"
 _query(
     "launch_events", f"SELECT launch_id, count(*) AS events, min(event_id) AS first_event FROM (SELECT l.launch_id, e.event_id FROM nxt l JOIN ev e USING (request_id) WHERE {_WITHIN} UNION SELECT l.launch_id, e.event_id FROM nxt l JOIN matched m USING (launch_id) JOIN ev e ON e.seed_id = m.seed_id WHERE {_WITHIN}) GROUP BY 1",
     f"{_EV}, {_RUNS}, {_LAUNCH}, {_NEXT}, {_MATCH}",
-)(lambda s, d: runs.launch_events(launches(s, d), _ev(s, d), runs.launch_runs(launches(s, d), _runs(s, d)).select("launch_id", "seed_id")).groupBy("launch_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event")))
+)(lambda s, d: runs.launch_event_counts(launches(s, d), _ev(s, d), runs.launch_runs(launches(s, d), _runs(s, d)).select("launch_id", "seed_id")))
 _query("launch_users", "SELECT launch_id, c_name AS user_name, lower(c_mktsegment) AS user_role FROM launch LEFT JOIN customer ON c_custkey = requested_by AND c_custkey % 2 = 0", _LAUNCH)(
     lambda s, d: runs.launch_users(launches(s, d), table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("mail"), F.lower("c_mktsegment").alias("role"))).select("launch_id", "user_name", "user_role")
 )

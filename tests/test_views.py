@@ -183,3 +183,17 @@ def test_timelines_scan_once(spark):
     plan = monitor.timelines(registry._ev(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan =="):]
     assert physical.count("FileScan") == 1 and physical.count("Exchange hashpartitioning") <= 2 and physical.count("Expand") == 1
+
+
+def test_launches_of_one_interval_share_their_counts(spark):
+    """Counts by interval are those of the pairs, and no join makes a row for each launch and event."""
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    launches = spark.createDataFrame([(k, f"q{k % 2}", at(0), at(1) if k % 3 else None) for k in range(40)] + [(40, "q0", at(5), None), (41, "q9", at(6), at(7)), (42, None, at(8), None)], "launch_id long, request_id string, requested_at timestamp, started_at timestamp")
+    e = events(spark, [{"seed_id": f"s{k % 4}", "request_id": f"q{k % 3}" if k % 5 else None, "created_at": at(k % 11), "topic": S.BEST} for k in range(60)])
+    e = e.union(e.where("event_id < 20"))
+    seeds = spark.createDataFrame([(k, f"s{j}") for k in range(0, 43, 2) for j in (1, 3)], "launch_id long, seed_id string")
+    pairs = {}
+    for r in runs.launch_events(launches, e, seeds).collect():
+        pairs.setdefault(r.launch_id, set()).add(r.event_id)
+    got = {r.launch_id: (r.events, r.first_event) for r in runs.launch_event_counts(launches, e, seeds).collect()}
+    assert len(got) > 20 and got == {k: (len(v), min(v)) for k, v in pairs.items()}
