@@ -164,8 +164,9 @@ def history_entries(stored: DataFrame) -> DataFrame:
 def history_snapshots(runs: DataFrame, entries: DataFrame) -> DataFrame:
     """History entries with what only their run holds: an entry's own value goes before the run's. Runs without history have no row."""
     own = set(entries.columns) - {"seed_id"}
-    r = runs.select("seed_id", *(F.col(c).alias(f"_{c}") for c in runs.columns if c != "seed_id"))
-    rows = entries.join(r, "seed_id")
+    r = runs.where("seed_id IS NOT NULL").select(F.col("seed_id").alias("_seed_id"), *(F.col(c).alias(f"_{c}") for c in runs.columns if c != "seed_id"))
+    # Null-safe, as the plain equality would filter entries by their seed below their parsing, and read each JSON again for it.
+    rows = entries.join(r, F.col("seed_id").eqNullSafe(F.col("_seed_id")))
     pick = lambda name, run: F.coalesce(*([F.col(name)] if name in own else []), *(F.col(f"_{c}") for c in run if f"_{c}" in r.columns))
     from_run = ("rcl_algorithm", "classifier", "training_file_name", "testing_file_name", "status")
     both = ("request_id", "local_search", "neighborhood", "iteration_neighborhood", "iteration_local_search", "previous_best", "delta", "improved", "solution_features", "rcl_features", "solution_size", "rcl_size", "cpu_usage", "memory_usage", "memory_usage_percent")

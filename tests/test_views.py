@@ -197,3 +197,9 @@ def test_launches_of_one_interval_share_their_counts(spark):
         pairs.setdefault(r.launch_id, set()).add(r.event_id)
     got = {r.launch_id: (r.events, r.first_event) for r in runs.launch_event_counts(launches, e, seeds).collect()}
     assert len(got) > 20 and got == {k: (len(v), min(v)) for k, v in pairs.items()}
+
+
+def test_history_snapshots_read_each_json_once(spark):
+    df = registry.QUERIES["history_snapshots"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
